@@ -13,6 +13,7 @@ from .chat import PARTS, format_chats, read_chats
 from .common import documents, fold_of
 from .licences import LEAST, TEMPLATES, scan_licences
 from .line_dedup import dedup_lines
+from .mixing_lm import score_texts
 from .near_vectors import near_vectors
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
@@ -73,6 +74,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op8_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_compression_quality": op6_compression_quality,
     "op7_packing": op7_packing,
+    "op8_mixing_lm": op8_mixing_lm,
     "op9_near_vectors": op9_near_vectors,
     "op10_line_dedup": op10_line_dedup,
 }
