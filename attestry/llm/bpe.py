@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shuffle_partitions, small_batches
+from .common import shuffle_partitions, prepare
 from .word_tokens import BYTE_CHARS
 
 # Fixed value: how a byte-level pre-tokenizer with its own pattern cuts text into words.
@@ -170,7 +170,7 @@ def encode(docs: DataFrame, tokenizer: str, piece_chars: int = PIECE_CHARS) -> D
     besides doc_id and text are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.length(F.coalesce("text", F.lit(""))) > piece_chars
     short = docs.where(~long).mapInArrow(_encoded(tokenizer), "doc_id long, text string, ids binary").select("doc_id", "ids")

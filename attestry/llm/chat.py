@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import prepare
 
 PARTS = "array<struct<type: string, text: string, uri: string, units: int>>"
 #: Tokens that one unit of an attachment expands to: an image's tile, a second of audio, a page.
@@ -97,7 +97,7 @@ def format_chats(turns: DataFrame, unit_tokens: dict[str, int] | None = None) ->
     order, (turn, kind, uri, number in its turn, tokens). A conversation is one row: its turns are
     formatted apart, and only the finished turns meet. An empty table gives no row.
     """
-    small_batches(turns.sparkSession)
+    prepare(turns.sparkSession)
     rows = turns.select("conv_id", "turn", "role", "parts")
     held = "array<struct<kind: string, uri: string, number: int, tokens: bigint>>"
     done = rows.mapInArrow(_turns(unit_tokens or UNIT_TOKENS), f"conv_id long, turn long, role string, head string, body string, held {held}, tokens long")

@@ -35,6 +35,8 @@ HEAD_BYTES = 24
 MOST_TABLE_BITS = 20
 #: Words whose scores a worker remembers.
 MOST_CACHED = 1 << 20
+#: How firmly the first weights are held, in tokens.
+PRIOR = 2000.0
 #: Edges of an online step.
 BATCH = 1 << 14
 TEXT_STEP = 1 << 22
@@ -275,6 +277,19 @@ def first_scores(model: Model) -> np.ndarray:
 _SEGMENT = 1 << 13
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and counts, many at a time: words that share a beginning share its work."""
+    words, n = [], []
+    for batch in batches:
+        words += batch.column(0).to_pylist()
+        n.append(batch.column(1).to_numpy().astype(float))
+        if len(words) >= rows:
+            yield words, np.concatenate(n)
+            words, n = [], []
+    if words:
+        yield words, np.concatenate(n)
+
+
 def _tables(shared):
     """Counts of all contexts over some words, in segments."""
 
@@ -282,8 +297,7 @@ def _tables(shared):
         model = shared.value
         counts = np.zeros((ORDERS, 1 << model.bits, 2), np.float32)
         some = False
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float)
+        for words, n in _gathered(batches):
             for part in _chunks(words):
                 some = True
                 for _, _, e in _edges(model, [words[i] for i in part], n[part]):
@@ -327,11 +341,10 @@ def _learned(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        w, bend = model.weights.copy(), np.tile(20.0 * np.eye(INPUTS), (SETS, 1, 1))
+        w, bend = model.weights.copy(), np.tile(PRIOR * np.eye(INPUTS), (SETS, 1, 1))
         hits, seen = np.zeros(SETS * _GRID), np.zeros(SETS * _GRID)
         total = steps_done = 0
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float)
+        for words, n in _gathered(batches):
             for part in _chunks(words):
                 total += len(part)
                 for _, _, e in _edges(model, [words[i] for i in part], n[part]):
@@ -350,8 +363,8 @@ def _learned(shared):
                             # an online Newton step: the curvature seen so far scales each step
                             slope = np.stack([np.bincount(gate[s], err * x[s, k], SETS) for k in range(INPUTS)], 1)
                             steps_done += 1
-                            curve = p * (1 - p) * mass[s] * (1 if steps_done <= 64 else 8)
-                            for k in range(INPUTS) if steps_done <= 64 or steps_done % 8 == 0 else ():
+                            curve = p * (1 - p) * mass[s] * (1 if steps_done <= 200 else 5)
+                            for k in range(INPUTS) if steps_done <= 200 or steps_done % 5 == 0 else ():
                                 for m in range(k, INPUTS):
                                     h = np.bincount(gate[s], curve * x[s, k] * x[s, m], SETS)
                                     bend[:, k, m] += h
@@ -359,7 +372,7 @@ def _learned(shared):
                                         bend[:, m, k] += h
                             w -= np.clip(np.linalg.solve(bend, slope[:, :, None])[:, :, 0], -0.5, 0.5)
                             at = np.clip(np.rint(dot * 2), -16, 16).astype(np.int64) + 16
-                            if steps_done <= 64:
+                            if steps_done <= 200:
                                 continue  # the map learns from settled weights
                             hits += np.bincount(gate[s] * _GRID + at, bit[s] * mass[s], SETS * _GRID)
                             seen += np.bincount(gate[s] * _GRID + at, mass[s], SETS * _GRID)
@@ -422,7 +435,9 @@ def train(vocabulary: DataFrame, first: np.ndarray, distinct: int) -> tuple[Mode
     model = replace(model, counts=counts.reshape(ORDERS, 1 << bits, 2))
     shared = spark.sparkContext.broadcast(model)
     mass, total = 0, np.zeros(SETS * INPUTS + 2 * SETS * _GRID)
-    for row in dealt.mapInArrow(_learned(shared), "words long, sums binary").toLocalIterator():
+    # learning wants words in no order
+    mixed = vocabulary.select("word", "n", "h").repartition(tasks, "h").sortWithinPartitions("h").select("word", "n")
+    for row in mixed.mapInArrow(_learned(shared), "words long, sums binary").toLocalIterator():
         one = np.frombuffer(row["sums"], float).copy()
         one[: SETS * INPUTS] *= row["words"]
         total += one

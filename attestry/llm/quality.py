@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, small_batches
+from .common import fold_of, prepare
 
 BLOCK = 512
 DICTIONARY_BYTES = 1 << 15
@@ -140,7 +140,7 @@ def with_quality(docs: DataFrame, model: Classifier) -> DataFrame:
     A null text counts as an empty one. All rows and columns come back; the name ``quality_score`` must be free
     (a column of that name is replaced). The whole text is compressed, in blocks of ``BLOCK`` bytes.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
