@@ -94,8 +94,8 @@ SELECT concat('w', CAST(k AS STRING)) AS review_id, record_id, CASE WHEN k % 8 =
     "v_changes": """
 SELECT concat('q', CAST(k % 400 AS STRING)) AS request_key, record_id,
        CASE k % 3 WHEN 0 THEN 'viewpoint_change' WHEN 1 THEN 'withdrawal' ELSE 'correction' END AS change_kind,
-       DATE '2024-02-01' + CAST(k % 20 AS INT) AS valid_from, CASE WHEN k % 6 = 0 THEN DATE '2024-01-15' + CAST(k % 40 AS INT) END AS previous_valid_until, k AS created
-FROM {v_records} WHERE k % 5 = 0""",
+       DATE '2024-02-01' + CAST(k % 20 AS INT) AS valid_from, CASE WHEN k % 4 = 0 THEN DATE '2024-01-15' + CAST(k % 40 AS INT) END AS previous_valid_until, k AS created
+FROM {v_records} WHERE k % 5 < 3""",
     "v_spans": """
 SELECT source_id, message_id, length(text) AS size, s.i AS span_no, least(s.i * 12, length(text)) AS start_char, least(s.i * 12 + CASE WHEN s.i % 2 = 0 THEN 15 ELSE 6 END, length(text)) AS end_char
 FROM {v_messages} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 9) s WHERE turn % 5 <> 3""",

@@ -1 +1,187 @@
-"""Queries."""
+"""Text jobs: chunks, parts, tags and review hints over message and claim tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from attestry.functions import rules as R
+from attestry.functions import spans as S
+from attestry.functions.text import content_id, escaped_markdown
+from attestry.operators.aggregates import quality_summary, span_coverage
+from attestry.operators.predicates import check_dates
+from attestry.registry import Inputs, query
+
+
+@query("f6_chunks", "SELECT doc_id, CAST(i * 900 AS INT) AS start_char, CAST(least(i * 900 + 1000, length(text)) AS INT) AS end_char, md5(substr(text, CAST(i * 900 + 1 AS INT), 1000)) AS chunk_md5 FROM documents, range(0, 2000) r(i) WHERE length(text) > 0 AND i < greatest(1, ceil((length(text) - 100) / 900.0)) AND trim(substr(text, CAST(i * 900 + 1 AS INT), 1000)) <> ''")
+def f6(t: Inputs) -> DataFrame:
+    c = S.chunk_text(t.documents.select("doc_id", "text"))
+    return c.select("doc_id", "start_char", "end_char", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@query("f7_fixed_parts", "SELECT doc_id, CAST(i AS INT) AS part_no, md5(substr(text, CAST(i * 1200 + 1 AS INT), 1200)) AS part_md5 FROM documents, range(0, 2000) r(i) WHERE i < greatest(1, ceil(length(text) / 1200.0))")
+def f7(t: Inputs) -> DataFrame:
+    return S.split_fixed(t.documents.select("doc_id", "text"), 1200).select("doc_id", "part_no", F.md5(F.col("part").cast("binary")).alias("part_md5"))
+
+
+@query("f8_serialized_parts")
+def f8(t: Inputs) -> DataFrame:
+    return S.split_serialized(t.documents.select("doc_id", "text"), 1700).select("doc_id", "part_no", "start_char", "end_char")
+
+
+@query("f9_packed_segments")
+def f9(t: Inputs) -> DataFrame:
+    return S.pack_segments(t.v_messages, 3, 900)
+
+
+@query("f10_long_source_plan")
+def f10(t: Inputs) -> DataFrame:
+    d = t.documents.select(F.col("doc_id").alias("source_id"), F.lit("m0").alias("message_id"), "text")
+    return S.segment_plan(d, 2000).select("source_id", "part_no", "start_char", "end_char", "segment_id")
+
+
+@query(
+    "f11_source_routing",
+    """SELECT source_id, message_id, CASE WHEN role = 'assistant' THEN 'assistant_reference' WHEN regexp_matches(text, '(?i)^\\s*(you are|act as) ') THEN 'role_template' WHEN length(text) > 600 AND regexp_matches(text, '(?m)^\\s*(chapter|part) [0-9ivx]+') THEN 'pasted_chapter'
+    WHEN len(regexp_extract_all(text, '(?m)^\\s*([0-9]+[.)]|[-*]) ')) >= 3 THEN 'outline' ELSE 'conversation' END AS route FROM v_messages""".replace("\\\\", "\\"),
+)
+def f11(t: Inputs) -> DataFrame:
+    return t.v_messages.select("source_id", "message_id", R.route(F.col("role"), F.col("text")).alias("route"))
+
+
+@query("f12_evidence_spans")
+def f12(t: Inputs) -> DataFrame:
+    s = S.evidence_spans(t.documents.select("doc_id", "text"), 1000)
+    return s.select("doc_id", "part_no", "start_char", "end_char", R.modality(F.col("part")).alias("modality"))
+
+
+_M = {k: v.replace("(?i)", "") for k, v in R.PATTERNS_EN.items()}
+
+
+def _modality_sql(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '(?i){_M['condition']}') THEN 'conditional' WHEN (regexp_matches({c}, '(?i){_M['wish']}') OR regexp_matches({c}, '(?i){_M['plan']}')) AND regexp_matches({c}, '(?i){_M['asserted']}') THEN 'mixed' WHEN regexp_matches({c}, '(?i){_M['wish']}') THEN 'wish' WHEN regexp_matches({c}, '(?i){_M['plan']}') THEN 'plan' ELSE 'stated' END"
+
+
+#: The test texts name no intentions, so the query puts one before each text.
+_LEAD = ["I plan to ", "I wish for ", "if needed, ", "we decided on ", "I hope and have completed ", ""]
+_LEAD_SQL = "CASE k % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LEAD)) + " END"
+
+
+def _led(t: Inputs) -> DataFrame:
+    lead = F.element_at(F.array(*map(F.lit, _LEAD)), (F.col("k") % 6 + 1).cast("int"))
+    other = F.element_at(F.array(*map(F.lit, _LEAD)), ((F.col("k") + F.floor(F.col("k") / 7)) % 6 + 1).cast("int"))
+    return t.v_records.withColumn("said", F.concat(lead, "statement")).withColumn("claimed", F.concat(other, "statement"))
+
+
+_LED = f"SELECT *, concat({_LEAD_SQL}, statement) AS said, concat({_LEAD_SQL.replace('k % 6', '(k + CAST(floor(k / 7) AS BIGINT)) % 6')}, statement) AS claimed FROM v_records"
+
+
+@query("f14_modality", f"SELECT record_id, {_modality_sql('said')} AS modality FROM ({_LED})")
+def f14(t: Inputs) -> DataFrame:
+    return _led(t).select("record_id", R.modality(F.col("said")).alias("modality"))
+
+
+def _has(c: str, k: str) -> str:
+    return f"regexp_matches({c}, '(?i){_M[k]}')"
+
+
+@query(
+    "f15_modality_promotion",
+    f"""SELECT record_id, CASE WHEN {_has('said', 'permission')} AND NOT {_has('said', 'obligation')} AND {_has('claimed', 'obligation')} THEN 'permission_to_obligation'
+    WHEN mode IN ('wish', 'plan') AND {_has('claimed', 'asserted')} AND NOT {_has('said', 'asserted')} THEN 'intention_to_done' WHEN mode IN ('wish', 'plan') AND kind IN ('decision', 'event') AND NOT {_has('said', 'asserted')} THEN 'intention_as_decision'
+    WHEN mode = 'conditional' AND ({_has('claimed', 'asserted')} OR {_has('claimed', 'wish')} OR {_has('claimed', 'plan')}) AND NOT {_has('claimed', 'condition')} AND NOT {_has('said', 'asserted')} THEN 'condition_dropped' END AS problem
+    FROM (SELECT *, {_modality_sql('said')} AS mode FROM ({_LED}))""",
+)
+def f15(t: Inputs) -> DataFrame:
+    return _led(t).select("record_id", R.modality_problem(F.col("said"), F.col("claimed"), F.col("kind")).alias("problem"))
+
+
+@query("f16_qualifications")
+def f16(t: Inputs) -> DataFrame:
+    return _led(t).select("record_id", R.qualification_problem(F.col("said"), F.col("claimed"), F.col("kind")).alias("problem"))
+
+
+@query("f18_statement_checks", "SELECT record_id, contains(statement, '2024-02-0' || (k % 9 + 1)) OR k % 4 = 0 AS has_date, false AS immediate_command FROM (SELECT record_id, k, concat(CASE WHEN k % 4 = 0 THEN concat('2024年2月', k % 9 + 1, '日 ') WHEN k % 4 = 1 THEN concat('2024-02-0', k % 9 + 1) ELSE '' END, statement) AS statement FROM v_records)")
+def f18(t: Inputs) -> DataFrame:
+    day = F.concat(F.lit("2024-02-0"), (F.col("k") % 9 + 1).cast("string"))
+    text = F.concat(F.when(F.col("k") % 4 == 0, F.concat(F.lit("2024年2月"), (F.col("k") % 9 + 1).cast("string"), F.lit("日 "))).when(F.col("k") % 4 == 1, day).otherwise(""), "statement")
+    return t.v_records.select("record_id", R.statement_has_date(text, day).alias("has_date"), R.immediate_command(F.col("statement")).alias("immediate_command"))
+
+
+@query("f19_signals", "SELECT record_id, regexp_matches(said, '(?i)rewrite|word count') AS transient, regexp_matches(said, '(?i)planned|deadline|completed') AS temporal FROM (" + _LED + ")")
+def f19(t: Inputs) -> DataFrame:
+    from attestry.operators.aggregates import TEMPORAL, TRANSIENT
+
+    return _led(t).select("record_id", F.col("said").rlike(TRANSIENT).alias("transient"), F.col("said").rlike(TEMPORAL).alias("temporal"))
+
+
+def _hints(t: Inputs) -> DataFrame:
+    c = _led(t).select(F.col("k").alias("claim_no"), "source_id", "topic", "kind", "subject", "status", F.col("claimed").alias("statement"), F.col("said").alias("quote"))
+    return R.review_claims(c)
+
+
+@query("f20_review_hints")
+def f20(t: Inputs) -> DataFrame:
+    return _hints(t).select("claim_no", "source_id", "codes", "disposition")
+
+
+@query("a20_quality_summary")
+def a20(t: Inputs) -> DataFrame:
+    return quality_summary(_hints(t))
+
+
+@query(
+    "f21_missed_sources",
+    """SELECT source_id, message_id FROM (SELECT *, concat(CASE WHEN turn % 3 = 0 THEN 'I have a studio; how should it go? ' ELSE '' END, text) AS said FROM v_messages WHERE role = 'user') m
+    WHERE regexp_matches(said, '(?i)\\bI\\s+(?:have|own)\\s+(?:(?:a|the|an)\\s+)?(?:domain|studio|business|patent)\\b') AND regexp_matches(said, '(?i)[?？]|\\b(?:how|what should)\\b')
+    AND NOT EXISTS (SELECT 1 FROM v_claims c WHERE c.source_id = m.source_id AND c.message_id = m.message_id)""".replace("\\\\", "\\"),
+)
+def f21(t: Inputs) -> DataFrame:
+    m = t.v_messages.withColumn("text", F.concat(F.when(F.col("turn") % 3 == 0, "I have a studio; how should it go? ").otherwise(""), "text"))
+    return R.missed_sources(m, t.v_claims).select("source_id", "message_id")
+
+
+@query(
+    "f23_date_check",
+    """SELECT k, coalesce(b IS NULL OR b2 >= a2, false) AND a2 IS NOT NULL AND (b IS NULL OR b2 IS NOT NULL) AS dates_ok FROM (SELECT *, CASE WHEN regexp_full_match(a, '\\d{4}-\\d{2}-\\d{2}') THEN TRY_CAST(a AS DATE) END AS a2, CASE WHEN regexp_full_match(b, '\\d{4}-\\d{2}-\\d{2}') THEN TRY_CAST(b AS DATE) END AS b2 FROM (
+    SELECT k, CASE k % 5 WHEN 0 THEN '2024-2-01' WHEN 1 THEN '2024-02-30' ELSE '2024-02-10' END AS a, CASE k % 3 WHEN 0 THEN '2024-02-05' WHEN 1 THEN '2024-03-01' END AS b FROM v_records))""".replace("\\\\", "\\"),
+)
+def f23(t: Inputs) -> DataFrame:
+    k = F.col("k")
+    rows = t.v_records.select("k", F.when(k % 5 == 0, "2024-2-01").when(k % 5 == 1, "2024-02-30").otherwise("2024-02-10").alias("as_of_text"), F.when(k % 3 == 0, "2024-02-05").when(k % 3 == 1, "2024-03-01").alias("valid_until_text"))
+    return check_dates(rows).select("k", "dates_ok")
+
+
+@query("f24_content_ids", "SELECT source_id, message_id, sha256(concat_ws(chr(31), source_id, message_id, role, text)) AS content_id FROM v_messages")
+def f24(t: Inputs) -> DataFrame:
+    return t.v_messages.select("source_id", "message_id", content_id("source_id", "message_id", "role", "text").alias("content_id"))
+
+
+@query("f28_markdown_escape", r"SELECT doc_id, length(regexp_replace(text, '([\\`*_{}\[\]<>#|])', '\\\1', 'g')) AS chars FROM documents")
+def f28(t: Inputs) -> DataFrame:
+    return t.documents.select("doc_id", F.length(escaped_markdown("text")).alias("chars"))
+
+
+@query("f22_scope_observations")
+def f22(t: Inputs) -> DataFrame:
+    return R.scope_observations(_led(t).select("record_id", F.col("said").alias("text")))
+
+
+@query("f30_text_files")
+def f30(t: Inputs) -> DataFrame:
+    return S.split_text_files(t.documents.select("doc_id", "text"), 1500, 1800).select("doc_id", "part_no", "start_char", "end_char")
+
+
+@query("p2_hidden_spans")
+def p2(t: Inputs) -> DataFrame:
+    text = F.concat(F.lit("<think>a <thinking>b</thinking> c</think>"), F.substring("text", 1, 200), F.when(F.col("conv_id") % 3 == 0, "<analysis>open").otherwise(""))
+    rows = t.v_messages.select("source_id", "message_id", text.alias("text"))
+    return rows.select("source_id", "message_id", (F.length("text") == F.length(S.mask_hidden("text"))).alias("same_length"), F.contains(S.mask_hidden("text"), F.lit("b")).alias("still_b"), S.mask_hidden("text").alias("masked"))
+
+
+@query("q11_input_coverage")
+def q11(t: Inputs) -> DataFrame:
+    m = t.v_messages.select("source_id", "message_id", "role", "text", R.route(F.col("role"), F.col("text")).alias("route"))
+    spans = S.evidence_spans(m.where("route = 'conversation'"), 300).where(F.length("part") >= 12)
+    sizes = m.select("source_id", "message_id", "route", F.length("text").cast("long").alias("size"))
+    return span_coverage(sizes, spans.select("source_id", "message_id", "start_char", "end_char"), ["source_id", "message_id"])
