@@ -1 +1,180 @@
-"""Queries."""
+"""Exports, topic documents, windows of activity, and the compositions that have no place elsewhere."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from attestry.functions import rules, spans
+from attestry.functions.text import content_id
+from attestry.operators import budgets as B
+from attestry.operators import documents as D
+from attestry.operators import joins as J
+from attestry.operators import mutations as M
+from attestry.operators import predicates as P
+from attestry.operators import retrieval as R
+from attestry.operators import windows as W
+from attestry.plans.core import DAY, governed
+from attestry.registry import Inputs, query
+from attestry.sources import exports as X
+from attestry.streaming import jobs as ST
+
+
+def _exported(t: Inputs) -> DataFrame:
+    """The conversations in the shape of an export: every third message has typed blocks, one of them hidden."""
+    c = t.conversations
+    block = F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hidden").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text")))
+    sender = F.when(F.col("role") == "user", "human").otherwise(F.col("role"))
+    m = F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("uuid"), sender.alias("sender"), F.lit("2024-01-01").alias("created_at"), F.col("text"), F.when(F.col("turn") % 3 == 0, block).alias("content"), F.col("turn"))
+    out = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn"), m.alias("m")))).alias("ms"))
+    return out.select(F.col("conv_id").cast("string").alias("uuid"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("name"), F.lit("2024-01-01").alias("created_at"), F.transform("ms", lambda x: x["m"].dropFields("turn")).alias("chat_messages"))
+
+
+@query(
+    "s1_export_scan",
+    "SELECT CAST(conv_id AS STRING) AS conversation_id, concat('Talk ', CAST(conv_id AS STRING)) AS title, CAST(turn AS INT) AS message_no, concat('m', CAST(turn AS STRING)) AS message_id, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' ELSE 'external' END AS role, '2024-01-01' AS created_at, 0 AS block_no, text FROM conversations",
+)
+def s1(t: Inputs) -> DataFrame:
+    return X.flatten_conversations(_exported(t))
+
+
+@query("p1_visible_blocks", "SELECT CAST(conv_id AS STRING) AS conversation_id, concat('m', CAST(turn AS STRING)) AS message_id, 1 AS blocks, length(text) AS chars FROM conversations")
+def p1(t: Inputs) -> DataFrame:
+    m = _exported(t).select(F.col("uuid").alias("conversation_id"), F.explode("chat_messages").alias("m"))
+    seen = X.visible_blocks(F.col("m.content"), F.col("m.text"))
+    return m.select("conversation_id", F.col("m.uuid").alias("message_id"), F.size(seen).alias("blocks"), F.length(F.array_join(seen, "")).alias("chars"))
+
+
+@query(
+    "s2_summary_memories",
+    """SELECT concat('file:', CAST(doc_id AS STRING)) AS key, md5(text) AS text_md5 FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'conversations', md5(text) FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT concat('project:', source), md5(text) FROM documents WHERE doc_id % 10 = 0""",
+)
+def s2(t: Inputs) -> DataFrame:
+    d = t.documents.where("doc_id % 10 = 0")
+    shape = d.select(
+        F.when(F.col("doc_id") % 50 == 0, F.col("text")).alias("conversations_memory"),
+        F.array(F.struct(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit("2024-01-01").alias("updated_at"))).alias("memory_files"),
+        F.create_map("source", "text").alias("project_memories"),
+    )
+    return X.flatten_memories(shape).select("key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("s3_file_manifest")
+def s3(t: Inputs) -> DataFrame:
+    files = X.scan_manifest(t.spark, t.sf_dir)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "digest")
+
+
+@query(
+    "p10_evidence_class",
+    """SELECT record_id, CASE WHEN quote = '' THEN 'missing_quote' WHEN NOT contains(text, quote) AND contains('hidden # text', quote) THEN 'excluded_block_quote' WHEN contains(text, quote) AND source_type = 'imported_summary' THEN 'secondary_quote_present' WHEN contains(text, quote) THEN 'visible_quote_present' ELSE 'quote_missing' END AS class
+    FROM (SELECT r.record_id, CASE WHEN k % 5 = 0 THEN '#' WHEN k % 17 = 0 THEN '' ELSE quote END AS quote, m.text, s.source_type FROM v_records r JOIN v_messages m USING (source_id, message_id) JOIN (SELECT source_id, source_type FROM v_sources) s USING (source_id))""",
+)
+def p10(t: Inputs) -> DataFrame:
+    r = J.hydrate(J.with_evidence(t.v_records, t.v_messages), t.v_sources)
+    quote = F.when(F.col("k") % 5 == 0, "#").when(F.col("k") % 17 == 0, "").otherwise(F.col("quote"))
+    blocks = F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hidden # text").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text")))
+    return r.select("record_id", D.evidence_class(quote, blocks, F.col("source_type") == "imported_summary").alias("class"))
+
+
+@query("a18_topic_documents")
+def a18(t: Inputs) -> DataFrame:
+    return D.render_topics(D.topic_lines(governed(t), t.v_sources, t.v_topics))
+
+
+@query("q6_topic_versions")
+def q6(t: Inputs) -> DataFrame:
+    new = a18(t).withColumn("digest", F.sha2("text", 256))
+    old = new.where("owner <> 'owner-1'").select("owner", "scope", "slug", F.lit(1).alias("revision"), F.when(F.col("slug") == "alpha", "other").otherwise(F.col("digest")).alias("digest"))
+    return M.write_topic_versions(new, old)
+
+
+@query("q7_bulk_plan")
+def q7(t: Inputs) -> DataFrame:
+    rows = X.flatten_conversations(_exported(t)).where("text is not null")
+    parts = spans.split_serialized(rows, 800).withColumn("turn", (F.col("message_no") * 1000 + F.col("part_no")).cast("long"))
+    parts = parts.select(F.col("conversation_id").alias("conv_id"), "turn", "message_id", "role", F.col("part").alias("text"))
+    segs = parts.join(spans.pack_segments(parts, 100, 2000), ["conv_id", "turn"])
+    out = segs.groupBy("conv_id", "segment_index").agg(F.count("*").alias("n_messages"), F.sum(F.length("text")).alias("chars"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n"), 256).alias("digest"))
+    sample = W.timeline_sample(out.withColumn("day", F.concat(F.lit("2024-"), F.lpad((F.col("conv_id").cast("int") % 12 + 1).cast("string"), 2, "0")))).withColumn("phase", F.lit("sample"))
+    return out.join(sample, ["conv_id", "segment_index"], "left").withColumn("phase", F.coalesce("phase", F.lit("remaining")))
+
+
+@query("st1_distinct_sources", "SELECT owner, scope, concat('k', CAST(attempt_id % 97 AS STRING)) AS source_key, CAST(attempt_id % 3 AS STRING) AS digest FROM v_attempts GROUP BY ALL")
+def st1(t: Inputs) -> DataFrame:
+    a = t.v_attempts.select("owner", "scope", F.concat(F.lit("k"), (F.col("attempt_id") % 97).cast("string")).alias("source_key"), (F.col("attempt_id") % 3).cast("string").alias("digest"), "ts")
+    return ST.stream_sources(a).select("owner", "scope", "source_key", "digest")
+
+
+@query(
+    "st2_scope_bursts",
+    """WITH g AS (SELECT owner, scope, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS s FROM v_attempts WINDOW w AS (PARTITION BY owner, scope ORDER BY ts)), n AS (SELECT *, sum(s) OVER (PARTITION BY owner, scope ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM g)
+    SELECT owner, scope, min(ts) AS started, max(ts) + INTERVAL 5 MINUTE AS ended, count(*) AS arrivals FROM n GROUP BY owner, scope, g""",
+)
+def st2(t: Inputs) -> DataFrame:
+    return ST.scope_bursts(t.v_attempts, "5 minutes")
+
+
+@query("st3_index_upkeep", "SELECT source_id, message_id, CAST(length(text) AS INT) AS end_char FROM v_messages WHERE length(text) BETWEEN 1 AND 1000 AND trim(text) <> ''")
+def st3(t: Inputs) -> DataFrame:
+    kept: list[DataFrame] = []
+    m = t.v_messages.join(t.v_sources.select("source_id", "digest"), "source_id").where("length(text) <= 1000")
+    none = t.spark.createDataFrame([], "source_id string, digest string, message_id string, start_char int, end_char int")
+    ST.index_batches(lambda: (none, t.v_versions.limit(0)), kept.append, "idx-2")(m.select("source_id", "digest", "message_id", "text"), 0)
+    return kept[0].select("source_id", "message_id", F.col("end_char").cast("int").alias("end_char"))
+
+
+@query("st4_review_machine")
+def st4(t: Inputs) -> DataFrame:
+    r = t.v_reviews.select("record_id", "review_id", "revision", "created")
+    return ST.batch_reviews(r.unionByName(r.withColumn("review_id", F.concat("review_id", F.lit("b"))).withColumn("revision", F.lit(1)).withColumn("created", F.col("created") + 1)))
+
+
+@query("st5_running_ledger", "SELECT owner, scope, count(*) AS attempts, CAST(sum(coalesce(total_tokens, prompt_tokens + completion_tokens, reservation)) AS BIGINT) AS charged FROM v_attempts GROUP BY 1, 2")
+def st5(t: Inputs) -> DataFrame:
+    return ST.running_ledger(t.v_attempts)
+
+
+@query("st6_activity_windows", "SELECT operation, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS started, count(*) AS n FROM v_attempts GROUP BY 1, 2")
+def st6(t: Inputs) -> DataFrame:
+    return ST.activity(t.v_attempts)
+
+
+@query("q3_source_evidence")
+def q3(t: Inputs) -> DataFrame:
+    """Chunks of live sources for each task, with locators, within a budget of characters."""
+    live = J.live_chunks(t.v_versions, P.eligible(t.v_sources).select("source_id", "digest")).select("source_id", "digest")
+    chunks = spans.chunk_text(t.v_messages.join(live, "source_id").select("source_id", "digest", "message_id", "turn", "text"), 400, 40)
+    chunks = chunks.withColumn("record_id", content_id("source_id", "digest", "message_id", "start_char"))
+    asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower(F.substring("statement", 1, 60)).alias("query"))
+    scored = R.search(chunks.select("record_id", F.col("chunk").alias("statement")), asked, "v3")
+    top = R.top_k(scored, 20, F.col("record_id"))
+    located = top.join(chunks, "record_id").withColumn("size", F.length("chunk") + 80)
+    return W.fill_budget_stop(located, 2000).select("query_id", "rank", "score", F.col("record_id").alias("chunk_id"), "source_id", "message_id", "start_char", "end_char")
+
+
+@query("q4_task_bundle")
+def q4(t: Inputs) -> DataFrame:
+    """For each query what is trusted, what is only reported, and the original evidence, within one budget."""
+    asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower(F.substring("statement", 1, 60)).alias("query"))
+    gov = governed(t)
+    sizes = t.v_records.select("record_id", (F.length("statement") + 60).alias("size"))
+    usable, cand = gov.where(P.usable_on(DAY)), P.filter_state(gov, "candidate")
+    scored = R.search(gov.where("lifecycle = 'active'").select("record_id", "statement"), asked)
+    trusted = R.trusted_context(scored, usable, 10).join(sizes, "record_id")
+    reports = R.top_k(scored.join(cand.select("record_id"), "record_id", "left_semi"), 10, F.col("record_id")).join(sizes, "record_id")
+    found = q3(t).withColumn("size", F.col("end_char") - F.col("start_char") + 80)
+    return B.evidence_bundle(trusted, reports, found.select("query_id", "rank", "size"), 3000)
+
+
+@query("q13_guard_contract")
+def q13(t: Inputs) -> DataFrame:
+    """Guard rules over cases with what is expected of them: an intention or condition before a quote, and what is claimed of it."""
+    lead = {"I plan to ": "intention_to_done", "if needed, ": "condition_dropped", "you may ": "permission_to_obligation", "": None}
+    every = None
+    for said, expected in lead.items():
+        claim = "must " if said == "you may " else "decided "
+        one = t.v_records.where("k % 20 = 0").select("record_id", F.lit(said).alias("lead"), F.concat(F.lit(said), F.lit("go")).alias("quote"), F.concat(F.lit(claim), F.lit("go")).alias("statement"), F.lit("claim").alias("kind"), F.lit(expected).cast("string").alias("expected"))
+        every = one if every is None else every.unionByName(one)
+    got = rules.modality_problem(F.col("quote"), F.col("statement"), F.col("kind"))
+    return every.select("record_id", "lead", "expected", got.alias("found")).withColumn("passed", F.col("expected").eqNullSafe(F.col("found")))
