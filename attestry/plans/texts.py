@@ -55,6 +55,17 @@ def f12(t: Inputs) -> DataFrame:
     return s.select("doc_id", "part_no", "start_char", "end_char", R.modality(F.col("part")).alias("modality"))
 
 
+@query("f13_clause_policies")
+def f13(t: Inputs) -> DataFrame:
+    """How many clauses each policy finds in texts that open with an intention, a condition or neither."""
+    said = _led(t).select("record_id", F.concat("said", F.lit("! I plan to go on. We hope so")).alias("text"))
+    every = None
+    for policy in ("plain", "scoped", "explicit"):
+        one = S.evidence_spans(said, 1000, policy=policy).groupBy("record_id").agg(F.count("*").alias("clauses"), F.max("end_char").alias("covered")).withColumn("policy", F.lit(policy))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
 _M = {k: v.replace("(?i)", "") for k, v in R.PATTERNS_EN.items()}
 
 
