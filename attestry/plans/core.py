@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.operators import joins as J
@@ -11,7 +11,9 @@ from attestry.operators import sets as U
 from attestry.operators import windows as W
 from attestry.registry import Inputs, query
 
-DAY = F.lit("2024-02-01").cast("date")
+def day() -> Column:
+    """The day that reports are for."""
+    return F.lit("2024-02-01").cast("date")
 
 
 @query("s4_table_scan", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o_orderkey) AS first_key FROM orders WHERE o_orderkey > 100")
@@ -67,7 +69,7 @@ def p7h(t: Inputs) -> DataFrame:
 
 @query("p8_usable_records", f"SELECT record_id, holder, as_of, valid_until FROM ({_GOV}) WHERE {_USABLE}")
 def p8(t: Inputs) -> DataFrame:
-    return governed(t).where(P.usable_on(DAY)).select("record_id", "holder", "as_of", "valid_until")
+    return governed(t).where(P.usable_on(day())).select("record_id", "holder", "as_of", "valid_until")
 
 
 _EVID = "SELECT r.*, m.role, m.text FROM v_records r LEFT JOIN v_messages m USING (source_id, message_id)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry.operators import aggregates as A
 from attestry.operators import joins as J
 from attestry.operators import windows as W
-from attestry.plans.core import _GOV, _REFS, DAY, governed
+from attestry.plans.core import _GOV, _REFS, day, governed
 from attestry.registry import Inputs, query
 
 
@@ -20,7 +20,7 @@ from attestry.registry import Inputs, query
     count(*) FILTER (WHERE lifecycle = 'active' AND state = 'candidate') AS candidate, count(*) FILTER (WHERE state = 'historical') AS historical, count(*) FILTER (WHERE state = 'rejected') AS rejected FROM ({_GOV}) GROUP BY 1, 2) r ON s.owner = r.owner AND s.scope = r.scope""",
 )
 def a1(t: Inputs) -> DataFrame:
-    return A.overview(governed(t), t.v_sources, DAY)
+    return A.overview(governed(t), t.v_sources, day())
 
 
 @query("a2_status_histogram", "SELECT status, lifecycle, count(*) AS n FROM v_records GROUP BY 1, 2")
@@ -89,7 +89,7 @@ _GAPS = f"""WITH f AS (SELECT record_id, owner, scope, unnest(list_filter([CASE
 
 
 def _gaps(t: Inputs) -> DataFrame:
-    return A.diagnose(t.v_records, t.v_governance, t.v_entities, t.v_messages, t.v_sources, DAY)
+    return A.diagnose(t.v_records, t.v_governance, t.v_entities, t.v_messages, t.v_sources, day())
 
 
 @query("a7_governance_gaps", _GAPS)
@@ -248,4 +248,4 @@ def q5(t: Inputs) -> DataFrame:
 
     r = J.hydrate(governed(t).where("lifecycle = 'active'"), t.v_sources)
     r = quote_supported(J.with_evidence(J.with_display(r, t.v_translations, "fr"), t.v_messages))
-    return r.select("record_id", "state", "priority", "source_key", "source_type", "display_statement", "role", "supported", usable_on(DAY).alias("usable"))
+    return r.select("record_id", "state", "priority", "source_key", "source_type", "display_statement", "role", "supported", usable_on(day()).alias("usable"))

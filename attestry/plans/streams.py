@@ -14,7 +14,7 @@ from attestry.operators import mutations as M
 from attestry.operators import predicates as P
 from attestry.operators import retrieval as R
 from attestry.operators import windows as W
-from attestry.plans.core import DAY, governed
+from attestry.plans.core import day, governed
 from attestry.registry import Inputs, query
 from attestry.sources import exports as X
 from attestry.streaming import jobs as ST
@@ -135,7 +135,7 @@ def st5(t: Inputs) -> DataFrame:
     return ST.running_ledger(t.v_attempts)
 
 
-@query("st6_activity_windows", "SELECT operation, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS started, count(*) AS n FROM v_attempts GROUP BY 1, 2")
+@query("st6_activity_windows", "SELECT operation, time_bucket(INTERVAL 1 day, ts, TIMESTAMP '1970-01-01') AS started, count(*) AS n FROM v_attempts GROUP BY 1, 2")
 def st6(t: Inputs) -> DataFrame:
     return ST.activity(t.v_attempts)
 
@@ -159,7 +159,7 @@ def q4(t: Inputs) -> DataFrame:
     asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower(F.substring("statement", 1, 60)).alias("query"))
     gov = governed(t)
     sizes = t.v_records.select("record_id", (F.length("statement") + 60).alias("size"))
-    usable, cand = gov.where(P.usable_on(DAY)), P.filter_state(gov, "candidate")
+    usable, cand = gov.where(P.usable_on(day())), P.filter_state(gov, "candidate")
     scored = R.search(gov.where("lifecycle = 'active'").select("record_id", "statement"), asked)
     trusted = R.trusted_context(scored, usable, 10).join(sizes, "record_id")
     reports = R.top_k(scored.join(cand.select("record_id"), "record_id", "left_semi"), 10, F.col("record_id")).join(sizes, "record_id")
