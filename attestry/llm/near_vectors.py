@@ -12,12 +12,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shuffle_partitions
 from .components import connected_components
 
 #: Vectors of a block; larger buckets are split.
@@ -53,41 +52,81 @@ def _signed(bits: int, tables: int):
     return run
 
 
+def _block_links(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, sigs: np.ndarray, table: int, left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each row of a bucket's block, or pair of blocks: ``left`` and ``right`` are places, ``right`` None for a block with itself."""
+    counts, root = np.zeros(len(ids), np.int64), list(range(len(ids)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    b = left if right is None else right
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        i, j = np.nonzero(x[rows] @ x[b].T >= threshold)
+        i, j = rows[i], b[j]
+        if right is None:
+            i, j = i[i < j], j[i < j]
+        if table and len(i):
+            first = ~(sigs[i, :table] == sigs[j, :table]).any(1)
+            i, j = i[first], j[first]
+        np.add.at(counts, i, weight[j])
+        np.add.at(counts, j, weight[i])
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = find(p), find(q)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+    return counts, np.array([find(k) for k in range(len(ids))], np.int64)
+
+
 def _links(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, weight = pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
-        x = np.stack(pdf["vector"].to_numpy()).astype(float)
-        x /= np.abs(x).max(1, keepdims=True)
-        x /= np.sqrt((x * x).sum(1, keepdims=True))
-        sigs, table = np.stack(pdf["sigs"].to_numpy()), int(pdf["table"].iloc[0])
-        left, right = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        chunk = pdf["chunk"].to_numpy()
-        a, b = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
-        counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for at in range(0, len(a), 256):
-            rows = a[at : at + 256]
-            i, j = np.nonzero(x[rows] @ x[b].T >= threshold)
-            i, j = rows[i], b[j]
-            ok = i < j if left == right else i != j
-            i, j = i[ok], j[ok]
-            if table:
-                first = ~(sigs[i, :table] == sigs[j, :table]).any(1)
-                i, j = i[first], j[first]
-            np.add.at(counts, i, weight[j])
-            np.add.at(counts, j, weight[i])
-            for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = find(p), find(q)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-        some = np.flatnonzero(counts)
-        return pd.DataFrame({"rep": ids[some], "links": counts[some], "to": ids[[find(k) for k in some.tolist()]] if len(some) else np.zeros(0, np.int64)})
+    """Links within buckets; rows come sorted by bucket, and one bucket's blocks are in hand at a time."""
+    keys = ("lab", "dim", "table", "sig", "lo", "hi")
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            col = t[k].combine_chunks()
+            v = (col.dictionary_encode().indices if k == "lab" else col).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    def linked(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        ids, weight = t["rep"].to_numpy(), t["copies"].to_numpy()
+        table, lo, hi, chunk, dim = (t[k].to_numpy() for k in ("table", "lo", "hi", "chunk", "dim"))
+        flat, sig = t["vector"].combine_chunks().flatten().to_numpy(), t["sigs"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        offset = np.concatenate(([0], np.cumsum(dim)))
+        out: list[tuple] = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), t.num_rows], strict=True):
+            if b - a < 2:
+                continue
+            x = flat[offset[a] : offset[b]].reshape(b - a, -1)
+            x = x / np.abs(x).max(1, keepdims=True)
+            x /= np.sqrt((x * x).sum(1, keepdims=True))
+            left = np.flatnonzero(chunk[a:b] == lo[a])
+            right = None if lo[a] == hi[a] else np.flatnonzero(chunk[a:b] == hi[a])
+            counts, root = _block_links(x, ids[a:b], weight[a:b], sig[a:b], int(table[a]), left, right, threshold)
+            some = np.flatnonzero(counts)
+            if len(some):
+                out.append((ids[a:b][some], counts[some], ids[a:b][root[some]]))
+        cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rep", "links", "to"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = starts(t)
+            held = t.slice(int(at[-1])).to_batches() if len(at) else held
+            if len(at) > 1:
+                yield linked(t.slice(0, int(at[-1])).combine_chunks(), at[:-1])
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield linked(t, starts(t))
 
     return run
 
@@ -125,7 +164,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, bits: int | None =
     met = met.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    found = met.select(*bucket, "lo", "hi", "chunk", "rep", "copies", "vector", "sigs").groupBy(*bucket, "lo", "hi").applyInPandas(_links(threshold), "rep long, links long, `to` long")
+    order = ["lab", "dim", "table", "sig", "lo", "hi"]
+    met = met.withColumn("lab", F.col("label").cast("string")).select(*order, "chunk", "rep", "copies", "vector", "sigs")
+    found = met.repartition(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_links(threshold), "rep long, links long, `to` long")
     found = scratch.keep("found", found)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("rep").alias("src"), F.col("to").alias("dst")), scratch, "cc")
