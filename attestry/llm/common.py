@@ -62,3 +62,18 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a map of ids: a fixed size, 2 MB packed.
+MAP_BITS = 24
+
+
+def id_bit(doc_id: Column) -> Column:
+    """An id's place in a map of ids."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - MAP_BITS)
+
+
+def id_words(ids: DataFrame) -> DataFrame:
+    """(word, mask): a map of the column ``doc_id`` as words of 32 bits; at most 2**19 rows at any input size."""
+    bits = ids.select(id_bit(F.col("doc_id")).alias("bit")).select(F.shiftright("bit", 5).alias("word"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("mask"))
+    return bits.groupBy("word").agg(F.bit_or("mask").alias("mask"))

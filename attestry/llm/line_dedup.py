@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, id_bit, id_words, shuffle_partitions
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Bits of a filter's segment (8 KB), the unit that is shuffled and merged.
@@ -180,4 +180,12 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bit
     drops = suspects.join(doomed.select("key", "keeper"), "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
     drops = scratch.keep("drops", drops)
     scratch.drop("suspects")
-    return docs.join(drops, "doc_id", "left").mapInArrow(_cleaned(least_chars), "doc_id long, n_lines long, n_dropped long, kept string")
+    # texts that lose no line are not shuffled: a map of bounded size tells which may
+    words = scratch.keep("words", id_words(drops))
+    marked = docs.withColumn("bit", id_bit(F.col("doc_id"))).withColumn("word", F.shiftright("bit", 5)).join(F.broadcast(words), "word", "left")
+    hit = F.coalesce(F.col("doc_id").isNotNull() & (F.expr("shiftright(mask, cast(bit % 32 as int))") % 2 == 1), F.lit(False))
+    marked = marked.select("doc_id", "text", hit.alias("hit"))
+    rest = marked.where("not hit").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("drop"))
+    some = marked.where("hit").drop("hit").join(drops.hint("merge"), "doc_id", "left")
+    kind = "doc_id long, n_lines long, n_dropped long, kept string"
+    return rest.mapInArrow(_cleaned(least_chars), kind).unionByName(some.mapInArrow(_cleaned(least_chars), kind))
