@@ -1,7 +1,7 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a sequence of tokens, its lower-cased words and one end; a token is written as its bytes and a closing
-blank, and each byte as eight bits. Every bit is predicted by several predictors: hashed contexts of the last one to four bytes of the
+blank, and each byte as eight bits. Every bit is predicted by several predictors: hashed contexts of the last few bytes of the
 token (counts of zeros and ones in tables of bounded size, summed over the whole training corpus), and an exact context, the token so far
 among the most frequent words. Their logits are combined by weights that a gate chooses by how much the
 contexts have seen and by the bit's place; the weights are learned online over the training vocabulary, each
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +32,25 @@ HEAD_WORDS = 1 << 19
 HEAD_BYTES = 24
 #: Bits of a context table's size at most; fewer for small vocabularies.
 MOST_TABLE_BITS = 20
-#: Words whose scores a worker remembers.
-MOST_CACHED = 1 << 20
+#: Places in a worker's memory of word scores; a word has one place, and the last word there stays.
+CACHED = 1 << 21
+#: Words that a task counts before it passes them on.
+MOST_HELD = 1 << 20
 #: How firmly the first weights are held, in tokens.
 PRIOR = 2000.0
 #: Edges of an online step.
 BATCH = 1 << 14
-TEXT_STEP = 1 << 22
-ORDERS = 4
+TEXT_STEP = 1 << 21
+#: Context lengths in bytes.
+LENGTHS = (2, 3, 5)
+ORDERS = len(LENGTHS)
 INPUTS = ORDERS + 2
 END = b"\n"
 KINDS = 4
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _ALPHA = np.float32(0.2)
-_E_STEPS, _H_STEPS = np.array([1, 2, 4, 10, 40, 400]), np.array([1, 16])
+_E_STEPS, _H_STEPS = np.array([1, 2, 4, 10, 40, 400], np.float32), np.array([1, 16], np.float32)
 SETS = 7 * 3 * 8
 _GRID = 33
 
@@ -69,23 +72,34 @@ def _last_kind(w: Words, low: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bytes_of(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-    raw = low.tobytes()
-    return [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+def _bytes_of(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The slices of a buffer as a binary array."""
+    size = end - start
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(low[at])])
 
 
 _END_HASH = int(mix(np.array([0xE0D], _U))[0].astype(np.int64))
 
 
+def _merged_counts(held: list[tuple]) -> list[tuple]:
+    """Counts of equal words added up: one (hashes, words, counts)."""
+    h, n = np.concatenate([x[0] for x in held]), np.concatenate([x[2] for x in held])
+    words = pa.concat_arrays([x[1] for x in held])
+    u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+    return [(u, words.take(pa.array(at)), np.bincount(inverse, n).astype(np.int64))]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with counts, and the first bytes by kind (as rows without a word: h is kind * 256 + byte)."""
-    held: dict[int, list] = {}
+    held: list[tuple] = []
+    size, ends = 0, 0
     first = np.zeros((KINDS, 256), np.int64)
 
-    def rows(items: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in items], pa.int64()), pa.array([v[0] for _, v in items], pa.binary()), pa.array([v[1] for _, v in items], pa.int64())], names=["h", "word", "n"])
+    def rows(h, words, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), words, pa.array(n, pa.int64())], names=["h", "word", "n"])
 
-    ends = 0
     for batch in batches:
         for _, texts in steps(batch.column(0), TEXT_STEP):
             w = Words(texts)
@@ -96,22 +110,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             np.add.at(first, (_kinds(w, low), low[w.start]), 1)
             u, at, n = np.unique(w.hash.view(np.int64), return_index=True, return_counts=True)
-            keys, counts = u.tolist(), n.tolist()
-            new = []
-            for i, (k, c) in enumerate(zip(keys, counts, strict=True)):
-                own = held.get(k)
-                if own is None:
-                    new.append(i)
-                else:
-                    own[1] += c
-            for i, word in zip(new, _bytes_of(low, w.start[at[new]], w.end[at[new]]), strict=True):
-                held[keys[i]] = [word, counts[i]]
-            if len(held) > MOST_CACHED:
-                yield rows(list(held.items()))
-                held = {}
-    items = [*held.items(), *([(_END_HASH, [END, ends])] if ends else [])]
-    kinds = [(int(k) * 256 + int(b), [None, int(first[k, b])]) for k, b in zip(*np.nonzero(first), strict=True)]
-    yield rows(items + kinds)
+            held.append((u, _bytes_of(low, w.start[at], w.end[at]), n))
+            size += len(u)
+            if size > MOST_HELD:
+                held = _merged_counts(held)
+                size = len(held[0][0])
+                if size > MOST_HELD // 2:
+                    yield rows(*held[0])
+                    held, size = [], 0
+    if held:
+        yield rows(*_merged_counts(held)[0])
+    if ends:
+        yield rows([_END_HASH], pa.array([END], pa.binary()), [ends])
+    kind, byte = np.nonzero(first)
+    yield rows(kind * 256 + byte, pa.nulls(len(kind), pa.binary()), first[kind, byte])
 
 
 @dataclass
@@ -125,6 +137,14 @@ class Model:
     below: np.ndarray  # cumulative counts of the head words
     weights: np.ndarray
     refine: np.ndarray
+    logits: np.ndarray | None = None  # order x slot, once counts are final
+    known: np.ndarray | None = None  # slot: how much the middle order has seen, as a step of the gate
+
+    def settled(self) -> Model:
+        """The same model without counts, for scoring."""
+        logits = np.log((self.counts[:, :, 1] + _ALPHA) / (self.counts[:, :, 0] + _ALPHA))
+        known = np.searchsorted(_H_STEPS, self.counts[1].sum(1), side="right").astype(np.uint8)
+        return replace(self, counts=None, logits=logits, known=known)
 
     def slots(self, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
         return (((ctx + node.astype(_U) * _STEP) * _U(0xD6E8FEB86659FD93)) >> _U(64 - self.bits)).astype(np.int64)
@@ -157,22 +177,30 @@ def _bit(model: Model, e: _Level, node: np.ndarray, lo: np.ndarray, hi: np.ndarr
     cut = _split(model, e.place, lo, hi, (((node << 1) | 1) << place_bit) & 255)
     middle = model.below[cut]
     zeros, ones = (middle - model.below[lo]).astype(np.float32), (model.below[hi] - middle).astype(np.float32)
-    both = [(zeros, ones)]
+    x = np.empty((len(node), INPUTS), np.float32)
+    x[:, INPUTS - 1] = 0.5
+    known = None
     for k in range(ORDERS):
         if k == 0 and e.kind is not None:
-            both.append((model.first[e.kind, node, 0].astype(np.float32), model.first[e.kind, node, 1].astype(np.float32)))
+            z, o = (model.first[e.kind, node, bit].astype(np.float32) for bit in (0, 1))
         else:
-            pair = model.counts[k][model.slots(e.ctx[k], node)]
-            both.append((pair[:, 0], pair[:, 1]))
-    x = np.empty((len(node), INPUTS), np.float32)
-    x[:, INPUTS - 1] = 0.5
-    for i, (z, o) in enumerate(both):
+            s = model.slots(e.ctx[k], node)
+            if model.logits is not None:
+                x[:, k + 1] = model.logits[k][s]
+                known = model.known[s] if k == 1 else known
+                continue
+            z, o = model.counts[k][s].T
         if own is not None:
             z, o = np.maximum(z - (own == 0), 0), np.maximum(o - (own == 1), 0)
-            both[i] = (z, o)
-        x[:, i] = np.log((o + _ALPHA) / (z + _ALPHA))
-    seen = np.searchsorted(_E_STEPS, both[0][0] + both[0][1], side="right") * 3 + np.searchsorted(_H_STEPS, both[3][0] + both[3][1], side="right")
-    return np.clip(x, -9, 9), seen * 8 + place_bit, cut
+        x[:, k + 1] = np.log((o + _ALPHA) / (z + _ALPHA))
+        if k == 1:
+            known = np.searchsorted(_H_STEPS, z + o, side="right")
+    if own is not None:
+        zeros, ones = np.maximum(zeros - (own == 0), 0), np.maximum(ones - (own == 1), 0)
+    x[:, 0] = np.log((ones + _ALPHA) / (zeros + _ALPHA))
+    gate = np.searchsorted(_E_STEPS, zeros + ones, side="right") * 3 + known
+    np.clip(x, -9, 9, out=x)
+    return x, gate * 8 + place_bit, cut
 
 
 def _refined(model: Model, gate: np.ndarray, dot: np.ndarray) -> np.ndarray:
@@ -205,7 +233,7 @@ def _levels(words: list[bytes], weight: np.ndarray) -> Iterator[tuple[np.ndarray
 def _edges(model: Model, words: list[bytes], weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, _Level]]:
     """The levels of the trie of ``words`` from the second byte on for counts, with contexts and head ranges carried along."""
     ctx = np.zeros((ORDERS, 1), _U)
-    last = np.zeros((1, ORDERS), np.int64)
+    last = np.zeros((1, LENGTHS[-1]), np.int64)
     lo, hi = np.zeros(1, np.int64), np.full(1, len(model.below) - 1, np.int64)
     for rows, edge, inverse, place in _levels(words, weight):
         prefix, byte = edge >> 8, edge & 255
@@ -217,9 +245,11 @@ def _edges(model: Model, words: list[bytes], weight: np.ndarray) -> Iterator[tup
         lo, hi = first, _split(model, place, level.lo, level.hi, byte + 1)
         ctx = np.empty((ORDERS, len(edge)), _U)
         h = np.zeros(len(edge), _U)
-        for k in range(ORDERS):
-            h = mix(h * _U(257) + last[:, k].astype(_U) + _U(k + 1))
-            ctx[k] = h
+        for k in range(LENGTHS[-1]):
+            h = (h ^ (last[:, k].astype(_U) + _U(k + 1))) * _U(0x9E3779B97F4A7C15 | 1)
+            h ^= h >> _U(29)
+            if k + 1 in LENGTHS:
+                ctx[LENGTHS.index(k + 1)] = h
 
 
 def _chunks(words: list[bytes], rows: int = 1 << 17) -> Iterator[list[int]]:
@@ -407,21 +437,25 @@ def train(vocabulary: DataFrame, first: np.ndarray, distinct: int) -> tuple[Mode
             bound = row["n"] + 1
             break
         held += row["words"]
-    head = short.where(F.col("n") >= bound).select("h", "word", "n").toPandas()
-    words = [bytes(x) for x in head["word"]]
-    order = sorted(range(len(words)), key=lambda i: words[i] + b" ")
-    table = np.zeros((HEAD_BYTES, len(words)), np.uint8)
-    for i, k in enumerate(order):
-        raw = words[k] + b" "
-        table[: len(raw), i] = np.frombuffer(raw, np.uint8)
-    n = head["n"].to_numpy(np.int64)
+    head = short.where(F.col("n") >= bound).select("h", "word", "n").toArrow()
+    words = head["word"].combine_chunks() if head.num_rows else pa.array([], pa.binary())
+    words = words.cast(pa.binary())
+    h, n = head["h"].to_numpy().astype(np.int64), head["n"].to_numpy().astype(np.int64)
+    off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    size, raw = np.diff(off), np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
+    table = np.zeros((len(words), HEAD_BYTES), np.uint8)
+    row = np.repeat(np.arange(len(words)), size)
+    table[row, np.arange(len(row)) - np.repeat(off[:-1] - off[0], size)] = raw[off[0] : off[-1]]
+    table[np.arange(len(words)), size] = 32
+    order = np.argsort(table.view(f"S{HEAD_BYTES}").ravel(), kind="stable")
     below = np.concatenate(([0], np.cumsum(n[order]))).astype(np.int64)
-    by_hash = np.argsort(head["h"].to_numpy(np.int64))
+    table = np.ascontiguousarray(table[order].T)
+    by_hash = np.argsort(h)
     bits = min(MOST_TABLE_BITS, max(14, distinct.bit_length() + 4))
     weights = np.zeros((SETS, INPUTS))
     trust = np.repeat([0.0, 0.2, 0.3, 0.45, 0.6, 0.85, 0.97], SETS // 7)  # in the exact context, by how much it has seen
     weights[:, 0] = trust
-    weights[:, 1 : ORDERS + 1] = ((1 - trust)[:, None] * np.array([0.1, 0.2, 0.3, 0.4]))
+    weights[:, 1 : ORDERS + 1] = ((1 - trust)[:, None] * np.array([0.2, 0.35, 0.45]))
     flat = 1 / (1 + np.exp(-(np.arange(_GRID) - 16) / 2.0))
     model = Model(bits, np.zeros((ORDERS, 1, 2), np.float32), _nodes(first), table, below, weights, np.tile(flat, (SETS, 1)))
     # tasks sum into tables of a fixed size, so there are few of them
@@ -433,24 +467,25 @@ def train(vocabulary: DataFrame, first: np.ndarray, distinct: int) -> tuple[Mode
     for row in sums.toLocalIterator():
         counts[row["segment"]] = np.frombuffer(row["counts"], np.float32)
     model = replace(model, counts=counts.reshape(ORDERS, 1 << bits, 2))
+    shared.destroy()
     shared = spark.sparkContext.broadcast(model)
     mass, total = 0, np.zeros(SETS * INPUTS + 2 * SETS * _GRID)
     # learning wants words in no order
     mixed = vocabulary.select("word", "n", "h").repartition(tasks, "h").sortWithinPartitions("h").select("word", "n")
-    for row in mixed.mapInArrow(_learned(shared), "words long, sums binary").toLocalIterator():
+    for row in mixed.mapInArrow(_learned(shared), "words long, sums binary").collect():
         one = np.frombuffer(row["sums"], float).copy()
         one[: SETS * INPUTS] *= row["words"]
         total += one
         mass += row["words"]
     if mass:
         hits, seen = total[SETS * INPUTS :].reshape(2, SETS, _GRID)
-        prior = 20.0
+        prior = PRIOR
         model = replace(model, weights=(total[: SETS * INPUTS] / mass).reshape(SETS, INPUTS), refine=(hits + prior * flat) / (seen + prior))
-    return model, head["h"].to_numpy(np.int64)[by_hash], n[by_hash]
+    return model.settled(), h[by_hash], n[by_hash]
 
 
 #: How much of a text's own history each adaptive predictor mixes in: (share of the words so far, share of what followed the word before).
-HISTORIES = [(0.0, 0.0), (0.05, 0.0), (0.15, 0.0), (0.35, 0.0), (0.1, 0.3), (0.1, 0.75)]
+HISTORIES = [(0.0, 0.0), (0.08, 0.0), (0.25, 0.0), (0.1, 0.6)]
 
 
 def _earlier(key: np.ndarray) -> np.ndarray:
@@ -499,7 +534,7 @@ def _scored(shared):
         model, hashes, counts = shared.value
         first = first_scores(model)
         logs = np.log10(counts + 1.0)
-        cache: dict[int, float] = {}
+        cached, scores = np.zeros(CACHED, np.int64), np.zeros(CACHED)
         end_at = np.searchsorted(hashes, _END_HASH)
         end_known = bool(end_at < len(hashes) and hashes[end_at] == _END_HASH)
         end_first = first[:, 10] + word_scores(model, [END])[0]
@@ -517,14 +552,12 @@ def _scored(shared):
                 tail_doc, tail_hash = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if len(w.hash):
                     u, at, inverse = np.unique(w.hash.view(np.int64), return_index=True, return_inverse=True)
-                    keys = u.tolist()
-                    own = np.fromiter(map(cache.get, keys, repeat(np.nan)), float, len(keys))
-                    new = np.flatnonzero(np.isnan(own))
+                    slot = u & (CACHED - 1)
+                    own = scores[slot]
+                    new = np.flatnonzero(cached[slot] != u)
                     if len(new):
-                        own[new] = word_scores(model, _bytes_of(low, w.start[at[new]], w.end[at[new]]))
-                        if len(cache) > MOST_CACHED:
-                            cache = {}
-                        cache.update(zip(u[new].tolist(), own[new].tolist(), strict=True))
+                        own[new] = word_scores(model, _bytes_of(low, w.start[at[new]], w.end[at[new]]).to_pylist())
+                        cached[slot[new]], scores[slot[new]] = u[new], own[new]
                     lm = adapted(own[inverse] + first[_kinds(w, low), low[w.start]], w.doc, inverse, lm)
                     place = np.minimum(np.searchsorted(hashes, u), max(0, len(hashes) - 1))
                     there = hashes[place] == u if len(hashes) else np.zeros(len(u), bool)
