@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import MAP_BITS as MAP_OF_IDS
+from .common import Scratch, id_bit, id_words, shuffle_partitions
 from .components import connected_components
 from .hashing import SHINGLE, mix, shingle_sets, steps
 
@@ -31,8 +32,6 @@ from .hashing import SHINGLE, mix, shingle_sets, steps
 MAP_BITS = 26
 #: A shingle held by at least so many documents goes last in the order.
 FREQUENT = 24
-#: Bits of the map of documents whose sets are needed for verification: a fixed size; when it fills up, more sets are made than needed.
-NEED_BITS = 24
 #: Widest leaf bitmap in bits.
 WIDEST = 1 << 14
 _U = np.uint64
@@ -309,34 +308,77 @@ def _folded(maps: list[bytes]) -> np.ndarray:
     return np.stack(rows).view(_U)
 
 
-def _meet(num: int, grouped: bool):
+def _may_link(sizes: list[int], maps: list[bytes], num: int) -> bool:
+    """The bound of the tree for two sets."""
+    (a, b), (x, y) = sizes, _folded(maps)
+    extra = min(max(0, a - int(np.bitwise_count(x).sum())), max(0, b - int(np.bitwise_count(y).sum())))
+    most = min(int(np.bitwise_count(x & y).sum()) + extra, a, b)
+    return most >= -(-num * (a + b) // (100 + num)) and 100 * a >= num * b and 100 * b >= num * a
+
+
+def _run_pairs(sizes: np.ndarray, reps: np.ndarray, maps: list[bytes], group: np.ndarray | None, num: int) -> set[tuple[int, int]]:
     """Surviving pairs of a run's classes, by representative."""
+    if len(reps) == 2:
+        x, y = int(reps[0]), int(reps[1])
+        apart = group is None or group[0] != group[1]
+        return {(min(x, y), max(x, y))} if apart and _may_link(sizes.tolist(), maps, num) else set()
+    pairs = set()
+    # sets of very different sizes have bitmaps of different widths: neighbours in width are enough, as sizes differ by a factor below 2
+    widths = np.array([len(b) for b in maps])
+    for w in np.unique(widths):
+        at = np.flatnonzero((widths == w) | (widths == 2 * w))
+        if len(at) > 1:
+            for i, j in tree_pairs(sizes[at], _folded([maps[k] for k in at]), num, None if group is None else group[at]):
+                x, y = int(reps[at[i]]), int(reps[at[j]])
+                pairs.add((min(x, y), max(x, y)))
+    return pairs
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes, reps = pdf["n"].to_numpy(np.int64), pdf["rep"].to_numpy(np.int64)
-        group = pd.factorize(pdf["component"])[0].astype(np.int64) if grouped else None
-        pairs, maps = set(), pdf["bits"].tolist()
-        # sets of very different sizes have bitmaps of different widths: neighbours in width are enough, as sizes differ by a factor below 2
-        widths = np.array([len(b) for b in maps])
-        classes = np.unique(widths)
-        for w in classes:
-            at = np.flatnonzero((widths == w) | (widths == 2 * w))
-            if len(at) > 1:
-                for i, j in tree_pairs(sizes[at], _folded([maps[k] for k in at]), num, None if group is None else group[at]):
-                    x, y = int(reps[at[i]]), int(reps[at[j]])
-                    pairs.add((min(x, y), max(x, y)))
-        both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+def _meet(num: int, grouped: bool):
+    """Surviving pairs of each run; rows come sorted by run, and one run is in hand at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        held: list[pa.RecordBatch] = []
+
+        def joined(part: pa.Table) -> None:
+            runs = part["run"].to_numpy()
+            sizes, reps, maps = part["n"].to_numpy(), part["rep"].to_numpy(), part["bits"].to_pylist()
+            group = part["component"].to_numpy() if grouped else None
+            edges = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1], [True])))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if b - a > 1:
+                    seen.update(_run_pairs(sizes[a:b], reps[a:b], maps[a:b], None if group is None else group[a:b], num))
+
+        def out() -> pa.RecordBatch:
+            both = np.array(sorted(seen), np.int64).reshape(-1, 2)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            runs = batch.column(batch.schema.get_field_index("run")).to_numpy()
+            if not len(runs):
+                continue
+            last = int(np.searchsorted(runs, runs[-1]))  # where the last run of the batch begins
+            if last == 0 and held and held[-1].column(held[-1].schema.get_field_index("run"))[-1].as_py() == runs[-1]:
+                held.append(batch)
+                continue
+            joined(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
+            held = [batch.slice(last)]
+            if len(seen) > 100_000:
+                yield out()
+        if held:
+            joined(pa.Table.from_batches(held).combine_chunks())
+        if seen:
+            yield out()
 
     return run
 
 
 def _need_map(docs: DataFrame) -> np.ndarray:
     """A map with a bit for the hash of each id of ``docs`` (2 MB at any input size)."""
-    h = F.xxhash64("doc_id")
-    words = docs.select(F.shiftrightunsigned(h, 64 - NEED_BITS).alias("bit")).select(F.shiftright("bit", 5).alias("word"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("mask"))
-    out = np.zeros(1 << (NEED_BITS - 5), np.uint32)
-    for row in words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+    out = np.zeros(1 << (MAP_OF_IDS - 5), np.uint32)
+    for row in id_words(docs).toLocalIterator():
         out[row["word"]] = row["mask"] & 0xFFFFFFFF
     return out
 
@@ -398,9 +440,14 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
     runs = blobs.groupBy("bucket").applyInPandas(_runs, "run long, members array<long>").dropDuplicates(["run"])
     members = scratch.keep("runs", runs.select("run", F.explode("members").alias("fp")))
     met = members.join(classes, "fp")
-    first = scratch.keep("first", met.groupBy("run").applyInPandas(_meet(percent, False), "a long, b long").distinct())
+
+    def surviving(rows: DataFrame, grouped: bool) -> DataFrame:
+        cols = ["run", "rep", "n", "bits"] + ["component"] * grouped
+        return rows.select(*cols).repartition(shuffle_partitions(spark), "run").sortWithinPartitions("run").mapInArrow(_meet(percent, grouped), "a long, b long").distinct()
+
+    first = scratch.keep("first", surviving(met, False))
     need = spark.sparkContext.broadcast(_need_map(first.select(F.explode(F.array("a", "b")).alias("doc_id"))).tobytes())
-    wanted = docs.where("doc_id is not null").select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - NEED_BITS).alias("bit"))
+    wanted = docs.where("doc_id is not null").select("doc_id", "text", id_bit(F.col("doc_id")).alias("bit"))
     sets = wanted.mapInArrow(_sets(need), "doc_id long, grams binary")
     ends = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = scratch.keep("sets", sets.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -415,7 +462,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
     ends = ends.withColumnRenamed("doc_id", "rep")
     again = met.join(ends, "rep", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = again.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("run")
-    second = again.join(mixed, "run", "left_semi").groupBy("run").applyInPandas(_meet(percent, True), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    second = surviving(again.join(mixed, "run", "left_semi"), True).join(first, ["a", "b"], "left_anti")
     more = scratch.keep("more", verified(second))
     comps = scratch.keep("comps", connected_components(links.unionByName(more), scratch, "cc2", "a", "b"))
     scratch.drop("runs", "first", "sets", "links", "more", "found")
