@@ -1,7 +1,7 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a sequence of tokens, its lower-cased words and one end; a token is written as its bytes and a closing
-blank, and each byte as eight bits. Every bit is predicted by several predictors: hashed contexts of the last few bytes of the
+blank, and each byte as eight bits. Every bit is predicted by several predictors: hashed contexts of the last one to five bytes of the
 token (counts of zeros and ones in tables of bounded size, summed over the whole training corpus), and an exact context, the token so far
 among the most frequent words. Their logits are combined by weights that a gate chooses by how much the
 contexts have seen and by the bit's place; the weights are learned online over the training vocabulary, each
@@ -42,7 +42,9 @@ PRIOR = 2000.0
 BATCH = 1 << 14
 TEXT_STEP = 1 << 21
 #: Context lengths in bytes.
-LENGTHS = (2, 3, 5)
+LENGTHS = (1, 2, 3, 4, 5)
+#: The order whose counts the gate looks at.
+GATE = LENGTHS.index(3)
 ORDERS = len(LENGTHS)
 INPUTS = ORDERS + 2
 END = b"\n"
@@ -138,12 +140,12 @@ class Model:
     weights: np.ndarray
     refine: np.ndarray
     logits: np.ndarray | None = None  # order x slot, once counts are final
-    known: np.ndarray | None = None  # slot: how much the middle order has seen, as a step of the gate
+    known: np.ndarray | None = None  # slot: how much the gate's order has seen, as a step of the gate
 
     def settled(self) -> Model:
         """The same model without counts, for scoring."""
         logits = np.log((self.counts[:, :, 1] + _ALPHA) / (self.counts[:, :, 0] + _ALPHA))
-        known = np.searchsorted(_H_STEPS, self.counts[1].sum(1), side="right").astype(np.uint8)
+        known = np.searchsorted(_H_STEPS, self.counts[GATE].sum(1), side="right").astype(np.uint8)
         return replace(self, counts=None, logits=logits, known=known)
 
     def slots(self, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -187,13 +189,13 @@ def _bit(model: Model, e: _Level, node: np.ndarray, lo: np.ndarray, hi: np.ndarr
             s = model.slots(e.ctx[k], node)
             if model.logits is not None:
                 x[:, k + 1] = model.logits[k][s]
-                known = model.known[s] if k == 1 else known
+                known = model.known[s] if k == GATE else known
                 continue
             z, o = model.counts[k][s].T
         if own is not None:
             z, o = np.maximum(z - (own == 0), 0), np.maximum(o - (own == 1), 0)
         x[:, k + 1] = np.log((o + _ALPHA) / (z + _ALPHA))
-        if k == 1:
+        if k == GATE:
             known = np.searchsorted(_H_STEPS, z + o, side="right")
     if own is not None:
         zeros, ones = np.maximum(zeros - (own == 0), 0), np.maximum(ones - (own == 1), 0)
@@ -455,7 +457,7 @@ def train(vocabulary: DataFrame, first: np.ndarray, distinct: int) -> tuple[Mode
     weights = np.zeros((SETS, INPUTS))
     trust = np.repeat([0.0, 0.2, 0.3, 0.45, 0.6, 0.85, 0.97], SETS // 7)  # in the exact context, by how much it has seen
     weights[:, 0] = trust
-    weights[:, 1 : ORDERS + 1] = ((1 - trust)[:, None] * np.array([0.2, 0.35, 0.45]))
+    weights[:, 1 : ORDERS + 1] = ((1 - trust)[:, None] * np.array([0.1, 0.15, 0.2, 0.25, 0.3]))
     flat = 1 / (1 + np.exp(-(np.arange(_GRID) - 16) / 2.0))
     model = Model(bits, np.zeros((ORDERS, 1, 2), np.float32), _nodes(first), table, below, weights, np.tile(flat, (SETS, 1)))
     # tasks sum into tables of a fixed size, so there are few of them
@@ -485,7 +487,7 @@ def train(vocabulary: DataFrame, first: np.ndarray, distinct: int) -> tuple[Mode
 
 
 #: How much of a text's own history each adaptive predictor mixes in: (share of the words so far, share of what followed the word before).
-HISTORIES = [(0.0, 0.0), (0.08, 0.0), (0.25, 0.0), (0.1, 0.6)]
+HISTORIES = [(0.0, 0.0), (0.05, 0.0), (0.15, 0.0), (0.35, 0.0), (0.1, 0.3), (0.1, 0.75)]
 
 
 def _earlier(key: np.ndarray) -> np.ndarray:

@@ -296,6 +296,23 @@ def test_first_byte_probabilities_add_up():
     assert np.allclose(np.exp(LM.first_scores(model)).sum(1), 1)
 
 
+def test_last_byte_alone_predicts(spark):
+    marks = [chr(k) for k in range(0x61, 0x7B) if chr(k) not in "qux"]
+    train = " ".join(f"{a}{b}qu{c}" for a in marks for b in marks for c in marks[:4])
+    at = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, train) for i in range(200, 210) if zlib.crc32(str(i).encode()) % 7 != 2]
+    docs = spark.createDataFrame([*rows, (at[0], "axqu"), (at[1], "axqj")], "doc_id long, text string")
+    by = {r["doc_id"]: r["score"] for r in LM.score_texts(docs).collect()}
+    # no word has "xq", but after "q" there is always "u"
+    assert by[at[0]] > by[at[1]]
+
+
+def test_history_of_a_text_that_repeats_itself():
+    n = 200
+    got = LM.adapted(np.full(n, np.log(1e-6)), np.zeros(n, np.int64), np.arange(n) % 2, np.array([-1.0]))
+    assert got[0] > -100
+
+
 def test_near_vectors(spark):
     r = np.random.default_rng(5)
     rows = []
