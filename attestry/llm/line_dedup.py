@@ -9,13 +9,14 @@ of lines to drop; a list is no longer than its document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, id_bit, id_words, shuffle_partitions
 
@@ -160,7 +161,7 @@ def _cleaned(least: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bits: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bits: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept): each row's text without the lines that repeat across documents.
 
     A line's key is the line stripped of space and 0x09-0x0D, with A-Z lower-cased. A key of at least
@@ -168,14 +169,15 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bit
     in the largest doc_id that holds it. A null or empty text is one empty line. Rows with a
     null doc_id are left as they are and are not counted. Repeated rows come back as often as they are
     there; rows with one doc_id count as one document. An empty table gives no row. Columns besides
-    doc_id and text are not read.
+    doc_id and text are not read, but those named in ``carry`` come back with their row, as a struct ``carried``.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = ["carried"] * bool(carry)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.struct(*carry).alias(c) for c in own))
     known_ids = docs.where("doc_id is not null")
     bits = max(SEGMENT_BITS, bits or filter_bits(docs))
     known = docs.sparkSession.sparkContext.broadcast(repeated_filter(known_ids, least_chars, bits))
-    suspects = scratch.keep("suspects", known_ids.mapInArrow(_suspects(bits, least_chars, known), "key binary, doc_id long").distinct())
+    suspects = scratch.keep("suspects", known_ids.select("doc_id", "text").mapInArrow(_suspects(bits, least_chars, known), "key binary, doc_id long").distinct())
     doomed = suspects.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= least_docs)
     drops = suspects.join(doomed.select("key", "keeper"), "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
     drops = scratch.keep("drops", drops)
@@ -184,8 +186,9 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bit
     words = scratch.keep("words", id_words(drops))
     marked = docs.withColumn("bit", id_bit(F.col("doc_id"))).withColumn("word", F.shiftright("bit", 5)).join(F.broadcast(words), "word", "left")
     hit = F.coalesce(F.col("doc_id").isNotNull() & (F.expr("shiftright(mask, cast(bit % 32 as int))") % 2 == 1), F.lit(False))
-    marked = marked.select("doc_id", "text", hit.alias("hit"))
-    rest = marked.where("not hit").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("drop"))
+    marked = marked.select("doc_id", "text", *own, hit.alias("hit"))
+    rest = marked.where("not hit").select("doc_id", "text", *own, F.lit(None).cast("array<binary>").alias("drop"))
     some = marked.where("hit").drop("hit").join(drops.hint("merge"), "doc_id", "left")
-    kind = "doc_id long, n_lines long, n_dropped long, kept string"
+    kind = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in own)])
+    kind = kind.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
     return rest.mapInArrow(_cleaned(least_chars), kind).unionByName(some.mapInArrow(_cleaned(least_chars), kind))

@@ -21,16 +21,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat across documents."""
-    kept = dedup_lines(docs).select("doc_id", F.col("kept").alias("text")).distinct()
-    rest = docs.select(*(c for c in docs.columns if c != "text")).distinct()
-    out = rest.join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
+    others = [c for c in docs.columns if c != "text"]
+    kept = dedup_lines(docs, carry=others)
+    out = kept.select("carried.*", F.col("kept").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
     kept = ngram_jaccard_join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
