@@ -1,25 +1,30 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is a sequence of tokens, its lower-cased words and one end; a token is written as its bytes and a closing
-blank, and each byte as eight bits. Every bit is predicted by several predictors: hashed contexts of the last one to five bytes of the
-token (counts of zeros and ones in tables of bounded size, summed over the whole training corpus), and an exact context, the token so far
-among the most frequent words. Their logits are combined by weights that a gate chooses by how much the
-contexts have seen and by the bit's place; the weights are learned online over the training vocabulary, each
-token being predicted from counts without itself. An adaptive map refines the probability. The first byte's context is the kind
-of the token before. Within a text, predictors that mix in its own words so far are weighed by how well they do there.
+A text is a sequence of tokens, its lower-cased words and one end; a word is written as its bytes and a closing
+blank, the end as one line feed, and each byte as eight bits. Every bit is predicted by seven hashed contexts: the last one to five
+bytes of the token; the whole token so far; and, for a token's first three bytes, the token so far with the *lead*, the
+last word of at most three bytes before it in the text (further on, the last six bytes). Each holds counts of zeros and ones in a table of
+bounded size, summed over the whole training corpus. Their logits are combined by weights that a gate chooses by how
+much two of the contexts have seen, the part of the token and the bit's place; the weights are learned online over the training
+corpus, each token being predicted from counts without itself. An adaptive map refines the probability.
+Within a text, predictors that mix in its own words so far are weighed by how well they do there.
 All probabilities of a bit add up to one, so those of all texts do.
 
-The training corpus is gathered as its vocabulary, a distributed table of words and counts, which grows with the input. It also gives the base score, the
-add-one unigram: the most frequent words (a bounded number) are looked up from memory, all others by a join.
+The training corpus is gathered as two distributed tables that grow with the input: its vocabulary (words and counts), and the
+openings of its tokens (lead, first three bytes, count). Whatever depends on a word alone, or on an opening alone, is computed once
+for it and remembered by the worker. The vocabulary also gives the base score, the add-one unigram: the most
+frequent words (a bounded number) are looked up from memory, all others by a join.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,463 +32,478 @@ from pyspark.sql import functions as F
 from .common import Scratch, fold_of, shuffle_partitions
 from .hashing import _LOWER, Words, mix, steps
 
-#: Most frequent words held in memory, and their longest length in bytes with the closing blank.
+#: Most frequent words whose counts are held in memory for the base score (12 MB); all others are joined.
 HEAD_WORDS = 1 << 19
-HEAD_BYTES = 24
-#: Bits of a context table's size at most; fewer for small vocabularies.
-MOST_TABLE_BITS = 20
-#: Places in a worker's memory of word scores; a word has one place, and the last word there stays.
+#: Bits of a context table's size at most, for a worker's memory (240 MB where they are counted, 60 MB where weights are learned, 30 MB where texts are scored);
+#: fewer for small vocabularies. Beyond 2**17 distinct words a table's places are shared by more and more contexts.
+MOST_TABLE_BITS = 21
+#: Places in a worker's memory of scores; a word or opening has one place, and the last one there stays.
 CACHED = 1 << 21
 #: Words that a task counts before it passes them on.
 MOST_HELD = 1 << 20
+#: Distinct words that one task counts or learns from, at least, since each passes on tables of a fixed size.
+TASK_WORDS = 1 << 19
 #: How firmly the first weights are held, in tokens.
 PRIOR = 2000.0
-#: Edges of an online step.
+#: Edges of an online step, and bytes of text or of words handled at once.
 BATCH = 1 << 14
 TEXT_STEP = 1 << 21
-#: Context lengths in bytes.
+WINDOW = 1 << 20
+#: Edges after which the weights are settled enough for the map to learn from them.
+SETTLED = 1 << 13
+#: Bytes of a token that the lead helps to predict, and the longest word that is a lead.
+OPENING = 3
+LEAD_BYTES = 3
+#: Context lengths in bytes; then the whole token so far, then the lead with it (in the opening) or the last six bytes.
 LENGTHS = (1, 2, 3, 4, 5)
-#: The order whose counts the gate looks at.
-GATE = LENGTHS.index(3)
-ORDERS = len(LENGTHS)
-INPUTS = ORDERS + 2
+WHOLE, LEAD = len(LENGTHS), len(LENGTHS) + 1
+CONTEXTS = len(LENGTHS) + 2
+INPUTS = CONTEXTS + 1
+#: In the gate, beside the whole token: the lead in the opening, then four bytes.
+BESIDE = LENGTHS.index(4)
 END = b"\n"
-KINDS = 4
+CLOSING = 32
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
-_ALPHA = np.float32(0.2)
-_E_STEPS, _H_STEPS = np.array([1, 2, 4, 10, 40, 400], np.float32), np.array([1, 16], np.float32)
-SETS = 7 * 3 * 8
+_ALPHA = 0.2
+_SEEN = np.array([1, 2, 4, 16, 64, 512])
+_LEVEL = np.searchsorted(_SEEN, np.arange(1 << 16), side="right").astype(np.uint8)
+_LOG = np.log(np.arange(1 << 16) + _ALPHA).astype(np.float32)
+_BESIDE_LEVEL = np.array([0, 1, 1, 1, 2, 2, 2])
+#: Gates of one bit place: how much the whole token and the context beside it have seen, and the part of the token.
+GATES = 7 * 3 * 2
+_SCALE = np.float32(200)
 _GRID = 33
-
-
-def _kinds(w: Words, low: np.ndarray) -> np.ndarray:
-    """For each word, the kind of the token before it in its text: 0 none, 1 ends with a mark, 2 short, 3 long."""
-    own = np.where(np.isin(low[w.end - 1], np.frombuffer(b".,;:!?", np.uint8)), 1, np.where(w.end - w.start <= 3, 2, 3))
-    before = np.concatenate(([0], own[:-1])) if len(own) else own
-    if len(own):
-        before[np.concatenate(([True], w.doc[1:] != w.doc[:-1]))] = 0
-    return before
-
-
-def _last_kind(w: Words, low: np.ndarray) -> np.ndarray:
-    """For each text, the kind of its last word (0 without words)."""
-    out = np.zeros(w.n, np.int64)
-    if len(w.doc):
-        out[w.doc] = np.where(np.isin(low[w.end - 1], np.frombuffer(b".,;:!?", np.uint8)), 1, np.where(w.end - w.start <= 3, 2, 3))
-    return out
-
-
-def _bytes_of(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The slices of a buffer as a binary array."""
-    size = end - start
-    offsets = np.concatenate(([0], np.cumsum(size)))
-    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(low[at])])
-
-
 _END_HASH = int(mix(np.array([0xE0D], _U))[0].astype(np.int64))
+_SEGMENT = 1 << 13
 
 
-def _merged_counts(held: list[tuple]) -> list[tuple]:
-    """Counts of equal words added up: one (hashes, words, counts)."""
-    h, n = np.concatenate([x[0] for x in held]), np.concatenate([x[2] for x in held])
-    words = pa.concat_arrays([x[1] for x in held])
-    u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return [(u, words.take(pa.array(at)), np.bincount(inverse, n).astype(np.int64))]
+class Tokens:
+    """Tokens written one after another: ``flat`` bytes, ``start`` of each (and the end), ``lead`` of each or None."""
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, lead: np.ndarray | None = None):
+        self.flat, self.start, self.lead = flat, start, lead
+        size = np.diff(start)
+        self.row = np.repeat(np.arange(len(size)), size)
+        self.place = np.arange(len(flat)) - start[self.row]
+        own = mix((self.place.astype(_U) << _U(8) | flat) + _U(1))
+        total = np.cumsum(own)
+        base = np.concatenate((np.zeros(1, _U), total))[start[:-1]]
+        self.after = total - base[self.row]
+        self.before = self.after - own
+
+    @classmethod
+    def of_words(cls, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> Tokens:
+        """Slices of a buffer, each with its closing blank."""
+        size = end - start + 1
+        at = np.concatenate(([0], np.cumsum(size)))
+        flat = np.full(at[-1], CLOSING, np.uint8)
+        inner = np.ones(at[-1], bool)
+        inner[at[1:] - 1] = False
+        flat[inner] = low[np.arange(at[-1])[inner] + np.repeat(start - at[:-1], size - 1)]
+        return cls(flat, at)
+
+    def edges(self, opening: bool) -> Iterator[Edges]:
+        """The distinct edges within openings, or beyond them, some bytes of the tokens at a time."""
+        for a in range(0, len(self.flat), WINDOW):
+            at = np.flatnonzero((self.place[a : a + WINDOW] < OPENING) == opening) + a
+            if not len(at):
+                continue
+            key = self.after[at]
+            if opening and self.lead is not None:
+                key = key ^ mix(self.lead[self.row[at]].astype(_U) + _STEP)
+            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            yield Edges(self, at[first], self.row[at], inverse, opening)
+
+    def byte_before(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The k-th byte before each place within its token, plus one; 0 before the token."""
+        return np.where(self.place[at] >= k, self.flat[np.maximum(at - k, 0)].astype(np.int64) + 1, 0)
+
+
+class Edges:
+    """Distinct steps from a token so far to its next byte; ``rows[i]`` is a token that goes along edge ``inverse[i]``."""
+
+    def __init__(self, tokens: Tokens, at: np.ndarray, rows: np.ndarray, inverse: np.ndarray, opening: bool):
+        self.rows, self.inverse, self.opening = rows, inverse, opening
+        self.byte = tokens.flat[at].astype(np.int64)
+        ctx = np.empty((CONTEXTS, len(at)), _U)
+        h = np.zeros(len(at), _U)
+        for k in range(1, 7):
+            h = (h ^ (tokens.byte_before(at, k).astype(_U) + _U(k << 9))) * _U(0x9E3779B97F4A7C15)
+            h ^= h >> _U(29)
+            if k in LENGTHS:
+                ctx[LENGTHS.index(k)] = h
+        whole = mix(tokens.before[at] + _U(0x5851F42D4C957F2D))
+        ctx[WHOLE] = whole
+        if opening and tokens.lead is not None:
+            ctx[LEAD] = whole ^ mix(tokens.lead[tokens.row[at]].astype(_U) + _U(0xD1B54A32D192ED03))
+        else:
+            ctx[LEAD] = h
+        self.ctx = ctx
+
+    def part(self, s: slice) -> Edges:
+        out = object.__new__(Edges)
+        out.byte, out.ctx, out.opening = self.byte[s], self.ctx[:, s], self.opening
+        return out
+
+    def weights(self, n: np.ndarray) -> np.ndarray:
+        return np.bincount(self.inverse, n[self.rows], len(self.byte))
+
+    def bits(self, table_bits: int, which: slice | list[int] = slice(None)) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each bit, highest first: (its place, its value, its counters' places in the tables of some contexts)."""
+        salt = np.zeros(len(self.byte), _U)
+        ctx = self.ctx[which]
+        table = (np.arange(CONTEXTS)[which] << table_bits)[:, None]
+        for half in (1, 0):
+            h = (ctx + salt) * _U(0xD6E8FEB86659FD93)
+            h ^= h >> _U(32)
+            h *= _U(0xD6E8FEB86659FD93)
+            # the counters of four bits lie side by side
+            base = ((h >> _U(64 - table_bits)).astype(np.int64) & ~15) + table
+            node = np.ones(len(self.byte), np.int64)
+            for b in range(3, -1, -1):
+                place = 4 * half + b
+                bit = (self.byte >> place) & 1
+                yield place, bit, base + node
+                node = 2 * node + bit
+            salt = (self.byte >> 4).astype(_U) * _STEP + _STEP
+
+
+def _leads(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The lead of each word and of each text's end: the hash of the last word of at most LEAD_BYTES before it in its text, or 0."""
+    n = len(w.doc)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(w.n, np.int64)
+    last = np.maximum.accumulate(np.where(w.end - w.start <= LEAD_BYTES, np.arange(n), -1))
+    first = np.searchsorted(w.doc, np.arange(w.n + 1))
+    hashes = w.hash.view(np.int64)
+
+    def lead(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        return np.where(at >= first[doc], hashes[np.maximum(at, 0)], 0)
+
+    docs = np.arange(w.n)
+    return lead(np.concatenate(([-1], last[:-1])), w.doc), np.where(first[1:] > first[:-1], lead(last[first[1:] - 1], docs), 0)
+
+
+def _openings(w: Words, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lead, first bytes as a number) of every token: the words, then each text's end."""
+    lead, last = _leads(w)
+    size = w.end - w.start
+    own = np.zeros(len(size), np.int64)
+    for k in range(OPENING):
+        byte = np.where(size == k, CLOSING, 0)
+        if len(low):
+            byte = np.where(size > k, low[np.minimum(w.start + k, len(low) - 1)], byte)
+        own = own << 8 | byte
+    return np.concatenate((lead, last)), np.concatenate((own, np.full(w.n, END[0] << 8 * (OPENING - 1))))
+
+
+def _written(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Openings as bytes one after another, and where each starts."""
+    every = np.stack([heads >> 8 * k & 255 for k in range(OPENING - 1, -1, -1)], 1).astype(np.uint8)
+    closed = every == CLOSING
+    size = np.where(every[:, 0] == END[0], 1, np.where(closed.any(1), closed.argmax(1) + 1, OPENING))
+    return every[np.arange(OPENING) < size[:, None]], np.concatenate(([0], np.cumsum(size)))
+
+
+def _opening_key(lead: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    return (mix(lead.astype(_U) + _STEP) ^ mix(heads.astype(_U))).view(np.int64)
+
+
+def _binary(flat: np.ndarray, start: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+class _Held:
+    """Keys with bytes and counts, added up; passed on when there are many."""
+
+    def __init__(self, opening: bool):
+        self.opening, self.held, self.size = opening, [], 0
+
+    def add(self, key: np.ndarray, lead: np.ndarray, written: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((key, lead, written, n))
+        self.size += len(key)
+        if self.size > MOST_HELD:
+            self._merge()
+            if self.size > MOST_HELD // 2:
+                yield from self.rest()
+
+    def _merge(self) -> None:
+        key, lead, n = (np.concatenate([x[k] for x in self.held]) for k in (0, 1, 3))
+        u, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        self.held = [(u, lead[at], pa.concat_arrays([x[2] for x in self.held]).take(pa.array(at)), np.bincount(inverse, n).astype(np.int64))]
+        self.size = len(u)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._merge()
+            _, lead, written, n = self.held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), self.opening)), pa.array(lead), written, pa.array(n)], names=["opening", "h", "word", "n"])
+        self.held, self.size = [], 0
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with counts, and the first bytes by kind (as rows without a word: h is kind * 256 + byte)."""
-    held: list[tuple] = []
-    size, ends = 0, 0
-    first = np.zeros((KINDS, 256), np.int64)
-
-    def rows(h, words, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), words, pa.array(n, pa.int64())], names=["h", "word", "n"])
-
+    """Words (h: their hash) and openings (h: their lead) with counts."""
+    words, openings = _Held(False), _Held(True)
     for batch in batches:
         for _, texts in steps(batch.column(0), TEXT_STEP):
             w = Words(texts)
             low = _LOWER[w.data]
-            ends += w.n
-            np.add.at(first, (_last_kind(w, low), 10), 1)
-            if not len(w.hash):
-                continue
-            np.add.at(first, (_kinds(w, low), low[w.start]), 1)
-            u, at, n = np.unique(w.hash.view(np.int64), return_index=True, return_counts=True)
-            held.append((u, _bytes_of(low, w.start[at], w.end[at]), n))
-            size += len(u)
-            if size > MOST_HELD:
-                held = _merged_counts(held)
-                size = len(held[0][0])
-                if size > MOST_HELD // 2:
-                    yield rows(*held[0])
-                    held, size = [], 0
-    if held:
-        yield rows(*_merged_counts(held)[0])
-    if ends:
-        yield rows([_END_HASH], pa.array([END], pa.binary()), [ends])
-    kind, byte = np.nonzero(first)
-    yield rows(kind * 256 + byte, pa.nulls(len(kind), pa.binary()), first[kind, byte])
+            lead, heads = _openings(w, low)
+            key, at, n = np.unique(_opening_key(lead, heads), return_index=True, return_counts=True)
+            yield from openings.add(key, lead[at], _binary(*_written(heads[at])), n)
+            h, at, n = np.unique(np.append(w.hash.view(np.int64), _END_HASH), return_index=True, return_counts=True)
+            real = np.flatnonzero(at < len(w.hash))
+            start, end = w.start[at[real]], w.end[at[real]]
+            bounds = np.concatenate(([0], np.cumsum(end - start)))
+            flat = low[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], end - start)] if len(real) else np.zeros(0, np.uint8)
+            yield from words.add(h[real], h[real], _binary(flat, bounds), n[real])
+            yield from words.add(np.array([_END_HASH]), np.array([_END_HASH]), pa.array([END], pa.binary()), np.array([w.n]))
+    yield from words.rest()
+    yield from openings.rest()
 
 
 @dataclass
 class Model:
-    """What a worker needs for scoring; every part has a bounded size."""
+    """What a worker needs; every part has a bounded size. ``counts`` while learning, ``table`` for scoring."""
 
     bits: int
-    counts: np.ndarray  # order x slot x bit, float32
-    first: np.ndarray  # kind x node x bit
-    head: np.ndarray  # byte place x word, words in order
-    below: np.ndarray  # cumulative counts of the head words
-    weights: np.ndarray
-    refine: np.ndarray
-    logits: np.ndarray | None = None  # order x slot, once counts are final
-    known: np.ndarray | None = None  # slot: how much the gate's order has seen, as a step of the gate
+    weights: np.ndarray  # bit place x gate x input
+    refine: np.ndarray  # bit place x gate x grid
+    counts: np.ndarray | None = None  # (context, place) x bit, uint16
+    table: np.ndarray | None = None  # (context, place): logit, and how much was seen in the low four bits
+    uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def settled(self) -> Model:
         """The same model without counts, for scoring."""
-        logits = np.log((self.counts[:, :, 1] + _ALPHA) / (self.counts[:, :, 0] + _ALPHA))
-        known = np.searchsorted(_H_STEPS, self.counts[GATE].sum(1), side="right").astype(np.uint8)
-        return replace(self, counts=None, logits=logits, known=known)
-
-    def slots(self, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return (((ctx + node.astype(_U) * _STEP) * _U(0xD6E8FEB86659FD93)) >> _U(64 - self.bits)).astype(np.int64)
-
-
-class _Level:
-    """Distinct (token so far, next byte) edges of some words at one place, with their contexts."""
-
-    def __init__(self, prefix: np.ndarray, byte: np.ndarray, ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray | None, weight: np.ndarray, place: int):
-        self.prefix, self.byte, self.ctx, self.lo, self.hi, self.kind, self.weight, self.place = prefix, byte, ctx, lo, hi, kind, weight, place
-
-
-def _split(model: Model, place: int, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """In each range of head words, the first with a byte of at least ``at`` at ``place``."""
-    if place >= len(model.head):
-        return hi.copy()
-    col, a, b = model.head[place], lo.copy(), hi.copy()
-    live = np.flatnonzero(a < b)
-    while len(live):
-        mid = (a[live] + b[live]) >> 1
-        less = col[mid] < at[live]
-        a[live] = np.where(less, mid + 1, a[live])
-        b[live] = np.where(less, b[live], mid)
-        live = live[a[live] < b[live]]
-    return a
-
-
-def _bit(model: Model, e: _Level, node: np.ndarray, lo: np.ndarray, hi: np.ndarray, place_bit: int, own: np.ndarray | None):
-    """Inputs, gate and split of one bit of all edges. ``own``: the bit, to be left out of the counts."""
-    cut = _split(model, e.place, lo, hi, (((node << 1) | 1) << place_bit) & 255)
-    middle = model.below[cut]
-    zeros, ones = (middle - model.below[lo]).astype(np.float32), (model.below[hi] - middle).astype(np.float32)
-    x = np.empty((len(node), INPUTS), np.float32)
-    x[:, INPUTS - 1] = 0.5
-    known = None
-    for k in range(ORDERS):
-        if k == 0 and e.kind is not None:
-            z, o = (model.first[e.kind, node, bit].astype(np.float32) for bit in (0, 1))
-        else:
-            s = model.slots(e.ctx[k], node)
-            if model.logits is not None:
-                x[:, k + 1] = model.logits[k][s]
-                known = model.known[s] if k == GATE else known
-                continue
-            z, o = model.counts[k][s].T
-        if own is not None:
-            z, o = np.maximum(z - (own == 0), 0), np.maximum(o - (own == 1), 0)
-        x[:, k + 1] = np.log((o + _ALPHA) / (z + _ALPHA))
-        if k == GATE:
-            known = np.searchsorted(_H_STEPS, z + o, side="right")
-    if own is not None:
-        zeros, ones = np.maximum(zeros - (own == 0), 0), np.maximum(ones - (own == 1), 0)
-    x[:, 0] = np.log((ones + _ALPHA) / (zeros + _ALPHA))
-    gate = np.searchsorted(_E_STEPS, zeros + ones, side="right") * 3 + known
-    np.clip(x, -9, 9, out=x)
-    return x, gate * 8 + place_bit, cut
-
-
-def _refined(model: Model, gate: np.ndarray, dot: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.counts), np.int16)
+        for a in range(0, len(out), 1 << 20):
+            zeros, ones = self.counts[a : a + (1 << 20)].T
+            level = _LEVEL[np.minimum(zeros.astype(np.int64) + ones, (1 << 16) - 1)]
+            out[a : a + (1 << 20)] = np.rint(np.clip(_LOG[ones] - _LOG[zeros], -9, 9) * _SCALE).astype(np.int16) << 4 | level
+        return replace(self, counts=None, table=out)
+
+
+def _gate(whole: np.ndarray, beside: np.ndarray, opening: bool) -> np.ndarray:
+    return (whole.astype(np.int64) * 3 + _BESIDE_LEVEL[beside]) * 2 + opening
+
+
+def _refined(model: Model, place: int, gate: np.ndarray, dot: np.ndarray) -> np.ndarray:
+    """The probability of a one: half the mixed one, half the map's."""
     p = 1 / (1 + np.exp(-np.clip(dot, -14, 14)))
     at = np.clip(dot * 2, -15.999, 15.999) + 16
     i = at.astype(np.int64)
     f = at - i
-    q = model.refine[gate, i] * (1 - f) + model.refine[gate, i + 1] * f
+    line = model.refine[place].ravel()
+    i += gate * _GRID
+    q = line[i] * (1 - f) + line[i + 1] * f
     return np.clip((p + q) / 2, 1e-7, 1 - 1e-7)
 
 
-def _levels(words: list[bytes], weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For each place: (rows still going, their group by token so far, their byte, place). Groups are renumbered by the caller's edges."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    wide = int(lengths.max())
-    m = np.zeros((len(words), wide), np.uint8)
-    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    rows = np.repeat(np.arange(len(words)), lengths)
-    places = np.arange(len(flat)) - np.repeat(np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    m[rows, places] = flat
-    group = np.zeros(len(words), np.int64)
-    for j in range(wide):
-        rows = np.flatnonzero(lengths > j)
-        byte = m[rows, j].astype(np.int64)
-        edge, inverse = np.unique(group[rows] * 256 + byte, return_inverse=True)
-        yield rows, edge, inverse, j
-        group[rows] = inverse
-
-
-def _edges(model: Model, words: list[bytes], weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, _Level]]:
-    """The levels of the trie of ``words`` from the second byte on for counts, with contexts and head ranges carried along."""
-    ctx = np.zeros((ORDERS, 1), _U)
-    last = np.zeros((1, LENGTHS[-1]), np.int64)
-    lo, hi = np.zeros(1, np.int64), np.full(1, len(model.below) - 1, np.int64)
-    for rows, edge, inverse, place in _levels(words, weight):
-        prefix, byte = edge >> 8, edge & 255
-        w = np.bincount(inverse, weights=weight[rows], minlength=len(edge))
-        level = _Level(prefix, byte, ctx[:, prefix], lo[prefix], hi[prefix], None, w, place)
-        yield rows, inverse, level
-        last = np.column_stack((byte, last[prefix][:, :-1]))
-        first = _split(model, place, level.lo, level.hi, byte)
-        lo, hi = first, _split(model, place, level.lo, level.hi, byte + 1)
-        ctx = np.empty((ORDERS, len(edge)), _U)
-        h = np.zeros(len(edge), _U)
-        for k in range(LENGTHS[-1]):
-            h = (h ^ (last[:, k].astype(_U) + _U(k + 1))) * _U(0x9E3779B97F4A7C15 | 1)
-            h ^= h >> _U(29)
-            if k + 1 in LENGTHS:
-                ctx[LENGTHS.index(k + 1)] = h
-
-
-def _chunks(words: list[bytes], rows: int = 1 << 17) -> Iterator[list[int]]:
-    """Rows of neighbouring words, whose padded table stays small; long words apart, by length."""
-    short = [i for i, w in enumerate(words) if len(w) < 32]
-    for at in range(0, len(short), rows):
-        yield short[at : at + rows]
-    long = sorted((i for i, w in enumerate(words) if len(w) >= 32), key=lambda i: len(words[i]))
-    at = 0
-    while at < len(long):
-        n = max(1, min(len(long) - at, rows))
-        while n > 1 and n * (len(words[long[at + n - 1]]) + 1) > rows * 32:
-            n //= 2
-        yield long[at : at + n]
-        at += n
-
-
-def word_scores(model: Model, words: list[bytes]) -> np.ndarray:
-    """Natural log probability of each token's bytes after the first, given its first byte."""
-    out = np.zeros(len(words))
-    order = sorted(range(len(words)), key=words.__getitem__)
-    for part in _chunks([words[i] for i in order]):
-        part = [order[i] for i in part]
-        own = [words[i] for i in part]
-        total = np.zeros(len(own))
-        for rows, inverse, e in _edges(model, own, np.ones(len(own))):
-            if e.place:
-                total[rows] += _edge_scores(model, e)[inverse]
-        out[part] = total
+def edge_scores(model: Model, edges: Edges) -> np.ndarray:
+    """Natural log probability of each edge's byte."""
+    out = np.empty(len(edges.byte))
+    for a in range(0, len(out), BATCH):
+        e = edges.part(slice(a, a + BATCH))
+        total = np.ones(len(e.byte))
+        for place, bit, at in e.bits(model.bits):
+            cell = model.table[at]
+            level = cell & 15
+            gate = _gate(level[WHOLE], level[LEAD if e.opening else BESIDE], e.opening)
+            x = (cell >> 4).astype(np.float32)
+            w = model.weights[place][gate]
+            dot = np.einsum("ij,ji->i", w[:, :CONTEXTS], x).astype(float) / _SCALE + w[:, CONTEXTS] * 0.5
+            p = _refined(model, place, gate, dot)
+            total *= np.where(bit == 1, p, 1 - p)
+        out[a : a + BATCH] = np.log(total)
     return out
 
 
-def _edge_scores(model: Model, e: _Level) -> np.ndarray:
-    node, lo, hi = np.ones(len(e.byte), np.int64), e.lo.copy(), e.hi.copy()
-    out = np.zeros(len(node))
-    for b in range(7, -1, -1):
-        bit = (e.byte >> b) & 1
-        x, gate, cut = _bit(model, e, node, lo, hi, b, None)
-        p = _refined(model, gate, np.einsum("ij,ij->i", x, model.weights[gate]))
-        out += np.log(np.where(bit == 1, p, 1 - p))
-        lo, hi = np.where(bit == 1, cut, lo), np.where(bit == 1, hi, cut)
-        node = (node << 1) | bit
+def token_scores(model: Model, tokens: Tokens, opening: bool) -> np.ndarray:
+    """Natural log probability of each token's bytes within its opening, or beyond it."""
+    out = np.zeros(len(tokens.start) - 1)
+    for e in tokens.edges(opening):
+        out += np.bincount(e.rows, edge_scores(model, e)[e.inverse], len(out))
     return out
 
 
-def first_scores(model: Model) -> np.ndarray:
-    """kind x byte: natural log probability of a token's first byte."""
-    byte = np.tile(np.arange(256), KINDS)
-    kind = np.repeat(np.arange(KINDS), 256)
-    n = len(byte)
-    e = _Level(np.zeros(n, np.int64), byte, np.zeros((ORDERS, n), _U), np.zeros(n, np.int64), np.full(n, len(model.below) - 1, np.int64), kind, np.ones(n), 0)
-    return _edge_scores(model, e).reshape(KINDS, 256)
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, most: int = 1 << 22) -> Iterator[tuple[bool, Tokens, np.ndarray]]:
+    """Tokens and counts of words (written with their closing) and of openings, many at a time."""
 
+    def tokens(held: list[pa.RecordBatch], opening: bool) -> tuple[bool, Tokens, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        word = pa.concat_arrays([c.cast(pa.binary()) for c in t["word"].chunks])
+        off = np.frombuffer(word.buffers()[1], np.int32, len(word) + 1, word.offset * 4).astype(np.int64)
+        raw = np.frombuffer(word.buffers()[2], np.uint8)
+        n = t["n"].to_numpy().astype(float)
+        if opening:
+            return True, Tokens(raw[off[0] : off[-1]], off - off[0], t["h"].to_numpy()), n
+        # the end has nothing beyond its opening
+        real = np.flatnonzero(t["h"].to_numpy() != _END_HASH)
+        return False, Tokens.of_words(raw, off[:-1][real], off[1:][real]), n[real]
 
-_SEGMENT = 1 << 13
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Words and counts, many at a time: words that share a beginning share its work."""
-    words, n = [], []
+    held: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
     for batch in batches:
-        words += batch.column(0).to_pylist()
-        n.append(batch.column(1).to_numpy().astype(float))
-        if len(words) >= rows:
-            yield words, np.concatenate(n)
-            words, n = [], []
-    if words:
-        yield words, np.concatenate(n)
-
-
-def _tables(shared):
-    """Counts of all contexts over some words, in segments."""
+        flags = batch.column(batch.schema.get_field_index("opening"))
+        for kind, keep in ((True, flags), (False, pc.invert(flags))):
+            part = batch.filter(keep)
+            if part.num_rows:
+                held[kind].append(part)
+                if sum(b.num_rows for b in held[kind]) >= rows or sum(b.nbytes for b in held[kind]) >= most:
+                    yield tokens(held[kind], kind)
+                    held[kind] = []
+    for kind in (True, False):
+        if held[kind]:
+            yield tokens(held[kind], kind)
+
+
+def _tables(bits: int):
+    """Counts of all contexts over some words and openings, in segments."""
+    size = CONTEXTS << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        counts = np.zeros((ORDERS, 1 << model.bits, 2), np.float32)
-        some = False
-        for words, n in _gathered(batches):
-            for part in _chunks(words):
-                some = True
-                for _, _, e in _edges(model, [words[i] for i in part], n[part]):
-                    node = np.ones(len(e.byte), np.int64)
-                    for b in range(7, -1, -1):
-                        bit = (e.byte >> b) & 1
-                        for k in range(0 if e.place else 1, ORDERS):
-                            np.add.at(counts[k], (model.slots(e.ctx[k], node), bit), e.weight.astype(np.float32))
-                        node = (node << 1) | bit
-        if not some:
-            return
+        counts = np.zeros(2 * size, np.int64)
+        for opening, tokens, n in _gathered(batches):
+            # an opening's bytes without their lead are counted with the words
+            for part in ((True,) if opening else (True, False)):
+                which = [LEAD] if opening else [k for k in range(CONTEXTS) if k != LEAD] if part else slice(None)
+                for e in tokens.edges(part):
+                    m = np.rint(e.weights(n)).astype(np.int64)
+                    for _, bit, at in e.bits(bits, which):
+                        for row in at:
+                            np.add.at(counts, 2 * row + bit, m)
         flat = counts.reshape(-1, _SEGMENT)
+        # most segments fit whole numbers of 32 bits
         full = np.flatnonzero(flat.any(1))
         for i in range(0, len(full), 64):
             at = full[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([flat[k].tobytes() for k in at], pa.binary())], names=["segment", "counts"])
+            blobs = [(flat[k] if flat[k].max() >> 32 else flat[k].astype(np.uint32)).tobytes() for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(blobs, pa.binary())], names=["segment", "counts"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the segments; rows come sorted by segment."""
+    """Adds up the segments in whole numbers of 64 bits; rows come sorted by segment. Large counts are scaled down to 16 bits."""
     at, total = None, None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["segment", "counts"])
+        pairs = total.reshape(-1, 2)
+        most = pairs.max(1)
+        big = most > 65535
+        pairs[big] = pairs[big] * 65535 // most[big, None]
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pairs.astype(np.uint16).tobytes()], pa.binary())], names=["segment", "counts"])
 
     for batch in batches:
         for seg, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if seg != at:
                 if at is not None:
                     yield out()
-                at, total = seg, np.zeros(_SEGMENT, np.float32)
-            total = total + np.frombuffer(blob, np.float32)
+                at, total = seg, np.zeros(_SEGMENT, np.int64)
+            total += np.frombuffer(blob, np.uint32 if len(blob) == 4 * _SEGMENT else np.int64)
     if at is not None:
         yield out()
 
 
 def _learned(shared):
-    """One online pass over some words: weights by gate, and the sums for the refining map."""
+    """One online pass over some words and openings: weights by gate, and the sums for the refining map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        w, bend = model.weights.copy(), np.tile(PRIOR * np.eye(INPUTS), (SETS, 1, 1))
-        hits, seen = np.zeros(SETS * _GRID), np.zeros(SETS * _GRID)
-        total = steps_done = 0
-        for words, n in _gathered(batches):
-            for part in _chunks(words):
-                total += len(part)
-                for _, _, e in _edges(model, [words[i] for i in part], n[part]):
-                    if not e.place:
-                        continue
-                    node, lo, hi = np.ones(len(e.byte), np.int64), e.lo.copy(), e.hi.copy()
-                    mass = e.weight
-                    for b in range(7, -1, -1):
-                        bit = (e.byte >> b) & 1
-                        x, gate, cut = _bit(model, e, node, lo, hi, b, bit)
-                        for a in range(0, len(bit), BATCH):
-                            s = slice(a, a + BATCH)
-                            dot = np.einsum("ij,ij->i", x[s], w[gate[s]])
-                            p = 1 / (1 + np.exp(-np.clip(dot, -14, 14)))
-                            err = (p - bit[s]) * mass[s]
-                            # an online Newton step: the curvature seen so far scales each step
-                            slope = np.stack([np.bincount(gate[s], err * x[s, k], SETS) for k in range(INPUTS)], 1)
-                            steps_done += 1
-                            curve = p * (1 - p) * mass[s] * (1 if steps_done <= 200 else 5)
-                            for k in range(INPUTS) if steps_done <= 200 or steps_done % 5 == 0 else ():
-                                for m in range(k, INPUTS):
-                                    h = np.bincount(gate[s], curve * x[s, k] * x[s, m], SETS)
-                                    bend[:, k, m] += h
-                                    if m > k:
-                                        bend[:, m, k] += h
-                            w -= np.clip(np.linalg.solve(bend, slope[:, :, None])[:, :, 0], -0.5, 0.5)
-                            at = np.clip(np.rint(dot * 2), -16, 16).astype(np.int64) + 16
-                            if steps_done <= 200:
-                                continue  # the map learns from settled weights
-                            hits += np.bincount(gate[s] * _GRID + at, bit[s] * mass[s], SETS * _GRID)
-                            seen += np.bincount(gate[s] * _GRID + at, mass[s], SETS * _GRID)
-                        lo, hi = np.where(bit == 1, cut, lo), np.where(bit == 1, hi, cut)
-                        node = (node << 1) | bit
+        w, bend = model.weights.astype(float), np.tile(PRIOR * np.eye(INPUTS), (8, GATES, 1, 1))
+        hits, seen = np.zeros((8, GATES * _GRID)), np.zeros((8, GATES * _GRID))
+        total = total_edges = 0
+        for opening, tokens, n in _gathered(batches):
+            total += len(n)
+            for edges in tokens.edges(opening):
+                weights, a = edges.weights(n), 0
+                while a < len(weights):
+                    b = a + min(BATCH, 256 + total_edges // 16)  # small steps at first
+                    e, mass = edges.part(slice(a, b)), weights[a:b]
+                    a, total_edges = b, total_edges + len(mass)
+                    for place, bit, at in e.bits(model.bits):
+                        z, o = np.moveaxis(model.counts[at].astype(np.int64), 2, 0)
+                        z, o = np.maximum(z - (bit == 0), 0), np.maximum(o - (bit == 1), 0)
+                        x = np.concatenate((np.clip(_LOG[o] - _LOG[z], -9, 9).astype(float), np.full((1, len(bit)), 0.5)))
+                        level = _LEVEL[np.minimum(z + o, (1 << 16) - 1)]
+                        gate = _gate(level[WHOLE], level[LEAD if opening else BESIDE], opening)
+                        dot = np.einsum("ij,ji->i", w[place][gate], x)
+                        p = 1 / (1 + np.exp(-np.clip(dot, -14, 14)))
+                        # an online Newton step: the curvature seen so far scales each step
+                        err, curve = (p - bit) * mass, p * (1 - p) * mass
+                        slope = np.stack([np.bincount(gate, err * x[k], GATES) for k in range(INPUTS)], 1)
+                        for k in range(INPUTS):
+                            for m in range(k, INPUTS):
+                                h = np.bincount(gate, curve * x[k] * x[m], GATES)
+                                bend[place, :, k, m] += h
+                                if m > k:
+                                    bend[place, :, m, k] += h
+                        w[place] -= np.clip(np.linalg.solve(bend[place], slope[:, :, None])[:, :, 0], -0.5, 0.5)
+                        if total_edges > SETTLED:  # the map learns from settled weights
+                            cell = gate * _GRID + np.clip(np.rint(dot * 2), -16, 16).astype(np.int64) + 16
+                            hits[place] += np.bincount(cell, bit * mass, GATES * _GRID)
+                            seen[place] += np.bincount(cell, mass, GATES * _GRID)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([np.concatenate((w.ravel(), hits.ravel(), seen.ravel())).tobytes()], pa.binary())], names=["words", "sums"])
 
     return run
 
 
-def _nodes(by_byte: np.ndarray) -> np.ndarray:
-    """kind x node x bit counts from kind x byte counts."""
-    out = np.zeros((len(by_byte), 256, 2))
-    for byte in range(256):
-        node = 1
-        for b in range(7, -1, -1):
-            bit = (byte >> b) & 1
-            out[:, node, bit] += by_byte[:, byte]
-            node = node << 1 | bit
-    return out
+def _start(bits: int) -> Model:
+    # trust in the whole token, and in an opening first in the lead, by how much they have seen
+    trust = np.repeat([0.0, 0.2, 0.3, 0.45, 0.6, 0.85, 0.97], 6)
+    first = np.tile([0.0, 0.0, 0.0, 0.4, 0.0, 0.85], 7)
+    weights = np.zeros((8, GATES, INPUTS), np.float32)
+    weights[:, :, :CONTEXTS] = ((1 - first) * (1 - trust))[:, None] * np.array([0.05, 0.1, 0.15, 0.2, 0.2, 0.0, 0.3])
+    weights[:, :, WHOLE] = (1 - first) * trust
+    weights[:, 1::2, LEAD] = first[1::2]
+    flat = 1 / (1 + np.exp(-(np.arange(_GRID) - 16) / 2.0))
+    return Model(bits, weights, np.tile(flat, (8, GATES, 1)))
+
+
+def train(counted: DataFrame, distinct: int, scratch: Scratch) -> Model:
+    """The model from a distributed table (opening, h, word, n)."""
+    spark = counted.sparkSession
+    model = _start(min(MOST_TABLE_BITS, max(14, distinct.bit_length() + 4)))
+    # every task sums into tables of a fixed size, so their number follows the number of distinct words
+    tasks = max(2, distinct // TASK_WORDS)
+    parts = counted.repartition(tasks, F.xxhash64("h", "word")).mapInArrow(_tables(model.bits), "segment int, counts binary")
+    sums = parts.repartition(shuffle_partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_summed, "segment int, counts binary")
+    counts = np.zeros((CONTEXTS << (model.bits + 1)) // _SEGMENT * _SEGMENT, np.uint16).reshape(-1, _SEGMENT)
+    for row in sums.toLocalIterator():
+        counts[row["segment"]] = np.frombuffer(row["counts"], np.uint16)
+    model = replace(model, counts=counts.reshape(-1, 2))
+    shared = spark.sparkContext.broadcast(model)
+    # words in no order; each task's sums have a fixed size and come to the driver one after another
+    mixed = counted.repartition(tasks, F.xxhash64("word", "h"))
+    learned = scratch.keep("learned", mixed.mapInArrow(_learned(shared), "words long, sums binary"))
+    split = 8 * GATES * INPUTS
+    mass, total = 0, np.zeros(split + 16 * GATES * _GRID)
+    for row in learned.toLocalIterator():
+        one = np.frombuffer(row["sums"], float).copy()
+        one[:split] *= row["words"]
+        total += one
+        mass += row["words"]
+    if mass:
+        hits, seen = total[split:].reshape(2, 8, GATES, _GRID)
+        model = replace(model, weights=(total[:split] / mass).reshape(8, GATES, INPUTS).astype(np.float32), refine=(hits + PRIOR * model.refine) / (seen + PRIOR))
+    scratch.drop("learned")
+    shared.destroy()
+    return model.settled()
 
 
-def train(vocabulary: DataFrame, first: np.ndarray, distinct: int) -> tuple[Model, np.ndarray, np.ndarray]:
-    """(model, hashes, counts of the head words) from a distributed table (h, word, n)."""
-    spark = vocabulary.sparkSession
-    # the head: all words at least as frequent as a bound that lets HEAD_WORDS in at most
-    short = vocabulary.where(F.octet_length("word") < HEAD_BYTES)
+def frequent_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), by hash, of all words at least as frequent as a bound that lets HEAD_WORDS in at most."""
     held, bound = 0, 1
-    for row in short.groupBy(F.least(F.col("n"), F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+    for row in words.groupBy(F.least(F.col("n"), F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
         if held + row["words"] > HEAD_WORDS:
             bound = row["n"] + 1
             break
         held += row["words"]
-    head = short.where(F.col("n") >= bound).select("h", "word", "n").toArrow()
-    words = head["word"].combine_chunks() if head.num_rows else pa.array([], pa.binary())
-    words = words.cast(pa.binary())
+    head = words.where(F.col("n") >= bound).select("h", "n").toArrow()
     h, n = head["h"].to_numpy().astype(np.int64), head["n"].to_numpy().astype(np.int64)
-    off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64) if len(words) else np.zeros(1, np.int64)
-    size, raw = np.diff(off), np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
-    table = np.zeros((len(words), HEAD_BYTES), np.uint8)
-    row = np.repeat(np.arange(len(words)), size)
-    table[row, np.arange(len(row)) - np.repeat(off[:-1] - off[0], size)] = raw[off[0] : off[-1]]
-    table[np.arange(len(words)), size] = 32
-    order = np.argsort(table.view(f"S{HEAD_BYTES}").ravel(), kind="stable")
-    below = np.concatenate(([0], np.cumsum(n[order]))).astype(np.int64)
-    table = np.ascontiguousarray(table[order].T)
-    by_hash = np.argsort(h)
-    bits = min(MOST_TABLE_BITS, max(14, distinct.bit_length() + 4))
-    weights = np.zeros((SETS, INPUTS))
-    trust = np.repeat([0.0, 0.2, 0.3, 0.45, 0.6, 0.85, 0.97], SETS // 7)  # in the exact context, by how much it has seen
-    weights[:, 0] = trust
-    weights[:, 1 : ORDERS + 1] = ((1 - trust)[:, None] * np.array([0.1, 0.15, 0.2, 0.25, 0.3]))
-    flat = 1 / (1 + np.exp(-(np.arange(_GRID) - 16) / 2.0))
-    model = Model(bits, np.zeros((ORDERS, 1, 2), np.float32), _nodes(first), table, below, weights, np.tile(flat, (SETS, 1)))
-    # tasks sum into tables of a fixed size, so there are few of them
-    tasks = min(64, max(2, shuffle_partitions(spark) // 8))
-    dealt = vocabulary.select("word", "n").repartitionByRange(tasks, "word").sortWithinPartitions("word")
-    shared = spark.sparkContext.broadcast(model)
-    sums = dealt.mapInArrow(_tables(shared), "segment int, counts binary").repartition(shuffle_partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_summed, "segment int, counts binary")
-    counts = np.zeros((ORDERS << (bits + 1)) // _SEGMENT * _SEGMENT, np.float32).reshape(-1, _SEGMENT)
-    for row in sums.toLocalIterator():
-        counts[row["segment"]] = np.frombuffer(row["counts"], np.float32)
-    model = replace(model, counts=counts.reshape(ORDERS, 1 << bits, 2))
-    shared.destroy()
-    shared = spark.sparkContext.broadcast(model)
-    mass, total = 0, np.zeros(SETS * INPUTS + 2 * SETS * _GRID)
-    # learning wants words in no order
-    mixed = vocabulary.select("word", "n", "h").repartition(tasks, "h").sortWithinPartitions("h").select("word", "n")
-    for row in mixed.mapInArrow(_learned(shared), "words long, sums binary").collect():
-        one = np.frombuffer(row["sums"], float).copy()
-        one[: SETS * INPUTS] *= row["words"]
-        total += one
-        mass += row["words"]
-    if mass:
-        hits, seen = total[SETS * INPUTS :].reshape(2, SETS, _GRID)
-        prior = PRIOR
-        model = replace(model, weights=(total[: SETS * INPUTS] / mass).reshape(SETS, INPUTS), refine=(hits + prior * flat) / (seen + prior))
-    return model.settled(), h[by_hash], n[by_hash]
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 #: How much of a text's own history each adaptive predictor mixes in: (share of the words so far, share of what followed the word before).
@@ -508,7 +528,6 @@ def adapted(static: np.ndarray, doc: np.ndarray, word: np.ndarray, end: np.ndarr
     n = len(end)
     total = np.zeros((len(HISTORIES), n))
     place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    p = np.exp(static)
     if len(doc):
         own = mix(doc.astype(_U) * _STEP) ^ mix(word.astype(_U))
         before = np.concatenate((own[:1], own[:-1]))
@@ -519,7 +538,9 @@ def adapted(static: np.ndarray, doc: np.ndarray, word: np.ndarray, end: np.ndarr
     for k, (a, b) in enumerate(HISTORIES):
         if len(doc):
             a_here, b_here = np.where(place > 0, a, 0.0), np.where(past > 0, b, 0.0)
-            total[k] = np.bincount(doc, np.log((1 - a_here - b_here) * p + a_here * once + b_here * twice), n)
+            with np.errstate(divide="ignore"):
+                past_share = np.log(a_here * once + b_here * twice)
+            total[k] = np.bincount(doc, np.logaddexp(static + np.log(1 - a_here - b_here), past_share), n)
         some = np.bincount(doc, minlength=n) > 0
         # the end was never seen before; what followed the last word may have been
         again = np.zeros(n, bool)
@@ -531,50 +552,74 @@ def adapted(static: np.ndarray, doc: np.ndarray, word: np.ndarray, end: np.ndarr
     return top + np.log(np.exp(total - top).mean(0))
 
 
+class _Remembered:
+    """A worker's memory of scores by key: one place each, and what came last stays. It outlives a task, not its model."""
+
+    current: tuple[str, dict] = ("", {})
+
+    @classmethod
+    def of(cls, model: Model, kind: str) -> _Remembered:
+        if cls.current[0] != model.uid:
+            cls.current = (model.uid, {})
+        return cls.current[1].setdefault(kind, cls())
+
+    def __init__(self):
+        self.keys, self.scores = np.zeros(CACHED, np.int64), np.zeros(CACHED)
+
+    def get(self, key: np.ndarray, scored) -> np.ndarray:
+        """Scores of distinct keys; ``scored`` gives those at some places."""
+        place = key & (CACHED - 1)
+        out = self.scores[place]
+        new = np.flatnonzero(self.keys[place] != key)
+        if len(new):
+            out[new] = scored(new)
+            self.keys[place[new]], self.scores[place[new]] = key[new], out[new]
+        return out
+
+
+def text_scores(model: Model, w: Words, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(natural log probability of each text; distinct word hashes, a place of each, and the number of each word among them)."""
+    lead, heads = _openings(w, low)
+    key, at, inverse = np.unique(_opening_key(lead, heads), return_index=True, return_inverse=True)
+    first = _Remembered.of(model, "openings").get(key, lambda new: token_scores(model, Tokens(*_written(heads[at[new]]), lead[at[new]]), True))[inverse]
+    u, place, word = np.unique(w.hash.view(np.int64), return_index=True, return_inverse=True)
+    rest = _Remembered.of(model, "words").get(u, lambda new: token_scores(model, Tokens.of_words(low, w.start[place[new]], w.end[place[new]]), False)) if len(u) else np.zeros(0)
+    n = len(w.doc)
+    return adapted(rest[word] + first[:n], w.doc, word, first[n:]), u, place, word
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hashes, counts = shared.value
-        first = first_scores(model)
         logs = np.log10(counts + 1.0)
-        cached, scores = np.zeros(CACHED, np.int64), np.zeros(CACHED)
         end_at = np.searchsorted(hashes, _END_HASH)
         end_known = bool(end_at < len(hashes) and hashes[end_at] == _END_HASH)
-        end_first = first[:, 10] + word_scores(model, [END])[0]
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for row, texts in steps(batch.column(1), TEXT_STEP):
                 w = Words(texts)
-                low = _LOWER[w.data]
+                lm, u, _, word = text_scores(model, w, _LOWER[w.data])
                 n = np.bincount(w.doc, minlength=w.n)
-                lm = end_first[_last_kind(w, low)]
                 known, base = np.zeros(w.n, np.int64), np.zeros(w.n)
                 if end_known:
                     known += 1
                     base += logs[end_at]
                 tail_doc, tail_hash = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if len(w.hash):
-                    u, at, inverse = np.unique(w.hash.view(np.int64), return_index=True, return_inverse=True)
-                    slot = u & (CACHED - 1)
-                    own = scores[slot]
-                    new = np.flatnonzero(cached[slot] != u)
-                    if len(new):
-                        own[new] = word_scores(model, _bytes_of(low, w.start[at[new]], w.end[at[new]]).to_pylist())
-                        cached[slot[new]], scores[slot[new]] = u[new], own[new]
-                    lm = adapted(own[inverse] + first[_kinds(w, low), low[w.start]], w.doc, inverse, lm)
+                if len(u):
                     place = np.minimum(np.searchsorted(hashes, u), max(0, len(hashes) - 1))
                     there = hashes[place] == u if len(hashes) else np.zeros(len(u), bool)
-                    known += np.bincount(w.doc, there[inverse], w.n).astype(np.int64)
-                    base += np.bincount(w.doc, np.where(there, logs[place], 0)[inverse] if len(hashes) else None, w.n) if len(hashes) else 0
-                    rest = ~there[inverse]
-                    tail_doc, tail_hash = w.doc[rest], u[inverse[rest]]
-                size = np.diff(w.bounds)
+                    if len(hashes):
+                        known += np.bincount(w.doc, there[word], w.n).astype(np.int64)
+                        base += np.bincount(w.doc, np.where(there, logs[place], 0)[word], w.n)
+                    rest = ~there[word]
+                    tail_doc, tail_hash = w.doc[rest], u[word[rest]]
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(tail_doc, minlength=w.n)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rid + np.arange(w.n), pa.int64()),
                         batch.column(0).slice(row, w.n),
                         pa.array(n + 1, pa.int64()),
-                        pa.array(size, pa.int64()),
+                        pa.array(np.diff(w.bounds), pa.int64()),
                         pa.array(known, pa.int64()),
                         pa.array(base, pa.float64()),
                         pa.array(lm / np.log(10), pa.float64()),
@@ -600,19 +645,16 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
     scratch = Scratch(spark, "mixing-lm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     learn = docs.where(fold_of(F.col("doc_id"), folds) != held_out)
-    counted = learn.select("text").mapInArrow(_count, "h long, word binary, n long").groupBy("h", F.col("word").isNull().alias("kind")).agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+    counted = learn.select("text").mapInArrow(_count, "opening boolean, h long, word binary, n long").groupBy("opening", "h", "word").agg(F.sum("n").alias("n"))
     counted = scratch.keep("counted", counted)
-    vocabulary = counted.where("not kind").drop("kind")
-    first = np.zeros((KINDS, 256))
-    for row in counted.where("kind").select("h", "n").collect():  # at most KINDS * 256 rows
-        first[row["h"] >> 8, row["h"] & 255] = row["n"]
-    size = vocabulary.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
+    words = counted.where("not opening")
+    size = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     v, n = size["v"], size["n"] or 0
-    shared = spark.sparkContext.broadcast(train(vocabulary, first, v))
+    shared = spark.sparkContext.broadcast((train(counted, v, scratch), *frequent_words(words)))
     fields = "rid long, doc_id long, n_tokens long, n_bytes long, known long, base double, score double, tail array<bigint>"
     scored = scratch.keep("scored", docs.mapInArrow(_scored(shared), fields))
     tail = scored.select("rid", F.explode("tail").alias("h")).groupBy("rid", "h").agg(F.count("*").alias("times"))
-    rest = tail.join(vocabulary.select("h", "n"), "h").groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("extra"))
+    rest = tail.join(words.select("h", "n"), "h").groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("extra"))
     out = scored.drop("tail").join(rest, "rid", "left")
     held = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
     return out.select(

@@ -287,13 +287,102 @@ def test_scores(spark, docs, empty):
     assert LM.score_texts(docs.where("doc_id is null")).count() == 2
 
 
-def test_first_byte_probabilities_add_up():
-    table = np.zeros((LM.HEAD_BYTES, 1), np.uint8)
-    table[:3, 0] = list(b"ab ")
-    first = LM._nodes(np.random.default_rng(0).integers(0, 9, (LM.KINDS, 256)))
-    flat = 1 / (1 + np.exp(-(np.arange(33) - 16) / 2.0))
-    model = LM.Model(14, np.zeros((LM.ORDERS, 1 << 14, 2), np.float32), first, table, np.array([0, 5]), np.full((LM.SETS, LM.INPUTS), 0.2), np.tile(flat, (LM.SETS, 1))).settled()
-    assert np.allclose(np.exp(LM.first_scores(model)).sum(1), 1)
+def some_model(bits=14):
+    r = np.random.default_rng(0)
+    model = LM._start(bits)
+    model.counts = np.minimum(r.integers(0, 70_000, (LM.CONTEXTS << bits, 2)) * (r.random((LM.CONTEXTS << bits, 1)) < 0.2), 65_535).astype(np.uint16)
+    model.weights = r.normal(0.2, 0.3, model.weights.shape).astype(np.float32)
+    model.refine = np.sort(r.random(model.refine.shape), 2)
+    return model.settled()
+
+
+def test_probabilities_of_a_byte_add_up():
+    model = some_model()
+    for token, lead in ((b"", 7), (b"ab", 7), (b"abcdefgh", 0)):
+        every = b"".join(token + bytes([k]) for k in range(256))
+        tokens = LM.Tokens(np.frombuffer(every, np.uint8), np.arange(257) * (len(token) + 1), np.full(256, lead))
+        opening = len(token) < LM.OPENING
+        before = [e for e in tokens.edges(opening)][0]
+        last = np.flatnonzero(np.isin(np.arange(len(before.byte)), before.inverse[len(token) - (0 if opening else LM.OPENING) :: len(token) + 1 - (0 if opening else LM.OPENING)]))
+        assert len(last) == 256
+        assert math.isclose(np.exp(LM.edge_scores(model, before)[last]).sum(), 1, rel_tol=1e-6)
+
+
+def slow_score(model, token: bytes, lead: int) -> float:
+    """A token's score, one bit at a time, in whole numbers of Python."""
+    full, m = 2**64 - 1, 0xD6E8FEB86659FD93
+
+    def mixed(x):
+        return int(LM.mix(np.array([x & full], np.uint64))[0])
+
+    total = 0.0
+    for place, byte in enumerate(token):
+        h, ctx = 0, []
+        for k in range(1, 7):
+            h = (h ^ ((token[place - k] + 1 if place >= k else 0) + (k << 9))) * 0x9E3779B97F4A7C15 & full
+            h ^= h >> 29
+            ctx.append(h)
+        whole = mixed(sum(mixed((j << 8 | token[j]) + 1) for j in range(place)) + 0x5851F42D4C957F2D)
+        opening = place < LM.OPENING
+        ctx = [*ctx[:5], whole, whole ^ mixed(lead + 0xD1B54A32D192ED03) if opening else ctx[5]]
+        for b in range(7, -1, -1):
+            salt = 0 if b > 3 else ((byte >> 4) + 1) * 0x9E3779B97F4A7C15 & full
+            node = 1 << (3 - b % 4) | (byte >> (b + 1)) & ((1 << (3 - b % 4)) - 1)
+            cells = []
+            for k, c in enumerate(ctx):
+                h = (c + salt) * m & full
+                h = (h ^ h >> 32) * m & full
+                cells.append(int(model.table[(k << model.bits) + ((h >> 64 - model.bits) & ~15) + node]))
+            level = [c & 15 for c in cells]
+            gate = (level[LM.WHOLE] * 3 + int(LM._BESIDE_LEVEL[level[LM.LEAD if opening else LM.BESIDE]])) * 2 + opening
+            w = model.weights[b, gate].astype(float)
+            dot = sum(w[k] * (cells[k] >> 4) / 200 for k in range(LM.CONTEXTS)) + w[LM.CONTEXTS] / 2
+            at = min(max(dot * 2, -15.999), 15.999) + 16
+            line = model.refine[b, gate]
+            q = line[int(at)] * (1 - at % 1) + line[int(at) + 1] * (at % 1)
+            p = min(max((1 / (1 + math.exp(-min(max(dot, -14), 14))) + q) / 2, 1e-7), 1 - 1e-7)
+            total += math.log(p if byte >> b & 1 else 1 - p)
+    return total
+
+
+def test_scores_agree_with_a_slow_scorer():
+    model = some_model()
+    tokens = [b"a", b"the", "größe".encode(), b"extraordinary,", b"x" * 70, b"th", b"thesis"]
+    written = b"".join(t + b" " for t in tokens)
+    start = np.concatenate(([0], np.cumsum([len(t) + 1 for t in tokens])))
+    lead = np.array([0, 5, -9, 12345678901, 5, 5, 7])
+    flat = np.frombuffer(written, np.uint8)
+    got = LM.token_scores(model, LM.Tokens(flat, start, lead), True) + LM.token_scores(model, LM.Tokens(flat, start), False)
+    slow = [slow_score(model, t + b" ", int(x) & (2**64 - 1)) for t, x in zip(tokens, lead, strict=True)]
+    assert np.allclose(got, slow, rtol=1e-5)
+    # the same through texts: openings and the rest meet
+    texts = pa.array(["The Größe a thesis", "", None, "a"])
+    w = LM.Words(texts)
+    total, *_ = LM.text_scores(model, w, LM._LOWER[w.data])
+    assert len(total) == 4 and np.isfinite(total).all()
+
+
+def test_leads():
+    w = LM.Words(pa.array(["the river of stone", "", "stone", "a b"]))
+    lead, last = LM._leads(w)
+    of = {k: int(LM.Words(pa.array([k])).hash.view(np.int64)[0]) for k in ("the", "of", "a", "b")}
+    assert lead.tolist() == [0, of["the"], of["the"], of["of"], 0, 0, of["a"]]
+    assert last.tolist() == [of["of"], 0, 0, of["b"]]
+
+
+def test_score_is_above_the_base_on_held_out_text(spark):
+    got = LM.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert sum(x["score"] for x in got) > sum(x["base_score"] for x in got)
+
+
+def test_counts_are_whole_numbers_of_64_bits():
+    big = 2**33 + 1
+    batch = pa.RecordBatch.from_arrays([pa.array([False]), pa.array([1], pa.int64()), pa.array([b"abcd"], pa.binary()), pa.array([big], pa.int64())], names=["opening", "h", "word", "n"])
+    parts = [b for b in LM._tables(14)(iter([batch]))]
+    top = max(np.frombuffer(x, np.uint32 if len(x) == 4 * LM._SEGMENT else np.int64).max() for b in parts for x in b.column(1).to_pylist())
+    assert top >= big
+    both = [pa.RecordBatch.from_arrays([pa.array([3, 3], pa.int32()), pa.array([np.full(LM._SEGMENT, v, np.int64).tobytes() for v in (big, 1)], pa.binary())], names=["segment", "counts"])]
+    assert (np.frombuffer(next(iter(LM._summed(iter(both)))).column(1)[0].as_py(), np.uint16) == 65_535).all()
 
 
 def test_last_byte_alone_predicts(spark):
@@ -311,6 +400,7 @@ def test_history_of_a_text_that_repeats_itself():
     n = 200
     got = LM.adapted(np.full(n, np.log(1e-6)), np.zeros(n, np.int64), np.arange(n) % 2, np.array([-1.0]))
     assert got[0] > -100
+    assert np.isfinite(LM.adapted(np.array([-4000.0]), np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([-1.0]))).all()
 
 
 def test_near_vectors(spark):
