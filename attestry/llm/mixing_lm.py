@@ -21,6 +21,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .hashing import _LOWER, Words, mix, steps
 
 #: Most frequent words whose counts are held in memory for the base score (12 MB); all others are joined.
 HEAD_WORDS = 1 << 19
-#: Bits of a context table's size at most, for a worker's memory (240 MB where they are counted, 60 MB where weights are learned, 30 MB where texts are scored);
+#: Bits of a context table's size at most, for a worker's memory (130 MB where they are counted, 60 MB where weights are learned, 30 MB where texts are scored);
 #: fewer for small vocabularies. Beyond 2**17 distinct words a table's places are shared by more and more contexts.
 MOST_TABLE_BITS = 21
 #: Places in a worker's memory of scores; a word or opening has one place, and the last one there stays.
@@ -48,7 +49,7 @@ PRIOR = 2000.0
 #: Edges of an online step, and bytes of text or of words handled at once.
 BATCH = 1 << 14
 TEXT_STEP = 1 << 21
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 #: Edges after which the weights are settled enough for the map to learn from them.
 SETTLED = 1 << 13
 #: Bytes of a token that the lead helps to predict, and the longest word that is a lead.
@@ -78,6 +79,19 @@ _END_HASH = int(mix(np.array([0xE0D], _U))[0].astype(np.int64))
 _SEGMENT = 1 << 13
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, which of them each key is)."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.empty(len(k), bool)
+    new[:1] = True
+    new[1:] = k[1:] != k[:-1]
+    inverse = np.empty(len(k), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    at = order[new]
+    return k[new], at, inverse
+
+
 class Tokens:
     """Tokens written one after another: ``flat`` bytes, ``start`` of each (and the end), ``lead`` of each or None."""
 
@@ -112,7 +126,7 @@ class Tokens:
             key = self.after[at]
             if opening and self.lead is not None:
                 key = key ^ mix(self.lead[self.row[at]].astype(_U) + _STEP)
-            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            _, first, inverse = _distinct(key)
             yield Edges(self, at[first], self.row[at], inverse, opening)
 
     def byte_before(self, at: np.ndarray, k: int) -> np.ndarray:
@@ -230,7 +244,7 @@ class _Held:
 
     def _merge(self) -> None:
         key, lead, n = (np.concatenate([x[k] for x in self.held]) for k in (0, 1, 3))
-        u, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        u, at, inverse = _distinct(key)
         self.held = [(u, lead[at], pa.concat_arrays([x[2] for x in self.held]).take(pa.array(at)), np.bincount(inverse, n).astype(np.int64))]
         self.size = len(u)
 
@@ -250,14 +264,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = Words(texts)
             low = _LOWER[w.data]
             lead, heads = _openings(w, low)
-            key, at, n = np.unique(_opening_key(lead, heads), return_index=True, return_counts=True)
-            yield from openings.add(key, lead[at], _binary(*_written(heads[at])), n)
-            h, at, n = np.unique(np.append(w.hash.view(np.int64), _END_HASH), return_index=True, return_counts=True)
-            real = np.flatnonzero(at < len(w.hash))
-            start, end = w.start[at[real]], w.end[at[real]]
-            bounds = np.concatenate(([0], np.cumsum(end - start)))
-            flat = low[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], end - start)] if len(real) else np.zeros(0, np.uint8)
-            yield from words.add(h[real], h[real], _binary(flat, bounds), n[real])
+            key, at, inverse = _distinct(_opening_key(lead, heads))
+            yield from openings.add(key, lead[at], _binary(*_written(heads[at])), np.bincount(inverse))
+            if len(w.hash):
+                h, at, inverse = _distinct(w.hash.view(np.int64))
+                start, end = w.start[at], w.end[at]
+                bounds = np.concatenate(([0], np.cumsum(end - start)))
+                flat = low[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], end - start)]
+                yield from words.add(h, h, _binary(flat, bounds), np.bincount(inverse))
             yield from words.add(np.array([_END_HASH]), np.array([_END_HASH]), pa.array([END], pa.binary()), np.array([w.n]))
     yield from words.rest()
     yield from openings.rest()
@@ -308,8 +322,7 @@ def edge_scores(model: Model, edges: Edges) -> np.ndarray:
         total = np.ones(len(e.byte))
         for place, bit, at in e.bits(model.bits):
             cell = model.table[at]
-            level = cell & 15
-            gate = _gate(level[WHOLE], level[LEAD if e.opening else BESIDE], e.opening)
+            gate = _gate(cell[WHOLE] & 15, cell[LEAD if e.opening else BESIDE] & 15, e.opening)
             x = (cell >> 4).astype(np.float32)
             w = model.weights[place][gate]
             dot = np.einsum("ij,ji->i", w[:, :CONTEXTS], x).astype(float) / _SCALE + w[:, CONTEXTS] * 0.5
@@ -327,7 +340,7 @@ def token_scores(model: Model, tokens: Tokens, opening: bool) -> np.ndarray:
     return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, most: int = 1 << 22) -> Iterator[tuple[bool, Tokens, np.ndarray]]:
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, most: int = 1 << 20) -> Iterator[tuple[bool, Tokens, np.ndarray]]:
     """Tokens and counts of words (written with their closing) and of openings, many at a time."""
 
     def tokens(held: list[pa.RecordBatch], opening: bool) -> tuple[bool, Tokens, np.ndarray]:
@@ -357,28 +370,37 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, most: int
             yield tokens(held[kind], kind)
 
 
-def _tables(bits: int):
-    """Counts of all contexts over some words and openings, in segments."""
-    size = CONTEXTS << bits
+#: Contexts whose tables one pass fills, for the sake of memory.
+TOGETHER = ((0, 1, 2, 3), (4, WHOLE, LEAD))
+
+
+def _tables(bits: int, own: tuple[int, ...]):
+    """Counts of some contexts over some words and openings, in segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * size, np.int64)
+        counts = np.zeros(len(own) << bits + 1, np.int64)
         for opening, tokens, n in _gathered(batches):
             # an opening's bytes without their lead are counted with the words
             for part in ((True,) if opening else (True, False)):
-                which = [LEAD] if opening else [k for k in range(CONTEXTS) if k != LEAD] if part else slice(None)
-                for e in tokens.edges(part):
-                    m = np.rint(e.weights(n)).astype(np.int64)
-                    for _, bit, at in e.bits(bits, which):
-                        for row in at:
-                            np.add.at(counts, 2 * row + bit, m)
+                which = [k for k in own if (k == LEAD) == opening or not (opening or part)]
+                if not which:
+                    continue
+                shift = np.array([own.index(k) - k for k in which])[:, None] << bits
+                for edges in tokens.edges(part):
+                    m = np.rint(edges.weights(n)).astype(np.int64)
+                    for a in range(0, len(m), BATCH):
+                        mass = m[a : a + BATCH]
+                        for _, bit, at in edges.part(slice(a, a + BATCH)).bits(bits, which):
+                            for row in (at + shift) * 2 + bit:
+                                np.add.at(counts, row, mass)
         flat = counts.reshape(-1, _SEGMENT)
+        first = (own[0] << bits + 1) // _SEGMENT  # the contexts of a pass follow each other
         # most segments fit whole numbers of 32 bits
         full = np.flatnonzero(flat.any(1))
         for i in range(0, len(full), 64):
             at = full[i : i + 64]
             blobs = [(flat[k] if flat[k].max() >> 32 else flat[k].astype(np.uint32)).tobytes() for k in at]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(blobs, pa.binary())], names=["segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array((at + first).astype(np.int32)), pa.array(blobs, pa.binary())], names=["segment", "counts"])
 
     return run
 
@@ -410,6 +432,7 @@ def _learned(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        counters = model.counts.view(np.uint32).ravel()
         w, bend = model.weights.astype(float), np.tile(PRIOR * np.eye(INPUTS), (8, GATES, 1, 1))
         hits, seen = np.zeros((8, GATES * _GRID)), np.zeros((8, GATES * _GRID))
         total = total_edges = 0
@@ -417,32 +440,37 @@ def _learned(shared):
             total += len(n)
             for edges in tokens.edges(opening):
                 weights, a = edges.weights(n), 0
+                seen_by = [WHOLE, LEAD if opening else BESIDE]
                 while a < len(weights):
                     b = a + min(BATCH, 256 + total_edges // 16)  # small steps at first
                     e, mass = edges.part(slice(a, b)), weights[a:b]
                     a, total_edges = b, total_edges + len(mass)
                     for place, bit, at in e.bits(model.bits):
-                        z, o = np.moveaxis(model.counts[at].astype(np.int64), 2, 0)
+                        pair = counters[at].astype(np.int64)
+                        z, o = pair & 65535, pair >> 16
                         z, o = np.maximum(z - (bit == 0), 0), np.maximum(o - (bit == 1), 0)
-                        x = np.concatenate((np.clip(_LOG[o] - _LOG[z], -9, 9).astype(float), np.full((1, len(bit)), 0.5)))
-                        level = _LEVEL[np.minimum(z + o, (1 << 16) - 1)]
-                        gate = _gate(level[WHOLE], level[LEAD if opening else BESIDE], opening)
+                        level = _LEVEL[np.minimum(z[seen_by] + o[seen_by], (1 << 16) - 1)]
+                        gate = _gate(level[0], level[1], opening)
+                        # edges in order of their gates: one product of matrices for each
+                        order = np.argsort(gate.astype(np.int8), kind="stable")
+                        gate, bit, own = gate[order], bit[order], mass[order]
+                        x = np.concatenate((np.clip(_LOG[o] - _LOG[z], -9, 9), np.full((1, len(bit)), 0.5, np.float32)))[:, order]
                         dot = np.einsum("ij,ji->i", w[place][gate], x)
                         p = 1 / (1 + np.exp(-np.clip(dot, -14, 14)))
                         # an online Newton step: the curvature seen so far scales each step
-                        err, curve = (p - bit) * mass, p * (1 - p) * mass
-                        slope = np.stack([np.bincount(gate, err * x[k], GATES) for k in range(INPUTS)], 1)
-                        for k in range(INPUTS):
-                            for m in range(k, INPUTS):
-                                h = np.bincount(gate, curve * x[k] * x[m], GATES)
-                                bend[place, :, k, m] += h
-                                if m > k:
-                                    bend[place, :, m, k] += h
-                        w[place] -= np.clip(np.linalg.solve(bend[place], slope[:, :, None])[:, :, 0], -0.5, 0.5)
+                        err, curve = (p - bit) * own, p * (1 - p) * own
+                        cuts = np.flatnonzero(np.concatenate(([True], gate[1:] != gate[:-1], [True])))
+                        there = gate[cuts[:-1]]
+                        slope = np.empty((len(there), INPUTS))
+                        for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                            part = x[:, i:j].astype(float)
+                            slope[k] = part @ err[i:j]
+                            bend[place, there[k]] += (part * curve[i:j]) @ part.T
+                        w[place, there] -= np.clip(np.linalg.solve(bend[place, there], slope[:, :, None])[:, :, 0], -0.5, 0.5)
                         if total_edges > SETTLED:  # the map learns from settled weights
                             cell = gate * _GRID + np.clip(np.rint(dot * 2), -16, 16).astype(np.int64) + 16
-                            hits[place] += np.bincount(cell, bit * mass, GATES * _GRID)
-                            seen[place] += np.bincount(cell, mass, GATES * _GRID)
+                            hits[place] += np.bincount(cell, bit * own, GATES * _GRID)
+                            seen[place] += np.bincount(cell, own, GATES * _GRID)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([np.concatenate((w.ravel(), hits.ravel(), seen.ravel())).tobytes()], pa.binary())], names=["words", "sums"])
 
@@ -467,7 +495,8 @@ def train(counted: DataFrame, distinct: int, scratch: Scratch) -> Model:
     model = _start(min(MOST_TABLE_BITS, max(14, distinct.bit_length() + 4)))
     # every task sums into tables of a fixed size, so their number follows the number of distinct words
     tasks = max(2, distinct // TASK_WORDS)
-    parts = counted.repartition(tasks, F.xxhash64("h", "word")).mapInArrow(_tables(model.bits), "segment int, counts binary")
+    dealt = counted.repartition(tasks, F.xxhash64("h", "word"))
+    parts = reduce(DataFrame.unionByName, (dealt.mapInArrow(_tables(model.bits, own), "segment int, counts binary") for own in TOGETHER))
     sums = parts.repartition(shuffle_partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_summed, "segment int, counts binary")
     counts = np.zeros((CONTEXTS << (model.bits + 1)) // _SEGMENT * _SEGMENT, np.uint16).reshape(-1, _SEGMENT)
     for row in sums.toLocalIterator():
@@ -510,14 +539,23 @@ def frequent_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 HISTORIES = [(0.0, 0.0), (0.05, 0.0), (0.15, 0.0), (0.35, 0.0), (0.1, 0.3), (0.1, 0.75)]
 
 
-def _earlier(key: np.ndarray) -> np.ndarray:
-    """For each place, how many earlier places hold the same key."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    out = np.empty(len(key), np.int64)
-    out[order] = np.arange(len(key)) - np.repeat(at, np.diff(np.append(at, len(k))))
-    return out
+def _earlier(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, how many earlier places hold the same pair of numbers; and the pairs by number."""
+    n = len(a)
+    wide = int(b.max(initial=0)) + 1
+    if n * wide * (int(a.max(initial=0)) + 1) < 1 << 62:
+        # sorted with their places in the low digits
+        both = np.sort((a * wide + b) * n + np.arange(n))
+        key, order = np.divmod(both, max(1, n))
+    else:
+        order = np.lexsort((b, a))
+        key = np.cumsum(np.concatenate(([0], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0))))
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    at = np.flatnonzero(new)
+    earlier, number = np.empty(n, np.int64), np.empty(n, np.int64)
+    earlier[order] = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+    number[order] = np.cumsum(new) - 1
+    return earlier, number
 
 
 def adapted(static: np.ndarray, doc: np.ndarray, word: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -527,26 +565,24 @@ def adapted(static: np.ndarray, doc: np.ndarray, word: np.ndarray, end: np.ndarr
     """
     n = len(end)
     total = np.zeros((len(HISTORIES), n))
-    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    again, some = np.zeros(n, bool), np.zeros(n, bool)
     if len(doc):
-        own = mix(doc.astype(_U) * _STEP) ^ mix(word.astype(_U))
-        before = np.concatenate((own[:1], own[:-1]))
-        seen = _earlier(own)
-        follows = _earlier(np.where(place > 0, mix(before + _U(1)) ^ own, mix(np.arange(len(own), dtype=_U))))
+        first = np.searchsorted(doc, np.arange(n + 1))
+        some = first[1:] > first[:-1]
+        place = np.arange(len(doc)) - first[doc]
+        seen, own = _earlier(doc, word)
+        follows, _ = _earlier(np.where(place > 0, np.concatenate((own[:1], own[:-1])), len(own) + doc), own)
         past = np.concatenate(([0], seen[:-1])) * (place > 0)
         once, twice = seen / np.maximum(place, 1), follows / np.maximum(past, 1)
-    for k, (a, b) in enumerate(HISTORIES):
-        if len(doc):
-            a_here, b_here = np.where(place > 0, a, 0.0), np.where(past > 0, b, 0.0)
-            with np.errstate(divide="ignore"):
-                past_share = np.log(a_here * once + b_here * twice)
-            total[k] = np.bincount(doc, np.logaddexp(static + np.log(1 - a_here - b_here), past_share), n)
-        some = np.bincount(doc, minlength=n) > 0
         # the end was never seen before; what followed the last word may have been
-        again = np.zeros(n, bool)
+        again[some] = seen[first[1:][some] - 1] > 0
+        p = np.exp(np.maximum(static, -700.0))
+        start, known = place > 0, past > 0
+    for k, (a, b) in enumerate(HISTORIES):
         if len(doc):
-            last = np.searchsorted(doc, np.arange(n), side="right") - 1
-            again[some] = seen[last[some]] > 0
+            rest = 1 - a * start - b * known
+            here = np.where(static > -700, np.log(rest * p + a * once + b * twice), np.log(rest) + static)
+            total[k] = np.bincount(doc, here, n)
         total[k] += end + np.log(1 - np.where(some, a, 0.0) - np.where(again, b, 0.0))
     top = total.max(0)
     return top + np.log(np.exp(total - top).mean(0))
@@ -580,9 +616,9 @@ class _Remembered:
 def text_scores(model: Model, w: Words, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(natural log probability of each text; distinct word hashes, a place of each, and the number of each word among them)."""
     lead, heads = _openings(w, low)
-    key, at, inverse = np.unique(_opening_key(lead, heads), return_index=True, return_inverse=True)
+    key, at, inverse = _distinct(_opening_key(lead, heads))
     first = _Remembered.of(model, "openings").get(key, lambda new: token_scores(model, Tokens(*_written(heads[at[new]]), lead[at[new]]), True))[inverse]
-    u, place, word = np.unique(w.hash.view(np.int64), return_index=True, return_inverse=True)
+    u, place, word = _distinct(w.hash.view(np.int64))
     rest = _Remembered.of(model, "words").get(u, lambda new: token_scores(model, Tokens.of_words(low, w.start[place[new]], w.end[place[new]]), False)) if len(u) else np.zeros(0)
     n = len(w.doc)
     return adapted(rest[word] + first[:n], w.doc, word, first[n:]), u, place, word

@@ -378,7 +378,7 @@ def test_score_is_above_the_base_on_held_out_text(spark):
 def test_counts_are_whole_numbers_of_64_bits():
     big = 2**33 + 1
     batch = pa.RecordBatch.from_arrays([pa.array([False]), pa.array([1], pa.int64()), pa.array([b"abcd"], pa.binary()), pa.array([big], pa.int64())], names=["opening", "h", "word", "n"])
-    parts = [b for b in LM._tables(14)(iter([batch]))]
+    parts = [b for b in LM._tables(14, LM.TOGETHER[0])(iter([batch]))]
     top = max(np.frombuffer(x, np.uint32 if len(x) == 4 * LM._SEGMENT else np.int64).max() for b in parts for x in b.column(1).to_pylist())
     assert top >= big
     both = [pa.RecordBatch.from_arrays([pa.array([3, 3], pa.int32()), pa.array([np.full(LM._SEGMENT, v, np.int64).tobytes() for v in (big, 1)], pa.binary())], names=["segment", "counts"])]
