@@ -495,7 +495,7 @@ def train(counted: DataFrame, distinct: int, scratch: Scratch) -> Model:
     model = _start(min(MOST_TABLE_BITS, max(14, distinct.bit_length() + 4)))
     # every task sums into tables of a fixed size, so their number follows the number of distinct words
     tasks = max(2, distinct // TASK_WORDS)
-    dealt = counted.repartition(tasks, F.xxhash64("h", "word"))
+    dealt = counted.repartition(tasks)
     parts = reduce(DataFrame.unionByName, (dealt.mapInArrow(_tables(model.bits, own), "segment int, counts binary") for own in TOGETHER))
     sums = parts.repartition(shuffle_partitions(spark), "segment").sortWithinPartitions("segment").mapInArrow(_summed, "segment int, counts binary")
     counts = np.zeros((CONTEXTS << (model.bits + 1)) // _SEGMENT * _SEGMENT, np.uint16).reshape(-1, _SEGMENT)
@@ -504,7 +504,7 @@ def train(counted: DataFrame, distinct: int, scratch: Scratch) -> Model:
     model = replace(model, counts=counts.reshape(-1, 2))
     shared = spark.sparkContext.broadcast(model)
     # words in no order; each task's sums have a fixed size and come to the driver one after another
-    mixed = counted.repartition(tasks, F.xxhash64("word", "h"))
+    mixed = counted.repartition(tasks)
     learned = scratch.keep("learned", mixed.mapInArrow(_learned(shared), "words long, sums binary"))
     split = 8 * GATES * INPUTS
     mass, total = 0, np.zeros(split + 16 * GATES * _GRID)
