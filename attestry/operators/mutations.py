@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attestry.functions import rules as R
 from attestry.functions.text import content_id
 
 SOURCE_KEY = ["owner", "scope", "source_key", "digest"]
@@ -147,33 +148,78 @@ def refresh_index(chunks: DataFrame, versions: DataFrame, sources: DataFrame, te
     return keep.select("source_id", "digest", "message_id", "start_char", "end_char").unionByName(fresh.select("source_id", "digest", "message_id", "start_char", "end_char"))
 
 
+# Longest fields, topics and kinds of a claim, and the words that tell a claim's source, date, or want of one.
+LONGEST = {"statement": 1200, "subject": 160, "quote": 2000, "message_id": 100}
+TOPICS = ("profile", "preferences", "people", "areas", "projects", "topics")
+KINDS = ("identity", "preference", "relationship", "decision", "plan", "event", "claim", "suggestion")
+DATED = ("来源消息日期：", "（非事件成立时间，当前有效性待核实）。")
+TITLED = ("来源对话：", "。")
+TIME_UNKNOWN = "原始时间未知"
+ATTRIBUTED = "^(?:摘要记载|摘要主张)"
+DECIDED = "用户(?:已|已经)?决定"
+
+
+def claim_status(role: Column, source_type: Column, trusted_user: Column) -> Column:
+    """Whose word a claim is; never taken from the claim itself."""
+    return F.when(source_type == "imported_summary", "imported_summary").when(role == "assistant", "agent_suggested").when((role == "user") & trusted_user, "user_stated").otherwise("source_reported")
+
+
+def unprefixed(statement: Column, topic: Column, context: Column) -> Column:
+    """A statement without the source's date and, of a project, its title, where it begins with just these."""
+    date, title = context["source_date"], context["conversation_title"]
+    lead = F.concat(F.coalesce(F.concat(F.lit(DATED[0]), date, F.lit(DATED[1])), F.lit("")), F.when((topic == "projects") & title.isNotNull(), F.concat(F.lit(TITLED[0]), title, F.lit(TITLED[1]))).otherwise(""))
+    return F.when((context["scope_policy"] != "secondary_source") & statement.startswith(lead), F.substring(statement, F.length(lead) + 1, F.length(statement))).otherwise(statement)
+
+
 def claim_rules() -> dict[str, Column]:
-    """Rules that a claim (with the role and text of its message, and over_cap) must not break."""
-    s = F.col("statement")
-    return {
-        "bad_kind": ~F.col("kind").isin("claim", "decision", "plan", "preference", "event"),
-        "blank_statement": F.trim(s) == "",
-        "message_missing": F.col("text").isNull(),
-        "quote_not_in_message": F.col("text").isNotNull() & ~F.contains("text", "quote"),
-        "statement_too_long": F.length(s) > 110,
+    """Rules that a claim must not break; rows have its message (role, text), source (source_type), ``context`` and ``own`` (the statement without its prefix)."""
+    s, q, kind, topic, text, context, own = (F.col(c) for c in ("statement", "quote", "kind", "topic", "text", "context", "own"))
+    second_hand = F.col("source_type") == "imported_summary"
+    sizes = [F.coalesce(F.length(c), F.lit(0)).between(1, n) for c, n in LONGEST.items()]
+    fits = sizes[0] & sizes[1] & sizes[2] & sizes[3]
+    here = text.isNotNull()
+    rules = {
+        "bad_field": ~fits,
+        "bad_topic": ~F.coalesce(topic.isin(*TOPICS), F.lit(False)),
+        "bad_kind": ~F.coalesce(kind.isin(*KINDS), F.lit(False)),
+        "message_missing": ~here,
+        "quote_not_in_message": here & ~F.contains(text, q),
+        "guessed_name": here & ((topic == "people") | (kind == "relationship")) & R.guessed_name(s, text),
+        "message_only_agrees": here & R.only_agrees(s, text),
+        "wish_as_decision": F.contains(q, F.lit("希望")) & ~F.contains(q, F.lit("决定")) & own.rlike(DECIDED),
+        "immediate_command": R.immediate_command(own),
+        "source_date_dropped": ~second_hand & ~R.statement_has_date(s, context["source_date"]),
+        "project_title_dropped": ~second_hand & (topic == "projects") & context["conversation_title"].isNotNull() & ~F.contains(s, context["conversation_title"]),
+        "summary_time_claimed": second_hand & ~F.contains(s, F.lit(TIME_UNKNOWN)),
+        "summary_not_attributed": second_hand & ~s.rlike(ATTRIBUTED),
+        "promoted": R.promotion(q, own, kind).isNotNull(),
+        "rule_split": R.split_rule(q, own, kind).isNotNull(),
         "too_many_claims": F.col("over_cap"),
     }
+    return {k: F.coalesce(c, F.lit(False)) for k, c in rules.items()}
 
 
-def validate_claims(claims: DataFrame, messages: DataFrame, most: int = 12, most_suggested: int = 2) -> DataFrame:
-    """Claims with their ``reasons`` for refusal (empty: accepted)."""
-    from attestry.operators.joins import with_evidence
+def validate_claims(claims: DataFrame, messages: DataFrame, sources: DataFrame, most: int = 12, most_suggested: int = 2) -> DataFrame:
+    """Claims with their derived ``status``, the quote's ``modality`` and the ``reasons`` for refusal (empty: accepted).
+
+    ``messages``: source_id, message_id, role, text, created_at, source_title; ``sources``: source_id, source_type, trusted_user. A source's claims
+    are one batch. A null or missing field is a bad field; rules whose columns are null don't hold.
+    """
     from attestry.operators.predicates import violations
     from attestry.operators.windows import claim_caps
 
-    rows = with_evidence(claim_caps(claims, most, most_suggested), messages)
-    return rows.withColumn("reasons", violations(claim_rules())).select(*claims.columns, "reasons")
+    rows = claims.join(messages.select("source_id", "message_id", "role", "text", "created_at", "source_title"), ["source_id", "message_id"], "left")
+    rows = rows.join(sources.select("source_id", "source_type", "trusted_user"), "source_id", "left")
+    rows = rows.withColumn("status", claim_status(F.col("role"), F.col("source_type"), F.col("trusted_user")))
+    rows = claim_caps(rows, most, most_suggested).withColumn("context", R.source_context(F.col("created_at"), F.col("source_type"), F.col("source_title")))
+    rows = rows.withColumn("own", unprefixed(F.col("statement"), F.col("topic"), F.col("context")))
+    return rows.withColumns({"modality": R.modality(F.col("quote")), "reasons": violations(claim_rules())}).select(*claims.columns, *(c for c in ("status", "modality", "reasons") if c not in claims.columns))
 
 
-def quarantine(claims: DataFrame, messages: DataFrame, most: int = 12, most_suggested: int = 2) -> DataFrame:
+def quarantine(claims: DataFrame, messages: DataFrame, sources: DataFrame, most: int = 12, most_suggested: int = 2) -> DataFrame:
     """Claims with a state: quarantined for an own fault, batch_review_required if only the batch's cap is broken, else guard_passed_requires_review; and the batch's worst."""
     own = F.array_remove("reasons", "too_many_claims")
     capped = F.array_contains("reasons", "too_many_claims")
     state = F.when(F.size(own) > 0, "quarantined").when(capped, "batch_review_required").otherwise("guard_passed_requires_review")
-    rows = validate_claims(claims, messages, most, most_suggested).withColumn("state", state)
+    rows = validate_claims(claims, messages, sources, most, most_suggested).withColumn("state", state)
     return rows.withColumn("batch_quarantined", F.count_if(F.col("state") == "quarantined").over(Window.partitionBy("source_id")))

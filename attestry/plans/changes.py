@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.rules import PATTERNS
 from attestry.operators import budgets as B
 from attestry.operators import mutations as M
 from attestry.operators.aggregates import charge
@@ -52,24 +53,59 @@ def s8(t: Inputs) -> DataFrame:
     return M.write_topic_versions(new, old.unionByName(new.where("slug <> 'areas'").withColumn("revision", F.lit(2)).select("owner", "scope", "slug", "revision", "digest")))
 
 
-@query(
-    "m1_claim_admission",
-    """SELECT claim_no, array_to_string(list_filter([CASE WHEN kind NOT IN ('claim', 'decision', 'plan', 'preference', 'event') THEN 'bad_kind' END, CASE WHEN trim(statement) = '' THEN 'blank_statement' END, CASE WHEN text IS NULL THEN 'message_missing' END,
-    CASE WHEN NOT contains(text, quote) THEN 'quote_not_in_message' END, CASE WHEN length(statement) > 110 THEN 'statement_too_long' END, CASE WHEN over_cap THEN 'too_many_claims' END], lambda x: x IS NOT NULL), ',') AS reasons
-    FROM (SELECT *, count(*) OVER (PARTITION BY source_id) > 3 OR count(*) FILTER (WHERE status = 'agent_suggested') OVER (PARTITION BY source_id) > 1 AS over_cap FROM v_claims) c LEFT JOIN (SELECT source_id, message_id, text FROM v_messages) m USING (source_id, message_id)""",
-)
+def _has(c: str, k: str) -> str:
+    return f"regexp_matches({c}, '(?i){PATTERNS[k]}')"
+
+
+_DAY = "CASE WHEN created_at LIKE '2024-%' THEN substr(created_at, 1, 10) END"
+#: Each rule on its own, over the test claims; no denied obligation occurs in them.
+_JUDGED = f"""WITH j AS (SELECT c.*, m.role, m.text, {_DAY} AS day, m.source_title AS title, s.source_type,
+    CASE WHEN s.source_type = 'imported_summary' THEN 'imported_summary' WHEN m.role = 'assistant' THEN 'agent_suggested' WHEN m.role = 'user' AND s.trusted_user THEN 'user_stated' ELSE 'source_reported' END AS status
+    FROM v_judged c LEFT JOIN v_told m ON m.source_id = c.source_id AND m.message_id = c.message_id LEFT JOIN v_sources s ON s.source_id = c.source_id),
+  l AS (SELECT *, concat(coalesce('来源消息日期：' || day || '（非事件成立时间，当前有效性待核实）。', ''), CASE WHEN topic = 'projects' AND title IS NOT NULL THEN '来源对话：' || title || '。' ELSE '' END) AS lead FROM j),
+  o AS (SELECT *, CASE WHEN source_type <> 'imported_summary' AND starts_with(statement, lead) THEN substr(statement, length(lead) + 1) ELSE statement END AS own,
+    CASE WHEN {_has('quote', 'condition')} THEN 'conditional' WHEN ({_has('quote', 'wish')} OR {_has('quote', 'plan')}) AND {_has('quote', 'asserted')} THEN 'mixed' WHEN {_has('quote', 'wish')} THEN 'wish' WHEN {_has('quote', 'plan')} THEN 'plan' ELSE 'stated' END AS modality,
+    count(*) OVER (PARTITION BY source_id) > 3 OR count(*) FILTER (WHERE status = 'agent_suggested') OVER (PARTITION BY source_id) > 1 AS over_cap FROM l),
+  p AS (SELECT *, CASE WHEN {_has('quote', 'permission')} AND NOT {_has('quote', 'obligation')} AND {_has('own', 'obligation')} THEN 'permission_to_obligation' WHEN modality IN ('wish', 'plan') AND NOT {_has('quote', 'asserted')} AND ({_has('own', 'asserted')} OR kind IN ('decision', 'event')) THEN 'intention'
+    WHEN modality = 'conditional' AND NOT {_has('quote', 'asserted')} AND ({_has('own', 'asserted')} OR {_has('own', 'wish')} OR {_has('own', 'plan')}) AND NOT {_has('own', 'condition')} THEN 'condition_dropped' END AS promotion,
+    kind IN ('claim', 'decision') AND quote LIKE '从现在起，这两条要求长期适用，直到我明确更改：回答必须简短' AND NOT (contains(own, '从现在起') AND contains(own, '长期') AND contains(own, '直到我明确更改')) AS split FROM o),
+  r AS (SELECT *, list_sort(list_filter([CASE WHEN length(statement) NOT BETWEEN 1 AND 1200 OR length(subject) NOT BETWEEN 1 AND 160 OR length(quote) NOT BETWEEN 1 AND 2000 THEN 'bad_field' END,
+    CASE WHEN topic = 'misc' THEN 'bad_topic' END, CASE WHEN kind = 'rumour' THEN 'bad_kind' END, CASE WHEN text IS NULL THEN 'message_missing' END, CASE WHEN text IS NOT NULL AND NOT contains(text, quote) THEN 'quote_not_in_message' END,
+    CASE WHEN contains(statement, '李伟（Li Wei）') AND contains(text, 'Li Wei') THEN 'guessed_name' END, CASE WHEN text = '好的。' THEN 'message_only_agrees' END,
+    CASE WHEN contains(quote, '希望') AND NOT contains(quote, '决定') AND regexp_matches(own, '用户(?:已|已经)?决定') THEN 'wish_as_decision' END, CASE WHEN contains(own, '请写一篇') THEN 'immediate_command' END,
+    CASE WHEN source_type <> 'imported_summary' AND day IS NOT NULL AND NOT contains(statement, day) THEN 'source_date_dropped' END,
+    CASE WHEN source_type <> 'imported_summary' AND topic = 'projects' AND title IS NOT NULL AND NOT contains(statement, title) THEN 'project_title_dropped' END,
+    CASE WHEN source_type = 'imported_summary' AND NOT contains(statement, '原始时间未知') THEN 'summary_time_claimed' END, CASE WHEN source_type = 'imported_summary' AND NOT starts_with(statement, '摘要记载') THEN 'summary_not_attributed' END,
+    CASE WHEN promotion IS NOT NULL THEN 'promoted' END, CASE WHEN split THEN 'rule_split' END, CASE WHEN over_cap THEN 'too_many_claims' END], lambda x: x IS NOT NULL)) AS reasons FROM p)"""
+
+
+def _validated(t: Inputs) -> DataFrame:
+    return M.validate_claims(t.v_judged, t.v_told, t.v_sources, 3, 1)
+
+
+@query("m1_claim_admission", _JUDGED + " SELECT claim_no, status, modality, array_to_string(reasons, ',') AS reasons FROM r")
 def m1(t: Inputs) -> DataFrame:
-    return M.validate_claims(t.v_claims, t.v_messages, 3, 1).select("claim_no", F.array_join("reasons", ",").alias("reasons"))
+    return _validated(t).select("claim_no", "status", "modality", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(
     "m2_quarantine",
-    """WITH s AS (SELECT claim_no, source_id, CASE WHEN NOT contains(text, quote) OR length(statement) > 110 THEN 'quarantined' WHEN over_cap THEN 'batch_review_required' ELSE 'guard_passed_requires_review' END AS state
-    FROM (SELECT *, count(*) OVER (PARTITION BY source_id) > 3 OR count(*) FILTER (WHERE status = 'agent_suggested') OVER (PARTITION BY source_id) > 1 AS over_cap FROM v_claims) c JOIN (SELECT source_id, message_id, text FROM v_messages) m USING (source_id, message_id))
+    _JUDGED
+    + """, s AS (SELECT claim_no, source_id, CASE WHEN len(list_filter(reasons, lambda x: x <> 'too_many_claims')) > 0 THEN 'quarantined' WHEN over_cap THEN 'batch_review_required' ELSE 'guard_passed_requires_review' END AS state FROM r)
     SELECT claim_no, state, count(*) FILTER (WHERE state = 'quarantined') OVER (PARTITION BY source_id) AS batch_quarantined FROM s""",
 )
 def m2(t: Inputs) -> DataFrame:
-    return M.quarantine(t.v_claims, t.v_messages, 3, 1).select("claim_no", "state", "batch_quarantined")
+    return M.quarantine(t.v_judged, t.v_told, t.v_sources, 3, 1).select("claim_no", "state", "batch_quarantined")
+
+
+_EXPECTED = "CASE g WHEN 7 THEN 'promoted' WHEN 8 THEN 'promoted' WHEN 9 THEN 'promoted' WHEN 5 THEN 'message_only_agrees' WHEN 6 THEN 'guessed_name' WHEN 14 THEN 'immediate_command' END"
+
+
+@query("q13_guard_contract", _JUDGED + f" SELECT claim_no, {_EXPECTED} AS expected, array_to_string(reasons, ',') AS found, {_EXPECTED} IS NULL OR list_contains(reasons, {_EXPECTED}) AS passed FROM r")
+def q13(t: Inputs) -> DataFrame:
+    """Every case against the reason that its kind of fault must give; all admission rules judge each."""
+    rows = _validated(t).withColumn("expected", F.expr(_EXPECTED))
+    return rows.select("claim_no", "expected", F.array_join("reasons", ",").alias("found"), (F.col("expected").isNull() | F.array_contains("reasons", F.col("expected"))).alias("passed"))
 
 
 @query(

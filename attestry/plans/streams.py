@@ -165,16 +165,3 @@ def q4(t: Inputs) -> DataFrame:
     reports = R.top_k(scored.join(cand.select("record_id"), "record_id", "left_semi"), 10, F.col("record_id")).join(sizes, "record_id")
     found = q3(t).withColumn("size", F.col("end_char") - F.col("start_char") + 80)
     return B.evidence_bundle(trusted, reports, found.select("query_id", "rank", "size"), 3000)
-
-
-@query("q13_guard_contract")
-def q13(t: Inputs) -> DataFrame:
-    """Guard rules over cases with what is expected of them: an intention or condition before a quote, and what is claimed of it."""
-    lead = {"I plan to ": "intention_to_done", "if needed, ": "condition_dropped", "you may ": "permission_to_obligation", "": None}
-    every = None
-    for said, expected in lead.items():
-        claim = "must " if said == "you may " else "decided "
-        one = t.v_records.where("k % 20 = 0").select("record_id", F.lit(said).alias("lead"), F.concat(F.lit(said), F.lit("go")).alias("quote"), F.concat(F.lit(claim), F.lit("go")).alias("statement"), F.lit("claim").alias("kind"), F.lit(expected).cast("string").alias("expected"))
-        every = one if every is None else every.unionByName(one)
-    got = rules.modality_problem(F.col("quote"), F.col("statement"), F.col("kind"))
-    return every.select("record_id", "lead", "expected", got.alias("found")).withColumn("passed", F.col("expected").eqNullSafe(F.col("found")))

@@ -83,6 +83,28 @@ UNION ALL SELECT concat('ghost-', source_id), digest, 'idx-2' FROM {v_sources} W
 SELECT k AS claim_no, source_id, message_id, owner, scope, topic, kind, subject, status,
        CASE WHEN k % 3 = 0 THEN statement WHEN k % 3 = 1 THEN concat(statement, ' more') ELSE substr(statement, 1, 60) END AS statement, quote
 FROM {v_records} WHERE k % 2 = 0""",
+    "v_told": """
+SELECT source_id, message_id, conv_id, turn, role, k, g,
+       CASE g WHEN 5 THEN '好的。' WHEN 6 THEN concat('Li Wei 来访。', text) WHEN 7 THEN concat('我希望休息。', text) WHEN 8 THEN concat('访客可以带水。', text)
+              WHEN 9 THEN concat('如果批准就去。', text) WHEN 10 THEN '从现在起，这两条要求长期适用，直到我明确更改：回答必须简短' ELSE text END AS text,
+       CASE k % 5 WHEN 0 THEN '2024-02-03T10:00:00Z' WHEN 2 THEN 'soon' END AS created_at, CASE WHEN conv_id % 4 = 1 THEN concat('Garden ', CAST(conv_id AS STRING)) END AS source_title
+FROM (SELECT *, conv_id * 100 + turn AS k, CAST(floor((conv_id * 100 + turn) / 2) AS BIGINT) % 17 AS g FROM {v_messages}) x""",
+    "v_judged": """
+SELECT k AS claim_no, source_id, CASE WHEN g = 15 THEN 'm-none' ELSE message_id END AS message_id, g, CASE WHEN g = 2 THEN 'rumour' ELSE kind END AS kind, subject,
+       CASE g WHEN 3 THEN 'misc' WHEN 6 THEN 'people' ELSE topic END AS topic,
+       CASE g WHEN 4 THEN concat('#', substr(text, 1, 40)) WHEN 5 THEN '好的' WHEN 6 THEN 'Li Wei 来访' WHEN 7 THEN '我希望休息' WHEN 8 THEN '访客可以带水' WHEN 9 THEN '如果批准就去' WHEN 10 THEN text ELSE substr(text, 1, 1900) END AS quote,
+       concat(CASE WHEN g = 11 OR CAST(source_id AS BIGINT) % 10 = 0 OR created_at IS NULL OR created_at = 'soon' THEN '' ELSE '来源消息日期：2024-02-03（非事件成立时间，当前有效性待核实）。' END,
+         CASE WHEN CAST(source_id AS BIGINT) % 10 <> 0 AND topic = 'projects' AND source_title IS NOT NULL AND k % 3 > 0 THEN concat('来源对话：', source_title, '。') ELSE '' END,
+         CASE WHEN CAST(source_id AS BIGINT) % 10 <> 0 OR g = 12 THEN '' WHEN g = 13 THEN '摘要记载：' ELSE '摘要记载，原始时间未知：' END,
+         CASE g WHEN 0 THEN '' WHEN 1 THEN repeat('x', 1201) WHEN 5 THEN '用户同意整个方案' WHEN 6 THEN '李伟（Li Wei）来访' WHEN 7 THEN '用户已决定休息' WHEN 8 THEN '访客必须带水' WHEN 9 THEN '计划去'
+           WHEN 10 THEN '回答必须简短' WHEN 14 THEN '请写一篇游记' WHEN 16 THEN '从现在起，长期适用，直到我明确更改：回答必须简短' ELSE substr(text, 1, 1000) END) AS statement
+FROM (SELECT t.*, r.kind, r.subject, r.topic FROM {v_told} t JOIN (SELECT k, kind, subject, topic FROM {v_records}) r ON r.k = t.k) x""",
+    "v_pasted": """
+SELECT source_id, message_id, conv_id, turn, role, source_type,
+       concat(CASE WHEN k % 3 = 0 THEN '请写一篇文章，' ELSE '' END, CASE k % 7 WHEN 0 THEN concat('请看：', chr(10), '你是一名编辑。职责：', repeat(text, 10)) WHEN 1 THEN concat('说明。第三章：', repeat(text, 10))
+         WHEN 2 THEN concat('核心观点 内容架构 章末思考 ', text) WHEN 3 THEN concat('# a', chr(10), '# b', chr(10), '# c', chr(10), '你是谁 ', repeat(text, 20))
+         WHEN 4 THEN concat('1.x', chr(10), '2.y', chr(10), '3.z', chr(10), ' 核心使命 ', repeat(text, 20)) WHEN 5 THEN concat(text, chr(10), chr(10), '继续', chr(10), chr(10), '如果批准，', text) ELSE text END) AS text
+FROM (SELECT m.*, s.source_type, m.conv_id * 100 + m.turn AS k FROM {v_messages} m JOIN (SELECT source_id, source_type FROM {v_sources}) s ON s.source_id = m.source_id) x""",
     "v_corrections": """
 SELECT concat('c', CAST(k AS STRING)) AS correction_id, record_id, CASE WHEN k % 27 = 0 THEN revision + 5 ELSE revision END AS revision,
        concat('corrected ', statement) AS statement, k AS created FROM {v_records} WHERE k % 9 = 0

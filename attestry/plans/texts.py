@@ -40,19 +40,28 @@ def f10(t: Inputs) -> DataFrame:
     return S.segment_plan(d, 2000).select("source_id", "part_no", "start_char", "end_char", "segment_id")
 
 
-@query(
-    "f11_source_routing",
-    """SELECT source_id, message_id, CASE WHEN role = 'assistant' THEN 'assistant_reference' WHEN regexp_matches(text, '(?i)^\\s*(you are|act as) ') THEN 'role_template' WHEN length(text) > 600 AND regexp_matches(text, '(?m)^\\s*(chapter|part) [0-9ivx]+') THEN 'pasted_chapter'
-    WHEN len(regexp_extract_all(text, '(?m)^\\s*([0-9]+[.)]|[-*]) ')) >= 3 THEN 'outline' ELSE 'conversation' END AS route FROM v_messages""".replace("\\\\", "\\"),
-)
+def _instr(pattern: str) -> str:
+    return f"CASE WHEN regexp_matches(text, '{pattern}') THEN strpos(text, regexp_extract(text, '{pattern}')) - 1 END"
+
+
+_ROUTED = rf"""WITH a AS (SELECT *, length(text) AS size, {_instr(R.ROLE)} AS role_at, {_instr(R.CHAPTER)} AS chapter_at, contains(text, '核心观点') AND contains(text, '内容架构') AND contains(text, '章末思考') AS outline FROM v_pasted),
+    b AS (SELECT *, CASE WHEN role_at IS NOT NULL AND size - role_at > 400 AND regexp_matches(substr(text, CAST(role_at + 1 AS BIGINT)), '{R.ROLE_WORDS}') THEN 'role' WHEN chapter_at IS NOT NULL AND size - chapter_at > 400 THEN 'chapter' WHEN outline THEN 'outline'
+      WHEN size > 800 AND (len(regexp_extract_all(text, '(?m)^(#+\s)')) >= 3 OR len(regexp_extract_all(text, '(?m)^[0-9]+\.')) >= 3) AND regexp_matches(text, '{R.SPECIFIED}') THEN 'spec' END AS kind FROM a),
+    c AS (SELECT *, CAST(CASE WHEN source_type = 'conversation' AND role = 'assistant' THEN 0 WHEN kind = 'role' THEN role_at WHEN kind = 'chapter' THEN chapter_at WHEN kind IS NULL THEN size ELSE 0 END AS INT) AS cut,
+      CASE kind WHEN 'role' THEN 'role_template' WHEN 'spec' THEN 'role_template' WHEN 'chapter' THEN 'pasted_chapter' WHEN 'outline' THEN 'chapter_outline' END AS reason,
+      CAST(CASE WHEN kind = 'role' THEN role_at WHEN kind = 'chapter' THEN chapter_at WHEN kind IS NULL THEN size ELSE 0 END AS BIGINT) AS before FROM b)
+    SELECT source_id, message_id, cut, reason, CASE WHEN source_type = 'conversation' AND role = 'assistant' THEN 'assistant_reference' WHEN kind IS NULL THEN 'conversation' WHEN trim(substr(text, 1, before)) <> '' THEN 'mixed_reference_document' ELSE 'reference_document' END AS route FROM c"""
+
+
+@query("f11_source_routing", _ROUTED)
 def f11(t: Inputs) -> DataFrame:
-    return t.v_messages.select("source_id", "message_id", R.route(F.col("role"), F.col("text")).alias("route"))
+    return R.routed(t.v_pasted).select("source_id", "message_id", "cut", "reason", "route")
 
 
 @query("f12_evidence_spans")
 def f12(t: Inputs) -> DataFrame:
-    s = S.evidence_spans(t.documents.select("doc_id", "text"), 1000)
-    return s.select("doc_id", "part_no", "start_char", "end_char", R.modality(F.col("part")).alias("modality"))
+    s = S.cited_spans(R.routed(t.v_pasted))
+    return s.select("source_id", "message_id", "start_char", "end_char", R.modality(F.col("part")).alias("modality"), "priority")
 
 
 @query("f13_clause_policies")
@@ -66,7 +75,7 @@ def f13(t: Inputs) -> DataFrame:
     return every
 
 
-_M = {k: v.replace("(?i)", "") for k, v in R.PATTERNS_EN.items()}
+_M = R.PATTERNS
 
 
 def _modality_sql(c: str) -> str:
@@ -104,12 +113,23 @@ def _has(c: str, k: str) -> str:
     FROM (SELECT *, {_modality_sql('said')} AS mode FROM ({_LED}))""",
 )
 def f15(t: Inputs) -> DataFrame:
-    return _led(t).select("record_id", R.modality_problem(F.col("said"), F.col("claimed"), F.col("kind")).alias("problem"))
+    return _led(t).select("record_id", R.promotion(F.col("said"), F.col("claimed"), F.col("kind")).alias("problem"))
+
 
+_RULE = "从现在起，这两条要求长期适用，直到我明确更改：回答必须简短"
+_SPLIT = ["回答必须简短", "不是从现在起长期适用，直到我明确更改", "从现在起回答必须简短，直到我明确更改", "从现在起长期适用：回答必须简短", "从现在起长期适用，直到我明确更改：回答必须简短"]
+_SPLIT_SQL = "CASE k % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_SPLIT)) + " END"
 
-@query("f16_qualifications")
+
+@query(
+    "f16_qualifications",
+    f"""SELECT record_id, CASE WHEN k % 7 = 0 OR kind NOT IN ('claim', 'decision') THEN NULL WHEN s LIKE '%不是从现在起%' THEN 'start_negated' WHEN NOT contains(s, '从现在起') THEN 'start_missing' WHEN NOT contains(s, '长期') THEN 'duration_missing' WHEN NOT contains(s, '直到我明确更改') THEN 'end_missing' END AS problem
+    FROM (SELECT record_id, k, kind, concat({_SPLIT_SQL}, statement) AS s FROM v_records)""",
+)
 def f16(t: Inputs) -> DataFrame:
-    return _led(t).select("record_id", R.qualification_problem(F.col("said"), F.col("claimed"), F.col("kind")).alias("problem"))
+    quote = F.when(F.col("k") % 7 == 0, F.col("quote")).otherwise(F.lit(_RULE))
+    said = F.concat(F.element_at(F.array(*map(F.lit, _SPLIT)), (F.col("k") % 5 + 1).cast("int")), "statement")
+    return t.v_records.select("record_id", R.split_rule(quote, said, F.col("kind")).alias("problem"))
 
 
 @query("f18_statement_checks", "SELECT record_id, contains(statement, '2024-02-0' || (k % 9 + 1)) OR k % 4 = 0 AS has_date, false AS immediate_command FROM (SELECT record_id, k, concat(CASE WHEN k % 4 = 0 THEN concat('2024年2月', k % 9 + 1, '日 ') WHEN k % 4 = 1 THEN concat('2024-02-0', k % 9 + 1) ELSE '' END, statement) AS statement FROM v_records)")
@@ -173,9 +193,20 @@ def f28(t: Inputs) -> DataFrame:
     return t.documents.select("doc_id", F.length(escaped_markdown("text")).alias("chars"))
 
 
-@query("f22_scope_observations")
+_SCOPED = "concat(CASE k % 3 WHEN 0 THEN '项目 Atlas 和项目 Borea：如果批准。它再议！' WHEN 1 THEN '如果批准' ELSE '' END, statement)"
+
+
+@query(
+    "f22_scope_observations",
+    rf"""WITH s AS (SELECT record_id, {_SCOPED} AS text FROM v_records), u AS (SELECT *, regexp_extract_all(text, '{R.UNIT}') AS us, regexp_extract_all(text, '{R.PROJECT}', 1) AS projects, len(regexp_extract_all(text, '(?i){R.PATTERNS['condition']}')) AS n FROM s),
+    x AS (SELECT *, unnest(us) AS unit, generate_subscripts(us, 1) AS i FROM u)
+    SELECT record_id, CAST(i - 1 AS INT) AS unit_no, CAST(length(array_to_string(us[1:i - 1], '')) AS INT) AS start_char, CAST(length(array_to_string(us[1:i], '')) AS INT) AS end_char, unit, CAST(len(regexp_extract_all(unit, '(?i){R.PATTERNS['condition']}')) AS INT) AS n_conditions,
+      array_to_string(projects, ',') AS projects, CASE WHEN n = 0 THEN '' ELSE array_to_string(list_filter(['condition_present_scope_unresolved', CASE WHEN len(list_distinct(projects)) > 1 THEN 'distinct_project_surface_names_not_independence' END, CASE WHEN regexp_matches(text, '(?i){R.POINTS_BACK}') THEN 'possible_reference_dependency' END,
+      CASE WHEN regexp_matches(text, '{R.LIST_ITEM}') OR regexp_matches(text, '{R.QUOTED_OR_TOLD}') THEN 'quoted_or_grouped_context_requires_review' END, CASE WHEN len(us) > 1 AND len(list_filter(us, lambda y: len(regexp_extract_all(y, '(?i){R.PATTERNS['condition']}')) = 0)) > 0 THEN 'condition_free_display_unit_not_unconditional_evidence' END], lambda y: y IS NOT NULL), ',') END AS reasons FROM x""",
+)
 def f22(t: Inputs) -> DataFrame:
-    return R.scope_observations(_led(t).select("record_id", F.col("said").alias("text")))
+    o = R.scope_observations(t.v_records.select("record_id", F.expr(_SCOPED).alias("text")))
+    return o.withColumns({"projects": F.array_join("projects", ","), "reasons": F.array_join("reasons", ",")})
 
 
 @query("f30_text_files")
@@ -185,14 +216,14 @@ def f30(t: Inputs) -> DataFrame:
 
 @query("p2_hidden_spans")
 def p2(t: Inputs) -> DataFrame:
-    text = F.concat(F.lit("<think>a <thinking>b</thinking> c</think>"), F.substring("text", 1, 200), F.when(F.col("conv_id") % 3 == 0, "<analysis>open").otherwise(""))
+    text = F.concat(F.lit("<think>a <thinking>b</thinking> c</think>"), F.col("text"), F.when(F.col("conv_id") % 3 == 0, "<analysis>open").otherwise(""))
     rows = t.v_messages.select("source_id", "message_id", text.alias("text"))
     return rows.select("source_id", "message_id", (F.length("text") == F.length(S.mask_hidden("text"))).alias("same_length"), F.contains(S.mask_hidden("text"), F.lit("b")).alias("still_b"), S.mask_hidden("text").alias("masked"))
 
 
 @query("q11_input_coverage")
 def q11(t: Inputs) -> DataFrame:
-    m = t.v_messages.select("source_id", "message_id", "role", "text", R.route(F.col("role"), F.col("text")).alias("route"))
-    spans = S.evidence_spans(m.where("route = 'conversation'"), 300).where(F.length("part") >= 12)
+    m = R.routed(t.v_pasted)
+    spans = S.cited_spans(m)
     sizes = m.select("source_id", "message_id", "route", F.length("text").cast("long").alias("size"))
     return span_coverage(sizes, spans.select("source_id", "message_id", "start_char", "end_char"), ["source_id", "message_id"])

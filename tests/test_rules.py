@@ -55,15 +55,15 @@ def test_modality(spark, text, mode):
         ("The wall is blue", "The wall is blue", "claim", None),
     ],
 )
-def test_modality_problem(spark, quote, statement, kind, why):
-    got = one(spark, [(quote, statement, kind)], "q string, s string, k string", R.modality_problem(F.col("q"), F.col("s"), F.col("k")))
+def test_promotion(spark, quote, statement, kind, why):
+    got = one(spark, [(quote, statement, kind)], "q string, s string, k string", R.promotion(F.col("q"), F.col("s"), F.col("k")))
     assert got == [why]
 
 
 def test_qualification(spark):
     quote = "从现在起，这两条要求长期适用，直到我明确更改：回答必须简短"
     rows = [(quote, "从现在起长期适用、直到我明确更改：回答必须简短"), (quote, "回答必须简短"), (quote, "从现在起回答必须简短，直到我明确更改"), (quote, "不是从现在起长期适用，直到我明确更改"), ("回答必须简短", "回答必须简短")]
-    got = one(spark, rows, "q string, s string", R.qualification_problem(F.col("q"), F.col("s"), F.lit("claim")))
+    got = one(spark, rows, "q string, s string", R.split_rule(F.col("q"), F.col("s"), F.lit("claim")))
     assert got == [None, "start_missing", "duration_missing", "start_negated", None]
 
 
@@ -250,3 +250,44 @@ def test_stream_ledger_and_reviews_equal_batch(spark, tmp_path):
     led.coalesce(1).write.parquet(f"{tmp_path}/led")
     got = run_stream(spark, led, ST.running_ledger(spark.readStream.schema(led.schema).parquet(f"{tmp_path}/led")), f"{tmp_path}/b", "complete")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ST.running_ledger(led).collect()))
+
+
+@pytest.mark.parametrize(
+    ("text", "cut", "summary", "want"),
+    [
+        ("请写一篇游记，记住我住在海边。", 15, False, ["记住我住在海边。"]),
+        ("我住在海边。\n\n好的\n\n继续！", 17, False, ["我住在海边。\n\n"]),
+        ("我住在海边，养猫", 6, False, ["我住在海边，"]),
+        ("SKILL.md has 30 lines", 21, True, []),
+        ("SKILL.md has 30 lines", 21, False, ["SKILL.md has 30 lines"]),
+        ("字" * 600 + "。" + "字" * 600, 1201, False, ["字" * 600 + "。", "字" * 600]),
+        ("。" + "字" * 1400, 1401, False, ["。" + "字" * 999, "字" * 401]),
+        ("", 0, False, []),
+    ],
+)
+def test_cited_ranges(text, cut, summary, want):
+    assert [text[a:b] for a, b in S.cited_ranges(text, cut, summary)] == want
+
+
+def test_routes(spark):
+    long = "细" * 450
+    rows = [
+        ("conversation", "assistant", "x", "assistant_reference", 0),
+        ("conversation", "user", "看看：\n你是编辑，职责如下" + long, "mixed_reference_document", 3),
+        ("conversation", "user", "你将扮演编辑，工作流程" + long, "reference_document", 0),
+        ("conversation", "user", "你是编辑，职责如下", "conversation", 9),
+        ("document", "assistant", "第二章：" + long, "reference_document", 0),
+        ("conversation", "user", "核心观点、内容架构、章末思考", "reference_document", 0),
+        ("conversation", "user", "", "conversation", 0),
+    ]
+    got = R.routed(spark.createDataFrame(rows, "source_type string, role string, text string, want string, at int")).collect()
+    assert [(r["route"], r["cut"]) for r in got] == [(r[3], r[4]) for r in rows]
+
+
+def test_source_context(spark):
+    rows = [("2024-02-03T10:00:00Z", "conversation", "Garden"), ("2024-02-03", "imported_summary", ""), ("2024-13-03", "conversation", None), ("soon", "document", None), (None, None, None)]
+    got = one(spark, rows, "c string, s string, t string", R.source_context(F.col("c"), F.col("s"), F.col("t")))
+    assert [g["source_date"] for g in got] == ["2024-02-03", "2024-02-03", None, None, None]
+    assert [g["relative_time_anchor"] for g in got] == ["2024-02-03", None, None, None, None]
+    assert [g["conversation_title"] for g in got] == ["Garden", None, None, None, None]
+    assert got[1]["date_role"] == "summary_update"
