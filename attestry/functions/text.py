@@ -17,17 +17,36 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def normal(text: Column | str) -> Column:
-    """NFKC and lower case; plain ASCII text skips Python."""
+def _unchanged() -> str:
+    """A character class of some scripts, without what NFKC changes or may join to what stands before."""
+    blocks = (range(0x180), range(0x2010, 0x2028), range(0x3000, 0x3100), range(0x4E00, 0xA000), range(0xAC00, 0xD7A4))
+    runs: list[list[int]] = []
+    for c in (c for block in blocks for c in block if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.category(chr(c)).startswith("M")):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+UNCHANGED = _unchanged()
+
+
+def compatible(text: Column | str) -> Column:
+    """NFKC; texts of characters that it leaves alone skip Python."""
     text = F.col(text) if isinstance(text, str) else text
-    plain = text.rlike(r"\A\p{ASCII}*\z")
-    return F.lower(F.when(plain, text).otherwise(nfkc(F.when(~plain, text))))
+    plain = text.rlike(rf"\A{UNCHANGED}*+\z")
+    return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))
+
+
+def normal(text: Column | str) -> Column:
+    """NFKC and lower case."""
+    return F.lower(compatible(text))
 
 
 def assertion_key(text: Column | str) -> Column:
-    """For comparing statements: lower case, no white space, no closing stops at either end."""
-    t = F.regexp_replace(F.lower(text), r"(?U)\s+", "")
-    return F.regexp_replace(t, r"^[。.!！]+|[。.!！]+$", "")
+    """For comparing statements: NFKC, no white space, no closing stops at either end; case stays."""
+    return F.regexp_replace(F.regexp_replace(compatible(text), r"(?U)\s+", ""), r"^[。.!！]+|[。.!！]+$", "")
 
 
 def collapsed(text: Column | str) -> Column:
@@ -47,8 +66,11 @@ def canonical_date(text: Column | str) -> Column:
 
 
 def escaped_markdown(text: Column | str) -> Column:
-    """A backslash before each character that Markdown reads as a mark."""
-    return F.regexp_replace(text, r"([\\`*_{}\[\]<>#|])", r"\\$1")
+    """Text that Markdown shows as it is: entities for &, < and >, a backslash before each mark, a blank for each line end."""
+    text = F.col(text) if isinstance(text, str) else text
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return F.replace(F.regexp_replace(text, r"([\\`*_{}\[\]#|])", r"\\$1"), F.lit("\n"), F.lit(" "))
 
 
 def json_size(struct: Column, keys: int, ignore_nulls: bool = False) -> Column:

@@ -195,8 +195,9 @@ def fingerprint(df: DataFrame, by: list[str], *cols: str) -> DataFrame:
 
 
 def group_assertions(df: DataFrame) -> DataFrame:
-    """Assertions that say the same, with all their references."""
-    return df.groupBy("owner", "scope", "status", "kind", assertion_key("subject").alias("subject_key"), assertion_key("statement").alias("statement_key")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("record_id")), ",").alias("refs"))
+    """Active assertions that say the same, in one state of review, with all their references."""
+    keys = ["owner", "scope", "status", "kind", "state", assertion_key("subject").alias("subject_key"), assertion_key("statement").alias("statement_key")]
+    return df.where("lifecycle = 'active'").groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("record_id")), ",").alias("refs"))
 
 
 def scope_generations(changes: DataFrame, refreshes: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attestry.functions.text import normal
+
 # Fixed values of the query grammar: wrappers and boundaries that carry no content, and words too common to open a match.
 WRAPPERS = ("请问", "请帮我", "帮我查一下", "我想知道", "告诉我", "有哪些", "是什么", "怎么样", "怎么", "如何", "是否", "什么", "我的", "我们")
 WRAPPERS_V3 = ("能不能", "有没有", "请帮忙", "帮我", "查一下", "查找", "查询", "检索", "看看", "哪些", "一下")
@@ -37,7 +39,9 @@ def _han(run: Column) -> Column:
 
 
 def query_units(queries: DataFrame, v3: bool = False) -> DataFrame:
-    """(query_id, kind, unit) of queries (query_id, query, already normalised): phrases, pairs, latin words and single characters."""
+    """(query_id, kind, unit) of queries (query_id, query): phrases, pairs, latin words and single characters."""
+
+    queries = queries.select("query_id", normal("query").alias("query"))
 
     def cleaned(wrappers: tuple[str, ...]) -> Column:
         q = F.col("query")
@@ -73,7 +77,7 @@ def postings(records: DataFrame, weights: dict[str, float] | None = None) -> Dat
     checked in the text. ``gate_weight`` counts content fields alone.
     """
     weights = {f: w for f, w in (weights or WEIGHTS).items() if f in records.columns}
-    fields = F.array(*(F.struct(F.lit(w).alias("weight"), F.lit(w if f in CONTENT else 0.0).alias("gate_weight"), F.coalesce(F.lower(f), F.lit("")).alias("text"), F.lit(f in ("subject", "subject_id")).alias("names")) for f, w in weights.items()))
+    fields = F.array(*(F.struct(F.lit(w).alias("weight"), F.lit(w if f in CONTENT else 0.0).alias("gate_weight"), F.coalesce(normal(F.col(f).cast("string")), F.lit("")).alias("text"), F.lit(f in ("subject", "subject_id")).alias("names")) for f, w in weights.items()))
     rows = records.select("record_id", F.explode(fields).alias("f")).select("record_id", "f.*")
     words = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z0-9_]+)"), F.lit(1))), lambda u: F.struct(F.lit("latin").alias("kind"), u.alias("unit")))
     han = F.regexp_extract_all("text", F.lit(f"([{HAN}]+)"), F.lit(1))
@@ -89,7 +93,7 @@ def _confirmed(wanted: DataFrame, records: DataFrame, weights: dict[str, float])
     rows = wanted.join(records.select("record_id", *weights), "record_id")
 
     def found(f: str) -> Column:
-        text = F.coalesce(F.lower(f), F.lit(""))
+        text = F.coalesce(normal(F.col(f).cast("string")), F.lit(""))
         bounded = F.concat(F.lit("(?<![a-z0-9_])"), F.replace("unit", F.lit("."), F.lit("\\.")), F.lit("(?![a-z0-9_])"))
         return F.when(F.col("kind") == "latin", F.rlike(text, bounded)).otherwise(F.contains(text, "unit"))
 
@@ -126,11 +130,11 @@ def search_v1(records: DataFrame, queries: DataFrame, fields: tuple[str, ...] =
     after that. A whole query is looked for only where all its terms are.
     """
     fields = tuple(f for f in fields if f in records.columns)
-    text = F.lower(F.concat_ws(" ", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)))
+    text = normal(F.concat_ws(" ", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)))
     docs = records.select("record_id", text.alias("text"))
     pattern = F.lit(r"([a-z0-9_]+|[一-鿿])")
     runs = docs.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all("text", pattern, F.lit(1)))).alias("run"))
-    asked = queries.select("query_id", F.lower("query").alias("query"))
+    asked = queries.select("query_id", normal("query").alias("query"))
     terms = asked.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("query", pattern, F.lit(1)))).alias("term"))
     # every substring of a distinct run that is as long as some term, against the distinct terms
     wanted = terms.select("term").distinct()

@@ -188,9 +188,9 @@ def f24(t: Inputs) -> DataFrame:
     return t.v_messages.select("source_id", "message_id", content_id("source_id", "message_id", "role", "text").alias("content_id"))
 
 
-@query("f28_markdown_escape", r"SELECT doc_id, length(regexp_replace(text, '([\\`*_{}\[\]<>#|])', '\\\1', 'g')) AS chars FROM documents")
+@query("f28_markdown_escape", r"SELECT doc_id, md5(replace(regexp_replace(replace(replace(replace(concat('a<b> & ', text), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{}\[\]#|])', '\\\1', 'g'), chr(10), ' ')) AS shown FROM documents")
 def f28(t: Inputs) -> DataFrame:
-    return t.documents.select("doc_id", F.length(escaped_markdown("text")).alias("chars"))
+    return t.documents.select("doc_id", F.md5(escaped_markdown(F.concat(F.lit("a<b> & "), "text")).cast("binary")).alias("shown"))
 
 
 _SCOPED = "concat(CASE k % 3 WHEN 0 THEN '项目 Atlas 和项目 Borea：如果批准。它再议！' WHEN 1 THEN '如果批准' ELSE '' END, statement)"

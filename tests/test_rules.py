@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import rules as R
 from attestry.functions import spans as S
-from attestry.functions.text import assertion_key, normal
+from attestry.functions.text import assertion_key, compatible, normal
 from attestry.operators import budgets as B
 from attestry.operators import joins as J
 from attestry.operators import mutations as M
@@ -175,6 +176,7 @@ def test_han_retrieval(spark):
     assert found("请问蓝湖项目有哪些", "v2")["r1"] == 8 + 14
     assert found("atlas-2", "v2") == {"r3": 8.0}
     assert found("猫", "v2") == {"r4": 12.0}
+    assert found("ＡＴＬＡＳ-2", "v2") == {"r3": 8.0}
     assert "r1" in found("预算和蓝湖", "v3")
     assert found("the of", "v2") == {}
 
@@ -219,7 +221,9 @@ def test_verify_archive_tampered(spark):
 
 def test_text_keys(spark):
     assert one(spark, [("ＡＢＣ ①",), ("Plain",), (None,)], "t string", normal("t")) == ["abc 1", "plain", None]
-    assert one(spark, [("。 好 的　！",)], "t string", assertion_key("t")) == ["好的"]
+    assert one(spark, [("。 好 的　！",), ("ＡＢＣ Ok.",)], "t string", assertion_key("t")) == ["好的", "ABCOk"]
+    texts = ["ﬁn", "e\u0301", "é", "ｱ", "한", "가", "½", "x", "\u00a0", "日本、語", "ĳ"]
+    assert one(spark, [(t,) for t in texts], "t string", compatible("t")) == [unicodedata.normalize("NFKC", t) for t in texts]
 
 
 def run_stream(spark, df, out, tmp, mode="append"):
