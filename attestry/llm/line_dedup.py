@@ -3,7 +3,8 @@
 Each partition fills two filters of its lines' keys: seen once, and seen twice. Filters merge by OR, and
 what two once-filters share goes to the twice-filter, so a key in two documents always has all its bits there. Only
 keys found in the merged twice-filter (suspects) are shuffled, as (128-bit digest, doc_id); their documents
-are counted exactly and the document that keeps the line is chosen. Texts are joined with their lists
+are counted exactly and the document that keeps the line is chosen. The most frequent of these keys, a bounded number, are
+broadcast, so that no task gathers all documents of one line. Texts are joined with their lists
 of lines to drop; a list is no longer than its document.
 """
 
@@ -25,6 +26,10 @@ SPACE = " \t\n\x0b\x0c\r"
 SEGMENT_BITS = 16
 #: Most bits of a filter: 64 MB to broadcast at any input size. A fuller filter only lets more suspects through.
 MOST_BITS = 29
+#: Most keys that are broadcast instead of shuffled (2 MB). A key counts as frequent from its share of all suspects on, so there can't be more.
+MOST_FREQUENT = 1 << 16
+#: Least documents of a frequent key.
+LEAST_FREQUENT = 1024
 
 
 def line_key(line: str) -> bytes:
@@ -43,6 +48,13 @@ def _positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+
+def _seen(table: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (table[p >> 6] & _BIT[p & 63]) != 0
+
+
 def filter_bits(docs: DataFrame) -> int:
     """About eight bits for each expected line, from the size of the input's files, within fixed bounds."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -52,18 +64,24 @@ def filter_bits(docs: DataFrame) -> int:
 def _filled(bits: int, least: int):
     """The once- and twice-filters of a partition, by segment."""
 
+    words = 1 << SEGMENT_BITS - 6
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice, some = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool), False
+        # packed: 64 MB each at most
+        once, twice, some = np.zeros(1 << bits - 6, np.uint64), np.zeros(1 << bits - 6, np.uint64), False
+
+        def put(table: np.ndarray, p: np.ndarray) -> None:
+            np.bitwise_or.at(table, p >> 6, _BIT[p & 63])
 
         def add(h: np.ndarray) -> None:
             # hashes of one document are distinct; within a batch of documents, repeats count as a second sight
             u, n = np.unique(h, return_counts=True)
             p, q = _positions(u, bits)
-            old = (once[p] & once[q]) | (n > 1)
-            twice[p[old]] = True
-            twice[q[old]] = True
-            once[p] = True
-            once[q] = True
+            old = (_seen(once, p) & _seen(once, q)) | (n > 1)
+            for at in (p, q):
+                put(twice, at[old])
+            for at in (p, q):
+                put(once, at)
 
         for batch in batches:
             held: list[int] = []
@@ -74,8 +92,7 @@ def _filled(bits: int, least: int):
                 add(np.array(held, np.uint64))
         if not some:
             return
-        o = np.packbits(once.reshape(-1, 1 << SEGMENT_BITS), axis=1)
-        t = np.packbits(twice.reshape(-1, 1 << SEGMENT_BITS), axis=1)
+        o, t = once.reshape(-1, words), twice.reshape(-1, words)
         full = np.flatnonzero(o.any(1))
         for i in range(0, len(full), 256):
             at = full[i : i + 256]
@@ -116,11 +133,7 @@ def repeated_filter(docs: DataFrame, least: int, bits: int) -> bytes:
 
 def _suspects(bits: int, least: int, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(known.value, np.uint8)
-
-        def seen(p: np.ndarray) -> np.ndarray:
-            return (table[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1
-
+        table = np.frombuffer(known.value, np.uint64)
         for batch in batches:
             keys, ids = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -130,7 +143,7 @@ def _suspects(bits: int, least: int, known):
             if not keys:
                 continue
             p, q = _positions(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits)
-            at = np.flatnonzero(seen(p) & seen(q)).tolist()
+            at = np.flatnonzero(_seen(table, p) & _seen(table, q)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(keys[i]) for i in at], pa.binary()), pa.array([ids[i] for i in at], pa.int64())], names=["key", "doc_id"])
 
     return run
@@ -179,9 +192,14 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bit
     known = docs.sparkSession.sparkContext.broadcast(repeated_filter(known_ids, least_chars, bits))
     suspects = scratch.keep("suspects", known_ids.select("doc_id", "text").mapInArrow(_suspects(bits, least_chars, known), "key binary, doc_id long").distinct())
     doomed = suspects.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= least_docs)
-    drops = suspects.join(doomed.select("key", "keeper"), "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
+    doomed = scratch.keep("doomed", doomed)
+    # at most MOST_FREQUENT keys can have so large a share of the suspects
+    share = max(LEAST_FREQUENT, suspects.count() // MOST_FREQUENT + 1)
+    frequent = F.broadcast(doomed.where(F.col("docs") >= share).select("key", "keeper"))
+    rare = suspects.join(frequent.select("key"), "key", "left_anti").join(doomed.where(F.col("docs") < share).select("key", "keeper").hint("merge"), "key")
+    drops = suspects.join(frequent, "key").unionByName(rare).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
     drops = scratch.keep("drops", drops)
-    scratch.drop("suspects")
+    scratch.drop("suspects", "doomed")
     # texts that lose no line are not shuffled: a map of bounded size tells which may
     words = scratch.keep("words", id_words(drops))
     marked = docs.withColumn("bit", id_bit(F.col("doc_id"))).withColumn("word", F.shiftright("bit", 5)).join(F.broadcast(words), "word", "left")

@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold_of, prepare
 
@@ -109,39 +110,40 @@ def fit_on(texts: list[str], good: list[bool]) -> Classifier:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> Classifier:
-    """Learns from labelled rows outside the held-out fold: at most ``SAMPLE_TEXTS`` a class, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> Classifier:
+    """Learns from labelled rows outside the held-out fold: at most ``sample_texts`` a class, chosen by a hash of the id.
 
-    Texts longer than ``SAMPLE_CHARS`` are left out of the sample (not of the scoring). Rows without a quality
+    A document with both labels teaches both. Texts longer than ``sample_chars`` are left out of the sample (not of the scoring). Rows without a quality
     label or id teach nothing; if one class is missing all scores are those of the other, and without labels 0.5.
     """
     labels = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     labels = labels.where(fold_of(F.col("doc_id"), folds) != held_out).distinct()
     order = F.xxhash64("doc_id")
-    some = [labels.where(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE_TEXTS) for q in (0, 1)]
-    chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * SAMPLE_TEXTS rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= SAMPLE_CHARS).join(chosen, "doc_id")
-    rows = texts.orderBy(order, "doc_id", "quality").limit(2 * SAMPLE_TEXTS).select("text", "quality").collect()
+    some = [labels.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample_texts) for q in (0, 1)]
+    chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * sample_texts rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= sample_chars).join(chosen, "doc_id")
+    rows = texts.orderBy(order, "doc_id", "quality").limit(2 * sample_texts).select("text", "quality").collect()
     return fit_on([r["text"] for r in rows], [r["quality"] == 1 for r in rows])
 
 
-def _scored(model):
+def _scored(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.scores(texts), pa.float64())], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.scores(texts), pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def with_quality(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` with a last column ``quality_score`` (0 to 1, higher is better); needs a column ``text``.
+def with_quality(docs: DataFrame, model: Classifier, name: str = "quality_score") -> DataFrame:
+    """``docs`` with a last column ``name`` (0 to 1, higher is better); needs a column ``text``.
 
-    A null text counts as an empty one. All rows and columns come back; the name ``quality_score`` must be free
-    (a column of that name is replaced). The whole text is compressed, in blocks of ``BLOCK`` bytes.
+    A null text counts as an empty one. All rows and columns come back. If there is a column of that name already (in any case), the
+    score's name gets as many underscores in front as make it new. The whole text is compressed, in blocks of ``BLOCK`` bytes.
     """
     prepare(docs.sparkSession)
-    docs = docs.drop("quality_score")
+    there = {c.lower() for c in docs.columns}
+    while name.lower() in there:
+        name = "_" + name
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_scored(shared), fields + ", quality_score double")
+    return docs.mapInArrow(_scored(shared, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -27,6 +27,7 @@ from attestry.llm.line_dedup import dedup_lines
 from attestry.llm.near_vectors import near_vectors
 from attestry.llm.ngram_join import ngram_jaccard_join, tree_pairs
 from attestry.llm.packing import pack
+from attestry.llm.quality import fit as quality_fit
 from attestry.llm.quality import fit_on, with_quality
 from attestry.llm.topk_search import top_k_search
 from attestry.llm.word_tokens import WordTokens
@@ -461,3 +462,40 @@ def test_line_dedup(docs, empty, bits):
         want[i, len(lines), len(lines) - len(stay), "\n".join(stay)] += 1
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in dedup_lines(docs, bits=bits).collect()) == want
     assert dedup_lines(empty).count() == 0
+
+
+def test_fit_reads_its_own_folds_only(spark):
+    r = random.Random(3)
+    good, bad = (lambda: " ".join(r.choices(["river", "stone", "walks", "under"], k=40))), (lambda: "$$$ BUY!!! " * r.randint(5, 20) + str(r.random()))
+    rows, labels = [], []
+    for i in range(400):
+        held = zlib.crc32(str(i).encode()) % 3 == 1
+        rows.append((i, good() if (i % 2 == 0) != held else bad()))  # in the held-out fold all labels are wrong
+        labels.append((i, 1 - i % 2))
+    rows += [(500, good()), (501, None), (None, bad())]
+    labels += [(500, 0), (500, 1), (501, 1), (None, 1), (502, None)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality_fit(docs, lab)
+    assert (model.scores([good() for _ in range(50)]) > 0.5).all() and (model.scores([bad() for _ in range(50)]) < 0.5).all()
+    one_class = quality_fit(docs, lab.where("quality = 1"))
+    assert (one_class.scores(["x", "river stone"]) > 0.99).all()
+    assert np.allclose(quality_fit(docs, lab.limit(0)).scores(["x", None]), 0.5)
+
+
+def test_quality_keeps_clashing_columns(spark):
+    model = fit_on(["a b"], [True])
+    docs = spark.createDataFrame([(1, "x", 9.0, "y")], "doc_id long, text string, quality_score double, _Quality_score string")
+    got = with_quality(docs, model)
+    assert got.columns == [*docs.columns, "__quality_score"]
+    assert got.collect()[0][:4] == (1, "x", 9.0, "y")
+
+
+def test_frequent_lines_are_broadcast(spark, monkeypatch):
+    from attestry.llm import line_dedup as D
+
+    rows = [(i, f"own line of document {i}, which nobody else has\n" + "the line that all of the documents have in common\n" * 2 + f"a line that only some of the documents have: {i % 7}, no more") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, dedup_lines(docs).collect()))
+    monkeypatch.setattr(D, "LEAST_FREQUENT", 20)
+    assert sorted(map(tuple, dedup_lines(docs).collect())) == plain
+    assert sum(r[2] for r in plain) == 59 * 2 + 60 - 7
