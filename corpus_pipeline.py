@@ -16,7 +16,8 @@ from attestry.llm.quality import fit, with_quality
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_quality(docs, model).where("quality_score >= 0.5").drop("quality_score")
+    scored = with_quality(docs, model)
+    return scored.where(F.col(scored.columns[-1]) >= 0.5).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
