@@ -8,9 +8,13 @@ so that the classes meeting at a shingle are few, or else nearly the same text.
 The classes that meet at one shingle (a *run*) are joined by a signature tree: leaves hold a
 class's token bitmap and size, inner nodes the OR of their children's bitmaps and the range of sizes. A dual
 traversal drops each pair of nodes whose largest possible overlap stays below the least overlap needed
-by their sizes, and each pair that is linked already. Of the surviving pairs of a run only a spanning forest is verified
+by their sizes, and each pair whose leaves are all linked already. Of the surviving pairs of a run only a spanning forest is verified
 first; a second round verifies every surviving pair that still lies in different components, so no component is lost while
 a group of thousands of near copies needs no more pairs than it has members, as long as it holds together.
+
+No task holds a whole large run. In the first round a run is dealt to blocks that share a few classes (so that their
+forests hang together); what blocks miss of each other is left to the second round. There the classes of a run's largest component need not
+meet each other: only blocks of the others meet all blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MAP_BITS as MAP_OF_IDS
@@ -34,12 +38,17 @@ MAP_BITS = 26
 FREQUENT = 24
 #: Widest leaf bitmap in bits.
 WIDEST = 1 << 14
+#: Classes of a block of a run, and how many of them are in all blocks of the first round.
+BLOCK, SHARED = 1024, 32
+#: Bytes of input for each bucket of shingles, and most buckets (as a power of two).
+BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 20
 _U = np.uint64
 
 
-def _buckets(spark: SparkSession) -> int:
-    """A power of two that grows with the number of shuffle partitions, and so with the input."""
-    return 1 << min(16, max(6, (2 * shuffle_partitions(spark) - 1).bit_length()))
+def _buckets(docs: DataFrame) -> int:
+    """A power of two that grows with the input's size."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 << min(MOST_BUCKETS, max(6, (size // BUCKET_BYTES).bit_length()))
 
 
 def _prefix(n: int, num: int) -> int:
@@ -232,67 +241,86 @@ class SignatureTree:
         return (most >= need) & (100 * hi[a] >= num * lo[b]) & (100 * hi[b] >= num * lo[a])
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+class _Labels:
+    """Components of leaves, up to date after each link: the smaller one takes the other's label."""
+
+    def __init__(self, n: int):
+        self.of, self.members = np.arange(n), [[k] for k in range(n)]
+
+    def link(self, x: int, y: int) -> bool:
+        a, b = int(self.of[x]), int(self.of[y])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.of[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+        return True
 
 
 def tree_pairs(sizes: np.ndarray, maps: np.ndarray, num: int, group: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Pairs (by position) that a dual traversal of the tree with itself can't drop.
 
-    Without ``group``: a spanning forest of them. With it: all whose groups differ.
+    Without ``group``: a spanning forest of them. With it: all whose groups differ. A node with itself is never dropped, so that
+    the traversal is that of all pairs of siblings, from the lowest upwards: by then the leaves of like siblings are mostly one component, and
+    the first link between two such nodes drops all their other pairs.
     """
     tree = SignatureTree(sizes, maps)
     count, fan = len(sizes), SignatureTree.FAN
-    order = tree.order
-    parent = list(range(count))
-    # group of all leaves below each node, or -1 if they differ
-    same: list[np.ndarray] = []
+    order, top = tree.order, len(tree.levels) - 1
+    labels = _Labels(count)
     if group is not None:
-        g = group[order]
-        same.append(g)
-        for lvl in range(1, len(tree.levels)):
-            at = np.arange(0, len(same[-1]), fan)
-            low, high = np.minimum.reduceat(same[-1], at), np.maximum.reduceat(same[-1], at)
-            same.append(np.where(low == high, low, -1))
-    top = len(tree.levels) - 1
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while stack:
-        level, a, b = stack.pop()
-        keep = tree.keeps(level, a, b, num) | (a == b)
-        if group is not None:
-            keep &= ~((same[level][a] == same[level][b]) & (same[level][a] >= 0))
-        a, b = a[keep], b[keep]
-        if not len(a):
-            continue
-        if level == 0:
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                if x == y:
-                    continue
-                if group is None:
-                    p, q = _find(parent, x), _find(parent, y)
-                    if p == q:
-                        continue
-                    parent[q] = p
-                yield int(order[x]), int(order[y])
-            continue
-        below = len(tree.levels[level - 1][1])
-        kids = np.arange(fan)
-        # few node pairs at a time: the pairs in hand stay bounded, and links found early spare later pairs
-        for i in range(0, len(a), 64):
-            x = (a[i : i + 64, None] * fan + kids)[:, :, None].repeat(fan, 2)
-            y = (b[i : i + 64, None] * fan + kids)[:, None, :].repeat(fan, 1)
-            x, y = x.ravel(), y.ravel()
-            ok = (x < below) & (y < below) & (x <= y)
-            x, y = x[ok], y[ok]
-            if group is None and level == 1:
-                roots = np.array([_find(parent, k) for k in range(count)]) if count <= 4096 else None
-                if roots is not None:
-                    ok = (roots[x] != roots[y]) | (x == y)
-                    x, y = x[ok], y[ok]
-            stack.append((level - 1, x, y))
+        labels.of = np.unique(group[order], return_inverse=True)[1]
+
+    def same() -> list[np.ndarray]:
+        """For each node, whether its leaves are all one component."""
+        low = high = labels.of
+        out = [np.ones(count, bool)]
+        for _ in range(top):
+            at = np.arange(0, len(low), fan)
+            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            out.append(low == high)
+        return out
+
+    def cut(level: int, a: np.ndarray, b: np.ndarray, whole: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that aren't linked already."""
+        leaf = fan**level
+        done = whole[level][a] & whole[level][b] & (labels.of[a * leaf] == labels.of[b * leaf])
+        return a[~done], b[~done]
+
+    one, other = np.triu_indices(fan, 1)
+    for above in range(1, top + 1):
+        whole = same()
+        below = len(tree.levels[above - 1][1])
+        parents = np.arange(len(tree.levels[above][1]))[:, None] * fan
+        a, b = (parents + one).ravel(), (parents + other).ravel()
+        ok = b < below
+        a, b = a[ok], b[ok]
+        stack = [(above - 1, a[i : i + 4096], b[i : i + 4096]) for i in range(0, len(a), 4096)]
+        while stack:
+            level, a, b = stack.pop()
+            a, b = cut(level, a, b, whole)
+            if not len(a):
+                continue
+            keep = tree.keeps(level, a, b, num)
+            a, b = a[keep], b[keep]
+            if level == 0:
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    if group is not None or labels.link(x, y):
+                        yield int(order[x]), int(order[y])
+                continue
+            below = len(tree.levels[level - 1][1])
+            kids = np.arange(fan)
+            # few node pairs at a time: the pairs in hand stay bounded, and links found early spare later pairs
+            for i in range(0, len(a), 64):
+                x = (a[i : i + 64, None] * fan + kids)[:, :, None].repeat(fan, 2).ravel()
+                y = (b[i : i + 64, None] * fan + kids)[:, None, :].repeat(fan, 1).ravel()
+                ok = (x < below) & (y < below)
+                # the first link of two whole nodes ends their search: try a few leaves first
+                for j in range(0, len(x), 4096 if level > 1 else 512):
+                    part = slice(j, j + (4096 if level > 1 else 512))
+                    stack.append((level - 1, x[part][ok[part]], y[part][ok[part]]))
 
 
 def _folded(maps: list[bytes]) -> np.ndarray:
@@ -335,7 +363,7 @@ def _run_pairs(sizes: np.ndarray, reps: np.ndarray, maps: list[bytes], group: np
 
 
 def _meet(num: int, grouped: bool):
-    """Surviving pairs of each run; rows come sorted by run, and one run is in hand at a time."""
+    """Surviving pairs of each block of a run (of two, if ``grouped``), known by ``run``; rows come sorted by it, and one is in hand at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -419,7 +447,7 @@ def _verified(num: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None = None) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None = None, block: int = BLOCK, shared: int = SHARED) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (needs doc_id, text).
 
     Two rows link when the Jaccard similarity of their sets of 5-word shingles is at least ``percent`` %.
@@ -431,7 +459,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(spark, "ngram-join")
-    bits = min(MAP_BITS - 6, (spread or _buckets(spark)).bit_length() - 1)
+    bits = min(MAP_BITS - 6, (spread or _buckets(docs)).bit_length() - 1)
     sketch = scratch.keep("sketch", docs.mapInArrow(_sketch, "doc_id long, n long, fp long, bits binary"))
     often = spark.sparkContext.broadcast(frequent_map(docs, bits).tobytes())
     classes = sketch.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
@@ -439,17 +467,29 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
     blobs = docs.where("doc_id is not null").select("text").mapInArrow(_postings(bits, percent, often), "bucket int, blob binary")
     runs = blobs.groupBy("bucket").applyInPandas(_runs, "run long, members array<long>").dropDuplicates(["run"])
     members = scratch.keep("runs", runs.select("run", F.explode("members").alias("fp")))
+    # how many blocks each large run needs; smaller runs are one block
+    large = members.groupBy("run").agg(F.count("*").alias("size")).where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    large = scratch.keep("large", large)
     met = members.join(classes, "fp")
 
     def surviving(rows: DataFrame, grouped: bool) -> DataFrame:
-        cols = ["run", "rep", "n", "bits"] + ["component"] * grouped
-        return rows.select(*cols).repartition(shuffle_partitions(spark), "run").sortWithinPartitions("run").mapInArrow(_meet(percent, grouped), "a long, b long").distinct()
-
-    first = scratch.keep("first", surviving(met, False))
-    need = spark.sparkContext.broadcast(_need_map(first.select(F.explode(F.array("a", "b")).alias("doc_id"))).tobytes())
+        cols = ["rep", "n", "bits"] + ["component"] * grouped
+        rows = rows.select(F.xxhash64("run", "part").alias("run"), *cols)
+        return rows.repartition(shuffle_partitions(spark), "run").sortWithinPartitions("run").mapInArrow(_meet(percent, grouped), "a long, b long").distinct()
+
+    def dealt(salt: int, n: Column) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
+
+    blocks = F.coalesce("blocks", F.lit(1))
+    in_all = (blocks > 1) & (dealt(1, F.coalesce("size", F.lit(1))) < shared)
+    parts = F.when(in_all, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(dealt(0, blocks)))
+    first = scratch.keep("first", surviving(met.join(large, "run", "left").withColumn("part", F.explode(parts)), False))
+    # classes whose sets may be asked for: those of surviving pairs, and those of runs in several blocks, whose other pairs are still open
+    ends = first.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(met.join(large, "run", "left_semi").select(F.col("rep").alias("doc_id"))).distinct()
+    ends = scratch.keep("ends", ends)
+    need = spark.sparkContext.broadcast(_need_map(ends).tobytes())
     wanted = docs.where("doc_id is not null").select("doc_id", "text", id_bit(F.col("doc_id")).alias("bit"))
     sets = wanted.mapInArrow(_sets(need), "doc_id long, grams binary")
-    ends = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = scratch.keep("sets", sets.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -462,10 +502,21 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
     ends = ends.withColumnRenamed("doc_id", "rep")
     again = met.join(ends, "rep", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = again.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("run")
-    second = surviving(again.join(mixed, "run", "left_semi"), True).join(first, ["a", "b"], "left_anti")
+    again = again.join(mixed, "run", "left_semi")
+    # of a large run, the largest component's classes come after the others' blocks and don't meet each other
+    counted = again.join(large.select("run"), "run", "left_semi").groupBy("run", "component").agg(F.count("*").alias("n"))
+    plan = counted.groupBy("run").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    plan = plan.select("run", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("others"), F.ceil(F.col("most") / block).cast("int").alias("mains"))
+    plan = scratch.keep("plan", plan)
+    rows = again.join(plan, "run", "left").withColumn("is_main", F.col("component") == F.col("main"))
+    rows = rows.withColumn("own", F.when(F.col("is_main"), F.col("others") + dealt(2, F.col("mains"))).otherwise(dealt(2, F.greatest("others", F.lit(1)))))
+    facing = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    parts = F.transform(facing, lambda o: F.struct(F.least("own", o).alias("lo"), F.greatest("own", o).alias("hi")))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("main").isNull(), F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(parts)))
+    second = surviving(rows, True).join(first, ["a", "b"], "left_anti")
     more = scratch.keep("more", verified(second))
     comps = scratch.keep("comps", connected_components(links.unionByName(more), scratch, "cc2", "a", "b"))
-    scratch.drop("runs", "first", "sets", "links", "more", "found")
+    scratch.drop("runs", "large", "plan", "ends", "first", "sets", "links", "more", "found")
     of_class = classes.select("fp", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n", "fp").join(of_class, ["fp", "n"], "left")
     # a row without shingles or without id stands alone

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -25,7 +26,7 @@ from attestry.llm.hashing import shingle_sets
 from attestry.llm.licences import TEMPLATES, scan_licences
 from attestry.llm.line_dedup import dedup_lines
 from attestry.llm.near_vectors import near_vectors
-from attestry.llm.ngram_join import ngram_jaccard_join, tree_pairs
+from attestry.llm.ngram_join import _bitmap, _folded, ngram_jaccard_join, tree_pairs
 from attestry.llm.packing import pack
 from attestry.llm.quality import fit as quality_fit
 from attestry.llm.quality import fit_on, with_quality
@@ -131,6 +132,38 @@ def test_ngram_join(docs, empty):
     assert ngram_jaccard_join(empty).count() == 0
 
 
+@pytest.mark.parametrize("shared", [0, 2])
+def test_ngram_join_with_small_blocks(spark, docs, shared):
+    """Large runs of near copies, with some that only look alike, split into blocks of four classes."""
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(40)]
+    rows = [x for x in corpus() if x[0] is not None]
+    for i in range(200, 260):
+        t = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            t[r.randrange(40)] = f"new{r.randrange(99)}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_jaccard_join(df, spread=64, block=4, shared=shared).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == near_classes(rows)
+
+
+def test_tree_is_near_linear_in_near_copies():
+    r = np.random.default_rng(0)
+    base, took = r.integers(0, 2**63, 200).astype(np.uint64), {}
+    for n in (2000, 8000, 20_000):
+        maps = []
+        for _ in range(n):
+            s = base.copy()
+            s[r.integers(0, 200, 8)] = r.integers(0, 2**63, 8).astype(np.uint64)
+            maps.append(_bitmap(np.unique(s)))
+        began = time.process_time()
+        found = list(tree_pairs(np.full(n, 200), _folded(maps), 75))
+        took[n] = time.process_time() - began
+        assert len(found) == n - 1
+    assert took[20_000] < 30 * took[2000] + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=30), min_size=2, max_size=40), st.booleans())
 def test_tree_loses_no_pair(sets, spread):
