@@ -13,8 +13,9 @@ first; a second round verifies every surviving pair that still lies in different
 a group of thousands of near copies needs no more pairs than it has members, as long as it holds together.
 
 No task holds a whole large run. In the first round a run is dealt to blocks that share a few classes (so that their
-forests hang together); what blocks miss of each other is left to the second round. There the classes of a run's largest component need not
-meet each other: only blocks of the others meet all blocks.
+forests hang together); what blocks miss of each other is left to the rounds after. There the classes of a run's largest component need not
+meet each other: only blocks of the others meet all blocks. Large runs have one more round before the last: each class tries a few
+pairs with other components first, which leaves few components whose every pair must be verified.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ FREQUENT = 24
 WIDEST = 1 << 14
 #: Classes of a block of a run, and how many of them are in all blocks of the first round.
 BLOCK, SHARED = 1024, 32
+#: Pairs that a class of a large run tries before the last round.
+TRIES = 4
 #: Bytes of input for each bucket of shingles, and most buckets (as a power of two).
 BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 20
 _U = np.uint64
@@ -211,7 +214,8 @@ def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
     for a, b in zip(at[end - at > 1], end[end - at > 1], strict=True):
         seen.setdefault(hash(f[a:b].tobytes()), f[a:b])
     keys = [_print(np.frombuffer(v.tobytes(), _U)) for v in seen.values()]
-    return pd.DataFrame({"run": pd.Series(keys, dtype="int64"), "members": pd.Series(list(seen.values()), dtype="object")})
+    sizes = [len(v) for v in seen.values()]
+    return pd.DataFrame({"run": pd.Series(keys, dtype="int64"), "size": pd.Series(sizes, dtype="int64"), "members": pd.Series(list(seen.values()), dtype="object")})
 
 
 class SignatureTree:
@@ -259,17 +263,18 @@ class _Labels:
         return True
 
 
-def tree_pairs(sizes: np.ndarray, maps: np.ndarray, num: int, group: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def tree_pairs(sizes: np.ndarray, maps: np.ndarray, num: int, group: np.ndarray | None = None, tries: int | None = None) -> Iterator[tuple[int, int]]:
     """Pairs (by position) that a dual traversal of the tree with itself can't drop.
 
-    Without ``group``: a spanning forest of them. With it: all whose groups differ. A node with itself is never dropped, so that
+    Without ``group``: a spanning forest of them. With it: all whose groups differ, or with ``tries`` those of them that give one of their
+    two sets one of its first so many pairs. A node with itself is never dropped, so that
     the traversal is that of all pairs of siblings, from the lowest upwards: by then the leaves of like siblings are mostly one component, and
     the first link between two such nodes drops all their other pairs.
     """
     tree = SignatureTree(sizes, maps)
     count, fan = len(sizes), SignatureTree.FAN
     order, top = tree.order, len(tree.levels) - 1
-    labels = _Labels(count)
+    labels, tried = _Labels(count), [0] * count
     if group is not None:
         labels.of = np.unique(group[order], return_inverse=True)[1]
 
@@ -307,8 +312,15 @@ def tree_pairs(sizes: np.ndarray, maps: np.ndarray, num: int, group: np.ndarray
             a, b = a[keep], b[keep]
             if level == 0:
                 for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    if group is not None or labels.link(x, y):
-                        yield int(order[x]), int(order[y])
+                    if group is None:
+                        if not labels.link(x, y):
+                            continue
+                    elif tries is not None:
+                        if tried[x] >= tries and tried[y] >= tries:
+                            continue
+                        tried[x] += 1
+                        tried[y] += 1
+                    yield int(order[x]), int(order[y])
                 continue
             below = len(tree.levels[level - 1][1])
             kids = np.arange(fan)
@@ -344,7 +356,7 @@ def _may_link(sizes: list[int], maps: list[bytes], num: int) -> bool:
     return most >= -(-num * (a + b) // (100 + num)) and 100 * a >= num * b and 100 * b >= num * a
 
 
-def _run_pairs(sizes: np.ndarray, reps: np.ndarray, maps: list[bytes], group: np.ndarray | None, num: int) -> set[tuple[int, int]]:
+def _run_pairs(sizes: np.ndarray, reps: np.ndarray, maps: list[bytes], group: np.ndarray | None, num: int, tries: int | None) -> set[tuple[int, int]]:
     """Surviving pairs of a run's classes, by representative."""
     if len(reps) == 2:
         x, y = int(reps[0]), int(reps[1])
@@ -356,13 +368,13 @@ def _run_pairs(sizes: np.ndarray, reps: np.ndarray, maps: list[bytes], group: np
     for w in np.unique(widths):
         at = np.flatnonzero((widths == w) | (widths == 2 * w))
         if len(at) > 1:
-            for i, j in tree_pairs(sizes[at], _folded([maps[k] for k in at]), num, None if group is None else group[at]):
+            for i, j in tree_pairs(sizes[at], _folded([maps[k] for k in at]), num, None if group is None else group[at], tries):
                 x, y = int(reps[at[i]]), int(reps[at[j]])
                 pairs.add((min(x, y), max(x, y)))
     return pairs
 
 
-def _meet(num: int, grouped: bool):
+def _meet(num: int, grouped: bool, tries: int | None):
     """Surviving pairs of each block of a run (of two, if ``grouped``), known by ``run``; rows come sorted by it, and one is in hand at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +388,7 @@ def _meet(num: int, grouped: bool):
             edges = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1], [True])))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a > 1:
-                    seen.update(_run_pairs(sizes[a:b], reps[a:b], maps[a:b], None if group is None else group[a:b], num))
+                    seen.update(_run_pairs(sizes[a:b], reps[a:b], maps[a:b], None if group is None else group[a:b], num, tries))
 
         def out() -> pa.RecordBatch:
             both = np.array(sorted(seen), np.int64).reshape(-1, 2)
@@ -447,7 +459,7 @@ def _verified(num: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None = None, block: int = BLOCK, shared: int = SHARED) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None = None, block: int = BLOCK, shared: int = SHARED, tries: int = TRIES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (needs doc_id, text).
 
     Two rows link when the Jaccard similarity of their sets of 5-word shingles is at least ``percent`` %.
@@ -465,27 +477,24 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
     classes = sketch.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
     classes = scratch.keep("classes", classes)
     blobs = docs.where("doc_id is not null").select("text").mapInArrow(_postings(bits, percent, often), "bucket int, blob binary")
-    runs = blobs.groupBy("bucket").applyInPandas(_runs, "run long, members array<long>").dropDuplicates(["run"])
-    members = scratch.keep("runs", runs.select("run", F.explode("members").alias("fp")))
-    # how many blocks each large run needs; smaller runs are one block
-    large = members.groupBy("run").agg(F.count("*").alias("size")).where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    large = scratch.keep("large", large)
+    runs = blobs.groupBy("bucket").applyInPandas(_runs, "run long, size long, members array<long>").dropDuplicates(["run"])
+    members = scratch.keep("runs", runs.select("run", "size", F.explode("members").alias("fp")))
+    blocks, large = F.ceil(F.col("size") / block).cast("int"), F.col("size") > block
     met = members.join(classes, "fp")
 
-    def surviving(rows: DataFrame, grouped: bool) -> DataFrame:
-        cols = ["rep", "n", "bits"] + ["component"] * grouped
-        rows = rows.select(F.xxhash64("run", "part").alias("run"), *cols)
-        return rows.repartition(shuffle_partitions(spark), "run").sortWithinPartitions("run").mapInArrow(_meet(percent, grouped), "a long, b long").distinct()
-
     def dealt(salt: int, n: Column) -> Column:
         return F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
 
-    blocks = F.coalesce("blocks", F.lit(1))
-    in_all = (blocks > 1) & (dealt(1, F.coalesce("size", F.lit(1))) < shared)
+    def surviving(rows: DataFrame, grouped: bool, tries: int | None = None) -> DataFrame:
+        cols = ["rep", "n", "bits"] + ["component"] * grouped
+        rows = rows.select(F.xxhash64("run", "part").alias("run"), *cols)
+        return rows.repartition(shuffle_partitions(spark), "run").sortWithinPartitions("run").mapInArrow(_meet(percent, grouped, tries), "a long, b long").distinct()
+
+    in_all = large & (dealt(1, F.col("size")) < shared)
     parts = F.when(in_all, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(dealt(0, blocks)))
-    first = scratch.keep("first", surviving(met.join(large, "run", "left").withColumn("part", F.explode(parts)), False))
+    first = scratch.keep("first", surviving(met.withColumn("part", F.explode(parts)), False))
     # classes whose sets may be asked for: those of surviving pairs, and those of runs in several blocks, whose other pairs are still open
-    ends = first.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(met.join(large, "run", "left_semi").select(F.col("rep").alias("doc_id"))).distinct()
+    ends = first.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(met.where(large).select(F.col("rep").alias("doc_id"))).distinct()
     ends = scratch.keep("ends", ends)
     need = spark.sparkContext.broadcast(_need_map(ends).tobytes())
     wanted = docs.where("doc_id is not null").select("doc_id", "text", id_bit(F.col("doc_id")).alias("bit"))
@@ -499,24 +508,35 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
 
     links = scratch.keep("links", verified(first))
     found = scratch.keep("found", connected_components(links, scratch, "cc1", "a", "b"))
-    ends = ends.withColumnRenamed("doc_id", "rep")
-    again = met.join(ends, "rep", "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = again.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("run")
-    again = again.join(mixed, "run", "left_semi")
-    # of a large run, the largest component's classes come after the others' blocks and don't meet each other
-    counted = again.join(large.select("run"), "run", "left_semi").groupBy("run", "component").agg(F.count("*").alias("n"))
-    plan = counted.groupBy("run").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    plan = plan.select("run", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("others"), F.ceil(F.col("most") / block).cast("int").alias("mains"))
-    plan = scratch.keep("plan", plan)
-    rows = again.join(plan, "run", "left").withColumn("is_main", F.col("component") == F.col("main"))
-    rows = rows.withColumn("own", F.when(F.col("is_main"), F.col("others") + dealt(2, F.col("mains"))).otherwise(dealt(2, F.greatest("others", F.lit(1)))))
-    facing = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
-    parts = F.transform(facing, lambda o: F.struct(F.least("own", o).alias("lo"), F.greatest("own", o).alias("hi")))
-    rows = rows.withColumn("part", F.explode(F.when(F.col("main").isNull(), F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(parts)))
-    second = surviving(rows, True).join(first, ["a", "b"], "left_anti")
+
+    def still_apart(comps: DataFrame, which: Column) -> DataFrame:
+        """Classes of runs with several components, with the run's largest one (``main``) and the sizes of it and of the rest."""
+        rows = met.where(which).join(ends.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
+        rows = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("piece", dealt(3, blocks))
+        counts = rows.groupBy("run", "size", "component").agg(F.count("*").alias("n")).groupBy("run", "size")
+        plan = counts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
+        # a large run's plan comes in as many pieces as the run, so that no task joins all of it
+        plan = plan.withColumn("piece", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("size")
+        return rows.join(plan, ["run", "piece"])
+
+    def facing(rows: DataFrame) -> DataFrame:
+        """Large runs by pairs of blocks: the main component's classes come after the others' blocks and don't meet each other."""
+        others, mains = F.ceil((F.col("all") - F.col("most")) / block).cast("int"), F.ceil(F.col("most") / block).cast("int")
+        is_main = F.col("component") == F.col("main")
+        rows = rows.withColumn("own", F.when(is_main, others + dealt(2, mains)).otherwise(dealt(2, others)))
+        met_by = F.sequence(F.lit(0), F.when(is_main, others).otherwise(others + mains) - 1)
+        return rows.withColumn("part", F.explode(F.transform(met_by, lambda o: F.struct(F.least("own", o).alias("lo"), F.greatest("own", o).alias("hi")))))
+
+    small = surviving(still_apart(found, ~large).withColumn("part", F.lit(0)), True)
+    second = scratch.keep("second", small.unionByName(surviving(facing(still_apart(found, large)), True, tries)).join(first, ["a", "b"], "left_anti"))
     more = scratch.keep("more", verified(second))
-    comps = scratch.keep("comps", connected_components(links.unionByName(more), scratch, "cc2", "a", "b"))
-    scratch.drop("runs", "large", "plan", "ends", "first", "sets", "links", "more", "found")
+    comps = scratch.keep("comps2", connected_components(links.unionByName(more), scratch, "cc2", "a", "b"))
+    if not members.where(large).isEmpty():
+        third = surviving(facing(still_apart(comps, large)), True).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+        rest = scratch.keep("rest", verified(third))
+        comps = scratch.keep("comps3", connected_components(links.unionByName(more).unionByName(rest), scratch, "cc3", "a", "b"))
+        scratch.drop("rest")
+    scratch.drop("runs", "ends", "first", "second", "sets", "links", "more", "found")
     of_class = classes.select("fp", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n", "fp").join(of_class, ["fp", "n"], "left")
     # a row without shingles or without id stands alone
