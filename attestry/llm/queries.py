@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .chat import PARTS, format_chats, read_chats
 from .common import documents, fold_of
-from .licences import LEAST, TEMPLATES, scan_licences
+from .licences import LEAST, TEMPLATES, bigrams_of, scan_licences
 from .line_dedup import dedup_lines
 from .mixing_lm import score_texts
 from .near_vectors import near_vectors
@@ -33,7 +33,9 @@ def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licences(documents(spark, sf_dir))
+    found = scan_licences(documents(spark, sf_dir))
+    place = F.filter("matches", lambda m: m["name"] == F.col("best_licence"))
+    return found.select("doc_id", "n_words", "n_matches", "licences", "best_licence", "best_dice", F.get(place, F.lit(0))["first_word"].alias("first_word"))
 
 
 #: The conversation that the formatting must hold apart from its own marks.
@@ -164,21 +166,21 @@ FROM embeddings e JOIN m ON m.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 
 
 def _licence_sql() -> str:
-    names = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in sorted(TEMPLATES.items()))
+    rows = ", ".join(f"('{name}', {i}, '{pair}')" for name, text in sorted(TEMPLATES.items()) for i, pair in enumerate(bigrams_of(text)))
     return rf"""
-WITH t0(name, text) AS (VALUES {names}),
-norm AS (SELECT name, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t0),
-t AS (SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM norm),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-u AS (SELECT r, unnest(CASE WHEN len(ls) > 1 THEN list_append(ls, text) ELSE ls END) AS unit FROM d),
-w AS (SELECT r, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
-g AS (SELECT row_number() OVER () AS k, r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 2000),
-p AS (SELECT k, r, name, 2.0::DOUBLE * len(list_intersect(t.g, g.g)) / (len(t.g) + len(g.g)) AS dice FROM g JOIN t
-      ON {LEAST} * len(t.g) <= {200 - LEAST} * len(g.g) AND {LEAST} * len(g.g) <= {200 - LEAST} * len(t.g)),
-b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dice DESC, name DESC) AS o FROM p WHERE round(dice * 1e9) >= {LEAST} * 10000000),
-m AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(dice) AS best, arg_max(name, (dice, name)) AS best_name FROM b WHERE o = 1 GROUP BY r)
-SELECT d.doc_id, CAST(CASE WHEN len(ls) > 1 THEN len(ls) + 1 ELSE len(ls) END AS BIGINT) AS n_units, coalesce(m.n, 0) AS n_matches,
-  coalesce(m.names, '') AS licences, m.best_name AS best_licence, round(m.best, 9) AS best_dice
+WITH t0(name, i, g) AS (VALUES {rows}),
+t AS (SELECT name, count(*) AS span, list(DISTINCT g) AS gs, count(DISTINCT g) AS b, CAST(ceil({LEAST} * count(DISTINCT g) / {200 - LEAST}.0) AS BIGINT) AS fewest FROM t0 GROUP BY name),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
+g AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS gs FROM d),
+o AS (SELECT r, unnest(gs) AS g, generate_subscripts(gs, 1) AS p FROM g),
+h AS (SELECT r, p, name, span, fewest FROM o JOIN (SELECT DISTINCT name, g FROM t0) u USING (g) JOIN t USING (name)),
+e AS (SELECT *, max(p) OVER x AS q, count(*) OVER x AS n FROM h WINDOW x AS (PARTITION BY r, name ORDER BY p RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING)),
+c AS (SELECT e.r, e.name, e.p, list_distinct(g.gs[e.p:e.q]) AS ws, t.gs AS ts, t.b FROM e JOIN g USING (r) JOIN t ON t.name = e.name WHERE n >= e.fewest),
+s AS (SELECT r, name, p, 2.0::DOUBLE * len(list_intersect(ws, ts)) / (len(ws) + b) AS dice FROM c),
+m AS (SELECT r, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(dice) AS best, arg_max(name, (dice, name)) AS best_name,
+  arg_max(p, (dice, name, -p)) - 1 AS first_word FROM s WHERE round(dice * 1e9) >= {LEAST} * 10000000 GROUP BY r)
+SELECT d.doc_id, CAST(CASE WHEN w[1] = '' THEN 0 ELSE len(w) END AS BIGINT) AS n_words, coalesce(m.n, 0) AS n_matches,
+  coalesce(m.names, '') AS licences, m.best_name AS best_licence, round(m.best, 9) AS best_dice, m.first_word
 FROM d LEFT JOIN m USING (r)
 """
 

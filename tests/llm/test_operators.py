@@ -23,7 +23,7 @@ from attestry.llm.chat import PARTS, format_chats, read_chats
 from attestry.llm.common import Scratch
 from attestry.llm.components import connected_components
 from attestry.llm.hashing import shingle_sets
-from attestry.llm.licences import TEMPLATES, scan_licences
+from attestry.llm.licences import TEMPLATES, bigrams_of, scan_licences
 from attestry.llm.line_dedup import dedup_lines
 from attestry.llm.near_vectors import near_vectors
 from attestry.llm.ngram_join import _bitmap, _folded, ngram_jaccard_join, tree_pairs
@@ -198,15 +198,45 @@ def test_top_k(spark):
 
 
 def test_licences(spark, docs, empty):
-    rows = [(1, "an introduction of some length\nRELEASED under the  MIT License!\nand an end"), (2, TEMPLATES["Apache-2.0-notice"]), (3, "Released under the MIT"), (4, None), (5, ""), (6, "licensed under cc by-nc 4.0\nlicensed under cc by-nc 4.0"), (7, "MIT"), (None, "Released under the MIT License."), (8, "word " * 50_000)]
-    got = {(r["doc_id"]): r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrapped = "Some words before it.\n# Use of this source code is governed by a BSD-style\n# license that can be found\n# in the LICENSE file.\nand after"
+    inside = "word " * 40 + "released under the MIT license, " + "word " * 40
+    body = TEMPLATES["MIT-text"].upper().replace(". ", ".\n\n * ")
+    rows = [(1, "an introduction of some length\nRELEASED under the  MIT License!\nand an end"), (2, TEMPLATES["Apache-2.0-notice"]), (3, "Released by the MIT"), (4, None), (5, ""), (6, "licensed under cc by-nc 4.0\nlicensed under cc by-nc 4.0"),
+            (7, "MIT"), (None, "Released under the MIT License."), (8, "word " * 50_000), (9, wrapped), (10, inside), (11, body), (12, "x " * 60_000 + wrapped), (6, "licensed under cc by-nc 4.0\nlicensed under cc by-nc 4.0")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, matches string")
+    found = scan_licences(df).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows)
     assert (got[1]["licences"], got[1]["n_matches"], got[1]["best_dice"]) == ("MIT", 1, 1.0)
-    assert got[2]["best_licence"] == "Apache-2.0-notice"
-    assert got[3]["best_dice"] == round(2 * 3 / 7, 9)
-    assert got[6]["licences"] == "CC-BY-NC-4.0" and got[6]["n_matches"] == 3
-    assert [got[i]["n_matches"] for i in (4, 5, 7, 8)] == [0, 0, 0, 0] and got[4]["best_licence"] is None
+    assert [tuple(m) for m in got[1]["matches"]] == [("MIT", 1.0, 5, 5)]
+    assert got[2]["best_licence"] == "Apache-2.0-notice" and got[2]["licences"] == "Apache-2.0,Apache-2.0-notice"
+    assert got[6]["licences"] == "CC-BY-NC-4.0" and got[6]["matches"][0]["first_word"] == 0
+    assert [got[i]["n_matches"] for i in (3, 4, 5, 7, 8)] == [0] * 5 and got[4]["best_licence"] is None and got[5]["n_words"] == 0
     assert got[None]["licences"] == "MIT"
+    assert [got[i]["best_licence"] for i in (9, 10, 12)] == ["BSD-3-Clause", "MIT", "BSD-3-Clause"] and got[12]["matches"][0]["first_word"] == 60_004
+    assert got[11]["best_licence"] == "MIT-text" and got[11]["best_dice"] == 1.0
     assert scan_licences(docs).count() == docs.count() and scan_licences(empty).count() == 0
+    assert "Python" not in scan_licences(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_windows(text: str, template: str) -> float:
+    """Every window that the docstring allows, by plain loops."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    grams, pairs = [f"{a} {b}" for a, b in zip(words, words[1:])], bigrams_of(template)
+    at, best = [i for i, g in enumerate(grams) if g in set(pairs)], 0.0
+    for p in at:
+        window = set(grams[p : max(q for q in at if p <= q < p + len(pairs)) + 1])
+        best = max(best, 2 * len(window & set(pairs)) / (len(window) + len(set(pairs))))
+    return best
+
+
+def test_windows_are_those_of_plain_loops(spark):
+    r = random.Random(3)
+    templates = {"a": "one two three four two three one five", "b": "six one two seven", "c": "two two two"}
+    rows = [(i, " ".join(r.choice("one two three four five six seven eight".split()) if r.random() < 0.4 else t for t in (templates[r.choice("abc")] + " x").split() * r.randint(1, 4))) for i in range(300)]
+    for row in scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), templates, 70).collect():
+        best = {n: plain_windows(rows[row["doc_id"]][1], t) for n, t in templates.items()}
+        assert {m["name"]: round(m["dice"], 9) for m in row["matches"]} == {n: round(x, 9) for n, x in best.items() if round(x, 9) >= 0.7}
 
 
 def test_chat_round_trip(spark):
