@@ -1,10 +1,11 @@
 """Exact top-k inner products by three-phase uniform thresholds.
 
-A vector's components are dealt into slices; a partition holds a list of partial scores for each slice. (1) Each partition gathers,
-for each query, the vectors that lead its lists and sends the best of their scores; the k-th best score over all partitions is a
-score that k vectors reach, so a safe cutoff. (2) The cutoff goes to all partitions: a vector whose total reaches it has at least one
-slice with an equal share of it, so only entries above that share, whose other slices could
-lift them to the cutoff, are collected. (3) The remaining slices of these are resolved exactly, and the best k of a partition are sent.
+A vector's components are dealt into slices; a partition holds a list of partial scores for each slice. (1) Each partition gathers the
+vectors that lead its first list, resolves these alone and sends the best k of each query; the k-th best over all partitions is
+reached by k vectors, so a safe cutoff. (2) The cutoff goes to all partitions, and the lists are made one by one. A total that reaches the
+cutoff has a slice with at least an equal share of it, so a vector whose slices' norms keep it below the share in every list is never
+multiplied; nor is one whose partial score and the norms of its remaining slices stay below the cutoff. (3) What is left
+is resolved exactly, and the best k of a partition are sent.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import Scratch
 #: Queries handled in one pass over the vectors: what is broadcast is at most so many vectors.
 QUERY_BLOCK = 4096
 SLICES = 4
-ROWS = 2048
+ROWS = 1024
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -48,14 +49,107 @@ def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x.astype(object) @ q.T.astype(object)).astype(np.int64)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to smaller ids."""
-    return np.lexsort((ids, -scores))[:k]
-
-
-def _lists(ids: np.ndarray, x: np.ndarray, q: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
-    """Partial scores: slice x vector x query."""
-    return np.stack([_products(x[:, a:b], q[:, a:b]) for a, b in cuts])
+#: Score and id of an empty place.
+NONE, NO_ID = -(2**62), 2**63 - 1
+#: A list is made for all rows and queries at once while at least this share of the pairs is left, else pair by pair.
+DENSE = 0.05
+#: Pairs multiplied one by one at a time.
+PAIRS = 1 << 18
+
+
+def slices(dim: int) -> list[tuple[int, int]]:
+    edge = np.linspace(0, dim, min(SLICES, dim) + 1).astype(int).tolist()
+    return list(zip(edge[:-1], edge[1:], strict=True))
+
+
+def _pairwise(x: np.ndarray, q: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (row, col) alone."""
+    parts = []
+    small = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2.0**62
+    for i in range(0, len(row), PAIRS):
+        a, b = x[row[i : i + PAIRS]], q[col[i : i + PAIRS]]
+        parts.append(np.einsum("ij,ij->i", a, b) if small else (a.astype(object) * b.astype(object)).sum(1).astype(np.int64))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+class Best:
+    """The k best (score, id) of each query, ties to smaller ids; an equal pair counts once."""
+
+    def __init__(self, queries: int, k: int):
+        self.score, self.id, self.k = np.full((k, queries), NONE), np.full((k, queries), NO_ID), k
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """One column a query; places to leave out have the score NONE and the id NO_ID."""
+        score, ids = np.concatenate((self.score, score)), np.concatenate((self.id, ids))
+        for _ in range(2):
+            order = np.lexsort((ids, -score), axis=0)
+            score, ids = np.take_along_axis(score, order, 0), np.take_along_axis(ids, order, 0)
+            again = (score[1:] == score[:-1]) & (ids[1:] == ids[:-1]) & (ids[1:] != NO_ID)
+            if not again.any():
+                break
+            score[1:][again], ids[1:][again] = NONE, NO_ID
+        self.score, self.id = score[: self.k], ids[: self.k]
+
+    def add_pairs(self, col: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Any number of entries for any query: the best k of each are laid out and added."""
+        if not len(col):
+            return
+        order = np.lexsort((ids, -score, col))
+        col, score, ids = col[order], score[order], ids[order]
+        new = np.append(True, (col[1:] != col[:-1]) | (score[1:] != score[:-1]) | (ids[1:] != ids[:-1]))
+        col, score, ids = col[new], score[new], ids[new]
+        rank = np.arange(len(col)) - np.searchsorted(col, col)
+        top = rank < self.k
+        wide, names = np.full(self.score.shape, NONE), np.full(self.id.shape, NO_ID)
+        wide[rank[top], col[top]], names[rank[top], col[top]] = score[top], ids[top]
+        self.add(wide, names)
+
+
+def gather(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, best: Best) -> None:
+    """Phase 1: the leaders of the first list, resolved."""
+    a, b = slices(x.shape[1])[0]
+    lead = min(best.k + 1, len(ids))  # one more, since the query may lead its own list
+    top = np.argpartition(_products(x[:, a:b], q[:, a:b]), len(ids) - lead, axis=0)[len(ids) - lead :]
+    col = np.broadcast_to(np.arange(len(qid)), top.shape)
+    score = _pairwise(x, q, top.ravel(), col.ravel()).reshape(top.shape)
+    own = ids[top] == qid
+    best.add(np.where(own, NONE, score), np.where(own, NO_ID, ids[top]))
+
+
+def resolve(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Phases 2 and 3: (row, query, score) of the pairs whose score reaches the query's cutoff, and how many products of components were made."""
+    cuts = slices(x.shape[1])
+    norms = [(np.sqrt((x[:, a:b].astype(float) ** 2).sum(1)), np.sqrt((q[:, a:b].astype(float) ** 2).sum(1))) for a, b in cuts]
+    # norms are rounded, so bounds get some room
+    room, low = 1 + 1e-9, cutoff - np.abs(cutoff) * 1e-9 - 1.0
+    rows = np.arange(len(ids))
+    share = low / len(cuts)
+    reach = np.zeros(len(ids), bool)
+    for n, m in norms:
+        reach |= n * m.max(initial=0) * room >= share.min(initial=np.inf)
+    rows = rows[reach]
+    partial, row, col, made = None, None, None, 0
+    for s, (a, b) in enumerate(cuts):
+        if row is None:
+            part = _products(x[rows, a:b], q[:, a:b])
+            partial = part if partial is None else partial + part
+            made += part.size * (b - a)
+            rest = np.zeros(part.shape) if s + 1 == len(cuts) else np.stack([n[rows] for n, _ in norms[s + 1 :]], 1) @ np.stack([m for _, m in norms[s + 1 :]])
+            alive = (partial + rest * room >= low) & (ids[rows][:, None] != qid)
+            if s + 1 == len(cuts) or alive.sum() < DENSE * alive.size:
+                at, col = np.nonzero(alive)
+                row, partial = rows[at], partial[at, col]
+            else:
+                some = alive.any(1)
+                rows, partial = rows[some], partial[some]
+        else:
+            partial = partial + _pairwise(x[:, a:b], q[:, a:b], row, col)
+            made += len(row) * (b - a)
+            rest = sum((norms[t][0][row] * norms[t][1][col] for t in range(s + 1, len(cuts))), np.zeros(len(row)))
+            alive = partial + rest * room >= low[col]
+            row, col, partial = row[alive], col[alive], partial[alive]
+    sure = partial >= cutoff[col]
+    return row[sure], col[sure], partial[sure], made
 
 
 def _scan(shared, k: int, dim: int):
@@ -63,49 +157,18 @@ def _scan(shared, k: int, dim: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q, cutoff = shared.value
-        edge = np.linspace(0, dim, min(SLICES, dim) + 1).astype(int)
-        cuts = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-        m = len(cuts)
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qid]
-
-        def keep(j: int, ids: np.ndarray, scores: np.ndarray) -> None:
-            ids, scores = np.concatenate((held[j][0], ids)), np.concatenate((held[j][1], scores))
-            at = _best(ids, scores, k)
-            held[j] = ids[at], scores[at]
-
+        best = Best(len(qid), k)
         for batch in batches:
             every_id, every_x = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
             for i in range(0, len(every_id), ROWS):
                 ids, x = every_id[i : i + ROWS], every_x[i : i + ROWS]
-                lists = _lists(ids, x, q, cuts)
                 if cutoff is None:
-                    lead = min(k + 1, len(ids))
-                    top = np.argpartition(-lists, lead - 1, axis=1)[:, :lead, :]
-                    for j in range(len(qid)):
-                        at = np.unique(top[:, :, j])
-                        at = at[ids[at] != qid[j]]
-                        keep(j, ids[at], lists[:, at, j].sum(0))
-                    continue
-                share = -(-cutoff // m)  # a total of at least the cutoff has a slice with at least this
-                seen = lists >= share
-                most = np.where(seen, lists, share - 1).sum(0)
-                row, col = np.nonzero(seen.any(0) & (most >= cutoff) & (ids[:, None] != qid))
-                exact = lists[:, row, col].sum(0)
-                ok = exact >= cutoff[col]
-                row, col, exact = row[ok], col[ok], exact[ok]
-                order = np.argsort(col, kind="stable")
-                row, col, exact = row[order], col[order], exact[order]
-                ends = np.flatnonzero(np.append(col[1:] != col[:-1], True)) + 1 if len(col) else []
-                a = 0
-                for b in ends:
-                    keep(int(col[a]), ids[row[a:b]], exact[a:b])
-                    a = b
-        for a in range(0, len(qid), 1024):
-            part = range(a, min(len(qid), a + 1024))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.full(len(held[j][0]), qid[j]) for j in part]), pa.int64()), pa.array(np.concatenate([held[j][0] for j in part]), pa.int64()), pa.array(np.concatenate([held[j][1] for j in part]), pa.int64())],
-                names=["query_id", "vec_id", "score"],
-            )
+                    gather(ids, x, qid, q, best)
+                else:
+                    row, col, score, _ = resolve(ids, x, qid, q, cutoff)
+                    best.add_pairs(col, score, ids[row])
+        place, col = np.nonzero(best.id != NO_ID)
+        yield pa.RecordBatch.from_arrays([pa.array(qid[col], pa.int64()), pa.array(best.id[place, col], pa.int64()), pa.array(best.score[place, col], pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -115,7 +178,7 @@ def top_k_search(vectors: DataFrame, is_query: Column, k: int = 10, query_block:
 
     ``vectors``: vec_id long, vector array<long>; rows with a null id or vector, or a null component, take no part. Queries are the
     rows where ``is_query`` holds, candidates all rows with another id. Shorter vectors
-    count as padded by zeros. Equal rows count once. With fewer than ``k`` candidates all are returned; without queries no row. Each pass over the vectors
+    count as padded by zeros. Equal rows count once; different vectors of one id are candidates of their own, and its smallest vector asks. With fewer than ``k`` candidates all are returned; without queries no row. Each pass over the vectors
     serves ``query_block`` queries. Columns besides these two are not read.
     """
     spark = vectors.sparkSession
@@ -127,7 +190,7 @@ def top_k_search(vectors: DataFrame, is_query: Column, k: int = 10, query_block:
     dim, passes = max(1, size["dim"] or 0), -(-(size["asks"] or 0) // query_block)
     found = None
     for step in range(passes):
-        block = rows.where(F.col("asks") & (F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == step)).select("vec_id", "vector").dropDuplicates(["vec_id"]).toPandas().sort_values("vec_id")
+        block = rows.where(F.col("asks") & (F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == step)).groupBy("vec_id").agg(F.min("vector").alias("vector")).toPandas().sort_values("vec_id")
         if not len(block):
             continue
         qid = block["vec_id"].to_numpy(np.int64)
@@ -140,7 +203,7 @@ def top_k_search(vectors: DataFrame, is_query: Column, k: int = 10, query_block:
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         safe = gathered.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", "score").toPandas()
         # a query with fewer than k candidates so far has no cutoff
-        cutoff = np.full(len(qid), -(2**52), np.int64)
+        cutoff = np.full(len(qid), NONE + 1, np.int64)
         cutoff[np.searchsorted(qid, safe["query_id"].to_numpy(np.int64))] = safe["score"].to_numpy(np.int64)
         second = spark.sparkContext.broadcast((qid, q, cutoff))
         resolved = rows.select("vec_id", "vector").mapInArrow(_scan(second, k, dim), kind).distinct()

@@ -30,7 +30,8 @@ from attestry.llm.ngram_join import _bitmap, _folded, ngram_jaccard_join, tree_p
 from attestry.llm.packing import pack
 from attestry.llm.quality import fit as quality_fit
 from attestry.llm.quality import fit_on, with_quality
-from attestry.llm.topk_search import top_k_search
+from attestry.llm.queries import op2_top_k_search
+from attestry.llm.topk_search import NONE, Best, gather, resolve, top_k_search
 from attestry.llm.word_tokens import WordTokens
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -197,6 +198,50 @@ def test_top_k(spark):
     assert top_k_search(df.where("vec_id = -1"), F.lit(True)).count() == 0
 
 
+def test_thresholds_save_products_and_lose_nothing():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(60, 64))
+    x = np.floor(1024 * (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(np.repeat(centres, 20, 0) + 0.05 * r.normal(size=(1200, 64)))).astype(np.int64)
+    ids, at = np.arange(1200), np.arange(0, 1200, 50)
+    first = Best(len(at), 10)
+    for i in range(0, 1200, 400):
+        gather(ids[i : i + 400], x[i : i + 400], ids[at], x[at], first)
+    full = x @ x[at].T
+    full[at, np.arange(len(at))] = NONE
+    order = np.lexsort((np.broadcast_to(ids[:, None], full.shape), -full), axis=0)[:10]
+    cutoff = first.score[-1]
+    assert (cutoff <= np.take_along_axis(full, order, 0)[-1]).all()
+    row, col, score, made = resolve(ids, x, ids[at], x[at], cutoff)
+    assert made < 0.7 * full.size * 64
+    assert set(zip(row.tolist(), col.tolist(), score.tolist(), strict=True)) == {(i, j, int(full[i, j])) for i, j in zip(*np.nonzero(full >= cutoff), strict=True)}
+    last = Best(len(at), 10)
+    last.add_pairs(col, score, ids[row])
+    assert (last.id == order).all() and (last.score == np.take_along_axis(full, order, 0)).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 9), st.integers(1, 60), st.sampled_from([1, 3, 2**20, 2**30, 2**40]))
+def test_resolved_pairs_are_those_that_reach_the_cutoff(seed, dim, n, top):
+    r = np.random.default_rng(seed)
+    x = r.integers(-top, top + 1, (n, dim))
+    q, qid = x[:3], np.arange(len(x[:3]))
+    exact = [[sum(int(a) * int(b) for a, b in zip(v, w, strict=True)) for w in q] for v in x]
+    if max(abs(s) for v in exact for s in v) >= 2**62:
+        return
+    full = np.array(exact, dtype=np.int64)
+    cutoff = np.sort(full, axis=0)[-min(4, n)]
+    row, col, score, _ = resolve(np.arange(n), x, qid, q, cutoff)
+    assert sorted(zip(row.tolist(), col.tolist(), score.tolist(), strict=True)) == [(i, j, int(full[i, j])) for i in range(n) for j in range(len(q)) if i != j and full[i, j] >= cutoff[j]]
+
+
+def test_top_k_query_leaves_unsound_vectors_out(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.5]), (100, [nan, 1.0]), (1, [inf, 1.0]), (2, [None, 1.0]), (3, None), (4, [0.5, 0.5]), (4, [0.5, 0.5]), (5, [-1.0, 0.0]), (6, [-1.0, 0.0]), (7, [0.25, 0.0]), (7, [0.75, 0.0])]
+    spark.createDataFrame([(*r, 9) for r in rows], "vec_id long, embedding array<double>, rank int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in op2_top_k_search(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == [(0, 1, 4, 786432), (0, 2, 7, 786432), (0, 3, 7, 262144), (0, 4, 5, -1048576), (0, 5, 6, -1048576)]
+
+
 def test_licences(spark, docs, empty):
     wrapped = "Some words before it.\n# Use of this source code is governed by a BSD-style\n# license that can be found\n# in the LICENSE file.\nand after"
     inside = "word " * 40 + "released under the MIT license, " + "word " * 40
