@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attestry.operators.lineage import written
+
 
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in ``order``; ranks are cut before rows meet."""
@@ -40,19 +42,20 @@ def timeline_sample(segments: DataFrame, most: int = 10) -> DataFrame:
 def chain_root(records: DataFrame, most_passes: int = 40) -> DataFrame:
     """(record_id, root_id): the first revision of each record's chain of ``supersedes``.
 
-    Pointers double at each pass until none changes; a chain that ends in a missing record ends at the last that is there; members of a cycle
-    keep what they point to when passes run out.
+    Pointers double at each pass until none changes, so a chain of n revisions takes about log2(n) passes; each pass is written below
+    ``spark.checkpoint.dir`` and reads the one before it twice. A chain that ends in a missing record ends at the last that is there; members of a
+    cycle keep what they point to when passes run out.
     """
     ids = records.select("record_id", "supersedes")
-    known = ids.select(F.col("record_id").alias("supersedes"), F.lit(True).alias("there"))
+    known = ids.select(F.col("record_id").alias("supersedes"), F.lit(True).alias("there")).distinct()
     parent = ids.join(known, "supersedes", "left").select("record_id", F.when(F.col("there"), F.col("supersedes")).otherwise(F.col("record_id")).alias("root_id"))
-    depth = 1
-    while depth <= most_passes:
+    parent = written(parent, "chain")
+    for _ in range(most_passes):
         up = parent.select(F.col("record_id").alias("root_id"), F.col("root_id").alias("next"))
-        nxt = parent.join(up, "root_id").select("record_id", F.col("next").alias("root_id"), (F.col("root_id") != F.col("next")).alias("moved"))
-        if depth % 3 == 0 and nxt.where("moved").isEmpty():
-            return nxt.drop("moved")
-        parent, depth = nxt.drop("moved"), depth + 1
+        step = written(parent.join(up, "root_id").select("record_id", F.col("next").alias("root_id"), (F.col("root_id") != F.col("next")).alias("moved")), "chain")
+        parent = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
     return parent
 
 

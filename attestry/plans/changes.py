@@ -215,7 +215,7 @@ def _old_chunks(t: Inputs) -> DataFrame:
     "m10_index_refresh",
     """WITH p AS (SELECT s.source_id, s.digest, CASE WHEN s.digest = v.digest AND v.index_version = 'idx-2' THEN 'unchanged' ELSE 'redo' END AS a FROM v_sources s LEFT JOIN v_versions v ON s.source_id = v.source_id)
     SELECT m.source_id, p.digest, message_id, 0 AS start_char, CAST(length(text) AS INT) AS end_char FROM v_messages m JOIN p USING (source_id) WHERE a = 'unchanged'
-    UNION ALL SELECT source_id, digest, message_id, CAST(i * 180 AS INT), CAST(least(i * 180 + 200, length(text)) AS INT) FROM (SELECT m.*, p.digest FROM v_messages m JOIN p USING (source_id) WHERE a = 'redo' AND length(text) > 0) x, range(0, 400) r(i)
+    UNION ALL SELECT source_id, digest, message_id, CAST(i * 180 AS INT), CAST(least(i * 180 + 200, length(text)) AS INT) FROM (SELECT m.*, p.digest, unnest(range(0, CAST(1 + length(text) // 180 AS BIGINT))) AS i FROM v_messages m JOIN p USING (source_id) WHERE a = 'redo' AND length(text) > 0) x
       WHERE i < greatest(1, ceil((length(text) - 20) / 180.0)) AND trim(substr(text, CAST(i * 180 + 1 AS INT), 200)) <> ''""",
 )
 def m10(t: Inputs) -> DataFrame:
@@ -251,6 +251,6 @@ def t9(t: Inputs) -> DataFrame:
     return B.evidence_bundle(ranked(m.where("role = 'user'"), 40, "turn"), ranked(m.where("role = 'assistant'"), 40, "turn"), ranked(m, 80, F.desc("turn")), 1500)
 
 
-@query("t10_text_pages", "SELECT doc_id, CAST(i AS INT) AS page_no, substr(text, CAST(i * 500 + 1 AS INT), 500) AS page, CASE WHEN (i + 1) * 500 < length(text) THEN CAST((i + 1) * 500 AS INT) END AS next_offset FROM documents, range(0, 2000) r(i) WHERE i < greatest(1, ceil(length(text) / 500.0))")
+@query("t10_text_pages", "SELECT doc_id, CAST(i AS INT) AS page_no, substr(text, CAST(i * 500 + 1 AS INT), 500) AS page, CASE WHEN (i + 1) * 500 < length(text) THEN CAST((i + 1) * 500 AS INT) END AS next_offset FROM (SELECT *, unnest(range(0, CAST(1 + coalesce(length(text), 0) // 500 AS BIGINT))) AS i FROM documents) WHERE i < greatest(1, ceil(length(text) / 500.0))")
 def t10(t: Inputs) -> DataFrame:
     return B.paginate_text(t.documents.select("doc_id", "text"), 500)

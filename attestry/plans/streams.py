@@ -47,11 +47,10 @@ def p1(t: Inputs) -> DataFrame:
 
 @query(
     "s2_summary_memories",
-    """SELECT concat('file:', CAST(doc_id AS STRING)) AS key, md5(text) AS text_md5 FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'conversations', md5(text) FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT concat('project:', source), md5(text) FROM documents WHERE doc_id % 10 = 0""",
+    """SELECT concat('file:', CAST(doc_id AS STRING)) AS key, md5(text) AS text_md5 FROM documents UNION ALL SELECT 'conversations', md5(text) FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT concat('project:', source), md5(text) FROM documents""",
 )
 def s2(t: Inputs) -> DataFrame:
-    d = t.documents.where("doc_id % 10 = 0")
-    shape = d.select(
+    shape = t.documents.select(
         F.when(F.col("doc_id") % 50 == 0, F.col("text")).alias("conversations_memory"),
         F.array(F.struct(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit("2024-01-01").alias("updated_at"))).alias("memory_files"),
         F.create_map("source", "text").alias("project_memories"),
@@ -115,13 +114,22 @@ def st2(t: Inputs) -> DataFrame:
     return ST.scope_bursts(t.v_attempts, "5 minutes")
 
 
-@query("st3_index_upkeep", "SELECT source_id, message_id, CAST(length(text) AS INT) AS end_char FROM v_messages WHERE length(text) BETWEEN 1 AND 1000 AND trim(text) <> ''")
+@query(
+    "st3_index_upkeep",
+    """WITH s AS (SELECT s.source_id, s.digest, v.digest IS NOT NULL AND v.digest = s.digest AND v.index_version = 'idx-2' AS unchanged FROM v_sources s LEFT JOIN v_versions v USING (source_id)),
+    n AS (SELECT m.source_id, s.digest, m.message_id, m.text, unnest(range(0, CAST(greatest(1, ceil((length(m.text) - 100) / 900.0)) AS BIGINT))) AS i FROM v_messages m JOIN s USING (source_id) WHERE NOT unchanged AND length(m.text) > 0)
+    SELECT m.source_id, s.digest, m.message_id, 0 AS start_char, CAST(length(m.text) AS INT) AS end_char FROM v_messages m JOIN s USING (source_id) WHERE unchanged
+    UNION ALL SELECT source_id, digest, message_id, CAST(i * 900 AS INT), CAST(least(i * 900 + 1000, length(text)) AS INT) FROM n WHERE trim(substr(text, CAST(i * 900 + 1 AS INT), 1000)) <> ''
+    UNION ALL SELECT source_id, digest, 'm0', 0, 7 FROM v_versions WHERE starts_with(source_id, 'ghost-')""",
+)
 def st3(t: Inputs) -> DataFrame:
+    """All messages as one batch over an index that holds one long chunk a message, some of old digests or versions, and chunks of sources outside the batch."""
     kept: list[DataFrame] = []
-    m = t.v_messages.join(t.v_sources.select("source_id", "digest"), "source_id").where("length(text) <= 1000")
-    none = t.spark.createDataFrame([], "source_id string, digest string, message_id string, start_char int, end_char int")
-    ST.index_batches(lambda: (none, t.v_versions.limit(0)), kept.append, "idx-2")(m.select("source_id", "digest", "message_id", "text"), 0)
-    return kept[0].select("source_id", "message_id", F.col("end_char").cast("int").alias("end_char"))
+    old = t.v_messages.join(t.v_versions.select("source_id", "digest"), "source_id").select("source_id", "digest", "message_id", F.lit(0).alias("start_char"), F.length("text").alias("end_char"))
+    ghosts = t.v_versions.where("startswith(source_id, 'ghost-')").select("source_id", "digest", F.lit("m0").alias("message_id"), F.lit(0).alias("start_char"), F.lit(7).alias("end_char"))
+    batch = t.v_messages.join(t.v_sources.select("source_id", "digest"), "source_id").select("source_id", "digest", "message_id", "text")
+    ST.index_batches(lambda: (old.unionByName(ghosts), t.v_versions), kept.append, "idx-2")(batch, 0)
+    return kept[0].select("source_id", "digest", "message_id", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"))
 
 
 @query("st4_review_machine")
@@ -146,7 +154,7 @@ def q3(t: Inputs) -> DataFrame:
     live = J.live_chunks(t.v_versions, P.eligible(t.v_sources).select("source_id", "digest")).select("source_id", "digest")
     chunks = spans.chunk_text(t.v_messages.join(live, "source_id").select("source_id", "digest", "message_id", "turn", "text"), 400, 40)
     chunks = chunks.withColumn("record_id", content_id("source_id", "digest", "message_id", "start_char"))
-    asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower(F.substring("statement", 1, 60)).alias("query"))
+    asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower("statement").alias("query"))
     scored = R.search(chunks.select("record_id", F.col("chunk").alias("statement")), asked, "v3")
     top = R.top_k(scored, 20, F.col("record_id"))
     located = top.join(chunks, "record_id").withColumn("size", F.length("chunk") + 80)
@@ -156,7 +164,7 @@ def q3(t: Inputs) -> DataFrame:
 @query("q4_task_bundle")
 def q4(t: Inputs) -> DataFrame:
     """For each query what is trusted, what is only reported, and the original evidence, within one budget."""
-    asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower(F.substring("statement", 1, 60)).alias("query"))
+    asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower("statement").alias("query"))
     gov = governed(t)
     sizes = t.v_records.select("record_id", (F.length("statement") + 60).alias("size"))
     usable, cand = gov.where(P.usable_on(day())), P.filter_state(gov, "candidate")

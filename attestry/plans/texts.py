@@ -13,13 +13,13 @@ from attestry.operators.predicates import check_dates
 from attestry.registry import Inputs, query
 
 
-@query("f6_chunks", "SELECT doc_id, CAST(i * 900 AS INT) AS start_char, CAST(least(i * 900 + 1000, length(text)) AS INT) AS end_char, md5(substr(text, CAST(i * 900 + 1 AS INT), 1000)) AS chunk_md5 FROM documents, range(0, 2000) r(i) WHERE length(text) > 0 AND i < greatest(1, ceil((length(text) - 100) / 900.0)) AND trim(substr(text, CAST(i * 900 + 1 AS INT), 1000)) <> ''")
+@query("f6_chunks", "SELECT doc_id, CAST(i * 900 AS INT) AS start_char, CAST(least(i * 900 + 1000, length(text)) AS INT) AS end_char, md5(substr(text, CAST(i * 900 + 1 AS INT), 1000)) AS chunk_md5 FROM (SELECT *, unnest(range(0, CAST(1 + coalesce(length(text), 0) // 900 AS BIGINT))) AS i FROM documents) WHERE length(text) > 0 AND i < greatest(1, ceil((length(text) - 100) / 900.0)) AND trim(substr(text, CAST(i * 900 + 1 AS INT), 1000)) <> ''")
 def f6(t: Inputs) -> DataFrame:
     c = S.chunk_text(t.documents.select("doc_id", "text"))
     return c.select("doc_id", "start_char", "end_char", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
-@query("f7_fixed_parts", "SELECT doc_id, CAST(i AS INT) AS part_no, md5(substr(text, CAST(i * 1200 + 1 AS INT), 1200)) AS part_md5 FROM documents, range(0, 2000) r(i) WHERE i < greatest(1, ceil(length(text) / 1200.0))")
+@query("f7_fixed_parts", "SELECT doc_id, CAST(i AS INT) AS part_no, md5(substr(text, CAST(i * 1200 + 1 AS INT), 1200)) AS part_md5 FROM (SELECT *, unnest(range(0, CAST(1 + coalesce(length(text), 0) // 1200 AS BIGINT))) AS i FROM documents) WHERE i < greatest(1, ceil(length(text) / 1200.0))")
 def f7(t: Inputs) -> DataFrame:
     return S.split_fixed(t.documents.select("doc_id", "text"), 1200).select("doc_id", "part_no", F.md5(F.col("part").cast("binary")).alias("part_md5"))
 
