@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import rules as R
 from attestry.functions import spans as S
+from attestry.functions import payloads as Y
 from attestry.functions.text import content_id, escaped_markdown
 from attestry.operators.aggregates import quality_summary, span_coverage
 from attestry.operators.predicates import check_dates
@@ -193,6 +194,8 @@ def f28(t: Inputs) -> DataFrame:
     return t.documents.select("doc_id", F.md5(escaped_markdown(F.concat(F.lit("a<b> & "), "text")).cast("binary")).alias("shown"))
 
 
+# the rule's word bounds are those of letters of any script; DuckDB's own \b knows ASCII letters only, and takes one between a Han sign and a word
+_POINTS_BACK = R.POINTS_BACK.replace(r"\b(?:", r"(?:^|[^\p{L}\p{N}_])(?:").replace(r")\b", r")(?:$|[^\p{L}\p{N}_])")
 _SCOPED = "concat(CASE k % 3 WHEN 0 THEN '项目 Atlas 和项目 Borea：如果批准。它再议！' WHEN 1 THEN '如果批准' ELSE '' END, statement)"
 
 
@@ -201,7 +204,7 @@ _SCOPED = "concat(CASE k % 3 WHEN 0 THEN '项目 Atlas 和项目 Borea：如果
     rf"""WITH s AS (SELECT record_id, {_SCOPED} AS text FROM v_records), u AS (SELECT *, regexp_extract_all(text, '{R.UNIT}') AS us, regexp_extract_all(text, '{R.PROJECT}', 1) AS projects, len(regexp_extract_all(text, '(?i){R.PATTERNS['condition']}')) AS n FROM s),
     x AS (SELECT *, unnest(us) AS unit, generate_subscripts(us, 1) AS i FROM u)
     SELECT record_id, CAST(i - 1 AS INT) AS unit_no, CAST(length(array_to_string(us[1:i - 1], '')) AS INT) AS start_char, CAST(length(array_to_string(us[1:i], '')) AS INT) AS end_char, unit, CAST(len(regexp_extract_all(unit, '(?i){R.PATTERNS['condition']}')) AS INT) AS n_conditions,
-      array_to_string(projects, ',') AS projects, CASE WHEN n = 0 THEN '' ELSE array_to_string(list_filter(['condition_present_scope_unresolved', CASE WHEN len(list_distinct(projects)) > 1 THEN 'distinct_project_surface_names_not_independence' END, CASE WHEN regexp_matches(text, '(?i){R.POINTS_BACK}') THEN 'possible_reference_dependency' END,
+      array_to_string(projects, ',') AS projects, CASE WHEN n = 0 THEN '' ELSE array_to_string(list_filter(['condition_present_scope_unresolved', CASE WHEN len(list_distinct(projects)) > 1 THEN 'distinct_project_surface_names_not_independence' END, CASE WHEN regexp_matches(text, '(?i){_POINTS_BACK}') THEN 'possible_reference_dependency' END,
       CASE WHEN regexp_matches(text, '{R.LIST_ITEM}') OR regexp_matches(text, '{R.QUOTED_OR_TOLD}') THEN 'quoted_or_grouped_context_requires_review' END, CASE WHEN len(us) > 1 AND len(list_filter(us, lambda y: len(regexp_extract_all(y, '(?i){R.PATTERNS['condition']}')) = 0)) > 0 THEN 'condition_free_display_unit_not_unconditional_evidence' END], lambda y: y IS NOT NULL), ',') END AS reasons FROM x""",
 )
 def f22(t: Inputs) -> DataFrame:
@@ -227,3 +230,29 @@ def q11(t: Inputs) -> DataFrame:
     spans = S.cited_spans(m)
     sizes = m.select("source_id", "message_id", "route", F.length("text").cast("long").alias("size"))
     return span_coverage(sizes, spans.select("source_id", "message_id", "start_char", "end_char"), ["source_id", "message_id"])
+
+
+_PAYLOAD = "CASE turn % 5 WHEN 0 THEN concat('[{\"id\": \"', message_id, '\", \"n\": ', CAST(length(text) AS STRING), '}, 7, null]') WHEN 1 THEN text WHEN 2 THEN '{\"id\": []}' WHEN 3 THEN concat('[\"', message_id) ELSE '[]' END"
+
+
+@query(
+    "f26_payload_decode",
+    f"SELECT source_id, message_id, NOT coalesce(ok, false) AS invalid, CASE WHEN ok THEN CAST(json_array_length(p) AS INT) ELSE 0 END AS n_elements FROM (SELECT *, CASE WHEN json_valid(p) THEN json_type(p) = 'ARRAY' ELSE false END AS ok FROM (SELECT *, {_PAYLOAD} AS p FROM v_messages))",
+)
+def f26(t: Inputs) -> DataFrame:
+    p = F.expr(_PAYLOAD)
+    return t.v_messages.select("source_id", "message_id", Y.payload_invalid(p).alias("invalid"), F.size(Y.decoded_messages(p)).alias("n_elements"))
+
+
+_SEEN = "CASE turn % 4 WHEN 0 THEN 'visible_only' WHEN 1 THEN 'complete_visible' WHEN 2 THEN 'unknown' ELSE 'all' END"
+
+
+@query(
+    "f27_source_metadata",
+    f"""SELECT source_id, message_id, ok AS valid, CASE WHEN seen IS NOT NULL AND seen <> 'all' THEN seen ELSE 'unknown' END AS visibility FROM (
+    SELECT *, coalesce(len(list_filter(map_keys(m), lambda x: x NOT IN ({", ".join(f"'{x}'" for x in Y.FIELDS)}))) = 0 AND len(list_filter(map_values(m), lambda x: x IS NULL OR length(x) > {Y.LONGEST_VALUE})) = 0 AND coalesce(seen, 'unknown') IN ({", ".join(f"'{x}'" for x in Y.VISIBILITY)}), false) AS ok
+    FROM (SELECT *, CASE WHEN conv_id % 2 = 0 AND conv_id % 11 <> 5 THEN {_SEEN} END AS seen, CASE WHEN conv_id % 11 = 5 THEN NULL WHEN conv_id % 2 = 0 THEN MAP {{'original_ref': source_id, 'locator': text, 'visibility': {_SEEN}}} WHEN turn % 3 = 1 THEN MAP {{'author': role, 'rights': 'all'}} ELSE MAP {{'author': role}} END AS m FROM v_messages))""",
+)
+def f27(t: Inputs) -> DataFrame:
+    m = F.expr(f"CASE WHEN conv_id % 11 = 5 THEN NULL WHEN conv_id % 2 = 0 THEN map('original_ref', source_id, 'locator', text, 'visibility', {_SEEN}) WHEN turn % 3 = 1 THEN map('author', role, 'rights', 'all') ELSE map('author', role) END")
+    return t.v_messages.select("source_id", "message_id", Y.metadata_valid(m).alias("valid"), Y.visibility(m).alias("visibility"))
