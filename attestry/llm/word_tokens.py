@@ -30,7 +30,9 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MOST_WORDS:
             self.clear()
-        out = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))], "<u4").tobytes()
+        # visible ASCII characters stand for themselves
+        shown = piece if piece.isascii() and piece.isprintable() and " " not in piece else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
         self[piece] = out
         return out
 
@@ -51,7 +53,8 @@ class WordTokens(dict):
         self.by_word = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and split.get("behavior") == "Removed" and split.get("invert") is True and not special
         if self.by_word:
             self.pattern = regex.compile(split["pattern"]["Regex"])
-            self.special = [x["content"] for x in rule.get("added_tokens", [])]
+            special = [regex.escape(x["content"]) for x in rule.get("added_tokens", [])]
+            self.special = regex.compile("|".join(special) or r"(?!)")
             self.plain = regex.compile(r"[\x21-\x7e\xa1-ɏ]*")
             self.pieces = _Pieces(self.tokenizer.model)
 
@@ -59,8 +62,9 @@ class WordTokens(dict):
         if len(self) >= MOST_WORDS:
             self.clear()
         text = word.decode()
-        if self.plain.fullmatch(text) and not any(x in text for x in self.special):
-            out = b"".join(map(self.pieces.__getitem__, self.pattern.findall(unicodedata.normalize("NFC", text).lower())))
+        if self.plain.fullmatch(text) and not self.special.search(text):
+            composed = text if text.isascii() else unicodedata.normalize("NFC", text)
+            out = b"".join([self.pieces[x] for x in self.pattern.findall(composed.lower())])
         else:
             out = self._whole(text)
         if len(word) <= 64:
