@@ -13,6 +13,7 @@ from .chat import PARTS, format_chats, read_chats
 from .common import documents, fold_of
 from .licences import LEAST, TEMPLATES, bigrams_of, scan_licences
 from .line_dedup import dedup_lines
+from .merkle import manifest_of
 from .mixing_lm import score_texts
 from .near_vectors import near_vectors
 from .ngram_join import ngram_jaccard_join
@@ -88,6 +89,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_of(documents(spark, sf_dir)).drop("new_nodes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_top_k_search": op2_top_k_search,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_lm": op8_mixing_lm,
     "op9_near_vectors": op9_near_vectors,
     "op10_line_dedup": op10_line_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -186,3 +192,55 @@ FROM d LEFT JOIN m USING (r)
 
 
 ORACLES["op3_licence_scan"] = _licence_sql()
+
+
+def _merkle_sql() -> str:
+    """Two trees, a CTE a level: up to 16**5 leaves a source, up to 16**3 sources. ``f`` is the fold of each row's own version."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END"
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+    def h(text: str) -> str:
+        fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    def levels(tag: str, n: int) -> str:
+        """Levels 0 to n of nodes (g, i, d): the digests of runs, as long as a group has more than one node."""
+        out = []
+        for k in range(n):
+            out.append(f"{tag}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN max(c) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE max(d) END AS d FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {tag}{k}) x GROUP BY g, i // 16)")
+        return ",\n".join(out)
+
+    def folds(tag: str, n: int, k0: int) -> str:
+        """Row by row up the levels of a tree: siblings before and after, their sum, and the fold."""
+        out = []
+        for k in range(n):
+            a, b = f"f{k0 + k}", f"f{k0 + k + 1}"
+            run = f"""SELECT {a}.r, coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (WHERE t.i < {a}.i), '') AS before, coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (WHERE t.i > {a}.i), '') AS after, count(*) AS c, max(t.c) AS alone
+FROM {a} JOIN (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {tag}{k}) t ON t.g = {a}.g AND t.i // 16 = {a}.i // 16 GROUP BY {a}.r"""
+            out.append(f"{b} AS (SELECT x.r, x.g, x.i // 16 AS i, x.p || y.before || y.after AS p, CASE WHEN y.alone > 1 THEN sha256(y.before || x.f || y.after) ELSE x.f END AS f FROM {a} x JOIN ({run}) y ON y.r = x.r)")
+        return ",\n".join(out)
+
+    n, m = 5, 3
+    return f"""
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, j: {step}, b)) AS t),
+ids AS (
+  SELECT doc_id AS id, xor(4294967295, list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda j: CAST(ascii(substr(CAST(doc_id AS VARCHAR), j, 1)) AS BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295)) AS crc FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d, crc),
+d AS (SELECT d.doc_id, coalesce('=' || source, '') AS g, {h("text")} AS leaf, CASE WHEN ids.crc % 5 = 0 THEN {h(f"translate(text, {letters})")} ELSE {h("text")} END AS own
+  FROM documents d LEFT JOIN ids ON ids.id = d.doc_id),
+r AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+a0 AS (SELECT g, i, leaf AS d FROM r),
+{levels("a", n)},
+b0 AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, d FROM a{n}),
+{levels("b", m)},
+s AS (SELECT g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, d FROM a{n}),
+f0 AS (SELECT r, g, i, '' AS p, own AS f FROM r),
+{folds("a", n, 0)},
+f{n + 1} AS (SELECT x.r, '' AS g, s.i, x.p, x.f FROM f{n} x JOIN s ON s.g = x.g),
+{folds("b", m, n + 1)}
+SELECT r.doc_id, r.leaf, s.d AS subroot, b{m}.d AS root, sha256(x.p) AS proof_sha256, x.f AS folded_root, x.f = b{m}.d AS verified
+FROM r JOIN s ON s.g = r.g JOIN f{n + 1 + m} x ON x.r = r.r, b{m}
+"""
+
+
+ORACLES["op12_merkle_manifest"] = _merkle_sql()
