@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .chat import PARTS, format_chats, read_chats
 from .common import documents, fold_of
+from .html_extraction import extract_pages
+from .lexical_search import lexical_search
 from .licences import LEAST, TEMPLATES, bigrams_of, scan_licences
 from .line_dedup import dedup_lines
 from .merkle import manifest_of
@@ -89,10 +91,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 50)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_of(documents(spark, sf_dir)).drop("new_nodes")
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_top_k_search": op2_top_k_search,
@@ -104,7 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_lm": op8_mixing_lm,
     "op9_near_vectors": op9_near_vectors,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
@@ -170,6 +182,23 @@ FROM embeddings e JOIN m ON m.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """,
 }
 
+ORACLES["op11_ranked_lexical_search"] = r"""
+WITH t AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents) d),
+c AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY r, doc_id, term),
+n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY r),
+a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM c, a GROUP BY term, docs),
+q AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark) b),
+s AS (
+  SELECT i, item_id, c.r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) AS BIGINT) AS score
+  FROM q JOIN c ON c.term = q.term JOIN w ON w.term = c.term JOIN n ON n.r = c.r, a GROUP BY i, item_id, c.r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank FROM s WHERE score > 0) x WHERE rank <= 50
+"""
+
 
 def _licence_sql() -> str:
     rows = ", ".join(f"('{name}', {i}, '{pair}')" for name, text in sorted(TEMPLATES.items()) for i, pair in enumerate(bigrams_of(text)))
