@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,8 @@ NAMES = frozenset(
 #: Names that make a header of a page's own, and those of a main region.
 HEADS = frozenset({"header", "heading", "head"})
 MAIN_NAMES = frozenset({"article", "articlebody", "post", "entry", "story", "content", "maincontent", "main", "postcontent", "entrycontent"})
+#: Names such as "has-sidebar" tell of a layout.
+LAYOUT = frozenset({"has", "with", "without", "no"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements that leave a head open, and those that an end tag of another kind doesn't reach across.
@@ -94,6 +97,8 @@ def _skips(tag: str, words: frozenset, hidden: bool, within_article: bool) -> bo
         return hidden or bool(words & {"comment", "comments", "reply", "advert", "ad", "sponsored", "related", "teaser"})
     if tag == "header":
         return hidden or not within_article
+    if words & LAYOUT:
+        words = words & {"ad", "ads"}
     named = words & NAMES or (words & HEADS and not within_article and tag not in HEADINGS)
     # a heading, paragraph or emphasis isn't furniture for words like "comment" in a longer name
     return hidden or tag in FURNITURE or bool(named)
@@ -289,35 +294,46 @@ class Matching:
             self.known[key] = 1 + sum(3 if c.text is not None else self._own(c) for c in a.children)
         return self.known[key]
 
-    def _weights(self, a: Node, others: list[Node], simple: tuple) -> np.ndarray:
-        """``weight`` of one node with many; blocks that hold one text alone are compared by arrays."""
-        labels, texts, odd = simple
-        out = np.zeros(len(others), np.int64)
-        if a.text is not None or (len(a.children) == 1 and a.children[0].text is not None):
-            own, inner = _key(a.label), _key(a.print if a.text is not None else a.children[0].print)
-            same = labels == own
-            base = 1 if a.text is not None else 2
-            out[same] = base + 2 * (texts[same] == inner)
-            rest = [j for j in odd if others[j].label == a.label]
-        else:
-            rest = [j for j, o in enumerate(others) if o.label == a.label]
-        for j in rest:
-            out[j] = self.weight(a, others[j])
-        return out
-
     @staticmethod
-    def _simple(nodes: list[Node]) -> tuple:
-        plain = [n if n.text is not None else n.children[0] if len(n.children) == 1 and n.children[0].text is not None else None for n in nodes]
-        labels = np.array([_key(n.label) if p is not None else 0 for n, p in zip(nodes, plain, strict=True)], np.int64)
-        texts = np.array([_key(p.print) if p is not None else 0 for p in plain], np.int64)
-        return labels, texts, [j for j, p in enumerate(plain) if p is None]
-
-    def _last_row(self, xs: list[Node], ys: list[Node]) -> np.ndarray:
-        row, simple = np.zeros(len(ys) + 1, np.int64), self._simple(ys)
-        for x in xs:
+    def _plain(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Labels and texts of blocks that hold one text alone, as numbers (0 for other nodes), and the places of the other nodes."""
+        labels, texts, odd = [], [], []
+        for j, n in enumerate(nodes):
+            leaf = n if n.text is not None else n.children[0] if len(n.children) == 1 and n.children[0].text is not None else None
+            labels.append(_key(n.label) if leaf is not None else 0)
+            texts.append(int.from_bytes(leaf.print, "little", signed=True) if leaf is not None else 0)
+            if leaf is None:
+                odd.append(j)
+        return np.array(labels, np.int64), np.array(texts, np.int64), odd
+
+    def _weights(self, xs: list[Node], ys: list[Node]) -> Iterator[np.ndarray]:
+        """For each of ``xs`` its ``weight`` with all ``ys``: by arrays between blocks of one text, else by their trees."""
+        (xl, xt, x_odd), (yl, yt, y_odd) = self._plain(xs), self._plain(ys)
+        x_odd = set(x_odd)
+        for i, x in enumerate(xs):
+            if i in x_odd:
+                out, rest = np.zeros(len(ys), np.int64), range(len(ys))
+            else:
+                same = yl == xl[i]
+                out, rest = same * ((1 if x.text is not None else 2) + 2 * (yt == xt[i])), y_odd
+            for j in rest:
+                if ys[j].label == x.label:
+                    out[j] = self.weight(x, ys[j])
+            yield out
+
+    def _rows(self, xs: list[Node], ys: list[Node]) -> Iterator[np.ndarray]:
+        """The table of the largest weights row by row: all of ``xs`` so far with each beginning of ``ys``."""
+        row = np.zeros(len(ys) + 1, np.int64)
+        yield row
+        for w in self._weights(xs, ys):
             new = row.copy()
-            new[1:] = np.maximum(row[1:], row[:-1] + self._weights(x, ys, simple))
+            np.maximum(row[1:], row[:-1] + w, out=new[1:])
             row = np.maximum.accumulate(new)
+            yield row
+
+    def _last_row(self, xs: list[Node], ys: list[Node]) -> np.ndarray:
+        for row in self._rows(xs, ys):
+            pass
         return row
 
     def _best(self, xs: list[Node], ys: list[Node]) -> int:
@@ -345,13 +361,9 @@ class Matching:
             fore, back = self._last_row(xs[:mid], ys), self._last_row(xs[:mid - 1 : -1], ys[::-1])[::-1]
             cut = int(np.argmax(fore + back))
             return out + self.pairs(xs[:mid], ys[:cut]) + self.pairs(xs[mid:], ys[cut:])
-        simple, rows, took = self._simple(ys), [np.zeros(len(ys) + 1, np.int64)], []
-        for x in xs:
-            w = self._weights(x, ys, simple)
-            new = rows[-1].copy()
-            new[1:] = np.maximum(rows[-1][1:], rows[-1][:-1] + w)
-            rows.append(np.maximum.accumulate(new))
-            took.append(w)
+        if len(xs) > len(ys):
+            return out + [(x, y) for y, x in self.pairs(ys, xs)]
+        rows = [r.tolist() for r in self._rows(xs, ys)]
         i, j = len(xs), len(ys)
         while i and j:
             if rows[i][j] == rows[i][j - 1]:
