@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attestry.operators.lineage import written
+from attestry.operators.ordered import in_ranges, running_from
+
 
 def _fold(rows: Column, budget: Column) -> Column:
     """Ranks taken, from an ordered array of (rank, size): an item is taken if it fits what is left."""
@@ -33,16 +36,52 @@ def fill_budget_skip(ranked: DataFrame, budget: int, least: int, key: str = "que
     return ranked.join(taken, [key, "rank"], "left_semi")
 
 
-def admit_under_budget(requests: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(request_id, admitted): per owner and scope in order, admitted while spent + allowance stays within the cap; refused ones take nothing."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col("request_id").cast("long").alias("rank"), F.col("allowance").cast("long").alias("size"))))
-    # where all fit, no fold is needed
-    total = requests.groupBy("owner", "scope").agg(F.sum("allowance").alias("sum")).join(budgets, ["owner", "scope"])
-    tight = total.where("sum > cap").select("owner", "scope", "cap")
-    taken = requests.join(tight, ["owner", "scope"]).groupBy("owner", "scope").agg(rows.alias("rows"), F.first("cap").alias("cap")).select(F.explode(_fold(F.col("rows"), F.col("cap"))).alias("request_id"))
-    loose = requests.join(total.where("sum <= cap").select("owner", "scope"), ["owner", "scope"], "left_semi").select(F.col("request_id").cast("long").alias("request_id"))
-    ok = taken.unionByName(loose).withColumn("ok", F.lit(True))
-    return requests.join(ok, "request_id", "left").select("request_id", F.coalesce("ok", F.lit(False)).alias("admitted"))
+#: Requests of one scope that may be folded in one task.
+MOST_FOLDED = 4096
+
+
+def admit_under_budget(requests: DataFrame, budgets: DataFrame, most_folded: int = MOST_FOLDED) -> DataFrame:
+    """(request_id, admitted): per owner and scope in order of id, admitted while spent + allowance stays within the cap; refused ones take nothing.
+
+    Requests that fit together are admitted by their sum, and at most ``most_folded`` that could still fit are folded. Longer lists are
+    admitted by stretches: as long as more than half of what is left stays left, every request up to that half fits; the stretch ends with the
+    first larger one that fits, or with the one that leaves less than half. Running sums over ranges find the end, so a round at least halves what is
+    left and no list meets in one task. Requests without an allowance or below zero, and those of a scope without a cap, are refused.
+    """
+    keys, size, left = ["owner", "scope"], F.col("_size"), F.col("left")
+    cut = in_ranges(requests.select("request_id", *keys, F.col("allowance").cast("long").alias("_size")), keys, ["request_id"], "requests")
+    caps = budgets.select(*keys, F.col("cap").cast("long").alias("left"))
+    rows = cut.join(caps, keys).where((size >= 0) & (size <= left))
+    taken: list[DataFrame] = []
+    while True:
+        sums = rows.groupBy(*keys, "left").agg(F.count("*").alias("n"), F.sum("_size").alias("sum"))
+        way = F.when(F.col("sum") <= left, "all").when(F.col("n") <= most_folded, "fold").otherwise("round")
+        scopes = written(sums.select(*keys, way.alias("way")), "scopes")
+        tagged = rows.join(scopes, keys)
+        listed = F.array_sort(F.collect_list(F.struct(F.col("_at").alias("rank"), size.alias("size"))))
+        folded = tagged.where("way = 'fold'").groupBy(*keys, "left").agg(listed.alias("rows")).select(F.explode(_fold(F.col("rows"), left)).alias("_at"))
+        done = tagged.where("way = 'all'").select("_at").unionByName(folded)
+        if scopes.where("way = 'round'").isEmpty():
+            taken.append(done)
+            break
+        long = tagged.where("way = 'round'").drop("way")
+        light = 2 * size <= left
+        value = F.when(light, size).otherwise(0)
+        # a range holds the end only if its light requests reach the half, or a heavy one may fit
+        may_end = (2 * (F.col("_before") + F.col("_total")) >= left) | (F.col("_least") <= left - F.col("_before"))
+        run = running_from(long, keys, value, F.when(~light, size), may_end)
+        ends = run.where(F.when(light, 2 * F.col("_sum") >= left).otherwise(size <= left - F.col("_sum")))
+        used = F.when(light, F.col("_sum")).otherwise(F.col("_sum") + size)
+        ends = written(ends.groupBy(*keys).agg(F.min("_at").alias("end"), F.min_by(used, "_at").alias("used")), "ends")
+        ended = long.join(ends, keys, "left")
+        stretch = ended.where((light & (F.col("end").isNull() | (F.col("_at") <= F.col("end")))) | (F.col("_at") == F.col("end"))).select("_at")
+        taken.append(written(done.unionByName(stretch), "taken"))
+        rest = ended.where((F.col("_at") > F.col("end")) & (size <= left - F.col("used")))
+        rows = written(rest.withColumn("left", left - F.col("used")).drop("end", "used"), "rest")
+    every = taken[0]
+    for more in taken[1:]:
+        every = every.unionByName(more)
+    return cut.join(every.withColumn("ok", F.lit(True)), "_at", "left").select("request_id", F.coalesce("ok", F.lit(False)).alias("admitted"))
 
 
 def evidence_bundle(trusted: DataFrame, candidates: DataFrame, originals: DataFrame, budget: int) -> DataFrame:

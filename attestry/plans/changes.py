@@ -222,7 +222,13 @@ def m10(t: Inputs) -> DataFrame:
     return M.refresh_index(_old_chunks(t), t.v_versions, t.v_sources, t.v_messages.select("source_id", "message_id", "text"), "idx-2", 200, 20)
 
 
-@query("m11_budget_admission")
+@query(
+    "m11_budget_admission",
+    """WITH RECURSIVE a AS (SELECT attempt_id, owner, scope, coalesce(total_tokens, prompt_tokens + completion_tokens, reservation) AS size, row_number() OVER (PARTITION BY owner, scope ORDER BY attempt_id) AS i FROM v_attempts),
+    w AS (SELECT a.owner, a.scope, attempt_id, i, cap, size <= cap AS admitted, CASE WHEN size <= cap THEN size ELSE 0 END AS spent FROM a JOIN v_budgets b ON b.owner = a.owner AND b.scope = a.scope WHERE i = 1
+      UNION ALL SELECT a.owner, a.scope, a.attempt_id, a.i, cap, spent + size <= cap, CASE WHEN spent + size <= cap THEN spent + size ELSE spent END FROM w JOIN a ON a.owner = w.owner AND a.scope = w.scope AND a.i = w.i + 1)
+    SELECT attempt_id AS request_id, admitted FROM w""",
+)
 def m11(t: Inputs) -> DataFrame:
     asks = t.v_attempts.select(F.col("attempt_id").alias("request_id"), "owner", "scope", charge().alias("allowance"))
     return B.admit_under_budget(asks, t.v_budgets)

@@ -30,7 +30,14 @@ def f8(t: Inputs) -> DataFrame:
     return S.split_serialized(t.documents.select("doc_id", "text"), 1700).select("doc_id", "part_no", "start_char", "end_char")
 
 
-@query("f9_packed_segments")
+@query(
+    "f9_packed_segments",
+    """WITH RECURSIVE m AS (SELECT conv_id, turn, length(to_json({'message_id': message_id, 'role': role, 'text': text})) + 5 AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM v_messages),
+    w AS (SELECT conv_id, turn, i, size AS used, 1 AS n, 0 AS segment_index FROM m WHERE i = 1
+      UNION ALL SELECT m.conv_id, m.turn, m.i, CASE WHEN n >= 3 OR used + size > 900 THEN size ELSE used + size END, CASE WHEN n >= 3 OR used + size > 900 THEN 1 ELSE n + 1 END, CASE WHEN n >= 3 OR used + size > 900 THEN segment_index + 1 ELSE segment_index END
+      FROM w JOIN m ON m.conv_id = w.conv_id AND m.i = w.i + 1)
+    SELECT conv_id, turn, segment_index FROM w""",
+)
 def f9(t: Inputs) -> DataFrame:
     return S.pack_segments(t.v_messages, 3, 900)
 
@@ -71,7 +78,7 @@ def f13(t: Inputs) -> DataFrame:
     said = _led(t).select("record_id", F.concat("said", F.lit("! I plan to go on. We hope so")).alias("text"))
     every = None
     for policy in ("plain", "scoped", "explicit"):
-        one = S.evidence_spans(said, 1000, policy=policy).groupBy("record_id").agg(F.count("*").alias("clauses"), F.max("end_char").alias("covered")).withColumn("policy", F.lit(policy))
+        one = S.evidence_spans(said, policy=policy).groupBy("record_id").agg(F.count("*").alias("clauses"), F.max("end_char").alias("covered")).withColumn("policy", F.lit(policy))
         every = one if every is None else every.unionByName(one)
     return every
 

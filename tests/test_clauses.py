@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from attestry.functions.clauses import clause_ranges, register
+from attestry.functions.clauses import clause_ranges
+from attestry.functions.spans import cited_spans, register
 
 PROJECT = "如果预算通过，我们就扩建花园。另外，我对另一个独立项目 Lotus 的要求是：每周浇水两次。"
 ALONE = "我希望院子里有一座小桥，这项期望独立成立，尚未批准实施。如果冬天不冷，我打算种梅花。"
@@ -49,6 +50,19 @@ def test_ranges_cover_any_text():
 
 
 def test_table_function(spark):
+    """SQL over a table, partitioned or not, gives the rows of the DataFrame form; wrong arguments are refused when the query is analysed."""
     register(spark)
-    rows = spark.sql("SELECT part_no, part FROM evidence_spans('我喜欢茶。我们打算种树。', 'plain')").collect()
-    assert [(r["part_no"], r["part"]) for r in rows] == [(0, "我喜欢茶。"), (1, "我们打算种树。")]
+    rows = [(i, "imported_summary" if i % 3 == 0 else "conversation", t, len(t) - i % 2) for i, t in enumerate(["我喜欢茶。我们打算种树。", "", "请写一篇游记，记住我住在海边。", "SKILL.md has 30 lines", "字" * 2500, "好的。\n\n我希望休息，我计划走。"] * 4)]
+    routed = spark.createDataFrame([*rows, (99, "document", None, None)], "k int, source_type string, text string, cut int")
+    routed.createOrReplaceTempView("routed_texts")
+    for policy in ("plain", "scoped", "explicit"):
+        want = sorted(map(tuple, cited_spans(routed, policy).drop("priority").collect()))
+        assert want
+        for how in ("", "PARTITION BY (k % 3)", "PARTITION BY (source_type) ORDER BY (k)"):
+            got = spark.sql(f"SELECT k, source_type, cut, part_no, start_char, end_char, part FROM cited_spans(TABLE(SELECT * FROM routed_texts) {how}, '{policy}')")
+            assert sorted(map(tuple, got.collect())) == want
+    whole = spark.sql("SELECT part FROM cited_spans(TABLE(SELECT 'x' AS id, text FROM routed_texts WHERE k = 0), 'plain')").collect()
+    assert [r["part"] for r in whole] == ["我喜欢茶。", "我们打算种树。"]
+    for call in ("TABLE(SELECT k FROM routed_texts), 'plain'", "TABLE(SELECT text FROM routed_texts), 'other'"):
+        with pytest.raises(Exception, match="cited_spans needs|the policy is"):
+            spark.sql(f"SELECT * FROM cited_spans({call})")
