@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestry.functions.text import normal
+from attestry.operators.lineage import written
 
 # Fixed values of the query grammar: wrappers and boundaries that carry no content, and words too common to open a match.
 WRAPPERS = ("请问", "请帮我", "帮我查一下", "我想知道", "告诉我", "有哪些", "是什么", "怎么样", "怎么", "如何", "是否", "什么", "我的", "我们")
@@ -101,28 +102,127 @@ def _confirmed(wanted: DataFrame, records: DataFrame, weights: dict[str, float])
     return rows.select("query_id", "record_id", "kind", "unit", best[0].alias("weight"), best[1].alias("gate_weight")).where("weight > 0")
 
 
-def search(records: DataFrame, queries: DataFrame, mode: str = "v2", weights: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, record_id, score) of the second or third mode; ``records`` carry the fields of ``WEIGHTS`` that there are."""
-    weights = weights or WEIGHTS
-    units, post = query_units(queries, mode == "v3"), postings(records, weights)
-    plain = units.where("kind in ('pair', 'single') or (kind = 'latin' and not rlike(unit, '[-.]'))").join(post, ["kind", "unit"])
-    plain = plain.select("query_id", "record_id", "kind", "unit", "weight", "gate_weight")
-    # a compound is looked for where its first word is, a phrase where its first pair is
-    held = units.where("kind = 'phrase' or (kind = 'latin' and rlike(unit, '[-.]'))").withColumn("key", F.when(F.col("kind") == "phrase", F.substring("unit", 1, 2)).otherwise(F.split("unit", "[-.]")[0]))
-    keyed = post.where("kind <> 'single'").select(F.col("unit").alias("key"), "record_id").distinct()
-    looked = _confirmed(held.join(keyed, "key").select("query_id", "record_id", "kind", "unit").distinct(), records, weights)
-    hits = plain.unionByName(looked)
+def _gated(hits: DataFrame, mode: str) -> DataFrame:
+    """Scores of (query_id, record_id) from their hits, where the gate is open."""
     gate = "gate_weight" if mode == "v3" else "weight"
 
     def n(kind: str) -> Column:
         return F.count_if((F.col("kind") == kind) & (F.col(gate) > 0))
 
-    gain = F.when(F.col("kind") == "pair", F.col("weight")).when(F.col("kind") == "single", F.lit(0.0)).otherwise(2 * F.col("weight"))
-    scored = hits.groupBy("query_id", "record_id").agg(F.sum(gain).alias("score"), n("latin").alias("latin"), n("phrase").alias("phrase"), n("pair").alias("pair"), F.count_if(F.col("kind") == "single").alias("single"))
+    scored = hits.groupBy("query_id", "record_id").agg(F.sum(_gain(F.col("kind"), F.col("weight"))).alias("score"), n("latin").alias("latin"), n("phrase").alias("phrase"), n("pair").alias("pair"), F.count_if(F.col("kind") == "single").alias("single"))
     open_ = scored.where("latin > 0 or phrase > 0 or pair >= 2 or single > 0")
     return open_.select("query_id", "record_id", (F.col("score") + F.when(F.col("single") > 0, 12.0).otherwise(0.0)).alias("score"))
 
 
+def _gain(kind: Column, weight: Column) -> Column:
+    return F.when(kind == "pair", weight).when(kind == "single", F.lit(0.0)).otherwise(2 * weight)
+
+
+_COMPOUND = "kind = 'phrase' or (kind = 'latin' and rlike(unit, '[-.]'))"
+
+
+def _looked(units: DataFrame, post: DataFrame, records: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Hits of compounds and phrases: looked for where the compound's first word or the phrase's first pair is."""
+    held = units.where(_COMPOUND).withColumn("key", F.when(F.col("kind") == "phrase", F.substring("unit", 1, 2)).otherwise(F.split("unit", "[-.]")[0]))
+    keyed = post.where("kind <> 'single'").select(F.col("unit").alias("key"), "record_id").distinct()
+    return _confirmed(held.join(keyed, "key").select("query_id", "record_id", "kind", "unit").distinct(), records, weights)
+
+
+_HIT = ("query_id", "record_id", "kind", "unit", "weight", "gate_weight")
+
+
+def search(records: DataFrame, queries: DataFrame, mode: str = "v2", weights: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, record_id, score) of all records by the second or third mode; ``records`` carry the fields of ``WEIGHTS`` that there are. See ``search_top`` for the best alone."""
+    weights = weights or WEIGHTS
+    units, post = query_units(queries, mode == "v3"), postings(records, weights)
+    plain = units.where(f"not ({_COMPOUND})").join(post, ["kind", "unit"]).select(*_HIT)
+    return _gated(plain.unionByName(_looked(units, post, records, weights)), mode)
+
+
+#: Candidates from rare units, as a multiple of ``k``, by which the least score worth looking for is found.
+FIRST_LOOK = 8
+
+
+def essential(plain: DataFrame, least: DataFrame) -> DataFrame:
+    """Units (query_id, kind, unit, df, top) of a query without its most common ones, which all together gain less than its ``least``.
+
+    A record that has only those can't be among the best, whatever it gains by each.
+    """
+    up = Window.partitionBy("query_id").orderBy(F.desc("df"), "kind", "unit").rowsBetween(Window.unboundedPreceding, 0)
+    return plain.withColumn("_most", F.sum("top").over(up)).join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("_most") >= F.col("least"))).drop("_most", "least")
+
+
+def search_top(records: DataFrame, queries: DataFrame, k: int, *order: Column, mode: str = "v2", weights: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` best of ``search`` for each query by score, then ``order`` (over columns ``keep`` of records, and record_id): same rows, but fewer postings are read.
+
+    A query's rarest units name some records; these are scored whole, and the k-th best score is a bound. The most common
+    units that together gain less than it name no records. What the others name is scored whole by the units of those records alone.
+    """
+    weights = weights or WEIGHTS
+    units = written(query_units(queries, mode == "v3"), "units")
+    post = written(postings(records, weights).join(_asked(units), ["kind", "unit"], "left_semi"), "postings")
+    stats = post.groupBy("kind", "unit").agg(F.count("*").alias("df"), F.max(_gain(F.col("kind"), F.col("weight"))).alias("top"))
+    plain = written(units.where(f"not ({_COMPOUND})").join(stats, ["kind", "unit"]).withColumn("top", F.col("top") + F.when(F.col("kind") == "single", 12.0).otherwise(0.0)), "asked")
+    looked = written(_looked(units, post, records, weights), "looked")
+
+    def named(by: DataFrame) -> DataFrame:
+        return by.select("query_id", "kind", "unit").join(post.select("record_id", "kind", "unit"), ["kind", "unit"]).select("query_id", "record_id").distinct()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        own = pairs.join(post, "record_id").join(plain.select("query_id", "kind", "unit"), ["query_id", "kind", "unit"]).select(*_HIT)
+        return _gated(own.unionByName(looked.join(pairs, ["query_id", "record_id"], "left_semi").select(*_HIT)), mode)
+
+    rare = Window.partitionBy("query_id").orderBy("df", "kind", "unit").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = plain.withColumn("_before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("_before") < FIRST_LOOK * k)
+    first = written(named(seeds).unionByName(looked.select("query_id", "record_id").distinct()).distinct(), "first")
+    known = written(scored(first), "scored")
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    least = known.withColumn("_n", at).where(F.col("_n") == k).select("query_id", F.col("score").alias("least"))
+    rest = named(essential(plain, least)).join(first, ["query_id", "record_id"], "left_anti")
+    every = known.unionByName(scored(written(rest, "rest")))
+    if keep:
+        every = every.join(records.select("record_id", *keep), "record_id")
+    return top_k(every, k, *(order or (F.col("record_id"),)))
+
+
+def _asked(units: DataFrame) -> DataFrame:
+    """(kind, unit) that some query needs: its own, and the first parts of compounds and phrases."""
+    first = units.where(_COMPOUND).select(F.when(F.col("kind") == "phrase", "pair").otherwise("latin").alias("kind"), F.when(F.col("kind") == "phrase", F.substring("unit", 1, 2)).otherwise(F.split("unit", "[-.]")[0]).alias("unit"))
+    return units.select("kind", "unit").unionByName(first).distinct()
+
+
+#: Longest string of letters that a text is known by, and letters of a run that are taken apart at once.
+GRAM, RUN_PART = 3, 1024
+
+
+def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, gram): each string of ``n`` signs in ``text``. Texts are cut into overlapping parts first, so that no row but the text's own grows with it."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.length(text) - n) / RUN_PART).cast("int"))
+    parts = F.transform(starts, lambda i: F.substring(F.col(text), i * RUN_PART + 1, F.lit(RUN_PART + n - 1)))
+    part = df.select(key, F.explode(parts).alias("_part"))
+    return part.select(key, F.explode(F.array_distinct(F.regexp_extract_all("_part", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))).alias("gram")).distinct()
+
+
+def _terms_in_runs(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, run_id) of all runs (run_id, run) that contain a term, by an index of their strings of up to three letters.
+
+    Terms of up to three letters are found in the index itself, longer ones by their rarest three and then looked for in the run.
+    """
+    short = wanted.where(F.length("term") <= GRAM).select("term", F.col("term").alias("gram"))
+    long = _grams(wanted.where(F.length("term") > GRAM), "term", "term", GRAM)
+    asked = short.select("gram").unionByName(long.select("gram")).distinct()
+    every = None
+    for n in range(1, GRAM + 1):
+        one = _grams(vocabulary.where(F.length("run") >= n), "run_id", "run", n).join(asked.where(F.length("gram") == n), "gram", "left_semi")
+        every = one if every is None else every.unionByName(one)
+    index = written(every, "grams")
+    sizes = index.groupBy("gram").agg(F.count("*").alias("n"))
+    # a string that no run has is the rarest, and finds nothing
+    rarest = long.join(sizes, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).select("term", F.col("m.gram").alias("gram"))
+    found = rarest.join(index, "gram").join(vocabulary, "run_id").where(F.contains("run", "term")).select("term", "run_id")
+    return found.unionByName(short.join(index, "gram").select("term", "run_id"))
+
+
 def search_v1(records: DataFrame, queries: DataFrame, fields: tuple[str, ...] = ("statement", "display_statement", "subject", "topic")) -> DataFrame:
     """(query_id, record_id, score): terms contained anywhere, also within words, plus five for the whole query.
 
@@ -133,16 +233,12 @@ def search_v1(records: DataFrame, queries: DataFrame, fields: tuple[str, ...] =
     text = normal(F.concat_ws(" ", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)))
     docs = records.select("record_id", text.alias("text"))
     pattern = F.lit(r"([a-z0-9_]+|[一-鿿])")
-    runs = docs.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all("text", pattern, F.lit(1)))).alias("run"))
+    every = docs.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all("text", pattern, F.lit(1)))).alias("run"))
+    runs = written(every.withColumn("run_id", F.md5(F.col("run").cast("binary"))), "runs")
     asked = queries.select("query_id", normal("query").alias("query"))
     terms = asked.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("query", pattern, F.lit(1)))).alias("term"))
-    # every substring of a distinct run that is as long as some term, against the distinct terms
-    wanted = terms.select("term").distinct()
-    lengths = wanted.agg(F.array_sort(F.collect_set(F.length("term"))).alias("ls"))
-    vocabulary = runs.select("run").distinct().join(F.broadcast(lengths))
-    parts = vocabulary.select("run", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("ls", lambda n: n <= F.length("run")), lambda n: F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring(F.col("run"), i, n)))))).alias("term"))
-    inside = parts.join(wanted, "term", "left_semi")
-    hits = terms.join(inside, "term").join(runs, "run").select("query_id", "record_id", "term").distinct()
+    inside = _terms_in_runs(terms.select("term").distinct(), runs.groupBy("run_id").agg(F.first("run").alias("run")))
+    hits = terms.join(inside, "term").join(runs.select("record_id", "run_id"), "run_id").select("query_id", "record_id", "term").distinct()
     counted = hits.groupBy("query_id", "record_id").agg(F.count("*").alias("n"))
     size = terms.groupBy("query_id").agg(F.count("*").alias("terms"))
     full = counted.join(size, "query_id").where("n = terms").select("query_id", "record_id").join(asked, "query_id").join(docs, "record_id")
@@ -156,7 +252,7 @@ def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def trusted_context(scored: DataFrame, usable: DataFrame, k: int) -> DataFrame:
-    """Usable records of each query in order of score, priority, id; nothing else fills a gap."""
-    rows = scored.join(usable.select("record_id", "priority"), "record_id")
-    return top_k(rows, k, F.col("priority"), F.col("record_id"))
+def trusted_context(records: DataFrame, queries: DataFrame, usable: DataFrame, k: int, mode: str = "v2", weights: dict[str, float] | None = None) -> DataFrame:
+    """The ``k`` best usable records of each query in order of score, priority, id; nothing else fills a gap."""
+    rows = records.join(usable.select("record_id", "priority"), "record_id")
+    return search_top(rows, queries, k, F.col("priority"), F.col("record_id"), mode=mode, weights=weights, keep=("priority",))

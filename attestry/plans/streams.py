@@ -155,8 +155,7 @@ def q3(t: Inputs) -> DataFrame:
     chunks = spans.chunk_text(t.v_messages.join(live, "source_id").select("source_id", "digest", "message_id", "turn", "text"), 400, 40)
     chunks = chunks.withColumn("record_id", content_id("source_id", "digest", "message_id", "start_char"))
     asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower("statement").alias("query"))
-    scored = R.search(chunks.select("record_id", F.col("chunk").alias("statement")), asked, "v3")
-    top = R.top_k(scored, 20, F.col("record_id"))
+    top = R.search_top(chunks.select("record_id", F.col("chunk").alias("statement")), asked, 20, mode="v3")
     located = top.join(chunks, "record_id").withColumn("size", F.length("chunk") + 80)
     return W.fill_budget_stop(located, 2000).select("query_id", "rank", "score", F.col("record_id").alias("chunk_id"), "source_id", "message_id", "start_char", "end_char")
 
@@ -168,8 +167,8 @@ def q4(t: Inputs) -> DataFrame:
     gov = governed(t)
     sizes = t.v_records.select("record_id", (F.length("statement") + 60).alias("size"))
     usable, cand = gov.where(P.usable_on(day())), P.filter_state(gov, "candidate")
-    scored = R.search(gov.where("lifecycle = 'active'").select("record_id", "statement"), asked)
-    trusted = R.trusted_context(scored, usable, 10).join(sizes, "record_id")
-    reports = R.top_k(scored.join(cand.select("record_id"), "record_id", "left_semi"), 10, F.col("record_id")).join(sizes, "record_id")
+    active = gov.where("lifecycle = 'active'").select("record_id", "statement")
+    trusted = R.trusted_context(active, asked, usable, 10).join(sizes, "record_id")
+    reports = R.search_top(active.join(cand.select("record_id"), "record_id", "left_semi"), asked, 10).join(sizes, "record_id")
     found = q3(t).withColumn("size", F.col("end_char") - F.col("start_char") + 80)
     return B.evidence_bundle(trusted, reports, found.select("query_id", "rank", "size"), 3000)
