@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from attestry.operators import mutations as M
 from attestry.operators import predicates as P
 from attestry.operators import retrieval as R
 from attestry.operators import windows as W
+from attestry.operators.lineage import shared_dir
 from attestry.plans.core import day, governed
 from attestry.registry import Inputs, query
 from attestry.sources import exports as X
@@ -105,10 +108,13 @@ def st1(t: Inputs) -> DataFrame:
     return ST.stream_sources(a).select("owner", "scope", "source_key", "digest")
 
 
+_BURSTS = """WITH g AS (SELECT owner, scope, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS s FROM v_attempts WINDOW w AS (PARTITION BY owner, scope ORDER BY ts)), n AS (SELECT *, sum(s) OVER (PARTITION BY owner, scope ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM g)
+    SELECT owner, scope, min(ts) AS started, max(ts) + INTERVAL 5 MINUTE AS ended, count(*) AS arrivals FROM n GROUP BY owner, scope, g"""
+
+
 @query(
     "st2_scope_bursts",
-    """WITH g AS (SELECT owner, scope, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS s FROM v_attempts WINDOW w AS (PARTITION BY owner, scope ORDER BY ts)), n AS (SELECT *, sum(s) OVER (PARTITION BY owner, scope ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM g)
-    SELECT owner, scope, min(ts) AS started, max(ts) + INTERVAL 5 MINUTE AS ended, count(*) AS arrivals FROM n GROUP BY owner, scope, g""",
+    _BURSTS,
 )
 def st2(t: Inputs) -> DataFrame:
     return ST.scope_bursts(t.v_attempts, "5 minutes")
@@ -148,6 +154,29 @@ def st6(t: Inputs) -> DataFrame:
     return ST.activity(t.v_attempts)
 
 
+def _attempt_stream(t: Inputs) -> DataFrame:
+    """The events as a stream of attempts, by the rule of ``v_attempts``."""
+    shape = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
+    events = t.spark.readStream.schema(shape).option("maxFilesPerTrigger", 2).parquet(f"{t.sf_dir}/event[s].parquet")
+    return events.select(F.concat(F.lit("owner-"), (F.col("user_id") % 3).cast("string")).alias("owner"), F.concat(F.lit("scope-"), (F.col("user_id") % 4).cast("string")).alias("scope"), F.col("event_type").alias("operation"), F.expr("cast(concat(cast(ts AS string), 'Z') AS timestamp)").alias("ts"))
+
+
+def _ran(t: Inputs, stream: DataFrame, name: str, mode: str) -> DataFrame:
+    out = ST.run_to_end(stream, f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}", mode)
+    # watermarks need instants; the given times have no zone
+    return out.withColumns({f.name: F.expr(f"convert_timezone(current_timezone(), 'UTC', cast({f.name} AS timestamp_ntz))") for f in out.schema if f.dataType.typeName() == "timestamp"})
+
+
+@query("st2_bursts_streamed", _BURSTS)
+def st2s(t: Inputs) -> DataFrame:
+    return _ran(t, ST.scope_bursts(_attempt_stream(t), "5 minutes"), "bursts", "complete")
+
+
+@query("st6_activity_streamed", "SELECT operation, started, count(*) AS n FROM (SELECT operation, unnest([time_bucket(INTERVAL 12 hour, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 12 hour, ts, TIMESTAMP '1970-01-01') - INTERVAL 12 hour]) AS started FROM v_attempts) x GROUP BY 1, 2")
+def st6s(t: Inputs) -> DataFrame:
+    return _ran(t, ST.activity(_attempt_stream(t), "1 day", "12 hours"), "activity", "complete")
+
+
 @query("q3_source_evidence")
 def q3(t: Inputs) -> DataFrame:
     """Chunks of live sources for each task, with locators, within a budget of characters."""

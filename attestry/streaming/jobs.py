@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from attestry.functions.spans import chunk_text
 from attestry.operators.aggregates import charge
 from attestry.operators.mutations import SOURCE_KEY, append_sources, refresh_index
 
@@ -29,8 +30,61 @@ def ingest_batches(read: Callable[[], DataFrame], write: Callable[[DataFrame], N
     return batch
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
+class VersionedChunks:
+    """Chunks of sources as a table that batches add versions to; a source's newest batch is what counts.
+
+    Batch n lies in a folder of its own, which only that batch writes: run again it writes the same, since what it compares with are the
+    batches before it. Readers see whole batches alone, now or as of an earlier one. Sources that left have a row without a chunk.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, index_version: str):
+        self.spark, self.path, self.index_version = spark, path, index_version
+
+    def _all(self, before: int | None = None) -> DataFrame | None:
+        done = [f for f in _folders(self.spark, self.path) if f.startswith("batch=") and "_SUCCESS" in _folders(self.spark, f"{self.path}/{f}")]
+        if before is not None:
+            done = [f for f in done if int(f[6:]) < before]
+        return self.spark.read.option("basePath", self.path).parquet(*(f"{self.path}/{f}" for f in done)) if done else None
+
+    def _newest(self, before: int | None) -> DataFrame | None:
+        rows = self._all(before)
+        if rows is None:
+            return None
+        last = rows.groupBy("source_id").agg(F.max("batch").alias("batch"))
+        return rows.join(last, ["source_id", "batch"])
+
+    def chunks(self, before: int | None = None) -> DataFrame:
+        """(source_id, digest, message_id, start_char, end_char) of the sources that there are, as of the batches before ``before``."""
+        rows = self._newest(before)
+        shape = "source_id string, digest string, message_id string, start_char int, end_char int"
+        return self.spark.createDataFrame([], shape) if rows is None else rows.where("message_id is not null").select("source_id", "digest", "message_id", "start_char", "end_char")
+
+    def batch(self, df: DataFrame, batch_id: int) -> None:
+        """For ``foreachBatch`` over changed texts (source_id, digest, message_id, text, seq): cuts the sources whose digest is another than the newest known.
+
+        Of several digests of a source in one batch the last ``seq`` counts; a null digest means that the source left.
+        """
+        last = df.groupBy("source_id").agg(F.max_by("digest", "seq").alias("digest"), F.max("seq").alias("seq"))
+        known = self._newest(batch_id)
+        changed = last
+        if known is not None:
+            old = known.select("source_id", F.col("digest").alias("_was"), F.col("index_version").alias("_version")).distinct()
+            changed = last.join(old, "source_id", "left").where(~(F.col("_was").eqNullSafe(F.col("digest")) & F.col("_version").eqNullSafe(F.lit(self.index_version)))).drop("_was", "_version")
+        texts = df.join(changed.select("source_id", "seq", "digest"), ["source_id", "seq", "digest"])
+        cut = chunk_text(texts.select("source_id", "digest", "message_id", "text")).select("source_id", "digest", "message_id", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"))
+        # a source that left, or has no text, is known by a row without a chunk
+        bare = changed.join(cut.select("source_id").distinct(), "source_id", "left_anti").select("source_id", "digest", F.lit(None).cast("string").alias("message_id"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"))
+        cut.unionByName(bare).withColumn("index_version", F.lit(self.index_version)).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+
 def index_batches(read: Callable[[], tuple[DataFrame, DataFrame]], write: Callable[[DataFrame], None], index_version: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` over changed texts (source_id, digest, message_id, text): recuts the chunks of the sources in the batch."""
+    """For ``foreachBatch`` over changed texts (source_id, digest, message_id, text) and a table of one's own: recuts the chunks of the sources in the batch. See ``VersionedChunks`` for a table that batches add to."""
 
     def batch(df: DataFrame, _: int) -> None:
         chunks, versions = read()
@@ -43,6 +97,24 @@ def index_batches(read: Callable[[], tuple[DataFrame, DataFrame]], write: Callab
     return batch
 
 
+def run_to_end(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Runs a stream over all that its source has, then stops; the rows of all its batches, or of the last one in the complete mode.
+
+    Batches are written by their ids below ``path``, so one that runs again after a failure replaces itself. With the same ``path`` and new
+    input it goes on where it stopped.
+    """
+    spark = stream.sparkSession
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{path}/state").foreachBatch(batch).start().awaitTermination()
+    batches = sorted((f for f in _folders(spark, f"{path}/rows") if f.startswith("batch=")), key=lambda f: int(f[6:]))
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{path}/rows/{f}" for f in (batches[-1:] if mode == "complete" else batches)))
+
+
 def scope_bursts(events: DataFrame, gap: str = "2 seconds", time: str = "ts", horizon: str = "1 minute") -> DataFrame:
     """(owner, scope, started, ended, arrivals): arrivals of a scope with no quiet time of ``gap`` between them count as one."""
     rows = events.withWatermark(time, horizon) if events.isStreaming else events
