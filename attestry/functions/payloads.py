@@ -25,6 +25,20 @@ def payload_invalid(payload: Column) -> Column:
     return _elements(payload).isNull()
 
 
+def messages_invalid(payload: Column) -> Column:
+    """Whether a payload is not a list of messages that each have an id and a text."""
+
+    def told(m: Column, field: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(m, f"$.{field}", "variant")) == "STRING", F.lit(False))
+
+    return payload_invalid(payload) | ~F.forall(decoded_messages(payload), lambda m: told(m, "id") & told(m, "text"))
+
+
+def locator_given(metadata: Column) -> Column:
+    """Whether a description says where its source is from or where in it."""
+    return F.exists(F.array(*(F.try_element_at(metadata, F.lit(k)) for k in ("original_ref", "locator"))), lambda v: F.coalesce(F.trim(v) != "", F.lit(False)))
+
+
 def metadata_valid(metadata: Column) -> Column:
     """Whether a map of strings describes a source: only the known fields, each given and not too long, and a known visibility. A null map does not."""
     known = F.forall(F.map_keys(metadata), lambda k: k.isin(*FIELDS))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestry.functions.text import assertion_key
+from attestry.functions.payloads import locator_given, messages_invalid, payload_invalid
+from attestry.functions.text import assertion_key, canonical_date, content_id
 from attestry.operators.joins import dangling, unresolved_entities, with_evidence
 from attestry.operators.predicates import usable_on, violations
 
@@ -65,10 +66,16 @@ def ledger(attempts: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def audit_flags(records: DataFrame, messages: DataFrame, sources: DataFrame, gov: DataFrame) -> DataFrame:
-    """(record_id, status, lifecycle, flag): structural signals of each record."""
-    r = records.join(sources.select("source_id", "source_type"), "source_id", "left")
-    r = with_evidence(r, messages.withColumn("in_message", F.lit(True))).join(gov.select("record_id", "holder", "subject_id", "as_of"), "record_id", "left")
-    there = F.col("text").isNotNull()
+    """(record_id, status, lifecycle, flag): structural signals of each record.
+
+    ``sources`` may have a ``payload``: the messages of one that is no JSON list count for missing. ``messages`` may have ``created_at``.
+    """
+    bad = payload_invalid(F.col("payload")) if "payload" in sources.columns else F.lit(False)
+    dated = F.coalesce(F.col("created_at") != "", F.lit(False)) if "created_at" in messages.columns else F.lit(True)
+    told = messages.select("source_id", "message_id", "role", "text", dated.alias("dated"))
+    r = records.join(sources.select("source_id", "source_type", bad.alias("payload_bad")), "source_id", "left")
+    r = r.join(told, ["source_id", "message_id"], "left").join(gov.select("record_id", "holder", "subject_id", "as_of"), "record_id", "left")
+    there = F.col("text").isNotNull() & ~F.coalesce("payload_bad", F.lit(False))
     rules = {
         "as_of_missing": F.col("as_of").isNull(),
         "assistant_statement": there & (F.col("role") == "assistant"),
@@ -80,7 +87,9 @@ def audit_flags(records: DataFrame, messages: DataFrame, sources: DataFrame, gov
         "quote_not_supported": there & ~F.coalesce(F.contains("text", "quote") & (F.col("quote") != ""), F.lit(False)),
         "secondhand_summary": F.coalesce(F.col("source_type") == "imported_summary", F.lit(False)),
         "semantic_support_not_reviewed": ~F.coalesce(F.col("source_type") == "correction", F.lit(False)),
+        "source_date_missing": there & ~F.col("dated"),
         "source_missing": F.col("source_type").isNull(),
+        "source_payload_invalid": F.coalesce("payload_bad", F.lit(False)),
         "speaker_unknown": there & ~F.coalesce(F.col("role").isin("user", "assistant", "external"), F.lit(False)),
         "subject_id_missing": F.col("subject_id").isNull(),
         "temporal_claim_needs_review": F.col("statement").rlike(TEMPORAL),
@@ -89,22 +98,34 @@ def audit_flags(records: DataFrame, messages: DataFrame, sources: DataFrame, gov
     return r.select("record_id", "status", "lifecycle", F.explode(violations(rules)).alias("flag"))
 
 
-def diagnose(records: DataFrame, gov: DataFrame, entities: DataFrame, messages: DataFrame, sources: DataFrame, day: Column, sample: int = 3) -> DataFrame:
-    """(owner, scope, category, n, samples): gaps in governance with the first record ids of each."""
-    r = with_evidence(records.join(gov.drop("revision"), "record_id", "left"), messages)
-    r = r.join(sources.select("source_id", "parser_version"), "source_id", "left")
+def diagnose(records: DataFrame, gov: DataFrame, entities: DataFrame, messages: DataFrame, sources: DataFrame, day: Column, sample: int = 3, readable: DataFrame | None = None) -> DataFrame:
+    """(owner, scope, category, n, samples): gaps in governance with the first record ids of each.
+
+    Dates of ``gov`` may be texts, of which only YYYY-MM-DD are valid. A source counts within its own owner and scope alone; it may have a ``payload`` and
+    ``metadata`` (a map). ``readable``: the (owner, scope) that may be looked into for entities, all if not given.
+    """
+    as_of, until = (canonical_date(F.col(c).cast("string")) for c in ("as_of", "valid_until"))
+    dates_ok = (F.coalesce(F.col("as_of").cast("string"), F.lit("")).isin("") | as_of.isNotNull()) & (F.coalesce(F.col("valid_until").cast("string"), F.lit("")).isin("") | until.isNotNull())
+    bad = messages_invalid(F.col("payload")) if "payload" in sources.columns else F.lit(False)
+    located = locator_given(F.col("metadata")) if "metadata" in sources.columns else F.col("parser_version").isNotNull()
+    own = sources.select("source_id", "owner", "scope", bad.alias("payload_bad"), F.coalesce(located, F.lit(False)).alias("located"))
+    r = with_evidence(records.join(gov.drop("revision"), "record_id", "left"), messages).join(own, ["source_id", "owner", "scope"], "left")
+    source, sound = F.col("located").isNotNull(), ~F.coalesce("payload_bad", F.lit(True))
     rules = {
-        "expired_active": F.coalesce((F.col("lifecycle") == "active") & (F.col("valid_until") <= day), F.lit(False)),
-        "missing_as_of": F.col("as_of").isNull(),
-        "missing_holder": F.col("holder").isNull(),
-        "missing_subject_id": F.col("subject_id").isNull(),
-        "source_message_missing": F.col("text").isNull(),
-        "source_original_locator_missing": F.col("parser_version").isNull(),
-        "source_quote_missing_or_mismatch": F.col("text").isNotNull() & ~F.coalesce(F.contains("text", "quote"), F.lit(False)),
+        "expired_active": F.coalesce(dates_ok & (F.col("lifecycle") == "active") & (until <= day), F.lit(False)),
+        "invalid_effective_date": ~dates_ok,
+        "missing_as_of": F.coalesce(F.col("as_of").cast("string"), F.lit("")) == "",
+        "missing_holder": F.coalesce("holder", F.lit("")) == "",
+        "missing_subject_id": F.coalesce("subject_id", F.lit("")) == "",
+        "source_message_missing": source & sound & F.col("text").isNull(),
+        "source_missing_or_outside_scope": ~source,
+        "source_original_locator_missing": source & ~F.col("located"),
+        "source_payload_invalid": source & ~sound,
+        "source_quote_missing_or_mismatch": source & sound & F.col("text").isNotNull() & ~F.coalesce(F.contains("text", "quote") & (F.col("quote") != ""), F.lit(False)),
     }
     own = r.select("record_id", "owner", "scope", F.explode(violations(rules)).alias("category"))
     place = records.select("record_id", "owner", "scope")
-    lost = unresolved_entities(records, gov, entities)
+    lost = unresolved_entities(records, gov, entities, readable)
     refs = lost.select("record_id", F.explode(F.when(F.col("cross_scope"), F.array(F.lit("unresolved_entity_reference"), F.lit("cross_scope_entity_reference"))).otherwise(F.array(F.lit("unresolved_entity_reference")))).alias("category")).distinct()
     ends = dangling(records).select("record_id", F.lit("dangling_supersedes").alias("category"))
     every = own.unionByName(refs.unionByName(ends).join(place, "record_id"))
@@ -187,13 +208,39 @@ def fingerprint(df: DataFrame, by: list[str], *cols: str) -> DataFrame:
 
     Rows are hashed and hashed again in 256 sorted parts, so what meets for one group is a digest a part, not its rows.
     """
-    from attestry.functions.text import content_id
-
     rows = df.select(*by, content_id(*cols).alias("h")).withColumn("part", F.substring("h", 1, 2))
     parts = rows.groupBy(*by, "part").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
     return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
 
 
+#: Words of 32 bits of a row's digest, summed up apart.
+FINGERPRINT_WORDS = 8
+
+
+def fingerprint_state(df: DataFrame, by: list[str], *cols: str) -> DataFrame:
+    """(by, n, w0 … w7): how many rows a group has and the sums of their digests' words, to be kept and patched.
+
+    Sums need no order and no list, are pre-aggregated before the shuffle, and a change costs its own rows alone (``patch_fingerprint``).
+    """
+    rows = df.select(*by, content_id(*cols).alias("_h"))
+    words = [F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"w{i}") for i in range(FINGERPRINT_WORDS)]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *words)
+
+
+def patch_fingerprint(state: DataFrame, added: DataFrame, removed: DataFrame, by: list[str], *cols: str) -> DataFrame:
+    """The state after some rows came and some went, from the state before and these rows; groups that lost their last row are left out."""
+    fields = ["n", *(f"w{i}" for i in range(FINGERPRINT_WORDS))]
+    gone = fingerprint_state(removed, by, *cols).select(*by, *((-F.col(f)).alias(f) for f in fields))
+    every = state.select(*by, *fields).unionByName(fingerprint_state(added, by, *cols)).unionByName(gone)
+    return every.groupBy(*by).agg(*(F.sum(f).cast("long" if f == "n" else "decimal(30,0)").alias(f) for f in fields)).where("n > 0")
+
+
+def fingerprint_token(state: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, fingerprint): the digest of a state, equal for equal sets of rows."""
+    words = [F.col(f"w{i}").cast("decimal(38,0)").cast("string") for i in range(FINGERPRINT_WORDS)]
+    return state.select(*by, "n", F.sha2(F.concat_ws(",", F.col("n").cast("string"), *words), 256).alias("fingerprint"))
+
+
 def group_assertions(df: DataFrame) -> DataFrame:
     """Active assertions that say the same, in one state of review, with all their references."""
     keys = ["owner", "scope", "status", "kind", "state", assertion_key("subject").alias("subject_key"), assertion_key("statement").alias("statement_key")]

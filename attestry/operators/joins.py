@@ -125,14 +125,18 @@ def map_evidence(records: DataFrame, segments: DataFrame) -> DataFrame:
     return out.select("record_id", F.when(F.col("n") == 1, "mapped").when(F.col("n") > 1, "ambiguous").otherwise("unresolved").alias("mapping"))
 
 
-def unresolved_entities(records: DataFrame, gov: DataFrame, entities: DataFrame) -> DataFrame:
-    """(record_id, field, entity_id, cross_scope): references to no entity of the record's own scope."""
+def unresolved_entities(records: DataFrame, gov: DataFrame, entities: DataFrame, readable: DataFrame | None = None) -> DataFrame:
+    """(record_id, field, entity_id, cross_scope): references to no entity of the record's own scope.
+
+    Other scopes are looked into only if they are among ``readable`` (owner, scope); all of the owner's if it is not given.
+    """
     refs = records.select("record_id", "owner", "scope").join(gov, "record_id").select("record_id", "owner", "scope", F.expr("stack(2, 'holder', holder, 'subject_id', subject_id) as (field, entity_id)"))
     refs = refs.where("entity_id is not null and entity_id <> concat('owner:', owner)")
     own = entities.select("owner", "scope", F.col("id").alias("entity_id"))
     lost = refs.join(own, ["owner", "scope", "entity_id"], "left_anti")
     # the rest of an owner's scopes: an entity of the same owner anywhere is in another scope here
-    there = own.select("owner", "entity_id").distinct().withColumn("cross_scope", F.lit(True))
+    seen = own if readable is None else own.join(readable.select("owner", "scope").distinct(), ["owner", "scope"], "left_semi")
+    there = seen.select("owner", "entity_id").distinct().withColumn("cross_scope", F.lit(True))
     return lost.join(there, ["owner", "entity_id"], "left").select("record_id", "field", "entity_id", F.coalesce("cross_scope", F.lit(False)).alias("cross_scope"))
 
 
@@ -176,15 +180,29 @@ def resolve_claims(claims: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def valid_on(records: DataFrame, dates: DataFrame) -> DataFrame:
-    """(day, record_id): records usable on each of a few dates.
+    """(day, record_id): records usable on each of any number of dates.
 
-    Each record names the days of its own span among the dates given, by position in their sorted list, so no range
-    join is needed; the list of days is one row.
+    Days between the first and the last asked are numbered. A span of days is the union of at most two blocks of each power of two, and
+    a day lies in one block of each, so both meet by equality: rows of either side grow with the logarithm of the days, and every match is a result.
     """
-    days = dates.agg(F.array_sort(F.collect_set("day")).alias("days"))
-    r = records.where(usable_on(F.col("as_of"))).select("record_id", "as_of", "valid_until").join(F.broadcast(days))
-    inside = F.filter("days", lambda d: (d >= F.col("as_of")) & (F.col("valid_until").isNull() | (d < F.col("valid_until"))))
-    return r.select(F.explode(inside).alias("day"), "record_id")
+    first, last = dates.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return records.sparkSession.createDataFrame([], "day date, record_id string").join(records.select("record_id"), "record_id", "left_semi").select("day", "record_id")
+    n = (last - first).days + 1
+    levels = range(n.bit_length())
+    number = F.datediff("day", F.lit(first))
+    days = dates.where("day is not null").select("day").distinct()
+    days = days.select("day", F.posexplode(F.array(*(F.shiftright(number, k) for k in levels))).alias("level", "block"))
+    lo = F.greatest(F.datediff("as_of", F.lit(first)), F.lit(0))
+    hi = F.least(F.coalesce(F.datediff("valid_until", F.lit(first)), F.lit(n)), F.lit(n))
+    spans = records.where(usable_on(F.col("as_of"))).select("record_id", lo.alias("lo"), hi.alias("hi"))
+    blocks = []
+    for k in levels:
+        a, b = F.shiftright(F.col("lo") + ((1 << k) - 1), k), F.shiftright("hi", k)
+        blocks.append(F.when((a < b) & (a % 2 == 1), F.struct(F.lit(k).alias("level"), a.alias("block"))))
+        blocks.append(F.when((a < b) & (b % 2 == 1), F.struct(F.lit(k).alias("level"), (b - 1).alias("block"))))
+    held = spans.where("lo < hi").select("record_id", F.explode(F.filter(F.array(*blocks), lambda x: x.isNotNull())).alias("x")).select("record_id", "x.level", "x.block")
+    return held.join(days, ["level", "block"]).select("day", "record_id")
 
 
 def dependencies(sources: DataFrame, records: DataFrame, jobs: DataFrame, topics: DataFrame, chunks: DataFrame) -> DataFrame:

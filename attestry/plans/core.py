@@ -247,9 +247,18 @@ _REFS = """SELECT record_id, owner, scope, field, entity_id FROM (
     WHERE entity_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_entities e WHERE e.owner = x.owner AND e.scope = x.scope AND e.id = x.entity_id)"""
 
 
-@query("j13_unresolved_entities", f"SELECT record_id, field, entity_id, EXISTS (SELECT 1 FROM v_entities e WHERE e.owner = y.owner AND e.id = y.entity_id) AS cross_scope FROM ({_REFS}) y")
+#: What some reader may read.
+_READABLE = "SELECT DISTINCT owner, unnest(scopes) AS scope FROM v_grants WHERE list_contains(actions, 'read')"
+_CROSS = f"EXISTS (SELECT 1 FROM v_entities e JOIN ({_READABLE}) g ON g.owner = e.owner AND g.scope = e.scope WHERE e.owner = y.owner AND e.id = y.entity_id)"
+
+
+def readable(t: Inputs) -> DataFrame:
+    return t.v_grants.where("array_contains(actions, 'read')").select("owner", F.explode("scopes").alias("scope")).distinct()
+
+
+@query("j13_unresolved_entities", f"SELECT record_id, field, entity_id, {_CROSS} AS cross_scope FROM ({_REFS}) y")
 def j13(t: Inputs) -> DataFrame:
-    return J.unresolved_entities(t.v_records, t.v_governance, t.v_entities)
+    return J.unresolved_entities(t.v_records, t.v_governance, t.v_entities, readable(t))
 
 
 @query("j14_dangling_supersedes", "SELECT record_id, supersedes FROM v_records r WHERE supersedes IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_records p WHERE p.record_id = r.supersedes)")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.operators import aggregates as A
 from attestry.operators import joins as J
 from attestry.operators import windows as W
-from attestry.plans.core import _GOV, _REFS, day, governed
+from attestry.plans.core import _CROSS, _GOV, _REFS, day, governed, readable
 from attestry.registry import Inputs, query
 
 
@@ -56,17 +58,37 @@ def a5(t: Inputs) -> DataFrame:
     return A.ledger(t.v_attempts, t.v_budgets)
 
 
-_FLAGS = """SELECT record_id, status, lifecycle, unnest(list_filter([
+#: Sources as they came: a payload that is cut off, one that is no list, one whose message has no text, and sound ones; some left out, some of another scope.
+_CAME = """SELECT source_id, owner, CASE WHEN created % 29 = 6 THEN 'scope-x' ELSE scope END AS scope, source_type,
+    CASE WHEN created % 23 = 4 THEN concat('[', source_id) WHEN created % 23 = 7 THEN '{"id": []}' WHEN created % 23 = 9 THEN '[{"id": "m0", "text": 7}]' ELSE concat('[{"id": "', source_id, '", "text": ""}]') END AS payload,
+    CASE WHEN created % 3 = 0 THEN map('original_ref', source_key) WHEN created % 3 = 1 THEN map('locator', ' ', 'author', owner) END AS metadata
+    FROM {v_sources} WHERE created % 29 <> 5"""
+_CAME_SQL = re.sub(r"map\((.*?)\)", lambda m: "MAP {" + re.sub(r"('\w+'), ('.*?'|\w+)", r"\1: \2", m[1]) + "}", _CAME.replace("{v_sources}", "v_sources"))
+_DATED = "SELECT source_id, message_id, role, text, CASE WHEN turn % 3 = 0 THEN '2024-02-03' WHEN turn % 3 = 1 THEN '' END AS created_at FROM {v_messages}"
+_WRITTEN = "SELECT record_id, holder, subject_id, CASE WHEN record_id LIKE '%21' THEN '2024-2-30' ELSE CAST(as_of AS STRING) END AS as_of, CASE WHEN record_id LIKE '%32' THEN 'soon' ELSE CAST(valid_until AS STRING) END AS valid_until FROM {v_governance}"
+
+
+def _tables(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def plain(sql: str, name: str) -> str:
+        return sql.replace("{", "{{").replace("}", "}}").replace(f"{{{{{name}}}}}", f"{{{name}}}")
+
+    return tuple(t.spark.sql(plain(sql, name), **{name: getattr(t, name)}) for sql, name in ((_CAME, "v_sources"), (_DATED, "v_messages"), (_WRITTEN, "v_governance")))
+
+
+_FLAGS = f"""WITH s AS (SELECT *, NOT coalesce(CASE WHEN json_valid(payload) THEN json_type(payload) = 'ARRAY' END, false) AS bad FROM ({_CAME_SQL})),
+    e AS (SELECT source_id, message_id, role, text, created_at FROM ({_DATED.replace("{v_messages}", "v_messages")}) m WHERE source_id NOT IN (SELECT source_id FROM s WHERE bad))
+    SELECT record_id, status, lifecycle, unnest(list_filter([
     CASE WHEN as_of IS NULL THEN 'as_of_missing' END, CASE WHEN role = 'assistant' THEN 'assistant_statement' END, CASE WHEN role = 'assistant' AND status <> 'agent_suggested' THEN 'attribution_status_mismatch' END,
     CASE WHEN source_type = 'correction' THEN 'explicit_correction' END, CASE WHEN role = 'external' THEN 'external_statement' END, CASE WHEN holder IS NULL THEN 'holder_missing' END, CASE WHEN text IS NULL THEN 'message_missing' END,
-    CASE WHEN text IS NOT NULL AND NOT contains(text, quote) THEN 'quote_not_supported' END, CASE WHEN source_type = 'imported_summary' THEN 'secondhand_summary' END, CASE WHEN source_type <> 'correction' THEN 'semantic_support_not_reviewed' END,
+    CASE WHEN text IS NOT NULL AND NOT contains(text, quote) THEN 'quote_not_supported' END, CASE WHEN source_type = 'imported_summary' THEN 'secondhand_summary' END, CASE WHEN source_type <> 'correction' OR source_type IS NULL THEN 'semantic_support_not_reviewed' END, CASE WHEN text IS NOT NULL AND coalesce(created_at, '') = '' THEN 'source_date_missing' END, CASE WHEN bad THEN 'source_payload_invalid' END,
     CASE WHEN source_type IS NULL THEN 'source_missing' END, CASE WHEN role NOT IN ('user', 'assistant', 'external') THEN 'speaker_unknown' END, CASE WHEN subject_id IS NULL THEN 'subject_id_missing' END,
     CASE WHEN regexp_matches(statement, '(?i)planned|deadline|completed') THEN 'temporal_claim_needs_review' END, CASE WHEN regexp_matches(statement, '(?i)rewrite|word count') THEN 'transient_task_signal' END], lambda x: x IS NOT NULL)) AS flag
-    FROM (SELECT r.*, m.role, m.text, s.source_type, g.holder, g.subject_id, g.as_of FROM v_records r LEFT JOIN v_messages m USING (source_id, message_id) LEFT JOIN (SELECT source_id, source_type FROM v_sources) s USING (source_id) LEFT JOIN v_governance g USING (record_id))"""
+    FROM (SELECT r.*, m.role, m.text, m.created_at, s.bad, s.source_type, g.holder, g.subject_id, g.as_of FROM v_records r LEFT JOIN e m USING (source_id, message_id) LEFT JOIN (SELECT source_id, source_type, bad FROM s) s USING (source_id) LEFT JOIN v_governance g USING (record_id))"""
 
 
 def _flags(t: Inputs) -> DataFrame:
-    return A.audit_flags(t.v_records, t.v_messages, t.v_sources, t.v_governance)
+    sources, messages, _ = _tables(t)
+    return A.audit_flags(t.v_records, messages, sources, t.v_governance)
 
 
 @query("a6_audit_flags", _FLAGS)
@@ -79,17 +101,23 @@ def a6h(t: Inputs) -> DataFrame:
     return A.status_counts(_flags(t), "flag", "status", "lifecycle")
 
 
-_GAPS = f"""WITH f AS (SELECT record_id, owner, scope, unnest(list_filter([CASE WHEN lifecycle = 'active' AND valid_until <= DATE '2024-02-01' THEN 'expired_active' END, CASE WHEN as_of IS NULL THEN 'missing_as_of' END, CASE WHEN holder IS NULL THEN 'missing_holder' END,
-      CASE WHEN subject_id IS NULL THEN 'missing_subject_id' END, CASE WHEN text IS NULL THEN 'source_message_missing' END, CASE WHEN parser_version IS NULL THEN 'source_original_locator_missing' END, CASE WHEN text IS NOT NULL AND NOT contains(text, quote) THEN 'source_quote_missing_or_mismatch' END], lambda x: x IS NOT NULL)) AS category
-      FROM (SELECT r.*, m.text, s.parser_version, g.holder, g.subject_id, g.as_of, g.valid_until FROM v_records r LEFT JOIN v_messages m USING (source_id, message_id) LEFT JOIN (SELECT source_id, parser_version FROM v_sources) s USING (source_id) LEFT JOIN v_governance g USING (record_id))
+_GAPS = f"""WITH s AS (SELECT *, CASE WHEN json_valid(payload) THEN json_type(payload) <> 'ARRAY' OR (json_array_length(payload) > 0 AND (coalesce(json_type(payload, '$[0].id'), '') <> 'VARCHAR' OR coalesce(json_type(payload, '$[0].text'), '') <> 'VARCHAR')) ELSE true END AS bad,
+        coalesce(trim(metadata['original_ref']) <> '', false) OR coalesce(trim(metadata['locator']) <> '', false) AS located FROM ({_CAME_SQL})),
+      g AS (SELECT *, TRY_CAST(as_of AS DATE) AS a, TRY_CAST(valid_until AS DATE) AS v FROM ({_WRITTEN.replace("{v_governance}", "v_governance")})),
+      x AS (SELECT r.*, m.text, s.bad, s.located, g.holder, g.subject_id, g.as_of, g.v, (g.as_of IS NULL OR (a IS NOT NULL AND length(g.as_of) = 10)) AND (g.valid_until IS NULL OR v IS NOT NULL) AS ok
+        FROM v_records r LEFT JOIN v_messages m ON m.source_id = r.source_id AND m.message_id = r.message_id LEFT JOIN s ON s.source_id = r.source_id AND s.owner = r.owner AND s.scope = r.scope LEFT JOIN g ON g.record_id = r.record_id),
+      f AS (SELECT record_id, owner, scope, unnest(list_filter([CASE WHEN ok AND lifecycle = 'active' AND v <= DATE '2024-02-01' THEN 'expired_active' END, CASE WHEN NOT ok THEN 'invalid_effective_date' END, CASE WHEN as_of IS NULL THEN 'missing_as_of' END, CASE WHEN holder IS NULL THEN 'missing_holder' END,
+        CASE WHEN subject_id IS NULL THEN 'missing_subject_id' END, CASE WHEN located IS NULL THEN 'source_missing_or_outside_scope' END, CASE WHEN bad THEN 'source_payload_invalid' END, CASE WHEN NOT bad AND text IS NULL THEN 'source_message_missing' END,
+        CASE WHEN NOT located THEN 'source_original_locator_missing' END, CASE WHEN NOT bad AND text IS NOT NULL AND NOT contains(text, quote) THEN 'source_quote_missing_or_mismatch' END], lambda x: x IS NOT NULL)) AS category FROM x
       UNION ALL SELECT DISTINCT record_id, owner, scope, 'unresolved_entity_reference' FROM ({_REFS})
-      UNION ALL SELECT DISTINCT record_id, owner, scope, 'cross_scope_entity_reference' FROM ({_REFS}) y WHERE EXISTS (SELECT 1 FROM v_entities e WHERE e.owner = y.owner AND e.id = y.entity_id)
+      UNION ALL SELECT DISTINCT record_id, owner, scope, 'cross_scope_entity_reference' FROM ({_REFS}) y WHERE {_CROSS}
       UNION ALL SELECT record_id, owner, scope, 'dangling_supersedes' FROM v_records r WHERE supersedes IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_records p WHERE p.record_id = r.supersedes))
     SELECT owner, scope, category, count(*) AS n, array_to_string(list_slice(list_sort(list(record_id)), 1, 3), ',') AS samples FROM f GROUP BY 1, 2, 3"""
 
 
 def _gaps(t: Inputs) -> DataFrame:
-    return A.diagnose(t.v_records, t.v_governance, t.v_entities, t.v_messages, t.v_sources, day())
+    sources, _, gov = _tables(t)
+    return A.diagnose(t.v_records, gov, t.v_entities, t.v_messages, sources, day(), readable=readable(t))
 
 
 @query("a7_governance_gaps", _GAPS)
@@ -174,6 +202,25 @@ def q12(t: Inputs) -> DataFrame:
     return by_source.join(each.groupBy("source_id").agg(F.count("*").alias("claims")), "source_id")
 
 
+_WORDS = ", ".join(f"CAST(sum(CAST(concat('0x', substr(h, {8 * i + 1}, 8)) AS UBIGINT)) AS VARCHAR) AS w{i}" for i in range(A.FINGERPRINT_WORDS))
+
+
+@query(
+    "a16_patched_fingerprint",
+    f"""SELECT owner, scope, n, sha256(concat_ws(',', CAST(n AS VARCHAR), {", ".join(f"w{i}" for i in range(A.FINGERPRINT_WORDS))})) AS fingerprint
+    FROM (SELECT owner, scope, count(*) AS n, {_WORDS} FROM (SELECT owner, scope, sha256(concat_ws(chr(31), record_id, CASE WHEN k % 100 = 7 THEN concat('new ', statement) ELSE statement END)) AS h FROM v_records WHERE k % 50 <> 3) x GROUP BY 1, 2) y""",
+)
+def a16p(t: Inputs) -> DataFrame:
+    """A kept state, patched by the few rows that changed, came or went, is the state of the rows as they are now."""
+    by, cols, k = ["owner", "scope"], ("record_id", "statement"), F.col("k")
+    r = t.v_records
+    before = A.fingerprint_state(r.where(k % 50 != 4), by, *cols)
+    changed = r.where((k % 100 == 7) & (k % 50 != 4))
+    added = changed.withColumn("statement", F.concat(F.lit("new "), "statement")).unionByName(r.where(k % 50 == 4))
+    removed = changed.unionByName(r.where(k % 50 == 3))
+    return A.fingerprint_token(A.patch_fingerprint(before, added, removed, by, *cols), by)
+
+
 @query(
     "a14_suite_gate",
     """WITH e AS (SELECT DISTINCT source_id AS case_id FROM v_sources WHERE created % 6 <> 1), u AS (SELECT source_id AS case_id, CASE WHEN created % 9 = 2 THEN 'failed' WHEN created % 9 <> 4 THEN 'passed' END AS verdict FROM v_sources WHERE created % 5 <> 3 UNION ALL SELECT source_id, 'passed' FROM v_sources WHERE created % 25 = 0),
