@@ -72,16 +72,6 @@ def from_skeleton(text: str) -> Node:
     return root
 
 
-def _shape(root: Node) -> bytes:
-    """A print of the set of labels in a page."""
-    todo, labels = [root], set()
-    while todo:
-        node = todo.pop()
-        labels.add(node.label)
-        todo.extend(node.children)
-    return blake2b("\n".join(sorted(labels)).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-
-
 def _opened(root: Node) -> set[int]:
     """Orders of nodes that are furniture by name and yet hold a page's article: those are layout."""
     out, todo = set(), [(root, ())]
@@ -170,14 +160,9 @@ def _content_print(root: Node) -> bytes:
     return blake2b(main_text(root).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for page in batch.column(1):
-            root = _tree(page.as_py())
-            rows.append((_shape(root), root.size, skeleton(root)))
-        shape, size, bones = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shape, pa.binary()), pa.array(size, pa.int64()), pa.array(bones, pa.string())], ["host", "shape", "size", "bones"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([skeleton(_tree(page.as_py())) for page in batch.column(1)], pa.string())], ["host", "bones"])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +193,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, bones, fixed, firm): each host's reference and its template leaves. Hosts with fewer pages than a template needs have none."""
-    hosts = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
-    sketches = hosts.mapInArrow(_sketches, "host string, shape binary, size long, bones string")
-    shapes = sketches.groupBy("host", "shape").agg(F.count("*").alias("n"), F.min(F.struct("size", "bones")).alias("least"))
-    chosen = shapes.groupBy("host").agg(F.sum("n").alias("pages"), F.max_by("least.bones", F.struct("n", "shape")).alias("bones"))
-    references = scratch.keep("references", chosen.where(F.col("pages") >= LEAST_PAGES).select("host", "bones"))
+    hosts = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> '' and html is not null")
+    own = hosts.withColumn("digest", F.md5(F.col("html").cast("binary")))
+    # a page's shape is the set of its elements; the smallest page of a host's most common shape is its reference
+    tags = F.regexp_extract_all(F.lower("html"), F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
+    sketches = own.select("host", "digest", tags.alias("tags")).select("host", "digest", F.size("tags").alias("size"), F.xxhash64(F.array_sort(F.array_distinct("tags"))).alias("shape"))
+    shapes = sketches.groupBy("host", "shape").agg(F.count("*").alias("n"), F.min(F.struct("size", "digest")).alias("least"))
+    chosen = shapes.groupBy("host").agg(F.sum("n").alias("pages"), F.max_by("least.digest", F.struct("n", "shape")).alias("digest")).where(F.col("pages") >= LEAST_PAGES)
+    picked = own.join(chosen.select("host", "digest"), ["host", "digest"], "left_semi").dropDuplicates(["host"])
+    references = scratch.keep("references", picked.select("host", "html").mapInArrow(_bones, "host string, bones string"))
     votes = hosts.join(references, "host").select("host", "html", "bones").mapInArrow(_votes, "host string, content binary, votes array<int>")
     # copies of one text count once
     each = votes.groupBy("host", "content").agg(F.min("votes").alias("votes")).select("host", F.explode("votes").alias("vote"))
