@@ -33,14 +33,25 @@ def _exported(t: Inputs) -> DataFrame:
     return out.select(F.col("conv_id").cast("string").alias("uuid"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("name"), F.lit("2024-01-01").alias("created_at"), F.transform("ms", lambda x: x["m"].dropFields("turn")).alias("chat_messages"))
 
 
-@query(
-    "s1_export_scan",
-    "SELECT CAST(conv_id AS STRING) AS conversation_id, concat('Talk ', CAST(conv_id AS STRING)) AS title, CAST(turn AS INT) AS message_no, concat('m', CAST(turn AS STRING)) AS message_id, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' ELSE 'external' END AS role, '2024-01-01' AS created_at, 0 AS block_no, text FROM conversations",
-)
+_EXPORT = "SELECT CAST(conv_id AS STRING) AS conversation_id, concat('Talk ', CAST(conv_id AS STRING)) AS title, CAST(turn AS INT) AS message_no, concat('m', CAST(turn AS STRING)) AS message_id, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' ELSE 'external' END AS role, '2024-01-01' AS created_at, 0 AS block_no, text FROM conversations"
+
+
+@query("s1_export_scan", _EXPORT)
 def s1(t: Inputs) -> DataFrame:
     return X.flatten_conversations(_exported(t))
 
 
+@query("s1_export_files", _EXPORT)
+def s1f(t: Inputs) -> DataFrame:
+    """The export written as files of one JSON list each, and read again."""
+    folder = f"{shared_dir(t.spark)}/export-{uuid.uuid4().hex}"
+    every = _exported(t).select(F.floor(F.col("uuid").cast("long") / 50).alias("f"), F.to_json(F.struct("uuid", "name", "created_at", "chat_messages")).alias("j"))
+    # one line a file: a list whose elements follow each other
+    lists = every.groupBy("f").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n "), F.lit("]")).alias("value"))
+    lists.select("value").repartition("value").write.text(folder)
+    return X.read_conversation_export(t.spark, folder)
+
+
 @query("p1_visible_blocks", "SELECT CAST(conv_id AS STRING) AS conversation_id, concat('m', CAST(turn AS STRING)) AS message_id, 1 AS blocks, length(text) AS chars FROM conversations")
 def p1(t: Inputs) -> DataFrame:
     m = _exported(t).select(F.col("uuid").alias("conversation_id"), F.explode("chat_messages").alias("m"))

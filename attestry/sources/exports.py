@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestry.operators.lineage import written
+from attestry.sources.json_lists import read_json_list
+
 BLOCK = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
 MESSAGE = T.StructType(
     [
@@ -39,11 +42,16 @@ def flatten_conversations(conversations: DataFrame) -> DataFrame:
     return rows
 
 
-def read_conversation_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks, ids that occur more than once) of JSON files that hold a list of conversations each."""
-    raw = spark.read.schema(CONVERSATION).json(path, multiLine=True)
-    twice = raw.groupBy("uuid").agg(F.count("*").alias("n")).where("n > 1")
-    return flatten_conversations(raw), twice
+def read_conversation_export(spark: SparkSession, path: str) -> DataFrame:
+    """The visible blocks (see ``flatten_conversations``) of JSON files that hold a list of conversations each, read in parallel within a file too.
+
+    An id that occurs more than once, or an element that is no conversation, refuses the whole export with a ``ValueError``.
+    """
+    raw = written(read_json_list(spark, path).select(F.from_json("text", CONVERSATION, {"mode": "PERMISSIVE"}).alias("c")).select("c.*"), "export")
+    bad = raw.groupBy("uuid").agg(F.count("*").alias("n")).where("uuid is null or n > 1").select("uuid").take(5)
+    if bad:
+        raise ValueError(f"ids that are missing or not unique: {', '.join(str(b['uuid']) for b in bad)}")
+    return flatten_conversations(raw)
 
 
 def flatten_memories(df: DataFrame) -> DataFrame:
