@@ -17,7 +17,7 @@ from attestry.operators import predicates as P
 from attestry.operators import retrieval as R
 from attestry.operators import windows as W
 from attestry.operators.lineage import shared_dir
-from attestry.plans.core import day, governed
+from attestry.plans.core import _GOV, _USABLE, day, governed
 from attestry.registry import Inputs, query
 from attestry.sources import exports as X
 from attestry.streaming import jobs as ST
@@ -90,9 +90,28 @@ def p10(t: Inputs) -> DataFrame:
     return r.select("record_id", D.evidence_class(quote, blocks, F.col("source_type") == "imported_summary").alias("class"))
 
 
+def _topic_lines(t: Inputs) -> DataFrame:
+    rows, directories = D.topic_pages(D.topic_records(governed(t), t.v_sources, t.v_topics), 8)
+    return D.topic_lines(rows, day()).unionByName(D.directory_lines(directories))
+
+
 @query("a18_topic_documents")
 def a18(t: Inputs) -> DataFrame:
-    return D.render_topics(D.topic_lines(governed(t), t.v_sources, t.v_topics))
+    return D.render_topics(_topic_lines(t))
+
+
+@query(
+    "a18_topic_sections",
+    f"""WITH r AS (SELECT DISTINCT g.*, t.slug FROM ({_GOV}) g JOIN v_sources s ON s.source_id = g.source_id JOIN (SELECT owner, scope, slug, unnest(prefixes) AS prefix FROM v_topics) t ON t.owner = s.owner AND t.scope = s.scope AND starts_with(s.source_key, t.prefix)),
+    s AS (SELECT *, CASE WHEN state = 'verified' THEN CASE WHEN {_USABLE} THEN 1 ELSE 3 END WHEN state = 'historical' THEN 3 WHEN state = 'rejected' THEN 4 WHEN status = 'agent_suggested' THEN 7 ELSE 2 END AS section FROM r),
+    k AS (SELECT owner, scope, slug, section, status, kind, state, subject, {{key}} AS said FROM s WHERE lifecycle = 'active')
+    SELECT owner, scope, slug, section, count(*) AS n FROM (SELECT DISTINCT owner, scope, slug, status, kind, state, subject, said, last_value(section) OVER (PARTITION BY owner, scope, slug, status, kind, state, subject, said) AS section FROM k) x GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT owner, scope, slug, 9, count(*) FROM r WHERE supersedes IS NOT NULL GROUP BY 1, 2, 3 UNION ALL SELECT owner, scope, slug, 10, count(*) FROM r GROUP BY 1, 2, 3""".replace("{key}", "regexp_replace(regexp_replace(statement, '\\s+', '', 'g'), '^[。.!！]+|[。.!！]+$', '', 'g')"),
+)
+def a18s(t: Inputs) -> DataFrame:
+    """How many entries each section of an unpaged document has."""
+    lines = D.topic_lines(D.topic_records(governed(t), t.v_sources, t.v_topics), day())
+    return lines.where("section > 0 and place.created is not null").groupBy("owner", "scope", "slug", "section").agg(F.count("*").alias("n"))
 
 
 @query("q6_topic_versions")
