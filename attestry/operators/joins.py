@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestry.functions.text import collapsed
+from attestry.functions.text import collapsed, content_id
 from attestry.operators.predicates import usable_on
 
 
@@ -40,21 +40,33 @@ def material_inventory(sources: DataFrame, records: DataFrame, messages: DataFra
     return out.select("source_id", "owner", "scope", F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("active_claims", F.lit(0)).alias("active_claims"), F.substring("text", 1, preview).alias("preview"))
 
 
+def payload_digest(*cols: str) -> Column:
+    """What a source's index rests on beside its own digest: its payload, type and key."""
+    return content_id(*cols)
+
+
 def plan_index(sources: DataFrame, versions: DataFrame, index_version: str) -> DataFrame:
-    """(source_id, action): new, changed, unchanged or removed against the index's own versions."""
-    s, v = sources.select("source_id", "digest"), versions.select("source_id", F.col("digest").alias("old"), F.col("index_version").alias("at"))
+    """(source_id, action): new, changed, unchanged or removed against the index's own versions.
+
+    ``sources`` are those that may be indexed: one that may no longer be is removed like one that is gone. Where both tables have a
+    ``payload_digest``, it must be the same too for a source to be unchanged.
+    """
+    both = "payload_digest" in sources.columns and "payload_digest" in versions.columns
+    s = sources.select("source_id", "digest", (F.col("payload_digest") if both else F.lit("")).alias("payload"))
+    v = versions.select("source_id", F.col("digest").alias("old"), (F.col("payload_digest") if both else F.lit("")).alias("old_payload"), F.col("index_version").alias("at"))
     action = (
         F.when(F.col("at").isNull(), "new")
         .when(F.col("digest").isNull(), "removed")
-        .when((F.col("digest") == F.col("old")) & (F.col("at") == index_version), "unchanged")
+        .when((F.col("digest") == F.col("old")) & (F.col("at") == index_version) & F.col("payload").eqNullSafe(F.col("old_payload")), "unchanged")
         .otherwise("changed")
     )
     return s.join(v, "source_id", "full_outer").select("source_id", action.alias("action"))
 
 
 def live_chunks(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Chunks whose source still has the digest that they were cut from."""
-    return chunks.join(sources.select("source_id", "digest"), ["source_id", "digest"], "left_semi")
+    """Chunks whose source may be read and still has the digest, and the payload digest where both tables have one, that they were cut from."""
+    same = ["source_id", "digest", *(["payload_digest"] if "payload_digest" in chunks.columns and "payload_digest" in sources.columns else [])]
+    return chunks.join(sources.select(*same), same, "left_semi")
 
 
 def verify_archive(manifest: DataFrame, observed: DataFrame, key: str = "path", fields: tuple[str, ...] = ("size", "digest")) -> DataFrame:
@@ -117,9 +129,15 @@ def association_links(claims: DataFrame, records: DataFrame, limit: int = 20) ->
     return best.withColumn("n", place).where(F.col("n") <= limit).drop("n")
 
 
+def whole_id(message_id: str = "message_id") -> Column:
+    """The id of the message that a part belongs to: parts are numbered after a #."""
+    return F.substring_index(message_id, "#", 1)
+
+
 def map_evidence(records: DataFrame, segments: DataFrame) -> DataFrame:
-    """(record_id, mapping): how many texts of the same conversation and message hold the quote."""
-    hit = records.join(segments, ["source_id", "message_id"], "left")
+    """(record_id, mapping): how many parts of the same conversation and message hold the quote."""
+    parts = segments.select("source_id", whole_id().alias("whole"), "text")
+    hit = records.select("record_id", "source_id", whole_id().alias("whole"), "quote").join(parts, ["source_id", "whole"], "left")
     n = F.count_if(F.coalesce(F.contains("text", "quote"), F.lit(False)))
     out = hit.groupBy("record_id").agg(n.alias("n"))
     return out.select("record_id", F.when(F.col("n") == 1, "mapped").when(F.col("n") > 1, "ambiguous").otherwise("unresolved").alias("mapping"))
@@ -166,9 +184,12 @@ def doc_references(versions: DataFrame, records: DataFrame, pattern: str = r"\b(
 
 
 def select_fresh(messages: DataFrame, receipts: DataFrame, processed: DataFrame, most_chars: int = 2000) -> DataFrame:
-    """User messages neither seen nor of a processed conversation, whole and short."""
-    fresh = messages.where((F.col("role") == "user") & (F.length("text") <= most_chars))
-    return fresh.join(receipts.select("source_id", "message_id"), ["source_id", "message_id"], "left_anti").join(processed.select("source_id"), "source_id", "left_anti")
+    """User messages neither seen nor of a processed conversation, short, and not split into parts."""
+    key = ["source_id", "_whole"]
+    every = messages.withColumn("_whole", whole_id())
+    alone = every.groupBy(*key).agg(F.count("*").alias("_n")).where("_n = 1").select(*key)
+    fresh = every.where((F.col("role") == "user") & (F.length("text") <= most_chars)).join(alone, key, "left_semi")
+    return fresh.drop("_whole").join(receipts.select("source_id", "message_id"), ["source_id", "message_id"], "left_anti").join(processed.select("source_id"), "source_id", "left_anti")
 
 
 def resolve_claims(claims: DataFrame, spans: DataFrame) -> DataFrame:

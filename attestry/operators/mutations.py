@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestry.functions import rules as R
+from attestry.functions.spans import chunk_text
 from attestry.functions.text import content_id
+from attestry.operators.joins import plan_index
 
 SOURCE_KEY = ["owner", "scope", "source_key", "digest"]
 
@@ -138,9 +140,6 @@ def apply_translations(translations: DataFrame, incoming: DataFrame, records: Da
 
 def refresh_index(chunks: DataFrame, versions: DataFrame, sources: DataFrame, texts: DataFrame, index_version: str, size: int = 1000, overlap: int = 100) -> DataFrame:
     """Chunks after: those of changed and new sources are cut anew, those of removed ones go, all others stay untouched."""
-    from attestry.functions.spans import chunk_text
-    from attestry.operators.joins import plan_index
-
     plan = plan_index(sources, versions, index_version)
     keep = chunks.join(plan.where("action = 'unchanged'").select("source_id"), "source_id", "left_semi")
     redo = sources.select("source_id", "digest").join(plan.where("action in ('new', 'changed')").select("source_id"), "source_id", "left_semi")
@@ -148,6 +147,20 @@ def refresh_index(chunks: DataFrame, versions: DataFrame, sources: DataFrame, te
     return keep.select("source_id", "digest", "message_id", "start_char", "end_char").unionByName(fresh.select("source_id", "digest", "message_id", "start_char", "end_char"))
 
 
+def chunk_changes(chunks: DataFrame, versions: DataFrame, sources: DataFrame, texts: DataFrame, index_version: str, size: int = 1000, overlap: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(added, gone): what an index of chunks with ids (chunk_id, source_id) must write and drop, chunk by chunk.
+
+    A chunk's id is made from its place and text, so a source that changed in one message keeps all its other chunks; only
+    sources that are new, changed or removed are looked at.
+    """
+    plan = plan_index(sources, versions, index_version)
+    redo = texts.join(plan.where("action in ('new', 'changed')").select("source_id"), "source_id", "left_semi")
+    fresh = chunk_text(redo.select("source_id", "message_id", "text"), size, overlap)
+    fresh = fresh.withColumn("chunk_id", content_id("source_id", "message_id", "start_char", "chunk"))
+    held = chunks.join(plan.where("action in ('changed', 'removed')").select("source_id"), "source_id", "left_semi").select("chunk_id", "source_id")
+    return fresh.join(held.select("chunk_id"), "chunk_id", "left_anti"), held.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+
+
 # Longest fields, topics and kinds of a claim, and the words that tell a claim's source, date, or want of one.
 LONGEST = {"statement": 1200, "subject": 160, "quote": 2000, "message_id": 100}
 TOPICS = ("profile", "preferences", "people", "areas", "projects", "topics")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.rules import PATTERNS
+from attestry.functions.text import content_id
 from attestry.operators import budgets as B
 from attestry.operators import mutations as M
 from attestry.operators.aggregates import charge
@@ -222,6 +223,29 @@ def m10(t: Inputs) -> DataFrame:
     return M.refresh_index(_old_chunks(t), t.v_versions, t.v_sources, t.v_messages.select("source_id", "message_id", "text"), "idx-2", 200, 20)
 
 
+_ID = "sha256(concat_ws(chr(31), source_id, message_id, '0', text))"
+_EDITED = "SELECT source_id, message_id, CASE WHEN message_id = 'm1' THEN concat(substr(text, 1, 150), '!') ELSE substr(text, 1, 150) END AS text FROM v_messages WHERE text <> ''"
+_EDITED_SQL = f"SELECT * FROM ({_EDITED}) x WHERE trim(text) <> ''"
+
+
+@query(
+    "m10_chunk_changes",
+    f"""WITH o AS (SELECT {_ID} AS chunk_id, source_id FROM (SELECT source_id, message_id, substr(text, 1, 150) AS text FROM v_messages WHERE text <> '') x),
+    p AS (SELECT v.source_id, s.source_id IS NULL AS removed FROM v_versions v LEFT JOIN (SELECT source_id, digest FROM v_sources) s ON s.source_id = v.source_id WHERE s.source_id IS NULL OR s.digest <> v.digest OR v.index_version <> 'idx-2'
+      UNION ALL SELECT source_id, false FROM v_sources WHERE source_id NOT IN (SELECT source_id FROM v_versions)),
+    f AS (SELECT {_ID} AS chunk_id, source_id FROM ({_EDITED_SQL}) y WHERE source_id IN (SELECT source_id FROM p WHERE NOT removed)),
+    h AS (SELECT * FROM o WHERE source_id IN (SELECT source_id FROM p) AND source_id IN (SELECT source_id FROM v_versions))
+    SELECT 'added' AS action, chunk_id FROM f WHERE chunk_id NOT IN (SELECT chunk_id FROM h) UNION ALL SELECT 'gone', chunk_id FROM h WHERE chunk_id NOT IN (SELECT chunk_id FROM f)""",
+)
+def m10c(t: Inputs) -> DataFrame:
+    """The beginnings of messages, of which the second of each conversation was edited: an index writes those alone."""
+    old = t.v_messages.where("text <> ''").select("source_id", "message_id", F.substring("text", 1, 150).alias("text"))
+    chunks = old.select(content_id("source_id", "message_id", F.lit(0), "text").alias("chunk_id"), "source_id").join(t.v_versions.select("source_id"), "source_id", "left_semi")
+    new = old.withColumn("text", F.when(F.col("message_id") == "m1", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    added, gone = M.chunk_changes(chunks, t.v_versions, t.v_sources, new, "idx-2")
+    return added.select(F.lit("added").alias("action"), "chunk_id").unionByName(gone.select(F.lit("gone").alias("action"), "chunk_id"))
+
+
 @query(
     "m11_budget_admission",
     """WITH RECURSIVE a AS (SELECT attempt_id, owner, scope, coalesce(total_tokens, prompt_tokens + completion_tokens, reservation) AS size, row_number() OVER (PARTITION BY owner, scope ORDER BY attempt_id) AS i FROM v_attempts),

@@ -167,18 +167,36 @@ def j5(t: Inputs) -> DataFrame:
     return J.material_inventory(t.v_sources, t.v_records, t.v_messages)
 
 
+#: Sources that may be indexed with the digest of their payload, type and key; the index knows an older one of some.
+_INDEXED = "SELECT source_id, digest, sha256(concat_ws(chr(31), digest, source_type, source_key)) AS payload_digest FROM v_sources WHERE source_type <> 'conversation' OR parser_version = 'v2'"
+_KNOWN = "SELECT v.source_id, v.digest, index_version, CASE WHEN created % 7 = 3 THEN 'old' ELSE sha256(concat_ws(chr(31), s.digest, source_type, source_key)) END AS payload_digest FROM v_versions v LEFT JOIN (SELECT source_id, digest, source_type, source_key, created FROM v_sources) s ON s.source_id = v.source_id"
+
+
+def _indexed(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    own = J.payload_digest("digest", "source_type", "source_key")
+    sources = P.eligible(t.v_sources).withColumn("payload_digest", own)
+    told = t.v_sources.select("source_id", F.when(F.col("created") % 7 == 3, "old").otherwise(own).alias("payload_digest"))
+    lost = F.sha2(F.lit(""), 256)
+    return sources, t.v_versions.join(told, "source_id", "left").withColumn("payload_digest", F.coalesce("payload_digest", lost))
+
+
 @query(
     "j6_index_plan",
-    """SELECT coalesce(s.source_id, v.source_id) AS source_id, CASE WHEN v.source_id IS NULL THEN 'new' WHEN s.source_id IS NULL THEN 'removed'
-    WHEN s.digest = v.digest AND v.index_version = 'idx-2' THEN 'unchanged' ELSE 'changed' END AS action FROM v_sources s FULL JOIN v_versions v ON s.source_id = v.source_id""",
+    f"""SELECT coalesce(s.source_id, v.source_id) AS source_id, CASE WHEN v.source_id IS NULL THEN 'new' WHEN s.source_id IS NULL THEN 'removed'
+    WHEN s.digest = v.digest AND v.index_version = 'idx-2' AND s.payload_digest = v.payload_digest THEN 'unchanged' ELSE 'changed' END AS action FROM ({_INDEXED}) s FULL JOIN ({_KNOWN}) v ON s.source_id = v.source_id""",
 )
 def j6(t: Inputs) -> DataFrame:
-    return J.plan_index(t.v_sources, t.v_versions, "idx-2")
+    return J.plan_index(*_indexed(t), "idx-2")
+
+
+_CHUNKS = "SELECT v.source_id, v.digest, v.payload_digest, m.message_id, 0 AS start_char FROM ({}) v JOIN v_messages m ON m.source_id = v.source_id"
 
 
-@query("j7_live_chunks", "SELECT v.source_id, v.digest FROM v_versions v WHERE EXISTS (SELECT 1 FROM v_sources s WHERE s.source_id = v.source_id AND s.digest = v.digest)")
+@query("j7_live_chunks", f"SELECT c.source_id, c.message_id FROM ({_CHUNKS.format(_KNOWN)}) c JOIN ({_INDEXED}) s ON s.source_id = c.source_id AND s.digest = c.digest AND s.payload_digest = c.payload_digest")
 def j7(t: Inputs) -> DataFrame:
-    return J.live_chunks(t.v_versions, t.v_sources).select("source_id", "digest")
+    sources, versions = _indexed(t)
+    chunks = t.v_messages.join(versions.select("source_id", "digest", "payload_digest"), "source_id")
+    return J.live_chunks(chunks, sources).select("source_id", "message_id")
 
 
 @query(
@@ -235,10 +253,13 @@ def j11(t: Inputs) -> DataFrame:
 @query(
     "j12_evidence_remap",
     """SELECT record_id, CASE WHEN n = 1 THEN 'mapped' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS mapping FROM (
-    SELECT r.record_id, count(*) FILTER (WHERE contains(m.text, r.quote)) AS n FROM v_records r LEFT JOIN v_messages m USING (source_id, message_id) GROUP BY 1)""",
+    SELECT r.record_id, count(*) FILTER (WHERE contains(m.text, r.quote)) AS n FROM v_records r LEFT JOIN (SELECT source_id, message_id, text FROM v_messages UNION ALL SELECT source_id, message_id, substr(text, 1, 60) FROM v_messages WHERE turn % 3 = 0) m USING (source_id, message_id) GROUP BY 1)""",
 )
 def j12(t: Inputs) -> DataFrame:
-    return J.map_evidence(t.v_records, t.v_messages.select("source_id", "message_id", "text"))
+    """Messages that were cut into parts: every third one also has its beginning as a part of its own."""
+    m = t.v_messages
+    parts = m.select("source_id", F.concat("message_id", F.lit("#1")).alias("message_id"), "text")
+    return J.map_evidence(t.v_records, parts.unionByName(m.where("turn % 3 = 0").select("source_id", F.concat("message_id", F.lit("#2")).alias("message_id"), F.substring("text", 1, 60).alias("text"))))
 
 
 _REFS = """SELECT record_id, owner, scope, field, entity_id FROM (
@@ -288,12 +309,14 @@ def j16(t: Inputs) -> DataFrame:
 
 @query(
     "j17_fresh_sample",
-    """SELECT source_id, message_id FROM v_messages m WHERE role = 'user' AND length(text) <= 2000 AND NOT EXISTS (SELECT 1 FROM v_claims c WHERE c.source_id = m.source_id AND c.message_id = m.message_id)
+    """SELECT source_id, message_id FROM v_messages m WHERE role = 'user' AND length(text) <= 2000 AND turn % 4 <> 1 AND NOT EXISTS (SELECT 1 FROM v_claims c WHERE c.source_id = m.source_id AND c.message_id = m.message_id)
     AND NOT EXISTS (SELECT 1 FROM v_segments s WHERE CAST(s.conv_id AS STRING) = m.source_id AND s.state = 'failed')""",
 )
 def j17(t: Inputs) -> DataFrame:
     done = t.v_segments.where("state = 'failed'").select(F.col("conv_id").cast("string").alias("source_id"))
-    return J.select_fresh(t.v_messages, t.v_claims, done).select("source_id", "message_id")
+    m = t.v_messages
+    split = m.where("turn % 4 = 1").withColumn("message_id", F.explode(F.transform(F.array(F.lit("#1"), F.lit("#2")), lambda p: F.concat("message_id", p))))
+    return J.select_fresh(m.where("turn % 4 <> 1").unionByName(split), t.v_claims, done).select("source_id", "message_id")
 
 
 @query(
