@@ -151,9 +151,9 @@ def main_text(root: Node, fixed: set[int] = frozenset(), firm: set[int] = frozen
     return "\n".join(x.text for x in leaves)
 
 
-def _tree(page: str | None) -> Node:
+def _tree(page: str | None, printed: bool = True) -> Node:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
-    return page_tree(page or "")
+    return page_tree(page or "", printed)
 
 
 def _content_print(root: Node) -> bytes:
@@ -180,8 +180,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for page, bones, fixed, firm in zip(*batch.columns[2:], strict=True):
-            root = _tree(page.as_py())
             same, firmly = set(fixed.as_py() or ()), set(firm.as_py() or ())
+            root = _tree(page.as_py(), bool(same))
             if same:
                 met = {order: leaf for order, (leaf, equal) in Matching().align(root, from_skeleton(bones.as_py())).items() if equal}
                 out.append(main_text(root, {o for o, leaf in met.items() if leaf in same}, {o for o, leaf in met.items() if leaf in firmly}))
@@ -200,6 +200,8 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     sketches = own.select("host", "digest", tags.alias("tags")).select("host", "digest", F.size("tags").alias("size"), F.xxhash64(F.array_sort(F.array_distinct("tags"))).alias("shape"))
     shapes = sketches.groupBy("host", "shape").agg(F.count("*").alias("n"), F.min(F.struct("size", "digest")).alias("least"))
     chosen = shapes.groupBy("host").agg(F.sum("n").alias("pages"), F.max_by("least.digest", F.struct("n", "shape")).alias("digest")).where(F.col("pages") >= LEAST_PAGES)
+    # written, so that its size is known before the join is planned
+    chosen = scratch.keep("chosen", chosen)
     picked = own.join(chosen.select("host", "digest"), ["host", "digest"], "left_semi").dropDuplicates(["host"])
     references = scratch.keep("references", picked.select("host", "html").mapInArrow(_bones, "host string, bones string"))
     votes = hosts.join(references, "host").select("host", "html", "bones").mapInArrow(_votes, "host string, content binary, votes array<int>")

@@ -82,13 +82,13 @@ def _attributes(text: str) -> tuple[str, frozenset, bool]:
 class Node:
     """A block element or, with ``text``, a leaf. ``skip``: furniture by its own element, role or name."""
 
-    __slots__ = ("children", "label", "linked", "main", "order", "print", "size", "skip", "tag", "text")
+    __slots__ = ("children", "label", "linked", "main", "order", "print", "skip", "tag", "text")
 
     def __init__(self, tag: str, label: str, skip: bool = False, main: bool = False, text: str | None = None, linked: int = 0):
         self.tag, self.label, self.skip, self.main, self.text, self.linked = tag, label, skip, main, text, linked
         self.children: list[Node] = []
         self.print = b""
-        self.size = self.order = 0
+        self.order = 0
 
 
 def _skips(tag: str, words: frozenset, hidden: bool, within_article: bool) -> bool:
@@ -118,7 +118,7 @@ class _Builder:
     def add(self, raw: str) -> None:
         if raw and not self.skipping:
             self.buffer.append(references.unescape(raw) if "&" in raw else raw)
-            if any(t == "a" for t, _ in self.inline):
+            if self.inline and any(t == "a" for t, _ in self.inline):
                 self.links += len(raw)
 
     def flush(self) -> None:
@@ -195,8 +195,8 @@ class _Builder:
             self.close_to({tag}, () if tag in TABLE_PARTS else SCOPES | {"ul", "ol"} if tag == "li" else SCOPES)
 
 
-def page_tree(page: str) -> Node:
-    """The block tree of a page's whole HTML."""
+def page_tree(page: str, prints: bool = True) -> Node:
+    """The block tree of a page's whole HTML; ``prints``: as alignment needs them."""
     out, at, n = _Builder(), 0, len(page)
     last, quoted, endless = page.rfind(">"), True, set()
     while at < n:
@@ -204,8 +204,9 @@ def page_tree(page: str) -> Node:
         if not m:
             out.add(page[at:])
             break
-        out.add(page[at : m.start()])
-        at = m.start()
+        if m.start() > at:
+            out.add(page[at : m.start()])
+            at = m.start()
         if page.startswith("<!--", at):
             end = page.find("-->", at + 4)
             at = n if end < 0 else end + 3
@@ -241,19 +242,18 @@ def page_tree(page: str) -> Node:
         else:
             out.start(name, tag[2])
     out.flush()
-    return _measured(out.root)
+    return _measured(out.root, prints)
 
 
-def _measured(root: Node) -> Node:
-    """Numbers leaves and nodes in page order and gives each subtree a size and a print of its labels and texts."""
+def _measured(root: Node, prints: bool = True) -> Node:
+    """Numbers nodes in page order and gives each subtree a print of its labels and texts."""
     todo, every = [root], []
     while todo:
         node = todo.pop()
         node.order = len(every)
         every.append(node)
         todo.extend(reversed(node.children))
-    for node in reversed(every):
-        node.size = 1 + sum(c.size for c in node.children)
+    for node in reversed(every) if prints else ():
         node.print = printed(node.label if node.text is None else node.text, node.children)
     return root
 
