@@ -93,12 +93,12 @@ FROM (SELECT *, conv_id * 100 + turn AS k, CAST(floor((conv_id * 100 + turn) / 2
     "v_judged": """
 SELECT k AS claim_no, source_id, CASE WHEN g = 15 THEN 'm-none' ELSE message_id END AS message_id, g, CASE WHEN g = 2 THEN 'rumour' ELSE kind END AS kind, subject,
        CASE g WHEN 3 THEN 'misc' WHEN 6 THEN 'people' ELSE topic END AS topic,
-       CASE g WHEN 4 THEN concat('#', substr(text, 1, 40)) WHEN 5 THEN '好的' WHEN 6 THEN 'Li Wei 来访' WHEN 7 THEN '我希望休息' WHEN 8 THEN '访客可以带水' WHEN 9 THEN '如果批准就去' WHEN 10 THEN text ELSE substr(text, 1, 1900) END AS quote,
+       CASE g WHEN 4 THEN concat('#', substr(text, 1, 40)) WHEN 5 THEN '好的' WHEN 6 THEN 'Li Wei 来访' WHEN 7 THEN '我希望休息' WHEN 8 THEN '访客可以带水' WHEN 9 THEN '如果批准就去' WHEN 10 THEN text ELSE text END AS quote,
        concat(CASE WHEN g = 11 OR CAST(source_id AS BIGINT) % 10 = 0 OR created_at IS NULL OR created_at = 'soon' THEN '' ELSE '来源消息日期：2024-02-03（非事件成立时间，当前有效性待核实）。' END,
          CASE WHEN CAST(source_id AS BIGINT) % 10 <> 0 AND topic = 'projects' AND source_title IS NOT NULL AND k % 7 > 2 THEN concat('来源对话：', source_title, '。') ELSE '' END,
          CASE WHEN CAST(source_id AS BIGINT) % 10 <> 0 OR g = 12 THEN '' WHEN g = 13 THEN '摘要记载：' ELSE '摘要记载，原始时间未知：' END,
          CASE g WHEN 0 THEN '' WHEN 1 THEN repeat('x', 1201) WHEN 5 THEN '用户同意整个方案' WHEN 6 THEN '李伟（Li Wei）来访' WHEN 7 THEN '用户已决定休息' WHEN 8 THEN '访客必须带水' WHEN 9 THEN '计划去'
-           WHEN 10 THEN '回答必须简短' WHEN 14 THEN '请写一篇游记' WHEN 16 THEN '从现在起，长期适用，直到我明确更改：回答必须简短' ELSE substr(text, 1, 1000) END) AS statement
+           WHEN 10 THEN '回答必须简短' WHEN 14 THEN '请写一篇游记' WHEN 16 THEN '从现在起，长期适用，直到我明确更改：回答必须简短' ELSE text END) AS statement
 FROM (SELECT t.*, r.kind, r.subject, r.topic FROM {v_told} t JOIN (SELECT k, kind, subject, topic FROM {v_records}) r ON r.k = t.k) x""",
     "v_pasted": """
 SELECT source_id, message_id, conv_id, turn, role, source_type,
