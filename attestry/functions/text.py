@@ -73,6 +73,6 @@ def escaped_markdown(text: Column | str) -> Column:
     return F.replace(F.regexp_replace(text, r"([\\`*_{}\[\]#|])", r"\\$1"), F.lit("\n"), F.lit(" "))
 
 
-def json_size(struct: Column, keys: int, ignore_nulls: bool = False) -> Column:
+def json_size(struct: Column, keys: int | Column, ignore_nulls: bool = False) -> Column:
     """Length of a flat object's JSON with a blank after each comma and colon."""
     return F.length(F.to_json(struct, {"ignoreNullFields": str(ignore_nulls).lower()})) + 2 * keys - 1

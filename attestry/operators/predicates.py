@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.text import canonical_date
+from attestry.functions.payloads import metadata_valid
+from attestry.functions.text import canonical_date, json_size
 
 STATES = ("candidate", "verified", "historical", "rejected")
 ROLES = ("user", "assistant", "external")
@@ -85,6 +86,30 @@ def check_messages(df: DataFrame, most_chars: int = 4000) -> DataFrame:
     return df.withColumn("violations", violations(rules))
 
 
+def check_sources(sources: DataFrame, messages: DataFrame, most_payload: int = 24_000) -> DataFrame:
+    """Adds ``violations`` to sources (source_id, source_key, source_type, metadata) with their messages (source_id, message_id, role, text, and source_title and created_at if there are).
+
+    A batch has 1 to 100 messages of ``most_payload`` characters of JSON altogether; a source without a description is fine, one with a faulty one is not.
+    """
+    extra = [c for c in ("source_title", "created_at") if c in messages.columns]
+    keys = sum((F.col(c).isNotNull().cast("int") for c in extra), F.lit(3))
+    size = json_size(F.struct(F.col("message_id").alias("id"), "role", "text", *extra), keys, ignore_nulls=True)
+    long = F.array_max(F.array(F.lit(0), *(F.coalesce(F.length(c), F.lit(0)) for c in extra), F.lit(0))) > 300
+    faulty = F.coalesce(F.length("message_id").between(1, 100) & (F.trim("text") != "") & F.col("role").isin(*ROLES), F.lit(False))
+    told = messages.groupBy("source_id").agg(F.count("*").alias("_n"), F.sum(size + 2).alias("_payload"), F.count_if(long).alias("_long"), F.count_if(~faulty).alias("_faulty"))
+    n = F.coalesce("_n", F.lit(0))
+    rules = {
+        "key_length": ~F.length("source_key").between(1, 300),
+        "message_count": ~n.between(1, 100),
+        "message_faulty": F.coalesce("_faulty", F.lit(0)) > 0,
+        "message_metadata": F.coalesce("_long", F.lit(0)) > 0,
+        "metadata_invalid": F.col("metadata").isNotNull() & ~metadata_valid(F.col("metadata")),
+        "payload_too_long": F.coalesce("_payload", F.lit(0)) > most_payload,
+        "unknown_type": ~F.col("source_type").isin("conversation", "imported_summary", "document"),
+    }
+    return sources.join(told, "source_id", "left").withColumn("violations", violations(rules)).drop("_n", "_payload", "_long", "_faulty")
+
+
 def check_answers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """Adds ``violations`` to answers (task_id, status, abstain, citations, answer) by the evidence of their tasks."""
     have = evidence.groupBy("task_id").agg(F.collect_set("evidence_id").alias("have"))

@@ -49,6 +49,28 @@ def p6(t: Inputs) -> DataFrame:
     return P.check_messages(t.v_messages, 400).select("source_id", "message_id", F.array_join("violations", ",").alias("violations"))
 
 
+_SAID = "SELECT source_id, message_id, role, text, CASE WHEN turn % 6 = 5 THEN repeat('t', 280 + CAST(turn AS INT) * 5) END AS source_title FROM v_messages WHERE source_id NOT LIKE '%77'"
+_SENT = "SELECT source_id, created, CASE WHEN created % 31 = 2 THEN '' ELSE source_key END AS source_key, CASE WHEN created % 37 = 3 THEN 'letter' ELSE source_type END AS source_type FROM v_sources"
+
+
+@query(
+    "p6_source_contract",
+    f"""WITH m AS (SELECT source_id, count(*) AS n, sum(CASE WHEN source_title IS NULL THEN length(to_json({{'id': message_id, 'role': role, 'text': text}})) + 7 ELSE length(to_json({{'id': message_id, 'role': role, 'text': text, 'source_title': source_title}})) + 9 END) AS size,
+      max(coalesce(length(source_title), 0)) AS longest, count(*) FILTER (WHERE trim(text) = '' OR role NOT IN ('user', 'assistant', 'external')) AS faulty FROM ({_SAID}) x GROUP BY source_id)
+    SELECT s.source_id, array_to_string(list_filter([CASE WHEN source_key = '' THEN 'key_length' END, CASE WHEN coalesce(n, 0) NOT BETWEEN 1 AND 100 THEN 'message_count' END, CASE WHEN faulty > 0 THEN 'message_faulty' END, CASE WHEN longest > 300 THEN 'message_metadata' END,
+      CASE WHEN created % 5 = 1 AND length(source_key) > 6 THEN 'metadata_invalid' WHEN created % 5 = 2 THEN 'metadata_invalid' END, CASE WHEN size > 900 THEN 'payload_too_long' END, CASE WHEN source_type = 'letter' THEN 'unknown_type' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM ({_SENT}) s LEFT JOIN m ON m.source_id = s.source_id""",
+)
+def p6s(t: Inputs) -> DataFrame:
+    """Some sources without messages, keys or a known type; descriptions that are sound, missing, of a value too long or of an unknown field."""
+    said = t.v_messages.where("source_id not like '%77'").withColumn("source_title", F.when(F.col("turn") % 6 == 5, F.repeat(F.lit("t"), (280 + F.col("turn") * 5).cast("int"))))
+    c = F.col("created")
+    long = F.create_map(F.lit("author"), F.repeat(F.lit("x"), F.when(F.length("source_key") > 6, 1001).otherwise(1000)))
+    described = F.when(c % 5 == 0, F.create_map(F.lit("visibility"), F.lit("visible_only"))).when(c % 5 == 1, long).when(c % 5 == 2, F.create_map(F.lit("mood"), F.lit("good")))
+    sent = t.v_sources.select("source_id", "created", F.when(c % 31 == 2, "").otherwise(F.col("source_key")).alias("source_key"), F.when(c % 37 == 3, "letter").otherwise(F.col("source_type")).alias("source_type"))
+    return P.check_sources(sent.withColumn("metadata", described), said, 900).select("source_id", F.array_join("violations", ",").alias("violations"))
+
+
 _GOV = "SELECT r.*, coalesce(g.state, 'candidate') AS state, g.holder, g.subject_id, g.as_of, g.valid_until, coalesce(g.priority, 'P3') AS priority, coalesce(g.revision, 0) AS review_revision FROM v_records r LEFT JOIN v_governance g USING (record_id)"
 _USABLE = "lifecycle = 'active' AND state = 'verified' AND holder IS NOT NULL AND subject_id IS NOT NULL AND as_of <= DATE '2024-02-01' AND (valid_until IS NULL OR valid_until > DATE '2024-02-01')"
 
