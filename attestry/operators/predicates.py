@@ -138,6 +138,36 @@ def scan_secrets(df: DataFrame, column: str, rules: dict[str, str]) -> DataFrame
     return df.withColumn("rule", F.explode(hits))
 
 
+# What must not be in files that are made public, by content and by name.
+PUBLIC_SECRETS = {
+    "private-key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "github-token": r"(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})",
+    "model-api-key": r"(?:ark-[0-9a-f]{8}-[0-9a-f-]{20,}|sk-[A-Za-z0-9_-]{24,})",
+    "cloud-secret": r"AKID[A-Za-z0-9]{16,}",
+    "live-model-endpoint": r"ep-[0-9]{14}-[A-Za-z0-9]+",
+    "user-home-path": r"/(?:Users)/[^/\s]+/|/(?:home)/(?!runner\b)[^/\s]+/",
+}
+PRIVATE_NAMES = ("model.json", "grants.json", "browser.json", "owner-token.txt", "service.env", ".env")
+PRIVATE_FOLDERS = ("runtime", "archives", "backups", "private", "reports")
+PRIVATE_KINDS = ("db", "sqlite3", "dump", "zip", "gz")
+
+
+def scan_tree(files: DataFrame) -> DataFrame:
+    """(path, rule) for each file (path, text) that must not be public: by name or folder, by what it holds, and JSON that isn't marked as synthetic."""
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    kind = F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)
+    told = F.try_variant_get(F.try_parse_json("text"), "$.synthetic", "variant")
+    marked = (F.schema_of_variant(told) == "BOOLEAN") & told.try_cast("boolean")
+    rules = {rule: F.col("text").rlike(pattern) for rule, pattern in PUBLIC_SECRETS.items()}
+    rules |= {
+        "private-runtime-file": name.isin(*PRIVATE_NAMES) | F.arrays_overlap(parts, F.array(*map(F.lit, PRIVATE_FOLDERS))) | kind.isin(*PRIVATE_KINDS),
+        "invalid-json": (kind == "json") & F.try_parse_json("text").isNull(),
+        "json-must-be-marked-synthetic": (kind == "json") & F.try_parse_json("text").isNotNull() & ~F.coalesce(marked, F.lit(False)),
+    }
+    return files.select("path", F.explode(violations(rules)).alias("rule"))
+
+
 def candidate_gate(claims: DataFrame, messages: DataFrame) -> DataFrame:
     """Adds ``failures`` to claims: the mechanical reasons why a claim can't become a candidate."""
     from pyspark.sql.window import Window

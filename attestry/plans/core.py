@@ -156,6 +156,26 @@ def p15(t: Inputs) -> DataFrame:
     return P.scan_secrets(t.documents.select("doc_id", "text"), "text", SECRETS).select("doc_id", "rule")
 
 
+#: Documents as files of a tree, with one fault each in some.
+_TREE = """SELECT concat(CASE doc_id % 17 WHEN 1 THEN 'private/' WHEN 2 THEN 'notes/private.d/' ELSE 'docs/' END, CASE doc_id % 13 WHEN 3 THEN '.env' WHEN 4 THEN concat('d', CAST(doc_id AS STRING), '.gz') WHEN 5 THEN concat(CAST(doc_id AS STRING), '.json') ELSE concat(CAST(doc_id AS STRING), '.txt') END) AS path,
+    CASE WHEN doc_id % 13 = 5 THEN CASE doc_id % 4 WHEN 0 THEN '{"synthetic": true}' WHEN 1 THEN '{"synthetic": "true"}' WHEN 2 THEN '[1]' ELSE '{"a' END
+      ELSE concat(text, CASE doc_id % 11 WHEN 1 THEN ' -----BEGIN EC PRIVATE KEY-----' WHEN 2 THEN concat(' ghp_', repeat('aB3', 10)) WHEN 3 THEN concat(' ark-0123abcd-', repeat('0', 20)) WHEN 4 THEN concat(' AKID', repeat('x', 16)) WHEN 5 THEN ' ep-20240101000000-ab' WHEN 6 THEN ' /home/runner/x' WHEN 7 THEN ' /home/runners/x' WHEN 8 THEN ' sk-short' ELSE '' END) END AS text
+    FROM {documents}"""
+_HOME = "(regexp_matches(text, '/Users/[^/\\s]+/') OR len(list_filter(regexp_extract_all(text, '/home/([^/\\s]+)/', 1), lambda x: NOT regexp_matches(x, '^runner([^A-Za-z0-9_]|$)'))) > 0)"
+
+
+@query(
+    "p15_public_tree",
+    f"""SELECT path, unnest(list_filter([CASE WHEN {_HOME} THEN 'user-home-path' END, {", ".join(f"CASE WHEN regexp_matches(text, '{v}') THEN '{k}' END" for k, v in P.PUBLIC_SECRETS.items() if k != "user-home-path")},
+      CASE WHEN name = '.env' OR starts_with(path, 'private/') OR ends_with(path, '.gz') THEN 'private-runtime-file' END, CASE WHEN ends_with(path, '.json') AND NOT json_valid(text) THEN 'invalid-json' END,
+      CASE WHEN ends_with(path, '.json') AND json_valid(text) AND text <> '{{"synthetic": true}}' THEN 'json-must-be-marked-synthetic' END], lambda x: x IS NOT NULL)) AS rule
+    FROM (SELECT *, string_split(path, '/')[-1] AS name FROM ({_TREE.replace("{documents}", "documents")})) x""",
+)
+def p15t(t: Inputs) -> DataFrame:
+    sql = _TREE.replace("{", "{{").replace("}", "}}").replace("{{documents}}", "{documents}")
+    return P.scan_tree(t.spark.sql(sql, documents=t.documents))
+
+
 # joins
 
 
