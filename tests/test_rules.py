@@ -260,3 +260,20 @@ def test_source_context(spark):
     assert [g["relative_time_anchor"] for g in got] == ["2024-02-03", None, None, None, None]
     assert [g["conversation_title"] for g in got] == ["Garden", None, None, None, None]
     assert got[1]["date_role"] == "summary_update"
+
+
+@pytest.mark.parametrize(
+    ("quote", "flagged"),
+    [
+        ("同事建议改用新表格", True),
+        ("同事建议改用新表格，我已经决定采纳", False),
+        ("同事建议改用新表格，我决定采用，但尚未通知", True),
+        ("My advisor recommends it and I have decided to adopt it", False),
+        ("My advisor recommends it and I have not adopted it", True),
+        ("我决定采用新表格", False),
+    ],
+)
+def test_advice_that_the_owner_adopted(spark, quote, flagged):
+    rows = [(1, "s", "t", "claim", "x", "user_stated", "用户改用新表格", quote)]
+    claims = spark.createDataFrame(rows, "claim_no int, source_id string, topic string, kind string, subject string, status string, statement string, quote string")
+    assert ("third_party_advice_review" in R.review_claims(claims).first()["codes"]) == flagged
