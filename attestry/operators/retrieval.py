@@ -71,11 +71,11 @@ def query_units(queries: DataFrame, v3: bool = False) -> DataFrame:
     return queries.select("query_id", F.explode(every).alias("u")).select("query_id", "u.kind", "u.unit")
 
 
-def postings(records: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def postings(records: DataFrame, weights: dict[str, float] | None = None, asked: DataFrame | None = None) -> DataFrame:
     """(record_id, kind, unit, weight, gate_weight): each unit of a record at its strongest field.
 
     Latin units are the words of ``[a-z0-9_]``; a compound with - or . is found by its first word and
-    checked in the text. ``gate_weight`` counts content fields alone.
+    checked in the text. ``gate_weight`` counts content fields alone. ``asked``: the only (kind, unit) wanted.
     """
     weights = {f: w for f, w in (weights or WEIGHTS).items() if f in records.columns}
     fields = F.array(*(F.struct(F.lit(w).alias("weight"), F.lit(w if f in CONTENT else 0.0).alias("gate_weight"), F.coalesce(normal(F.col(f).cast("string")), F.lit("")).alias("text"), F.lit(f in ("subject", "subject_id")).alias("names")) for f, w in weights.items()))
@@ -84,8 +84,10 @@ def postings(records: DataFrame, weights: dict[str, float] | None = None) -> Dat
     han = F.regexp_extract_all("text", F.lit(f"([{HAN}]+)"), F.lit(1))
     pairs = F.transform(F.array_distinct(F.flatten(F.transform(han, _pairs))), lambda u: F.struct(F.lit("pair").alias("kind"), u.alias("unit")))
     single = F.when(F.col("names") & (F.length("text") == 1), F.array(F.struct(F.lit("single").alias("kind"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<kind:string,unit:string>>"))
-    units = rows.select("record_id", "weight", "gate_weight", F.explode(F.concat(words, pairs, single)).alias("u"))
-    return units.groupBy("record_id", F.col("u.kind").alias("kind"), F.col("u.unit").alias("unit")).agg(F.max("weight").alias("weight"), F.max("gate_weight").alias("gate_weight"))
+    units = rows.select("record_id", "weight", "gate_weight", F.explode(F.concat(words, pairs, single)).alias("u")).select("record_id", "u.kind", "u.unit", "weight", "gate_weight")
+    if asked is not None:
+        units = units.join(asked, ["kind", "unit"], "left_semi")
+    return units.groupBy("record_id", "kind", "unit").agg(F.max("weight").alias("weight"), F.max("gate_weight").alias("gate_weight"))
 
 
 def _confirmed(wanted: DataFrame, records: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -124,7 +126,7 @@ _COMPOUND = "kind = 'phrase' or (kind = 'latin' and rlike(unit, '[-.]'))"
 def _looked(units: DataFrame, post: DataFrame, records: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Hits of compounds and phrases: looked for where the compound's first word or the phrase's first pair is."""
     held = units.where(_COMPOUND).withColumn("key", F.when(F.col("kind") == "phrase", F.substring("unit", 1, 2)).otherwise(F.split("unit", "[-.]")[0]))
-    keyed = post.where("kind <> 'single'").select(F.col("unit").alias("key"), "record_id").distinct()
+    keyed = post.where("kind <> 'single'").select(F.col("unit").alias("key"), "record_id").join(held.select("key").distinct(), "key", "left_semi").distinct()
     return _confirmed(held.join(keyed, "key").select("query_id", "record_id", "kind", "unit").distinct(), records, weights)
 
 
@@ -141,6 +143,8 @@ def search(records: DataFrame, queries: DataFrame, mode: str = "v2", weights: di
 
 #: Candidates from rare units, as a multiple of ``k``, by which the least score worth looking for is found.
 FIRST_LOOK = 8
+#: Postings of all queries' units up to which reading them all takes less time than bounds do.
+MOST_READ = 1 << 20
 
 
 def essential(plain: DataFrame, least: DataFrame) -> DataFrame:
@@ -152,15 +156,16 @@ def essential(plain: DataFrame, least: DataFrame) -> DataFrame:
     return plain.withColumn("_most", F.sum("top").over(up)).join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("_most") >= F.col("least"))).drop("_most", "least")
 
 
-def search_top(records: DataFrame, queries: DataFrame, k: int, *order: Column, mode: str = "v2", weights: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def search_top(records: DataFrame, queries: DataFrame, k: int, *order: Column, mode: str = "v2", weights: dict[str, float] | None = None, keep: tuple[str, ...] = (), most_read: int = MOST_READ) -> DataFrame:
     """The ``k`` best of ``search`` for each query by score, then ``order`` (over columns ``keep`` of records, and record_id): same rows, but fewer postings are read.
 
     A query's rarest units name some records; these are scored whole, and the k-th best score is a bound. The most common
     units that together gain less than it name no records. What the others name is scored whole by the units of those records alone.
+    Up to ``most_read`` postings are simply all read.
     """
     weights = weights or WEIGHTS
     units = written(query_units(queries, mode == "v3"), "units")
-    post = written(postings(records, weights).join(_asked(units), ["kind", "unit"], "left_semi"), "postings")
+    post = written(postings(records, weights, _asked(units)), "postings")
     stats = post.groupBy("kind", "unit").agg(F.count("*").alias("df"), F.max(_gain(F.col("kind"), F.col("weight"))).alias("top"))
     plain = written(units.where(f"not ({_COMPOUND})").join(stats, ["kind", "unit"]).withColumn("top", F.col("top") + F.when(F.col("kind") == "single", 12.0).otherwise(0.0)), "asked")
     looked = written(_looked(units, post, records, weights), "looked")
@@ -169,17 +174,20 @@ def search_top(records: DataFrame, queries: DataFrame, k: int, *order: Column, m
         return by.select("query_id", "kind", "unit").join(post.select("record_id", "kind", "unit"), ["kind", "unit"]).select("query_id", "record_id").distinct()
 
     def scored(pairs: DataFrame) -> DataFrame:
-        own = pairs.join(post, "record_id").join(plain.select("query_id", "kind", "unit"), ["query_id", "kind", "unit"]).select(*_HIT)
+        own = pairs.join(plain.select("query_id", "kind", "unit"), "query_id").join(post, ["record_id", "kind", "unit"]).select(*_HIT)
         return _gated(own.unionByName(looked.join(pairs, ["query_id", "record_id"], "left_semi").select(*_HIT)), mode)
 
-    rare = Window.partitionBy("query_id").orderBy("df", "kind", "unit").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = plain.withColumn("_before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("_before") < FIRST_LOOK * k)
-    first = written(named(seeds).unionByName(looked.select("query_id", "record_id").distinct()).distinct(), "first")
-    known = written(scored(first), "scored")
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    least = known.withColumn("_n", at).where(F.col("_n") == k).select("query_id", F.col("score").alias("least"))
-    rest = named(essential(plain, least)).join(first, ["query_id", "record_id"], "left_anti")
-    every = known.unionByName(scored(written(rest, "rest")))
+    if (plain.agg(F.sum("df")).first()[0] or 0) <= most_read:
+        every = _gated(plain.join(post, ["kind", "unit"]).select(*_HIT).unionByName(looked.select(*_HIT)), mode)
+    else:
+        rare = Window.partitionBy("query_id").orderBy("df", "kind", "unit").rowsBetween(Window.unboundedPreceding, -1)
+        seeds = plain.withColumn("_before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("_before") < FIRST_LOOK * k)
+        first = written(named(seeds).unionByName(looked.select("query_id", "record_id").distinct()).distinct(), "first")
+        known = written(scored(first), "scored")
+        at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+        least = known.withColumn("_n", at).where(F.col("_n") == k).select("query_id", F.col("score").alias("least"))
+        rest = named(essential(plain, least)).join(first, ["query_id", "record_id"], "left_anti")
+        every = known.unionByName(scored(written(rest, "rest")))
     if keep:
         every = every.join(records.select("record_id", *keep), "record_id")
     return top_k(every, k, *(order or (F.col("record_id"),)))
