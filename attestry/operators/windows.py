@@ -122,7 +122,8 @@ def clause_overlap(claims: DataFrame, least: int = 8) -> DataFrame:
     Clauses meet by equality within a source, so a source's own claims bound the pairs.
     """
     keys = ["source_id", "topic", "subject", "status"]
-    parts = claims.select(*keys, "claim_no", "statement", F.explode(F.array_distinct(F.transform(F.split("statement", "[.,;:!?\n，。；！？、]"), F.trim))).alias("clause"))
+    # a lambda: given F.trim itself, which takes two columns, transform would pass an item's place as what to trim
+    parts = claims.select(*keys, "claim_no", "statement", F.explode(F.array_distinct(F.transform(F.split("statement", "[.,;:!?\n，。；！？、]"), lambda c: F.trim(c)))).alias("clause"))
     parts = parts.where(F.length("clause") >= least)
     a = parts.withColumnsRenamed({"claim_no": "first_no", "statement": "first"})
     b = parts.withColumnsRenamed({"claim_no": "second_no", "statement": "second"})

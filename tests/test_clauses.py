@@ -66,3 +66,12 @@ def test_table_function(spark):
     for call in ("TABLE(SELECT k FROM routed_texts), 'plain'", "TABLE(SELECT text FROM routed_texts), 'other'"):
         with pytest.raises(Exception, match="cited_spans needs|the policy is"):
             spark.sql(f"SELECT * FROM cited_spans({call})")
+
+
+def test_shared_clauses_are_trimmed(spark):
+    """A clause that follows a stop and a blank is the same as one that opens a text."""
+    from attestry.operators.windows import clause_overlap
+
+    rows = [(0, "One shared clause, and more of it."), (1, "First this. One shared clause"), (2, "9 of these 12, One shared clause 1")]
+    claims = spark.createDataFrame([("s", "t", "u", "v", *r) for r in rows], "source_id string, topic string, subject string, status string, claim_no int, statement string")
+    assert {(r.first_no, r.second_no, r.shared) for r in clause_overlap(claims).collect()} == {(0, 1, 1)}
