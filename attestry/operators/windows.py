@@ -93,7 +93,12 @@ def ranked_window(scored: DataFrame, offset: int, limit: int, ceiling: int = 10_
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created"), "record_id")
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= last)
     totals = scored.groupBy("query_id").agg(F.count("*").alias("total"))
-    out = ranked.where(F.col("rank") > offset).join(totals, "query_id")
+    return window_of(ranked.join(totals, "query_id"), offset, last)
+
+
+def window_of(ranked: DataFrame, offset: int, last: int) -> DataFrame:
+    """``ranked_window`` of rows that have rank and total already, up to rank ``last`` at least."""
+    out = ranked.where((F.col("rank") > offset) & (F.col("rank") <= last))
     return out.select("query_id", "record_id", "score", "rank", "total", F.when(F.col("total") > last, F.lit(last)).alias("continue_offset"))
 
 
