@@ -14,8 +14,10 @@ a group of thousands of near copies needs no more pairs than it has members, as
 
 No task holds a whole large run. In the first round a run is dealt to blocks that share a few classes (so that their
 forests hang together); what blocks miss of each other is left to the rounds after. There the classes of a run's largest component need not
-meet each other: only blocks of the others meet all blocks. Large runs have one more round before the last: each class tries a few
-pairs with other components first, which leaves few components whose every pair must be verified.
+meet each other: only blocks of the others meet all blocks. Here classes bring a finer map of their set, which drops nearly every pair below
+the threshold within the task, so that what leaves it does not grow with the square of a group of near copies. Large runs have one more round
+before the last, which links components by a forest of the pairs that are left (sets too long for a finer map try a few pairs each); the
+last round gives every pair that still lies in different components.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ FREQUENT = 24
 WIDEST = 1 << 14
 #: Classes of a block of a run, and how many of them are in all blocks of the first round.
 BLOCK, SHARED = 1024, 32
-#: Pairs that a class of a large run tries before the last round.
+#: Pairs that a class of a large run without a finer map tries before the last round.
 TRIES = 4
+#: Bits of the finer map, as a power of two, and largest set that has one.
+FINE_BITS, FINE = 16, 4096
 #: Bytes of input for each bucket of shingles, and most buckets (as a power of two).
 BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 20
 _U = np.uint64
@@ -136,6 +140,22 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits(m).tobytes()
 
 
+def _fine(s: np.ndarray) -> bytes | None:
+    """The places of a set in its finer map, two bytes each."""
+    return np.unique(s >> _U(64 - FINE_BITS)).astype("<u2").tobytes() if len(s) <= FINE else None
+
+
+def _fine_maps(places: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Finer maps as words of 64 bits, and which sets have one."""
+    out = np.zeros((len(places), 1 << (FINE_BITS - 3)), np.uint8)
+    for row, at in zip(out, places, strict=True):
+        if at is not None:
+            m = np.zeros(1 << FINE_BITS, bool)
+            m[np.frombuffer(at, "<u2")] = True
+            row[:] = np.packbits(m)
+    return out.view(_U), np.array([at is not None for at in places])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
@@ -239,6 +259,16 @@ class SignatureTree:
     def keeps(self, level: int, a: np.ndarray, b: np.ndarray, num: int) -> np.ndarray:
         """Which pairs of nodes may hold a pair of sets above the threshold."""
         m, lo, hi, extra = self.levels[level]
+        return self._may(m, lo, hi, extra, a, b, num)
+
+    def close(self, a: np.ndarray, b: np.ndarray, num: int, maps: np.ndarray, extra: np.ndarray) -> np.ndarray:
+        """The same for leaves by other maps; some pairs at a time, as these are wide."""
+        _, lo, hi, _ = self.levels[0]
+        parts = [slice(i, i + 256) for i in range(0, len(a), 256)]
+        return np.concatenate([np.zeros(0, bool), *(self._may(maps, lo, hi, extra, a[p], b[p], num) for p in parts)])
+
+    @staticmethod
+    def _may(m: np.ndarray, lo: np.ndarray, hi: np.ndarray, extra: np.ndarray, a: np.ndarray, b: np.ndarray, num: int) -> np.ndarray:
         most = np.bitwise_count(m[a] & m[b]).sum(1) + np.minimum(extra[a], extra[b])
         most = np.minimum(most, np.minimum(hi[a], hi[b]))
         need = -(-num * (lo[a] + lo[b]) // (100 + num))
@@ -248,8 +278,10 @@ class SignatureTree:
 class _Labels:
     """Components of leaves, up to date after each link: the smaller one takes the other's label."""
 
-    def __init__(self, n: int):
-        self.of, self.members = np.arange(n), [[k] for k in range(n)]
+    def __init__(self, of: np.ndarray):
+        self.of, self.members = of, [[] for _ in of]
+        for k, label in enumerate(of.tolist()):
+            self.members[label].append(k)
 
     def link(self, x: int, y: int) -> bool:
         a, b = int(self.of[x]), int(self.of[y])
@@ -263,20 +295,20 @@ class _Labels:
         return True
 
 
-def tree_pairs(sizes: np.ndarray, maps: np.ndarray, num: int, group: np.ndarray | None = None, tries: int | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs (by position) that a dual traversal of the tree with itself can't drop.
+def tree_pairs(sizes: np.ndarray, maps: np.ndarray, num: int, group: np.ndarray | None = None, tries: int | None = None, fine: list[bytes | None] | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs (by position) that a dual traversal of the tree with itself can't drop, nor the finer maps where there are any.
 
-    Without ``group``: a spanning forest of them. With it: all whose groups differ, or with ``tries`` those of them that give one of their
-    two sets one of its first so many pairs. A node with itself is never dropped, so that
+    Without ``group``: a spanning forest of them. With it: all whose groups differ, or with ``tries`` a forest of those with finer maps that links
+    the groups, and of the others those that give one of their two sets one of its first so many pairs. A node with itself is never dropped, so that
     the traversal is that of all pairs of siblings, from the lowest upwards: by then the leaves of like siblings are mostly one component, and
     the first link between two such nodes drops all their other pairs.
     """
     tree = SignatureTree(sizes, maps)
     count, fan = len(sizes), SignatureTree.FAN
     order, top = tree.order, len(tree.levels) - 1
-    labels, tried = _Labels(count), [0] * count
-    if group is not None:
-        labels.of = np.unique(group[order], return_inverse=True)[1]
+    labels, tried = _Labels(np.arange(count) if group is None else np.unique(group[order], return_inverse=True)[1]), [0] * count
+    maps, known = _fine_maps([fine[k] for k in order]) if fine is not None else (None, np.zeros(count, bool))
+    spare = np.maximum(tree.levels[0][1] - np.bitwise_count(maps).sum(1), 0) if fine is not None else None
 
     def same() -> list[np.ndarray]:
         """For each node, whether its leaves are all one component."""
@@ -311,8 +343,12 @@ def tree_pairs(sizes: np.ndarray, maps: np.ndarray, num: int, group: np.ndarray
             keep = tree.keeps(level, a, b, num)
             a, b = a[keep], b[keep]
             if level == 0:
+                if fine is not None and len(a):
+                    both = known[a] & known[b]
+                    both[both] = ~tree.close(a[both], b[both], num, maps, spare)
+                    a, b = a[~both], b[~both]
                 for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    if group is None:
+                    if group is None or tries is not None and known[x] and known[y]:
                         if not labels.link(x, y):
                             continue
                     elif tries is not None:
@@ -356,7 +392,7 @@ def _may_link(sizes: list[int], maps: list[bytes], num: int) -> bool:
     return most >= -(-num * (a + b) // (100 + num)) and 100 * a >= num * b and 100 * b >= num * a
 
 
-def _run_pairs(sizes: np.ndarray, reps: np.ndarray, maps: list[bytes], group: np.ndarray | None, num: int, tries: int | None) -> set[tuple[int, int]]:
+def _run_pairs(sizes: np.ndarray, reps: np.ndarray, maps: list[bytes], group: np.ndarray | None, num: int, tries: int | None, fine: list[bytes | None] | None = None) -> set[tuple[int, int]]:
     """Surviving pairs of a run's classes, by representative."""
     if len(reps) == 2:
         x, y = int(reps[0]), int(reps[1])
@@ -368,7 +404,7 @@ def _run_pairs(sizes: np.ndarray, reps: np.ndarray, maps: list[bytes], group: np
     for w in np.unique(widths):
         at = np.flatnonzero((widths == w) | (widths == 2 * w))
         if len(at) > 1:
-            for i, j in tree_pairs(sizes[at], _folded([maps[k] for k in at]), num, None if group is None else group[at], tries):
+            for i, j in tree_pairs(sizes[at], _folded([maps[k] for k in at]), num, None if group is None else group[at], tries, None if fine is None else [fine[k] for k in at]):
                 x, y = int(reps[at[i]]), int(reps[at[j]])
                 pairs.add((min(x, y), max(x, y)))
     return pairs
@@ -385,10 +421,11 @@ def _meet(num: int, grouped: bool, tries: int | None):
             runs = part["run"].to_numpy()
             sizes, reps, maps = part["n"].to_numpy(), part["rep"].to_numpy(), part["bits"].to_pylist()
             group = part["component"].to_numpy() if grouped else None
+            fine = part["fine"].to_pylist() if "fine" in part.column_names else None
             edges = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1], [True])))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a > 1:
-                    seen.update(_run_pairs(sizes[a:b], reps[a:b], maps[a:b], None if group is None else group[a:b], num, tries))
+                    seen.update(_run_pairs(sizes[a:b], reps[a:b], maps[a:b], None if group is None else group[a:b], num, tries, None if fine is None else fine[a:b]))
 
         def out() -> pa.RecordBatch:
             both = np.array(sorted(seen), np.int64).reshape(-1, 2)
@@ -424,7 +461,7 @@ def _need_map(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(need):
-    """(doc_id, sorted shingle hashes) of the documents marked in the map."""
+    """(doc_id, sorted shingle hashes, places in the finer map) of the documents marked in the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(need.value, np.uint32)
@@ -437,7 +474,7 @@ def _sets(need):
             ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(at))
             for row, part in steps(texts):
                 sets = shingle_sets(part)
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_fine(s) for s in sets], pa.binary())], names=["doc_id", "grams", "fine"])
 
     return run
 
@@ -486,7 +523,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
         return F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
 
     def surviving(rows: DataFrame, grouped: bool, tries: int | None = None) -> DataFrame:
-        cols = ["rep", "n", "bits"] + ["component"] * grouped
+        cols = ["rep", "n", "bits"] + ["component"] * grouped + ["fine"] * ("fine" in rows.columns)
         rows = rows.select(F.xxhash64("run", "part").alias("run"), *cols)
         return rows.repartition(shuffle_partitions(spark), "run").sortWithinPartitions("run").mapInArrow(_meet(percent, grouped, tries), "a long, b long").distinct()
 
@@ -498,7 +535,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
     ends = scratch.keep("ends", ends)
     need = spark.sparkContext.broadcast(_need_map(ends).tobytes())
     wanted = docs.where("doc_id is not null").select("doc_id", "text", id_bit(F.col("doc_id")).alias("bit"))
-    sets = wanted.mapInArrow(_sets(need), "doc_id long, grams binary")
+    sets = wanted.mapInArrow(_sets(need), "doc_id long, grams binary, fine binary")
     sets = scratch.keep("sets", sets.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -520,7 +557,8 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 75, spread: int | None =
         return rows.join(plan, ["run", "piece"])
 
     def facing(rows: DataFrame) -> DataFrame:
-        """Large runs by pairs of blocks: the main component's classes come after the others' blocks and don't meet each other."""
+        """Large runs by pairs of blocks, with finer maps: the main component's classes come after the others' blocks and don't meet each other."""
+        rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "fine"), "rep", "left")
         others, mains = F.ceil((F.col("all") - F.col("most")) / block).cast("int"), F.ceil(F.col("most") / block).cast("int")
         is_main = F.col("component") == F.col("main")
         rows = rows.withColumn("own", F.when(is_main, others + dealt(2, mains)).otherwise(dealt(2, others)))

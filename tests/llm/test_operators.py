@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from attestry.llm import mixing_lm as LM
+from attestry.llm import ngram_join as NJ
 from attestry.llm.bpe import ByteBpe, decode, encode
 from attestry.llm.chat import PARTS, format_chats, read_chats
 from attestry.llm.common import Scratch
@@ -149,6 +150,38 @@ def test_ngram_join_with_small_blocks(spark, docs, shared):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == near_classes(rows)
 
 
+def test_runs_of_look_alikes_give_few_pairs(spark, monkeypatch):
+    """Texts share most of their words and no two of them link, though their bitmaps look alike: what a task hands on is not all their pairs."""
+    r, rows, taken = random.Random(11), [], set()
+    while len(rows) < 60:
+        places = sorted(r.sample(range(30), 3))
+        pairs = {(places[0], places[1]), (places[0], places[2]), (places[1], places[2])}
+        if pairs & taken:
+            continue
+        taken |= pairs
+        t = [f"w{k}" for k in range(150)]
+        for k in places:
+            t[k * 5 + 2] = f"new{len(rows)}x{k}"
+        rows.append((len(rows), " ".join(t)))
+    made, meet = spark.sparkContext.accumulator(0), NJ._meet
+
+    def counted(num, grouped, tries):
+        own = meet(num, grouped, tries)
+
+        def run(batches):
+            for out in own(batches):
+                if grouped:
+                    made.add(out.num_rows)
+                yield out
+
+        return run
+
+    monkeypatch.setattr(NJ, "_meet", counted)
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spread=64, block=16, shared=2).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == near_classes(rows)
+    assert made.value < 2 * len(rows)
+
+
 def test_tree_is_near_linear_in_near_copies():
     r = np.random.default_rng(0)
     base, took = r.integers(0, 2**63, 200).astype(np.uint64), {}
@@ -174,10 +207,14 @@ def test_tree_loses_no_pair(sets, spread):
         maps[k, [(x * 7 if spread else x // 3) % 256 for x in s]] = True
     packed = np.packbits(maps, axis=1).view(np.uint64)
     found = {tuple(sorted(p)) for p in tree_pairs(sizes, packed, 75, np.arange(len(sets)))}
+    # finer maps in which tokens may share a place too, and some sets without one
+    fine = [np.unique([x // 2 for x in s]).astype("<u2").tobytes() if k % 5 else None for k, s in enumerate(sets)]
+    closer = {tuple(sorted(p)) for p in tree_pairs(sizes, packed, 75, np.arange(len(sets)), None, fine)}
+    assert closer <= found
     for i in range(len(sets)):
         for j in range(i):
             if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                assert (j, i) in found
+                assert (j, i) in found and (j, i) in closer
 
 
 def test_top_k(spark):
