@@ -32,10 +32,15 @@ def _unchanged() -> str:
 UNCHANGED = _unchanged()
 
 
+def ascii_only(text: Column) -> Column:
+    """Whether each character is one byte: known by counting, without a pattern."""
+    return F.octet_length(text) == F.length(text)
+
+
 def compatible(text: Column | str) -> Column:
     """NFKC; texts of characters that it leaves alone skip Python."""
     text = F.col(text) if isinstance(text, str) else text
-    plain = text.rlike(rf"\A{UNCHANGED}*+\z")
+    plain = ascii_only(text) | text.rlike(rf"\A{UNCHANGED}*+\z")
     return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))
 
 
