@@ -16,7 +16,7 @@ from attestry.operators import mutations as M
 from attestry.operators import predicates as P
 from attestry.operators import retrieval as R
 from attestry.operators import windows as W
-from attestry.operators.lineage import shared_dir
+from attestry.operators.lineage import shared_dir, written
 from attestry.plans.core import _GOV, _USABLE, day, governed
 from attestry.registry import Inputs, query
 from attestry.sources import exports as X
@@ -207,27 +207,35 @@ def st6s(t: Inputs) -> DataFrame:
     return _ran(t, ST.activity(_attempt_stream(t), "1 day", "12 hours"), "activity", "complete")
 
 
-@query("q3_source_evidence")
-def q3(t: Inputs) -> DataFrame:
-    """Chunks of live sources for each task, with locators, within a budget of characters."""
+def _evidence(t: Inputs, asked: DataFrame) -> DataFrame:
     live = J.live_chunks(t.v_versions, P.eligible(t.v_sources).select("source_id", "digest")).select("source_id", "digest")
     chunks = spans.chunk_text(t.v_messages.join(live, "source_id").select("source_id", "digest", "message_id", "turn", "text"), 400, 40)
     chunks = chunks.withColumn("record_id", content_id("source_id", "digest", "message_id", "start_char"))
-    asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower("statement").alias("query"))
     top = R.search_top(chunks.select("record_id", F.col("chunk").alias("statement")), asked, 20, mode="v3")
-    located = top.join(chunks, "record_id").withColumn("size", F.length("chunk") + 80)
-    return W.fill_budget_stop(located, 2000).select("query_id", "rank", "score", F.col("record_id").alias("chunk_id"), "source_id", "message_id", "start_char", "end_char")
+    # a chunk's size is known by where it stands: its text stays behind
+    places = chunks.select("record_id", "source_id", "message_id", "start_char", "end_char", (F.col("end_char") - F.col("start_char") + 80).alias("size"))
+    return W.fill_budget_stop(top.join(places, "record_id"), 2000).select("query_id", "rank", "score", F.col("record_id").alias("chunk_id"), "source_id", "message_id", "start_char", "end_char")
+
+
+@query("q3_source_evidence")
+def q3(t: Inputs) -> DataFrame:
+    """Chunks of live sources for each task, with locators, within a budget of characters."""
+    return _evidence(t, t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower("statement").alias("query")))
 
 
 @query("q4_task_bundle")
 def q4(t: Inputs) -> DataFrame:
-    """For each query what is trusted, what is only reported, and the original evidence, within one budget."""
-    asked = t.v_records.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower("statement").alias("query"))
-    gov = governed(t)
-    sizes = t.v_records.select("record_id", (F.length("statement") + 60).alias("size"))
-    usable, cand = gov.where(P.usable_on(day())), P.filter_state(gov, "candidate")
-    active = gov.where("lifecycle = 'active'").select("record_id", "statement")
-    trusted = R.trusted_context(active, asked, usable, 10).join(sizes, "record_id")
-    reports = R.search_top(active.join(cand.select("record_id"), "record_id", "left_semi"), asked, 10).join(sizes, "record_id")
-    found = q3(t).withColumn("size", F.col("end_char") - F.col("start_char") + 80)
+    """For each query what is trusted, what is only reported, and the original evidence, within one budget.
+
+    Active records and queries are written once; all three searches read these.
+    """
+    candidate = (F.col("state") == "candidate").alias("candidate")
+    gov = written(governed(t).select("record_id", "k", "statement", "lifecycle", candidate, P.usable_on(day()).alias("usable"), "priority").where("lifecycle = 'active' or k % 50 = 0"), "governed")
+    asked = gov.where("k % 50 = 0").select(F.col("record_id").alias("query_id"), F.lower("statement").alias("query"))
+    active = gov.where("lifecycle = 'active'")
+    sizes = active.select("record_id", (F.length("statement") + 60).alias("size"))
+    texts = active.select("record_id", "statement")
+    trusted = R.trusted_context(texts, asked, active.where("usable"), 10).join(sizes, "record_id")
+    reports = R.search_top(active.where("candidate").select("record_id", "statement"), asked, 10).join(sizes, "record_id")
+    found = _evidence(t, asked).withColumn("size", F.col("end_char") - F.col("start_char") + 80)
     return B.evidence_bundle(trusted, reports, found.select("query_id", "rank", "size"), 3000)
