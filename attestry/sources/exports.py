@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.operators.lineage import written
+from attestry.sources import file_digests as D
 from attestry.sources.json_lists import read_json_list
 
 BLOCK = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
@@ -63,8 +64,23 @@ def flatten_memories(df: DataFrame) -> DataFrame:
 
 
 def scan_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size, digest) of all files below a folder; contents are hashed where they are read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+    """(path, size, digest) of all files below a folder; contents are hashed where they are read, those of large files by many tasks (see ``file_digests``).
+
+    Packed files (``PACKED``) are read whole whatever their size.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+    out = whole(files.where(size <= D.WHOLE))
+    large = files.where(size > D.WHOLE).select("path", F.col("length").alias("size"), name.alias("file"), F.col("path").rlike(D.PACKED).alias("packed")).collect()
+    digests = D.long_file_digests(spark, folder, {r.file: r.size for r in large if not r.packed})
+    if digests:
+        out = out.unionByName(spark.createDataFrame([(r.path, r.size, digests[r.file]) for r in large if r.file in digests], "path string, size long, digest string"))
+    uncut = [r.file for r in large if r.file not in digests]
+    return out.unionByName(whole(files.where(name.isin(uncut)))) if uncut else out
 
 
 def batch_id(manifest: DataFrame) -> DataFrame:
