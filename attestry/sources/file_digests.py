@@ -29,6 +29,8 @@ RUN = 1 << 24
 SEPARATORS = ("\n", '"', " ", "\0")
 #: Spark's text reader would unpack these by their names.
 PACKED = r"(?i)\.(gz|gzip|bz2|deflate|lz4|lzo|lzo_deflate|snappy|xz|z|zst|zstd|passthrough)$"
+#: Rows of megabytes: Parquet looks at its size after each, not after the first hundred, which a task would hold.
+_SMALL_GROUPS = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 24), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 _BOM = b"\xef\xbb\xbf"
 #: OpenSSL's SHA256_CTX: eight words of state, count of bits (low, high), the bytes of the block begun, their number, the digest's length.
 _CTX = struct.Struct("=8I2I64s2I")
@@ -153,7 +155,7 @@ def _cut(spark: SparkSession, folder: str, separator: str, numbers: dict[str, in
     lines = text.where(F.col("_metadata.file_path").isin(list(numbers))).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), data.alias("data"))
     path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
     cut = lines.mapInArrow(_joined(numbers), "number int, block long, seq long, n long, data binary").withColumn("round", F.expr(f"block div {ROUND}"))
-    cut.write.partitionBy("round").parquet(path)
+    cut.write.options(**_SMALL_GROUPS).partitionBy("round").parquet(path)
     return spark.read.schema(cut.schema).parquet(path)
 
 
